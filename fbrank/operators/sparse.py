@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fbrank.functions.text import STOP_DF_FRACTION, tokens
@@ -45,22 +45,43 @@ class Index:
         return self
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition ``df`` on ``keys`` when its scan yields fewer partitions than the cluster
+    can run at once (e.g. one large row group); a no-op for already well-split inputs.
+
+    Hash partitioning on the text id also satisfies a later ``groupBy(id, term)``, so the
+    term counts are then computed without a second shuffle.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys)
+
+
 def term_counts(df: DataFrame, id_cols: Sequence[str], text: str = "text") -> DataFrame:
     """(ids..., term, tf) term counts of each text (V4/V5 before stop words)."""
-    return (df.select(*id_cols, F.explode(tokens(text)).alias("term"))
+    src = spread(df.select(*id_cols, text), *id_cols)
+    return (src.select(*id_cols, F.explode(tokens(text)).alias("term"))
             .groupBy(*id_cols, "term").agg(F.count(F.lit(1)).cast("int").alias("tf")))
 
 
-def build_index(documents: DataFrame) -> Index:
-    """V5 + V10: postings without stop words, df/idf, document lengths, N and avgdl."""
+def build_index(documents: DataFrame, *, persist: bool = True) -> Index:
+    """V5 + V10: postings without stop words, df/idf, document lengths, N and avgdl.
+
+    The documents are tokenised once: the raw term counts are persisted (memory and disk;
+    a lost block is recomputed from the scan) and every statistic reads them.
+    """
     raw = term_counts(documents, ["docid"])
+    if persist:
+        raw = raw.persist()
     n_docs = documents.select("docid").distinct().agg(F.count(F.lit(1))).scalar()  # scalar subquery
     dfs = raw.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Stop words are few by construction: each occurs in more than N/2 documents, so there are
+    # fewer than 2 x (average distinct terms per document) of them - a proven broadcast bound.
     stop = dfs.filter(F.col("df") > n_docs * STOP_DF_FRACTION).select("term")
     kept = dfs.filter(F.col("df") <= n_docs * STOP_DF_FRACTION)
-    idf = kept.select("term", "df",
-                      F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    postings = raw.join(stop, "term", "left_anti")
+    idf = kept.select("term", "df", _idf(n_docs, F.col("df")).alias("idf"))
+    postings = raw.join(F.broadcast(stop), "term", "left_anti")
     doclen = (documents.select("docid").distinct()
               .join(postings.groupBy("docid").agg(F.sum("tf").cast("bigint").alias("dl")), "docid", "left")
               .withColumn("dl", F.coalesce("dl", F.lit(0).cast("bigint"))))
@@ -74,12 +95,24 @@ def query_bow(topics: DataFrame, index: Index, *, keys: Sequence[str] = ("qid",)
             .select(*keys, "term", F.col("tf").cast("double").alias("weight")))
 
 
+def _idf(n_docs, df):
+    return F.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+
+
 def doc_weights(index: Index, *, k1: float = K1, b: float = B) -> DataFrame:
-    """V6: BM25 weight of every (term, docid) posting: idf * tfpart (query weight 1)."""
-    avgdl = index.stats.select("avgdl").scalar()  # scalar subquery, no join
-    p = index.postings.join(index.df.select("term", "idf"), "term").join(index.doclen, "docid")
+    """V6: BM25 weight of every (term, docid) posting: idf * tfpart (query weight 1).
+
+    Document length and document frequency come from two windows over the postings (by
+    docid, then by term) instead of joins with the statistic tables; the result leaves the
+    plan hash-partitioned by ``term``, the key every search joins on.
+    """
+    n_docs = index.stats.select("n_docs").scalar()  # scalar subqueries, no joins
+    avgdl = index.stats.select("avgdl").scalar()
+    p = (index.postings
+         .withColumn("dl", F.sum("tf").over(Window.partitionBy("docid")))
+         .withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term"))))
     tfpart = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return p.select("term", "docid", (F.col("idf") * tfpart).alias("w"))
+    return p.select("term", "docid", (_idf(n_docs, F.col("df")) * tfpart).alias("w"))
 
 
 def bm25_search(weighted_terms: DataFrame, index: Index, k: int = 1000, *, keys: Sequence[str] = ("qid",),

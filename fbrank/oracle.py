@@ -357,8 +357,9 @@ def build() -> dict[str, str]:
         f"c AS (SELECT qid, (('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim})::INTEGER AS b, "
         f"sum(CASE WHEN ('0x' || substr(md5(tok), 9, 1))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x "
         f"FROM t GROUP BY qid, b), "
-        f"v AS (SELECT b.item_id AS qid, list_transform(range(0, {dim}), lambda i: coalesce((SELECT c.x FROM c WHERE c.qid = "
-        f"b.item_id AND c.b = i), 0.0)::DOUBLE) AS vec FROM benchmark b), "
+        f"g AS (SELECT b.item_id AS qid, r.i FROM benchmark b, range(0, {dim}) r(i)), "
+        f"v AS (SELECT g.qid, list(coalesce(c.x, 0.0)::DOUBLE ORDER BY g.i) AS vec FROM g LEFT JOIN c "
+        f"ON c.qid = g.qid AND c.b = g.i GROUP BY g.qid), "
         f"n AS (SELECT qid, vec, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS nrm FROM v) "
         f"SELECT qid, list_transform(vec, lambda x: round(CASE WHEN nrm > 0 THEN x / nrm ELSE x END, 6)) AS qv FROM n")
     q["query_bow"] = _w(*SPARSE_BASE) + " SELECT qid, term, weight FROM bow"

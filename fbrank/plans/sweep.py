@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fbrank.functions.positions import sample_positions
 from fbrank.operators import sparse as sp
 from fbrank.operators.evaluate import METRICS, evaluate
 from fbrank.operators.feedback import select_donor, select_for_trials, select_swapped, trial_positions
@@ -37,12 +38,24 @@ def trial_grid(spark: SparkSession, *, seed: Sequence[int] = DEFAULT_SEEDS, spli
                prf_depth: Sequence[int] = (3,), topics: Sequence[str] = ("benchmark",),
                batch_size: Sequence[int] = (32,), alpha: Sequence[float] = (0.4,), beta: Sequence[float] = (0.6,),
                mode: Sequence[str] = ("random_split",)) -> DataFrame:
-    """Cross product of the parameter lists (configuration, built on the driver from the
-    literal lists), ``trial_id`` in grid order."""
+    """Cross product of the parameter lists, ``trial_id`` in grid order.
+
+    The grid is configuration built on the driver from the literal lists, so the seeded
+    positions of each cell (F2) are computed there too; invalid cells get NULL positions
+    and are reported by ``validate_trials`` (P6)."""
     lists = [seed, split_num, nsplit, total_prf_docs, prf_depth, topics, batch_size, alpha, beta, mode]
-    rows = [(i, *cell) for i, cell in enumerate(itertools.product(*lists))]
+    rows = []
+    for i, cell in enumerate(itertools.product(*lists)):
+        conf = dict(zip(GRID_COLUMNS, cell))
+        try:
+            pos = sample_positions(conf["seed"], conf["prf_depth"], conf["total_prf_docs"], conf["split_num"],
+                                   conf["nsplit"])
+        except ValueError:
+            pos = None
+        rows.append((i, *cell, pos))
     schema = T.StructType([T.StructField("trial_id", T.IntegerType(), False)]
-                          + [T.StructField(c, _TYPES[c], False) for c in GRID_COLUMNS])
+                          + [T.StructField(c, _TYPES[c], False) for c in GRID_COLUMNS]
+                          + [T.StructField("positions", T.ArrayType(T.IntegerType()), True)])
     return spark.createDataFrame(rows, schema)
 
 
@@ -69,7 +82,9 @@ def project_name(method: str, topics: Column, total: Column, mode: Column | None
 
 
 def _with_positions(trials: DataFrame) -> DataFrame:
-    return trial_positions(trials).filter(F.col("positions").isNotNull())
+    if "positions" not in trials.columns:
+        trials = trial_positions(trials.coalesce(1))
+    return trials.filter(F.col("positions").isNotNull())
 
 
 def dense_sweep_runs(trials: DataFrame, queries: DataFrame, corpus: DataFrame, *, hits: int = 1000,
