@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 METRICS = ("map", "ndcg_cut_10", "recall_1000")
 DIGITS = 6
+BROADCAST_QRELS_ROWS = 2_000_000  # judgements broadcast to the run only below this checked size
 
 
 def eval_order(run: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -31,8 +32,12 @@ def per_topic(run: DataFrame, qrels: DataFrame, *, level: int = 2, keys: Sequenc
               ndcg_cut: int = 10, recall_cut: int = 1000) -> DataFrame:
     """Per (keys, qid) of the run: ap, ndcg_cut_10, recall_1000 over the judged topics it covers."""
     ranked = eval_order(run.select(*keys, "qid", "docid", "score"), keys)
-    judged = qrels.select("qid", "docid", "rel")
-    hits = ranked.join(judged, ["qid", "docid"]).filter(F.col("rel") > 0)
+    judged = qrels.select("qid", "docid", "rel").filter(F.col("rel") > 0)
+    # The run keeps its (keys, qid) partitioning when the judgements are broadcast; their
+    # size is checked first, larger judgement sets use a shuffled join.
+    if judged.count() <= BROADCAST_QRELS_ROWS:
+        judged = F.broadcast(judged)
+    hits = ranked.join(judged, ["qid", "docid"])
     wrel = Window.partitionBy(*keys, "qid").orderBy("erank")
     relhits = (hits.filter(F.col("rel") >= level)
                .withColumn("_n", F.row_number().over(wrel))
@@ -43,7 +48,7 @@ def per_topic(run: DataFrame, qrels: DataFrame, *, level: int = 2, keys: Sequenc
            .groupBy(*keys, "qid")
            .agg(F.sum(F.col("rel") / F.log2(F.col("erank") + 1)).alias("_dcg")))
     stats = topic_stats(qrels, level=level, ndcg_cut=ndcg_cut)
-    topics_run = run.select(*keys, "qid").distinct().join(stats, "qid")
+    topics_run = ranked.filter(F.col("erank") == 1).select(*keys, "qid").join(stats, "qid")
     out = (topics_run.join(relhits, [*keys, "qid"], "left").join(dcg, [*keys, "qid"], "left")
            .select(*keys, "qid",
                    F.when(F.col("_R") > 0, F.coalesce("_prec_sum", F.lit(0.0)) / F.col("_R"))

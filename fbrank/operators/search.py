@@ -128,18 +128,21 @@ def _make_kernel(keys: Sequence[str], qv: str, docid: str, vec: str, k: int, met
 def topk_search(queries: DataFrame, corpus: DataFrame, k: int, *, keys: Sequence[str] = ("qid",),
                 qv: str = "qv", docid: str = "docid", vec: str = "vec", metric: str = "ip",
                 exclude_self: str | None = None, n_shards: int | None = None,
-                query_blocks: int = 1) -> DataFrame:
+                query_blocks: int | None = None) -> DataFrame:
     """Exact top-k per query row.
 
     Returns ``keys..., docid, score DOUBLE, rank INT`` with rank 1..k ordered by
     ``round(score, 9) desc, docid asc``.  ``exclude_self`` names a query column whose value
     must never be retrieved as a docid (a topic drawn from the corpus).
-    ``query_blocks`` > 1 splits very large query sets so each group stays bounded.
+
+    Layout: the corpus is cut into ``n_shards`` hash shards of at least ``4k`` documents
+    (so the partial top-k of a shard actually prunes) and the queries into
+    ``query_blocks`` hash blocks; together they give about one group per core, and each group
+    holds one shard and one block (set both explicitly for very large query sets).
     """
     spark = queries.sparkSession
     keys = list(keys)
-    if n_shards is None:
-        n_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_shards, query_blocks = search_layout(corpus, k, n_shards, query_blocks)
     key_fields = [queries.schema[kc] for kc in keys]
     id_field = corpus.schema[docid]
     out_struct = T.StructType(
@@ -159,6 +162,18 @@ def topk_search(queries: DataFrame, corpus: DataFrame, k: int, *, keys: Sequence
     return limit_per_topic(partial, k, keys=keys, docid=docid)
 
 
+def search_layout(corpus: DataFrame, k: int, n_shards: int | None = None,
+                  query_blocks: int | None = None) -> tuple[int, int]:
+    """(shards, query blocks) for a corpus: shards of >= 4k documents, about one group per core."""
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    if n_shards is None:
+        rows = corpus.count()  # a metadata-cheap count for a table scan
+        n_shards = int(max(1, min(cores, rows // max(4 * k, 1))))
+    if query_blocks is None:
+        query_blocks = int(max(1, cores // n_shards))
+    return n_shards, query_blocks
+
+
 def limit_per_topic(hits: DataFrame, k: int, *, keys: Sequence[str] = ("qid",), docid: str = "docid",
                     score: str = "score") -> DataFrame:
     """row_number over (keys) by round(score,9) desc, docid asc; keep rank <= k."""

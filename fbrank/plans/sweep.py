@@ -112,7 +112,8 @@ def dense_sweep_runs(trials: DataFrame, queries: DataFrame, corpus: DataFrame, *
         refined = _rocchio_per_trial(tq, fbv)
     else:
         refined = refine_average(tq.select("trial_id", "qid", "qv"), fbv, keys=("trial_id", "qid"))
-    return topk_search(refined, corpus, hits, keys=("trial_id", "qid"), exclude_self=exclude_self)
+    runs = topk_search(refined, corpus, hits, keys=("trial_id", "qid"), exclude_self=exclude_self)
+    return runs.persist()  # read by ranking and by evaluation
 
 
 def _rocchio_per_trial(tq: DataFrame, fbv: DataFrame) -> DataFrame:
@@ -156,12 +157,12 @@ def sparse_sweep_runs(trials: DataFrame, topics: DataFrame, index: sp.Index, *,
                                               (F.col("weight") * F.col("beta")).alias("weight"))
     terms = (q_terms.filter("weight > 0").unionByName(f_terms.filter("weight > 0"))
              .groupBy(*keys, "term").agg(F.sum("weight").alias("weight")))
-    return sp.bm25_search(terms, index, k, keys=keys, weights=w)
+    return sp.bm25_search(terms, index, k, keys=keys, weights=w).persist()
 
 
 def evaluate_trials(runs: DataFrame, trials: DataFrame, qrels: DataFrame, *, level: int = 2) -> DataFrame:
     """Metrics per trial (every trial reported, empty ones as 0), with its settings and run name."""
-    m = evaluate(runs, qrels, level=level, keys=("trial_id",), key_values=trials)
+    m = evaluate(runs, qrels.persist(), level=level, keys=("trial_id",), key_values=trials)
     return (trials.select("trial_id", "seed", "nsplit", "total_prf_docs", "split_num", "prf_depth",
                           run_name(trials).alias("run_name"))
             .join(m, "trial_id"))
