@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from fbrank import catalog  # noqa: E402
 from fbrank.session import local_session  # noqa: E402
 
+SPARSE = ("bm25_topk", "prf_sparse_rocchio_run", "sweep_sparse")
 HEADLINE = ("dense_topk", "bm25_topk", "prf_dense_rocchio_run", "prf_sparse_rocchio_run", "sweep_dense",
             "sweep_sparse")
 
@@ -30,12 +31,18 @@ def main() -> None:
     catalog.topk_search(spark.createDataFrame([(0, [1.0, 0.0])], "qid long, qv array<double>"),
                         spark.createDataFrame([(1, [0.0, 1.0])], "docid long, vec array<double>"), 1).collect()
     times: dict[str, float] = {}
+    if any(n in SPARSE for n in names):
+        # the text index (postings, statistics, BM25 weights) is built once and shared
+        t0 = time.time()
+        idx, weights = catalog.shared_index(spark, sf_dir)
+        weights.write.format("noop").mode("overwrite").save()
+        times["index_build"] = round(time.time() - t0, 3)
+        print(f"# index_build: {times['index_build']} s", file=sys.stderr, flush=True)
     for name in names:
         t0 = time.time()
         df = catalog.QUERIES[name](spark, sf_dir)
         df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
-        spark.catalog.clearCache()
         print(f"# {name}: {times[name]} s", file=sys.stderr, flush=True)
     sf = os.path.basename(os.path.normpath(sf_dir)).replace("sf", "")
     print(json.dumps({"metric": "headline_total_sec", "value": round(sum(times.values()), 3), "unit": "sec",

@@ -58,8 +58,21 @@ def _run_out(run: DataFrame, keys=("qid",)) -> DataFrame:
     return run.select(*keys, "docid", F.col("rank").cast("int").alias("rank"), _r("score"))
 
 
+_SHARED_INDEX: dict = {}
+
+
+def shared_index(spark: SparkSession, sf_dir: str) -> tuple[sp.Index, DataFrame]:
+    """The text index of ``sf_dir`` and its BM25 weights, built once per session and persisted
+    (like a search index built once and queried many times); recomputable from the tables."""
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _SHARED_INDEX:
+        idx = sp.build_index(tb.documents(spark, sf_dir))
+        _SHARED_INDEX[key] = (idx, sp.doc_weights(idx).persist())
+    return _SHARED_INDEX[key]
+
+
 class Ctx:
-    """Frames shared by several queries (built lazily, per call)."""
+    """Frames shared by several queries (built lazily, per call; the text index per session)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf = spark, sf_dir
@@ -97,11 +110,11 @@ class Ctx:
 
     @cached_property
     def index(self):
-        return sp.build_index(self.docs)
+        return shared_index(self.spark, self.sf)[0]
 
     @cached_property
     def weights(self):
-        return sp.doc_weights(self.index)
+        return shared_index(self.spark, self.sf)[1]
 
     @cached_property
     def bow(self):

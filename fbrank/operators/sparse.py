@@ -19,11 +19,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from fbrank.functions.text import STOP_DF_FRACTION, tokens
-from fbrank.operators.search import limit_per_topic
+from fbrank.operators.search import _partial_topk, limit_per_topic
 
 K1 = 0.9
 B = 0.4
@@ -116,17 +120,263 @@ def doc_weights(index: Index, *, k1: float = K1, b: float = B) -> DataFrame:
 
 
 def bm25_search(weighted_terms: DataFrame, index: Index, k: int = 1000, *, keys: Sequence[str] = ("qid",),
-                k1: float = K1, b: float = B, weights: DataFrame | None = None) -> DataFrame:
+                k1: float = K1, b: float = B, weights: DataFrame | None = None, method: str = "block",
+                n_shards: int | None = None, query_blocks: int | None = None) -> DataFrame:
     """Weighted any-term BM25 search; returns keys..., docid, score, rank (rank <= k).
 
     Terms with empty text or weight <= 0 are skipped (V9).  ``weights`` may pass a persisted
     ``doc_weights`` frame to reuse across searches.
+
+    ``method='block'`` (default) scores in a per-group kernel: groups are (query block,
+    document shard); the smaller side is replicated (queries over shards or postings over
+    query blocks, chosen from the two row counts), and each group turns its query terms into
+    posting contributions with sorted arrays and accumulates them with ``bincount`` - the
+    (query, term, document) fan-out never becomes Spark rows; only a partial top-k per query
+    and group leaves the kernel, merged by the usual top-k window.
+    ``method='join'`` is the plain relational form (term equi-join, sum, window).
     """
     w = weights if weights is not None else doc_weights(index, k1=k1, b=b)
-    q = weighted_terms.filter((F.col("weight") > 0) & (F.length("term") > 0))
-    scored = (q.join(w, "term")
-              .groupBy(*keys, "docid").agg(F.sum(F.col("weight") * F.col("w")).alias("score")))
-    return limit_per_topic(scored, k, keys=keys)
+    q = weighted_terms.filter((F.col("weight") > 0) & (F.length("term") > 0)).select(*keys, "term", "weight")
+    if method == "join":
+        scored = (q.join(w, "term")
+                  .groupBy(*keys, "docid").agg(F.sum(F.col("weight") * F.col("w")).alias("score")))
+        return limit_per_topic(scored, k, keys=keys)
+    if method != "block":
+        raise ValueError(f"unknown BM25 method {method!r}")
+    keys = list(keys)
+    cores = q.sparkSession.sparkContext.defaultParallelism
+    if n_shards is None or query_blocks is None:
+        q = q.persist()
+        nq, nw = q.count(), w.count()
+        best = min(((s_, cores // s_) for s_ in range(1, cores + 1) if cores % s_ == 0),
+                   key=lambda sb: nq * sb[0] + nw * sb[1])
+        n_shards = n_shards or best[0]
+        query_blocks = query_blocks or best[1]
+    qg = (q.withColumn("_blk", F.pmod(F.xxhash64(*[F.col(c) for c in keys]), F.lit(query_blocks)).cast("int"))
+          .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))))
+    wg = (w.select("term", "docid", "w")
+          .withColumn("_shard", F.pmod(F.xxhash64("docid"), F.lit(n_shards)).cast("int"))
+          .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
+    out_struct = T.StructType([T.StructField(c, q.schema[c].dataType, True) for c in keys]
+                              + [T.StructField("docid", w.schema["docid"].dataType, True),
+                                 T.StructField("score", T.DoubleType(), True)])
+    partial = (qg.groupBy("_blk", "_shard").cogroup(wg.groupBy("_blk", "_shard"))
+               .applyInArrow(_bm25_kernel(keys, k), out_struct))
+    return limit_per_topic(partial, k, keys=keys)
+
+
+CELL_BUDGET = 1 << 22    # dense (query x document) score cells per step inside a task
+PAIR_BUDGET = 1 << 24    # posting contributions per step inside a task
+
+
+DENSE_TERM_CELLS = 1 << 24  # cells of the dense (heavy term x document) block of a group
+HEAVY_DENSITY = 1 / 64      # a term is "heavy" when it occurs in at least this share of a group's documents
+
+
+class _Postings:
+    """A group's postings sorted by term code, for vectorised scoring of weighted term rows.
+
+    Light terms are expanded into (row, document) contributions accumulated with
+    ``bincount``; heavy terms (frequent in the group) form a dense term x document block that
+    is multiplied with the rows' dense weights, so frequent terms cost a matrix product
+    instead of one scatter per posting.  All contributions are positive, so a document
+    matches a row exactly when its score is > 0.
+    """
+
+    def __init__(self, wt: pa.Table, *extra_terms: np.ndarray):
+        wterms = wt.column("term").to_numpy(zero_copy_only=False)
+        codes, vocab = pd.factorize(np.concatenate([wterms, *extra_terms]))
+        nw = len(wterms)
+        self.extra_codes = []
+        pos = nw
+        for e in extra_terms:
+            self.extra_codes.append(codes[pos:pos + len(e)])
+            pos += len(e)
+        wcode = codes[:nw]
+        dloc, self.docids = pd.factorize(wt.column("docid").to_numpy())
+        self.nd = nd = len(self.docids)
+        order = np.argsort(wcode, kind="stable")
+        self.d_s = dloc[order]
+        self.w_s = wt.column("w").to_numpy()[order]
+        self.counts = np.bincount(wcode, minlength=len(vocab))
+        self.offs = np.concatenate([[0], np.cumsum(self.counts)])
+        # heavy terms: the most frequent ones, as many as fit the dense block
+        cand = np.nonzero(self.counts >= max(2, nd * HEAVY_DENSITY))[0]
+        cap = max(0, DENSE_TERM_CELLS // max(nd, 1))
+        if len(cand) > cap:
+            cand = cand[np.argsort(-self.counts[cand], kind="stable")[:cap]]
+        self.hrow = np.full(len(vocab), -1, dtype=np.int64)
+        self.hrow[cand] = np.arange(len(cand))
+        self.dense = np.zeros((len(cand), nd))
+        for i, c in enumerate(cand):
+            sl = slice(self.offs[c], self.offs[c + 1])
+            self.dense[i, self.d_s[sl]] = self.w_s[sl]
+        self.light_counts = np.where(self.hrow >= 0, 0, self.counts)
+
+    def chunks(self, ridx: np.ndarray, codes: np.ndarray, weights: np.ndarray, n_rows: int):
+        """Yield (r0, r1, scores) dense score blocks of rows [r0, r1) x documents."""
+        o = np.argsort(ridx, kind="stable")
+        ridx, codes, weights = ridx[o], codes[o], weights[o]
+        ptr = np.searchsorted(ridx, np.arange(n_rows + 1))
+        pairs = np.bincount(ridx, weights=self.light_counts[codes], minlength=n_rows)
+        nd, nh = self.nd, self.dense.shape[0]
+        width = max(nd, nh)
+        r0 = 0
+        while r0 < n_rows:
+            r1, acc = r0, 0.0
+            while r1 < n_rows and (r1 == r0 or ((r1 + 1 - r0) * width <= CELL_BUDGET and acc + pairs[r1] <= PAIR_BUDGET)):
+                acc += pairs[r1]
+                r1 += 1
+            sl = slice(ptr[r0], ptr[r1])
+            c, wq, rq = codes[sl], weights[sl], ridx[sl] - r0
+            heavy = self.hrow[c] >= 0
+            size = (r1 - r0) * nd
+            lc, lw, lr = c[~heavy], wq[~heavy], rq[~heavy]
+            lens = self.counts[lc]
+            total = int(lens.sum())
+            if total:
+                rep = np.repeat(np.arange(len(lc)), lens)
+                within = np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens)
+                pidx = self.offs[lc][rep] + within
+                cell = lr[rep] * nd + self.d_s[pidx]
+                sc = np.bincount(cell, weights=lw[rep] * self.w_s[pidx], minlength=size).reshape(r1 - r0, nd)
+            else:
+                sc = np.zeros((r1 - r0, nd))
+            if heavy.any():
+                dense_q = np.zeros((r1 - r0, nh))
+                np.add.at(dense_q, (rq[heavy], self.hrow[c[heavy]]), wq[heavy])
+                sc += dense_q @ self.dense
+            yield r0, r1, sc
+            r0 = r1
+
+
+def _emit(names, key_cols: list, docids, qi, di, sc) -> pa.Table:
+    cols = [pa.array(np.asarray(v)[qi]) for v in key_cols]
+    cols.append(pa.array(np.asarray(docids)[di], pa.int64()))
+    cols.append(pa.array(sc, pa.float64()))
+    return pa.Table.from_arrays(cols, names=names)
+
+
+def _bm25_kernel(keys: Sequence[str], k: int):
+    names = list(keys) + ["docid", "score"]
+    nothing = ([np.zeros(0, np.int64) for _ in keys], np.zeros(0, np.int64), [], [], np.zeros(0))
+
+    def kernel(qt: pa.Table, wt: pa.Table) -> pa.Table:
+        if qt.num_rows == 0 or wt.num_rows == 0:
+            return _emit(names, *nothing)
+        qdf = qt.select([*keys, "term", "weight"]).to_pandas()
+        qidx = qdf.groupby(list(keys), sort=False).ngroup().to_numpy()
+        first = qdf.drop_duplicates(list(keys))
+        kv = [first[c].to_numpy() for c in keys]
+        post = _Postings(wt, qdf["term"].to_numpy())
+        out_q, out_d, out_s = [], [], []
+        for r0, _r1, sc in post.chunks(qidx, post.extra_codes[0], qdf["weight"].to_numpy(), len(first)):
+            sc[~(sc > 0)] = -np.inf
+            rr, cc = _partial_topk(sc, k)
+            out_q.append(rr + r0)
+            out_d.append(cc)
+            out_s.append(sc[rr, cc])
+        if not out_q:
+            return _emit(names, *nothing)
+        return _emit(names, kv, post.docids, np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s))
+
+    return kernel
+
+
+def rocchio_sweep_search(specs: DataFrame, bow: DataFrame, index: Index, weights: DataFrame, k: int = 1000, *,
+                         n_shards: int | None = None) -> DataFrame:
+    """BM25 of many Rocchio-refined queries at once, by linearity of the score.
+
+    For a refined query alpha*bow(q) + beta*mean_f tf(f) (all weights positive, T10),
+    score(d) = alpha*S_bow(q, d) + beta/n * sum_f S_f(d), where S_f is the BM25 score of feedback
+    document f used as a query.  Each shard of documents computes S_bow for the topics and S_f
+    for the distinct feedback documents once, then combines them per (trial, topic) - the
+    trials share those score rows instead of each re-expanding whole documents into terms.
+
+    ``specs``: (trial_id, qid, alpha, beta, fb ARRAY<docid>); ``bow``: (qid, term, weight).
+    Returns trial_id, qid, docid, score, rank (rank <= k).
+    """
+    spark = specs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if n_shards is None:  # shards of >= 4k documents so the partial top-k prunes
+        n_shards = int(max(1, min(cores, index.doclen.count() // max(4 * k, 1))))
+    blocks = int(max(1, cores // n_shards))
+    fb_docs = specs.select(F.explode("fb").alias("docid")).distinct()
+    fbtf = index.postings.join(fb_docs, "docid", "left_semi").select(F.col("docid").alias("f"), "term", "tf")
+    every_blk = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    spec_side = (specs.select(F.lit(0).alias("_kind"), "trial_id", "qid", "alpha", "beta", "fb")
+                 .withColumn("_blk", F.pmod(F.xxhash64("trial_id", "qid"), F.lit(blocks)).cast("int")))
+    shared = (bow.select(F.lit(1).alias("_kind"), "qid", "term", "weight")
+              .unionByName(fbtf.select(F.lit(2).alias("_kind"), "f", "term",
+                                       F.col("tf").cast("double").alias("weight")), allowMissingColumns=True)
+              .withColumn("_blk", every_blk))
+    side = (spec_side.unionByName(shared, allowMissingColumns=True)
+            .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))))
+    wg = (weights.select("term", "docid", "w")
+          .withColumn("_shard", F.pmod(F.xxhash64("docid"), F.lit(n_shards)).cast("int"))
+          .withColumn("_blk", every_blk))
+    out_struct = T.StructType([T.StructField("trial_id", specs.schema["trial_id"].dataType, True),
+                               T.StructField("qid", specs.schema["qid"].dataType, True),
+                               T.StructField("docid", weights.schema["docid"].dataType, True),
+                               T.StructField("score", T.DoubleType(), True)])
+    partial = (side.groupBy("_blk", "_shard").cogroup(wg.groupBy("_blk", "_shard"))
+               .applyInArrow(_rocchio_kernel(k), out_struct))
+    return limit_per_topic(partial, k, keys=("trial_id", "qid"))
+
+
+def _rocchio_kernel(k: int):
+    names = ["trial_id", "qid", "docid", "score"]
+    nothing = ([np.zeros(0, np.int32), np.zeros(0, np.int64)], np.zeros(0, np.int64), [], [], np.zeros(0))
+
+    def kernel(st: pa.Table, wt: pa.Table) -> pa.Table:
+        kind = st.column("_kind").to_numpy()
+        if wt.num_rows == 0 or not (kind == 0).any():
+            return _emit(names, *nothing)
+        sd = st.to_pandas()
+        spec = sd[sd["_kind"] == 0]
+        bow = sd[sd["_kind"] == 1]
+        ftf = sd[sd["_kind"] == 2]
+        post = _Postings(wt, bow["term"].to_numpy(), ftf["term"].to_numpy())
+        nd = post.nd
+        tcode, tq = pd.factorize(bow["qid"].to_numpy())
+        s_bow = np.zeros((len(tq) + 1, nd))
+        for r0, r1, sc in post.chunks(tcode, post.extra_codes[0], bow["weight"].to_numpy(), len(tq)):
+            s_bow[r0:r1] = sc
+        fcode, fdocs = pd.factorize(ftf["f"].to_numpy())
+        s_f = np.zeros((len(fdocs) + 1, nd))
+        for r0, r1, sc in post.chunks(fcode, post.extra_codes[1], ftf["weight"].to_numpy(), len(fdocs)):
+            s_f[r0:r1] = sc
+        # per (trial, topic): row of its topic and rows of its feedback documents (padded)
+        trow = pd.Index(tq).get_indexer(spec["qid"].to_numpy())
+        trow[trow < 0] = len(tq)
+        fb_col = st.filter(pa.array(kind == 0)).column("fb").combine_chunks()
+        n_fb = fb_col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = fb_col.flatten().to_numpy(zero_copy_only=False)
+        width = max(1, int(n_fb.max()) if len(n_fb) else 1)
+        frows = np.full((len(spec), width), len(fdocs))
+        if len(flat):
+            r = pd.Index(fdocs).get_indexer(flat.astype(np.float64) if fdocs.dtype.kind == "f" else flat)
+            r[r < 0] = len(fdocs)  # a feedback document without any kept term
+            frows[np.repeat(np.arange(len(spec)), n_fb), np.arange(len(flat)) - np.repeat(np.cumsum(n_fb) - n_fb, n_fb)] = r
+        alpha = spec["alpha"].to_numpy(dtype=np.float64)
+        beta = spec["beta"].to_numpy(dtype=np.float64)
+        coef = np.where(n_fb > 0, beta / np.maximum(n_fb, 1), 0.0)
+        step = max(1, CELL_BUDGET // max(nd, 1))
+        out_q, out_d, out_s = [], [], []
+        for r0 in range(0, len(spec), step):
+            r1 = min(len(spec), r0 + step)
+            fsum = s_f[frows[r0:r1]].sum(axis=1)
+            sc = alpha[r0:r1, None] * s_bow[trow[r0:r1]] + coef[r0:r1, None] * fsum
+            sc[~(sc > 0)] = -np.inf  # every contribution is positive: matched <=> score > 0
+            rr, cc = _partial_topk(sc, k)
+            out_q.append(rr + r0)
+            out_d.append(cc)
+            out_s.append(sc[rr, cc])
+        qi = np.concatenate(out_q)
+        kv = [spec["trial_id"].to_numpy().astype(np.int32), spec["qid"].to_numpy().astype(np.int64)]
+        return _emit(names, kv, post.docids, qi, np.concatenate(out_d), np.concatenate(out_s))
+
+    return kernel
 
 
 def mean_feedback(feedback: DataFrame, index: Index, *, mode: str = "tf", keys: Sequence[str] = ("qid",),

@@ -131,8 +131,12 @@ def _rocchio_per_trial(tq: DataFrame, fbv: DataFrame) -> DataFrame:
 
 
 def sparse_sweep_runs(trials: DataFrame, topics: DataFrame, index: sp.Index, *, k: int = 1000,
-                      first: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
-    """X2 (sparse): BM25 + Rocchio terms per (trial_id, qid); mode 'random_split' or 'donor' (F5)."""
+                      first: DataFrame | None = None, weights: DataFrame | None = None,
+                      method: str = "linear") -> DataFrame:
+    """X2 (sparse): BM25 + Rocchio terms per (trial_id, qid); mode 'random_split' or 'donor' (F5).
+
+    ``method='linear'`` scores all trials from shared per-document score rows
+    (``rocchio_sweep_search``); ``method='terms'`` builds every refined term vector and searches it."""
     trials = _with_positions(trials).persist()
     w = weights if weights is not None else sp.doc_weights(index).persist()
     bow = sp.query_bow(topics, index).persist()
@@ -149,6 +153,11 @@ def sparse_sweep_runs(trials: DataFrame, topics: DataFrame, index: sp.Index, *,
     for p in parts[1:]:
         fb = fb.unionByName(p)
     keys = ("trial_id", "qid")
+    if method == "linear":
+        specs = (fb.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("fb_pos", "docid"))).alias("_fb"))
+                 .join(F.broadcast(trials.select("trial_id", "alpha", "beta")), "trial_id")
+                 .select(*keys, "alpha", "beta", F.transform("_fb", lambda x: x["docid"]).alias("fb")))
+        return sp.rocchio_sweep_search(specs, bow, index, w, k).persist()
     fbv = sp.mean_feedback(fb, index, keys=keys)
     ab = F.broadcast(trials.select("trial_id", "alpha", "beta"))
     tq = ab.join(fb.select("trial_id", "qid").distinct(), "trial_id")
