@@ -404,9 +404,63 @@ def build() -> dict[str, str]:
         " SELECT run_name, total_prf_docs, split_num, prf_depth, nsplit, seed, map, ndcg_cut_10, recall_1000 "
         f"FROM ({dense_sweep_select()})")
     q["sweep_sparse"] = sparse_sweep_sql()
+    q["sweep_dense_swapped"] = dense_swapped_sweep_sql()
+    q["sweep_sparse_donor"] = sparse_sweep_sql(donor=True)
     return q
 
 
+def swap_ctes(first: str, fb: str, out: str, total: int, batch: int) -> list[str]:
+    """F4 per trial: smallest whole-batch shift whose donors avoid every recipient's top-total."""
+    return [
+        f"mem0 AS (SELECT t.trial_id, b.item_id AS qid, (row_number() OVER (PARTITION BY t.trial_id ORDER BY b.item_id) "
+        f"- 1) // {batch} AS batch, md5(t.seed || ':' || b.item_id) AS k FROM trials t CROSS JOIN benchmark b)",
+        "mem AS (SELECT trial_id, qid, batch, row_number() OVER (PARTITION BY trial_id, batch ORDER BY k) - 1 AS i, "
+        "count(*) OVER (PARTITION BY trial_id, batch) AS n FROM mem0)",
+        "shifts AS (SELECT trial_id, qid, batch, i, n, unnest(range(1, n)) AS shift FROM mem)",
+        "cand AS (SELECT m.trial_id, m.qid, m.batch, m.shift, d.qid AS donor FROM shifts m JOIN mem d "
+        "ON d.trial_id = m.trial_id AND d.batch = m.batch AND d.i = (m.i + m.shift) % m.n)",
+        f"bad AS (SELECT DISTINCT c.trial_id, c.batch, c.shift FROM cand c JOIN {fb} f ON f.trial_id = c.trial_id "
+        f"AND f.qid = c.donor JOIN {first} o ON o.qid = c.qid AND o.docid = f.docid AND o.rank <= {total})",
+        "ok AS (SELECT c.trial_id, c.batch, min(c.shift) AS shift FROM (SELECT DISTINCT trial_id, batch, shift FROM cand) c "
+        "ANTI JOIN bad b ON b.trial_id = c.trial_id AND b.batch = c.batch AND b.shift = c.shift GROUP BY c.trial_id, c.batch)",
+        "asg AS (SELECT c.trial_id, c.qid, c.donor FROM cand c JOIN ok USING (trial_id, batch, shift))",
+        f"{out} AS (SELECT a.trial_id, a.qid, f.fb_pos, f.docid, f.score FROM asg a JOIN {fb} f "
+        f"ON f.trial_id = a.trial_id AND f.qid = a.donor)",
+    ]
+
+
+def donor_ctes(first: str, fb: str, out: str, total: int) -> list[str]:
+    """F5 per trial: first donor, stepping back cyclically from a seeded start, disjoint from top-total."""
+    return [
+        f"idx AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS i, count(*) OVER () AS n FROM "
+        f"(SELECT DISTINCT qid FROM {first}))",
+        f"rcp AS (SELECT DISTINCT f.trial_id, f.qid, t.seed FROM {fb} f JOIN trials t USING (trial_id))",
+        "base AS (SELECT r.trial_id, r.qid, x.i, x.n, ((x.i - 1 - (('0x' || substr(md5(r.seed || ':' || r.qid), 1, 8))"
+        "::BIGINT % (x.n - 1))) % x.n + x.n) % x.n AS start FROM rcp r JOIN idx x USING (qid))",
+        "steps AS (SELECT trial_id, qid, i, n, start, unnest(range(0, n)) AS step FROM base)",
+        f"cand AS (SELECT b.trial_id, b.qid, b.step, d.qid AS donor FROM steps b JOIN idx d "
+        f"ON d.i = ((b.start - b.step) % b.n + b.n) % b.n WHERE d.i <> b.i AND EXISTS (SELECT 1 FROM {fb} h "
+        f"WHERE h.trial_id = b.trial_id AND h.qid = d.qid))",
+        f"bad AS (SELECT DISTINCT c.trial_id, c.qid, c.step FROM cand c JOIN {fb} f ON f.trial_id = c.trial_id "
+        f"AND f.qid = c.donor JOIN {first} o ON o.qid = c.qid AND o.docid = f.docid AND o.rank <= {total})",
+        "asg AS (SELECT trial_id, qid, arg_min(donor, step) AS donor FROM (SELECT * FROM cand ANTI JOIN bad "
+        "USING (trial_id, qid, step)) GROUP BY trial_id, qid)",
+        f"{out} AS (SELECT a.trial_id, a.qid, f.fb_pos, f.docid, f.score FROM asg a JOIN {fb} f "
+        f"ON f.trial_id = a.trial_id AND f.qid = a.donor)",
+    ]
+
+
+def dense_swapped_sweep_sql() -> str:
+    s = cat.DENSE
+    sw_ = cat.SWAP
+    ctes = ([QV, CORPUS, trials_values(DEFAULT_SEEDS, (0, 1), sw_["total"], sw_["split_num"], sw_["depth"]),
+             topk("first", "qv", sw_["total"]), trial_fb("fb", "first")]
+            + swap_ctes("first", "fb", "sfb", sw_["total"], sw_["batch"])
+            + [trial_rocchio("ref", "sfb", 0.4, 0.6), topk("runs", "ref", s.hits, keys=("trial_id", "qid"))]
+            + dense_qrels() + evaluation("e", "runs", "qrels", 2, ("trial_id",)))
+    return _w(*ctes) + " " + dense_sweep_select()
+
+
 def swapped_sql() -> str:
     sw_ = cat.SWAP
     pos = sample_positions(sw_["seed"], sw_["depth"], sw_["total"], sw_["split_num"], sw_["nsplit"])
@@ -444,10 +498,12 @@ def donor_sql() -> str:
         " SELECT 0 AS trial_id, a.qid, f.fb_pos, f.docid, round(f.score, 6) AS score FROM asg a JOIN fb f ON f.qid = a.donor")
 
 
-def sparse_sweep_sql() -> str:
+def sparse_sweep_sql(donor: bool = False) -> str:
     s = cat.SPARSE
+    sel = donor_ctes("first", "fb0", "fb", s.total_prf_docs) if donor else []
     ctes = SPARSE_BASE + [
-        trials_values(DEFAULT_SEEDS, DEFAULT_SLICES, 100, 10, 3), bm25("first", "bow", s.k), trial_fb("fb", "first"),
+        trials_values(DEFAULT_SEEDS, DEFAULT_SLICES, 100, 10, 3), bm25("first", "bow", s.k),
+        trial_fb("fb0" if donor else "fb", "first"), *sel,
         mean_fb("fbv", "fb", keys=("trial_id", "qid")),
         f"terms AS (SELECT trial_id, qid, term, sum(weight) AS weight FROM (SELECT t.trial_id, b.qid, b.term, "
         f"b.weight * {s.alpha} AS weight FROM (SELECT DISTINCT trial_id, qid FROM fb) t JOIN bow b USING (qid) "

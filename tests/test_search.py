@@ -83,9 +83,38 @@ def test_bm25_matches_closed_form(spark):
     assert got[0]["score"] == pytest.approx(want)
 
 
-def test_bm25_plan_stays_in_jvm(spark):
+def test_bm25_join_plan_stays_in_jvm(spark):
     docs = spark.createDataFrame([(1, "apple pie"), (2, "banana pie")], "docid long, text string")
     idx = sp.build_index(docs)
     q = spark.createDataFrame([(1, "apple", 1.0)], "qid long, term string, weight double")
-    plan = sp.bm25_search(q, idx, 10)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "ArrowEval" not in plan
+    plan = sp.bm25_search(q, idx, 10, method="join")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("layout", [(None, None), (1, 1), (3, 2)])
+def test_bm25_block_equals_join(spark, layout):
+    from conftest import SF001
+    from fbrank.sources import tables as tb
+
+    idx = sp.build_index(tb.documents(spark, SF001))
+    w = sp.doc_weights(idx).persist()
+    bow = sp.query_bow(tb.topics(spark, SF001), idx)
+    a = sp.bm25_search(bow, idx, 50, weights=w, n_shards=layout[0], query_blocks=layout[1])
+    b = sp.bm25_search(bow, idx, 50, weights=w, method="join")
+    ra = sorted((r["qid"], r["rank"], r["docid"], round(r["score"], 6)) for r in a.collect())
+    rb = sorted((r["qid"], r["rank"], r["docid"], round(r["score"], 6)) for r in b.collect())
+    assert ra == rb and len(ra) > 0
+
+
+def test_rocchio_sweep_linear_equals_terms(spark):
+    from conftest import SF001
+    from fbrank import catalog as cat
+    from fbrank.plans import sweep as sw
+
+    c = cat.Ctx(spark, SF001)
+    trials = sw.trial_grid(spark, seed=(42, 9), nsplit=(0, 3), alpha=(1.0, 0.0), beta=(0.75,))
+    lin = sw.sparse_sweep_runs(trials, c.topics, c.index, k=100, first=c.sparse_first, weights=c.weights)
+    ter = sw.sparse_sweep_runs(trials, c.topics, c.index, k=100, first=c.sparse_first, weights=c.weights,
+                               method="terms")
+    key = lambda r: (r["trial_id"], r["qid"], r["rank"], r["docid"], round(r["score"], 6))
+    assert sorted(map(key, lin.collect())) == sorted(map(key, ter.collect()))
