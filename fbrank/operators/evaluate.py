@@ -31,7 +31,10 @@ def eval_order(run: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 def per_topic(run: DataFrame, qrels: DataFrame, *, level: int = 2, keys: Sequence[str] = (),
               ndcg_cut: int = 10, recall_cut: int = 1000) -> DataFrame:
     """Per (keys, qid) of the run: ap, ndcg_cut_10, recall_1000 over the judged topics it covers."""
-    ranked = eval_order(run.select(*keys, "qid", "docid", "score"), keys)
+    if "erank" in run.columns:  # pre-ranked partial run (judged rows + first row per topic)
+        ranked = run.select(*keys, "qid", "docid", "score", "erank")
+    else:
+        ranked = eval_order(run.select(*keys, "qid", "docid", "score"), keys)
     judged = qrels.select("qid", "docid", "rel").filter(F.col("rel") > 0)
     # The run keeps its (keys, qid) partitioning when the judgements are broadcast; their
     # size is checked first, larger judgement sets use a shuffled join.

@@ -67,14 +67,67 @@ def _partial_topk(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(keep)
 
 
+def judged_ranks(rr: np.ndarray, cc: np.ndarray, ss: np.ndarray, ids: np.ndarray, k: int,
+                 judged: list, r0: int = 0):
+    """Exact top-k of complete score rows, re-ordered the evaluator's way, judged rows only.
+
+    ``rr, cc, ss``: candidate (row, column, score) triples covering each row's top-k with ties
+    (from ``_partial_topk`` over the WHOLE collection).  Per row: engine rank by
+    (round(score, 9) desc, docid asc), cut at k; evaluator rank by (round(score, 6) desc,
+    docid as string desc).  Returned are the rows whose docid is judged for that row, plus the
+    evaluator's first row (marks the topic as present in the run).
+    Returns (row, col, score, rank, erank) arrays.
+    """
+    out_r, out_c, out_s, out_k, out_e = [], [], [], [], []
+    if len(rr) == 0:
+        return [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] + [np.zeros(0, np.int32)] * 2
+    order = np.lexsort((ids[cc], -np.round(ss, RANK_DIGITS), rr))
+    rr, cc, ss = rr[order], cc[order], ss[order]
+    bounds = np.flatnonzero(np.diff(rr)) + 1
+    for s0, e0 in zip(np.concatenate([[0], bounds]), np.concatenate([bounds, [len(rr)]])):
+        e0 = min(e0, s0 + k)
+        row = rr[s0]
+        top_c, top_s = cc[s0:e0], ss[s0:e0]
+        s6 = np.round(top_s, 6)
+        eo = np.argsort(-s6, kind="stable")
+        s6o = s6[eo]
+        same = np.flatnonzero(s6o[1:] == s6o[:-1])
+        if len(same):  # 6-digit ties: docid as a string, descending
+            eo = eo.copy()
+            j = 0
+            while j < len(same):
+                a = same[j]
+                b = a + 1
+                while j + 1 < len(same) and same[j + 1] == b:
+                    j += 1
+                    b += 1
+                seg = sorted(eo[a:b + 1], key=lambda t: str(ids[top_c[t]]), reverse=True)
+                eo[a:b + 1] = seg
+                j += 1
+        erank = np.empty(len(eo), dtype=np.int32)
+        erank[eo] = np.arange(1, len(eo) + 1, dtype=np.int32)
+        jd = judged[row] if row < len(judged) and judged[row] is not None else []
+        sel = np.isin(ids[top_c], np.asarray(jd, dtype=ids.dtype)) | (erank == 1)
+        n = int(sel.sum())
+        out_r.append(np.full(n, row + r0))
+        out_c.append(top_c[sel])
+        out_s.append(top_s[sel])
+        out_k.append(np.arange(1, len(top_c) + 1, dtype=np.int32)[sel])
+        out_e.append(erank[sel])
+    return [np.concatenate(x) for x in (out_r, out_c, out_s, out_k, out_e)]
+
+
 def _make_kernel(keys: Sequence[str], qv: str, docid: str, vec: str, k: int, metric: str,
-                 exclude: str | None):
-    names = list(keys) + [docid, "score"]
+                 exclude: str | None, fused: bool = False):
+    names = list(keys) + [docid, "score"] + (["rank", "erank"] if fused else [])
 
-    def emit(qt: pa.Table, ct: pa.Table, qi, di, sc) -> pa.Table:
+    def emit(qt: pa.Table, ct: pa.Table, qi, di, sc, rk=None, er=None) -> pa.Table:
         cols = [qt.column(kc).take(pa.array(qi, pa.int64())) for kc in keys]
         cols.append(ct.column(docid).take(pa.array(di, pa.int64())))
         cols.append(pa.array(sc, type=pa.float64()))
+        if fused:
+            cols.append(pa.array(np.zeros(0, np.int32) if rk is None else rk, pa.int32()))
+            cols.append(pa.array(np.zeros(0, np.int32) if er is None else er, pa.int32()))
         return pa.Table.from_arrays(cols, names=names)
 
     def kernel(qt: pa.Table, ct: pa.Table) -> pa.Table:
@@ -86,10 +139,11 @@ def _make_kernel(keys: Sequence[str], qv: str, docid: str, vec: str, k: int, met
             qm, cm = _bits(qm), _bits(cm)
         ids = ct.column(docid).to_numpy()
         excl = qt.column(exclude).to_numpy() if exclude else None
+        judged = qt.column("_judged").to_pylist() if fused else None
         nq, nc = qm.shape[0], cm.shape[0]
         col_step = max(1, min(nc, CELL_BUDGET))
         row_step = max(1, CELL_BUDGET // col_step)
-        out_q, out_d, out_s = [], [], []
+        out_q, out_d, out_s, out_k, out_e = [], [], [], [], []
         for r0 in range(0, nq, row_step):
             r1 = min(nq, r0 + row_step)
             cand_r, cand_c, cand_s = [], [], []
@@ -114,9 +168,16 @@ def _make_kernel(keys: Sequence[str], qv: str, docid: str, vec: str, k: int, met
                 kth_idx = np.minimum(starts + k - 1, np.searchsorted(rr, rr, side="right") - 1)
                 keep = (pos < k) | (ss >= ss[kth_idx] - TIE_EPS)
                 rr, cc, ss = rr[keep], cc[keep], ss[keep]
+            if fused:
+                rr, cc, ss, rk, er = judged_ranks(rr, cc, ss, ids, k, judged)
+                out_k.append(rk)
+                out_e.append(er)
             out_q.append(rr)
             out_d.append(cc)
             out_s.append(ss)
+        if fused:
+            return emit(qt, ct, np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s),
+                        np.concatenate(out_k), np.concatenate(out_e))
         qi = np.concatenate(out_q) if out_q else np.zeros(0, dtype=np.int64)
         di = np.concatenate(out_d) if out_d else np.zeros(0, dtype=np.int64)
         sc = np.concatenate(out_s) if out_s else np.zeros(0)
@@ -128,7 +189,7 @@ def _make_kernel(keys: Sequence[str], qv: str, docid: str, vec: str, k: int, met
 def topk_search(queries: DataFrame, corpus: DataFrame, k: int, *, keys: Sequence[str] = ("qid",),
                 qv: str = "qv", docid: str = "docid", vec: str = "vec", metric: str = "ip",
                 exclude_self: str | None = None, n_shards: int | None = None,
-                query_blocks: int | None = None) -> DataFrame:
+                query_blocks: int | None = None, judged: DataFrame | None = None) -> DataFrame:
     """Exact top-k per query row.
 
     Returns ``keys..., docid, score DOUBLE, rank INT`` with rank 1..k ordered by
@@ -139,6 +200,12 @@ def topk_search(queries: DataFrame, corpus: DataFrame, k: int, *, keys: Sequence
     (so the partial top-k of a shard actually prunes) and the queries into
     ``query_blocks`` hash blocks; together they give about one group per core, and each group
     holds one shard and one block (set both explicitly for very large query sets).
+
+    ``judged`` (qid, docid, rel): when the whole collection is one shard, each group sees
+    complete score rows, so it ranks them itself and returns only the judged documents (plus
+    each query's first row in the evaluator's order) with ``rank`` and ``erank`` columns - a
+    pre-ranked partial run for ``evaluate``; the run of trials x topics x k rows is never
+    materialised.  With several shards ``judged`` is ignored and the full run is returned.
     """
     spark = queries.sparkSession
     keys = list(keys)
@@ -149,16 +216,25 @@ def topk_search(queries: DataFrame, corpus: DataFrame, k: int, *, keys: Sequence
         [T.StructField(f.name, f.dataType, True) for f in key_fields]
         + [T.StructField(docid, id_field.dataType, True), T.StructField("score", T.DoubleType(), True)]
     )
+    fused = judged is not None and n_shards == 1
     qcols = list(dict.fromkeys(keys + ([exclude_self] if exclude_self and exclude_self not in keys else [])))
+    if fused:
+        per_topic = (judged.filter(F.col("rel") > 0).groupBy("qid")
+                     .agg(F.collect_list(F.col("docid").cast(corpus.schema[docid].dataType)).alias("_judged")))
+        queries = queries.join(per_topic, "qid", "left")
+        qcols.append("_judged")
+        out_struct = out_struct.add("rank", T.IntegerType()).add("erank", T.IntegerType())
     q = (queries.select(*qcols, F.col(qv).cast("array<double>").alias(qv))
          .withColumn("_blk", F.pmod(F.xxhash64(*[F.col(c) for c in keys]), F.lit(query_blocks)).cast("int"))
          .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))))
     c = (corpus.select(F.col(docid), F.col(vec).cast("array<double>").alias(vec))
          .withColumn("_shard", F.pmod(F.xxhash64(F.col(docid)), F.lit(n_shards)).cast("int"))
          .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
-    kernel = _make_kernel(keys, qv, docid, vec, k, metric, exclude_self)
+    kernel = _make_kernel(keys, qv, docid, vec, k, metric, exclude_self, fused)
     partial = (q.groupBy("_blk", "_shard").cogroup(c.groupBy("_blk", "_shard"))
                .applyInArrow(kernel, out_struct))
+    if fused:
+        return partial
     return limit_per_topic(partial, k, keys=keys, docid=docid)
 
 

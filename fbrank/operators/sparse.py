@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from fbrank.functions.text import STOP_DF_FRACTION, tokens
-from fbrank.operators.search import _partial_topk, limit_per_topic
+from fbrank.operators.search import _partial_topk, judged_ranks, limit_per_topic
 
 K1 = 0.9
 B = 0.4
@@ -284,7 +284,7 @@ def _bm25_kernel(keys: Sequence[str], k: int):
 
 
 def rocchio_sweep_search(specs: DataFrame, bow: DataFrame, index: Index, weights: DataFrame, k: int = 1000, *,
-                         n_shards: int | None = None) -> DataFrame:
+                         n_shards: int | None = None, judged: DataFrame | None = None) -> DataFrame:
     """BM25 of many Rocchio-refined queries at once, by linearity of the score.
 
     For a refined query alpha*bow(q) + beta*mean_f tf(f) (all weights positive, T10),
@@ -295,21 +295,36 @@ def rocchio_sweep_search(specs: DataFrame, bow: DataFrame, index: Index, weights
 
     ``specs``: (trial_id, qid, alpha, beta, fb ARRAY<docid>); ``bow``: (qid, term, weight).
     Returns trial_id, qid, docid, score, rank (rank <= k).
+
+    With ``judged`` (qid, docid, rel) every group holds all documents (walked in chunks of
+    ``DOC_CHUNK``), ranks complete rows itself and returns only judged rows plus each
+    query's first row, with ``rank`` and ``erank`` (see ``search.judged_ranks``); the
+    trials x topics x k run is never materialised.
     """
     spark = specs.sparkSession
     cores = spark.sparkContext.defaultParallelism
+    fused = judged is not None
+    if fused:
+        n_shards = 1
+        per_topic = (judged.filter(F.col("rel") > 0).groupBy("qid")
+                     .agg(F.collect_list(F.col("docid").cast("long")).alias("_judged")))
+        specs = specs.join(per_topic, "qid", "left")
     if n_shards is None:  # shards of >= 4k documents so the partial top-k prunes
         n_shards = int(max(1, min(cores, index.doclen.count() // max(4 * k, 1))))
     blocks = int(max(1, cores // n_shards))
-    fb_docs = specs.select(F.explode("fb").alias("docid")).distinct()
-    fbtf = index.postings.join(fb_docs, "docid", "left_semi").select(F.col("docid").alias("f"), "term", "tf")
+    # Blocks are formed by topic: a topic's trials draw feedback from the same first ranking,
+    # so a block needs the score rows of its own topics' feedback documents only.
     every_blk = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    spec_side = (specs.select(F.lit(0).alias("_kind"), "trial_id", "qid", "alpha", "beta", "fb")
-                 .withColumn("_blk", F.pmod(F.xxhash64("trial_id", "qid"), F.lit(blocks)).cast("int")))
-    shared = (bow.select(F.lit(1).alias("_kind"), "qid", "term", "weight")
-              .unionByName(fbtf.select(F.lit(2).alias("_kind"), "f", "term",
-                                       F.col("tf").cast("double").alias("weight")), allowMissingColumns=True)
-              .withColumn("_blk", every_blk))
+    specs = specs.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    blk_f = specs.select("_blk", F.explode("fb").alias("docid")).distinct()
+    fbtf = (index.postings.join(blk_f, "docid")
+            .select("_blk", F.col("docid").alias("f"), "term", F.col("tf").cast("double").alias("weight")))
+    blk_bow = bow.join(specs.select("qid", "_blk").distinct(), "qid").select("_blk", "qid", "term", "weight")
+    spec_side = specs.select(F.lit(0).alias("_kind"), "_blk", "trial_id", "qid", "alpha", "beta", "fb",
+                             *(["_judged"] if fused else []))
+    shared = (blk_bow.select(F.lit(1).alias("_kind"), "_blk", "qid", "term", "weight")
+              .unionByName(fbtf.select(F.lit(2).alias("_kind"), "_blk", "f", "term", "weight"),
+                           allowMissingColumns=True))
     side = (spec_side.unionByName(shared, allowMissingColumns=True)
             .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))))
     wg = (weights.select("term", "docid", "w")
@@ -319,37 +334,45 @@ def rocchio_sweep_search(specs: DataFrame, bow: DataFrame, index: Index, weights
                                T.StructField("qid", specs.schema["qid"].dataType, True),
                                T.StructField("docid", weights.schema["docid"].dataType, True),
                                T.StructField("score", T.DoubleType(), True)])
+    if fused:
+        out_struct = out_struct.add("rank", T.IntegerType()).add("erank", T.IntegerType())
     partial = (side.groupBy("_blk", "_shard").cogroup(wg.groupBy("_blk", "_shard"))
-               .applyInArrow(_rocchio_kernel(k), out_struct))
+               .applyInArrow(_rocchio_kernel(k, fused), out_struct))
+    if fused:
+        return partial
     return limit_per_topic(partial, k, keys=("trial_id", "qid"))
 
 
-def _rocchio_kernel(k: int):
-    names = ["trial_id", "qid", "docid", "score"]
+DOC_CHUNK = 4096  # documents scored together inside one group (bounds the score blocks)
+
+
+def _rocchio_kernel(k: int, fused: bool = False):
+    names = ["trial_id", "qid", "docid", "score"] + (["rank", "erank"] if fused else [])
     nothing = ([np.zeros(0, np.int32), np.zeros(0, np.int64)], np.zeros(0, np.int64), [], [], np.zeros(0))
 
+    def out(kv, docids, qi, di, sc, rk=None, er=None):
+        t = _emit(["trial_id", "qid", "docid", "score"], kv, docids, qi, di, sc)
+        if fused:
+            z = np.zeros(0, np.int32)
+            t = t.append_column("rank", pa.array(z if rk is None else rk, pa.int32()))
+            t = t.append_column("erank", pa.array(z if er is None else er, pa.int32()))
+        return t
+
     def kernel(st: pa.Table, wt: pa.Table) -> pa.Table:
         kind = st.column("_kind").to_numpy()
         if wt.num_rows == 0 or not (kind == 0).any():
-            return _emit(names, *nothing)
-        sd = st.to_pandas()
+            return out(*nothing)
+        sd = st.drop_columns(["fb"] + (["_judged"] if fused else [])).to_pandas()
         spec = sd[sd["_kind"] == 0]
         bow = sd[sd["_kind"] == 1]
         ftf = sd[sd["_kind"] == 2]
-        post = _Postings(wt, bow["term"].to_numpy(), ftf["term"].to_numpy())
-        nd = post.nd
+        spec_t = st.filter(pa.array(kind == 0))
+        judged = spec_t.column("_judged").to_pylist() if fused else None
         tcode, tq = pd.factorize(bow["qid"].to_numpy())
-        s_bow = np.zeros((len(tq) + 1, nd))
-        for r0, r1, sc in post.chunks(tcode, post.extra_codes[0], bow["weight"].to_numpy(), len(tq)):
-            s_bow[r0:r1] = sc
         fcode, fdocs = pd.factorize(ftf["f"].to_numpy())
-        s_f = np.zeros((len(fdocs) + 1, nd))
-        for r0, r1, sc in post.chunks(fcode, post.extra_codes[1], ftf["weight"].to_numpy(), len(fdocs)):
-            s_f[r0:r1] = sc
-        # per (trial, topic): row of its topic and rows of its feedback documents (padded)
         trow = pd.Index(tq).get_indexer(spec["qid"].to_numpy())
         trow[trow < 0] = len(tq)
-        fb_col = st.filter(pa.array(kind == 0)).column("fb").combine_chunks()
+        fb_col = spec_t.column("fb").combine_chunks()
         n_fb = fb_col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = fb_col.flatten().to_numpy(zero_copy_only=False)
         width = max(1, int(n_fb.max()) if len(n_fb) else 1)
@@ -359,22 +382,38 @@ def _rocchio_kernel(k: int):
             r[r < 0] = len(fdocs)  # a feedback document without any kept term
             frows[np.repeat(np.arange(len(spec)), n_fb), np.arange(len(flat)) - np.repeat(np.cumsum(n_fb) - n_fb, n_fb)] = r
         alpha = spec["alpha"].to_numpy(dtype=np.float64)
-        beta = spec["beta"].to_numpy(dtype=np.float64)
-        coef = np.where(n_fb > 0, beta / np.maximum(n_fb, 1), 0.0)
-        step = max(1, CELL_BUDGET // max(nd, 1))
+        coef = np.where(n_fb > 0, spec["beta"].to_numpy(dtype=np.float64) / np.maximum(n_fb, 1), 0.0)
+        bow_terms, ftf_terms = bow["term"].to_numpy(), ftf["term"].to_numpy()
+        dall, docids_all = pd.factorize(wt.column("docid").to_numpy())
+        n_all = len(docids_all)
+        chunk = n_all if not fused else DOC_CHUNK
         out_q, out_d, out_s = [], [], []
-        for r0 in range(0, len(spec), step):
-            r1 = min(len(spec), r0 + step)
-            fsum = s_f[frows[r0:r1]].sum(axis=1)
-            sc = alpha[r0:r1, None] * s_bow[trow[r0:r1]] + coef[r0:r1, None] * fsum
-            sc[~(sc > 0)] = -np.inf  # every contribution is positive: matched <=> score > 0
-            rr, cc = _partial_topk(sc, k)
-            out_q.append(rr + r0)
-            out_d.append(cc)
-            out_s.append(sc[rr, cc])
-        qi = np.concatenate(out_q)
+        for c0 in range(0, n_all, chunk):
+            sub = wt if chunk >= n_all else wt.filter(pa.array((dall >= c0) & (dall < c0 + chunk)))
+            post = _Postings(sub, bow_terms, ftf_terms)
+            nd = post.nd
+            gcol = pd.Index(docids_all).get_indexer(post.docids)
+            s_bow = np.zeros((len(tq) + 1, nd))
+            for r0, r1, sc in post.chunks(tcode, post.extra_codes[0], bow["weight"].to_numpy(), len(tq)):
+                s_bow[r0:r1] = sc
+            s_f = np.zeros((len(fdocs) + 1, nd))
+            for r0, r1, sc in post.chunks(fcode, post.extra_codes[1], ftf["weight"].to_numpy(), len(fdocs)):
+                s_f[r0:r1] = sc
+            step = max(1, CELL_BUDGET // max(nd, 1))
+            for r0 in range(0, len(spec), step):
+                r1 = min(len(spec), r0 + step)
+                sc = alpha[r0:r1, None] * s_bow[trow[r0:r1]] + coef[r0:r1, None] * s_f[frows[r0:r1]].sum(axis=1)
+                sc[~(sc > 0)] = -np.inf  # every contribution is positive: matched <=> score > 0
+                rr, cc = _partial_topk(sc, k)
+                out_q.append(rr + r0)
+                out_d.append(gcol[cc])
+                out_s.append(sc[rr, cc])
         kv = [spec["trial_id"].to_numpy().astype(np.int32), spec["qid"].to_numpy().astype(np.int64)]
-        return _emit(names, kv, post.docids, qi, np.concatenate(out_d), np.concatenate(out_s))
+        qi, di, ss = np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s)
+        if fused:
+            qi, di, ss, rk, er = judged_ranks(qi, di, ss, np.asarray(docids_all), k, judged)
+            return out(kv, docids_all, qi, di, ss, rk, er)
+        return out(kv, docids_all, qi, di, ss)
 
     return kernel
 

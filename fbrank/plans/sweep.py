@@ -89,9 +89,10 @@ def _with_positions(trials: DataFrame) -> DataFrame:
 
 def dense_sweep_runs(trials: DataFrame, queries: DataFrame, corpus: DataFrame, *, hits: int = 1000,
                      method: str = "rocchio", exclude_self: str | None = "qid",
-                     topics_batched: DataFrame | None = None) -> DataFrame:
+                     topics_batched: DataFrame | None = None, judged: DataFrame | None = None) -> DataFrame:
     """X2 (dense): the second ranking of every (trial_id, qid); ``mode`` per trial row is
-    'random_split' (F3) or 'swap' (F4, needs ``topics_batched``)."""
+    'random_split' (F3) or 'swap' (F4, needs ``topics_batched``).  With ``judged``, only what
+    evaluation needs is returned when the search layout allows (see ``topk_search``)."""
     trials = _with_positions(trials).persist()
     max_total = trials.agg(F.max("total_prf_docs")).first()[0]
     first = topk_search(queries, corpus, max_total, exclude_self=exclude_self).persist()
@@ -112,7 +113,7 @@ def dense_sweep_runs(trials: DataFrame, queries: DataFrame, corpus: DataFrame, *
         refined = _rocchio_per_trial(tq, fbv)
     else:
         refined = refine_average(tq.select("trial_id", "qid", "qv"), fbv, keys=("trial_id", "qid"))
-    runs = topk_search(refined, corpus, hits, keys=("trial_id", "qid"), exclude_self=exclude_self)
+    runs = topk_search(refined, corpus, hits, keys=("trial_id", "qid"), exclude_self=exclude_self, judged=judged)
     return runs.persist()  # read by ranking and by evaluation
 
 
@@ -132,7 +133,7 @@ def _rocchio_per_trial(tq: DataFrame, fbv: DataFrame) -> DataFrame:
 
 def sparse_sweep_runs(trials: DataFrame, topics: DataFrame, index: sp.Index, *, k: int = 1000,
                       first: DataFrame | None = None, weights: DataFrame | None = None,
-                      method: str = "linear") -> DataFrame:
+                      method: str = "linear", judged: DataFrame | None = None) -> DataFrame:
     """X2 (sparse): BM25 + Rocchio terms per (trial_id, qid); mode 'random_split' or 'donor' (F5).
 
     ``method='linear'`` scores all trials from shared per-document score rows
@@ -157,7 +158,7 @@ def sparse_sweep_runs(trials: DataFrame, topics: DataFrame, index: sp.Index, *,
         specs = (fb.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("fb_pos", "docid"))).alias("_fb"))
                  .join(F.broadcast(trials.select("trial_id", "alpha", "beta")), "trial_id")
                  .select(*keys, "alpha", "beta", F.transform("_fb", lambda x: x["docid"]).alias("fb")))
-        return sp.rocchio_sweep_search(specs, bow, index, w, k).persist()
+        return sp.rocchio_sweep_search(specs, bow, index, w, k, judged=judged).persist()
     fbv = sp.mean_feedback(fb, index, keys=keys)
     ab = F.broadcast(trials.select("trial_id", "alpha", "beta"))
     tq = ab.join(fb.select("trial_id", "qid").distinct(), "trial_id")
