@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fbrank.functions.positions import positions_udf, sample_positions, seeded_offset, seeded_order_key
+from fbrank.operators.search import index_in_order
 
 
 def _dense_fb_pos(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -155,8 +156,8 @@ def select_donor(run: DataFrame, trials: DataFrame, *, step_round: int = 64) ->
     linear in topics); topics with no valid donor get no rows.  Donors may repeat.
     """
     chosen = select_for_trials(run, trials)
-    idx = (run.select("qid").distinct()
-           .withColumn("i", (F.row_number().over(Window.orderBy("qid")) - 1).cast("int"))).persist()
+    idx = (index_in_order(run.select("qid").distinct(), "qid", "i")
+           .withColumn("i", F.col("i").cast("int"))).persist()
     n = idx.count()
     if n <= 1:
         return chosen.limit(0).select("trial_id", "qid", "fb_pos", "docid", "score")

@@ -304,6 +304,14 @@ def break_ties(hits: DataFrame, *, keys: Sequence[str] = ("qid",), docid: str =
     return out.withColumn("rank", F.row_number().over(wr))
 
 
+def index_in_order(df: DataFrame, order_col: str, name: str = "i") -> DataFrame:
+    """0-based position of each row in ``order_col`` order, computed distributedly
+    (range-partitioned sort + ``zipWithIndex``), never in one single-partition window."""
+    ordered = df.orderBy(order_col)
+    schema = T.StructType(ordered.schema.fields + [T.StructField(name, T.LongType(), False)])
+    return ordered.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],)).toDF(schema)
+
+
 def assign_batches(topics: DataFrame, batch_size: int, *, qid: str = "qid") -> DataFrame:
     """Batches of ``batch_size`` topics in qid order; the last batch may be short.
 
@@ -312,9 +320,7 @@ def assign_batches(topics: DataFrame, batch_size: int, *, qid: str = "qid") -> D
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    ordered = topics.orderBy(qid)
-    schema = T.StructType(ordered.schema.fields + [T.StructField("_idx", T.LongType(), False)])
-    indexed = ordered.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],)).toDF(schema)
+    indexed = index_in_order(topics, qid, "_idx")
     return (indexed.withColumn("batch", F.floor(F.col("_idx") / batch_size).cast("int"))
             .withColumn("batch_pos", (F.col("_idx") % batch_size).cast("int"))
             .drop("_idx"))
