@@ -106,17 +106,15 @@ def _idf(n_docs, df):
 def doc_weights(index: Index, *, k1: float = K1, b: float = B) -> DataFrame:
     """V6: BM25 weight of every (term, docid) posting: idf * tfpart (query weight 1).
 
-    Document length and document frequency come from two windows over the postings (by
-    docid, then by term) instead of joins with the statistic tables; the result leaves the
-    plan hash-partitioned by ``term``, the key every search joins on.
+    Document frequency and length come from partial-aggregated ``groupBy``s joined back to the
+    postings, not from windows: a frequent term (up to half of all documents) is a hot key, and
+    AQE can split a skewed join partition (or broadcast a small side), which it cannot do for a
+    window partition.  N and avgdl are scalar subqueries.
     """
-    n_docs = index.stats.select("n_docs").scalar()  # scalar subqueries, no joins
     avgdl = index.stats.select("avgdl").scalar()
-    p = (index.postings
-         .withColumn("dl", F.sum("tf").over(Window.partitionBy("docid")))
-         .withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term"))))
+    p = index.postings.join(index.df.select("term", "idf"), "term").join(index.doclen, "docid")
     tfpart = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return p.select("term", "docid", (_idf(n_docs, F.col("df")) * tfpart).alias("w"))
+    return p.select("term", "docid", (F.col("idf") * tfpart).alias("w"))
 
 
 def bm25_search(weighted_terms: DataFrame, index: Index, k: int = 1000, *, keys: Sequence[str] = ("qid",),
