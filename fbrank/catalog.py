@@ -34,7 +34,7 @@ from fbrank.operators.search import (assign_batches, binary_search, break_ties,
 from fbrank.plans import sweep as sw
 from fbrank.plans.dense import DenseSettings, dense_feedback_run
 from fbrank.plans.sparse import SparseSettings, sparse_feedback_run
-from fbrank.session import ensure_checkpoint_dir, scratch_path
+from fbrank.session import scratch_path
 from fbrank.sources import runs as rf
 from fbrank.sources import tables as tb
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ from fbrank.functions.positions import sample_positions
 from fbrank.operators import sparse as sp
 from fbrank.operators.evaluate import METRICS, evaluate
 from fbrank.operators.feedback import select_donor, select_for_trials, select_swapped, trial_positions
-from fbrank.operators.refine import attach_vectors, refine_average, refine_rocchio
+from fbrank.operators.refine import attach_vectors, refine_average
 from fbrank.operators.search import topk_search
 
 # Default grid of the studied sweeps (fixed values).
