@@ -364,6 +364,16 @@ def q_encode_hashed(spark, sf):
     return v.select("qid", round_vec("qv").alias("qv"))
 
 
+def q_prf_text_dense_run(spark, sf):
+    """V3 + U1 + R1: topic text plus its feedback passages' text, encoded anew, searched over the
+    encoded documents (the text-based refinement flow, hashing encoder)."""
+    c = Ctx(spark, sf)
+    text = refine_text(c.topics, c.sparse_fb(), c.docs, sep=" ")
+    qv = encode_hashed(text, id_cols=("qid",), text="title", dim=HASH_DIM)
+    dv = encode_hashed(c.docs, id_cols=("docid",), text="text", dim=HASH_DIM, out="vec")
+    return _run_out(topk_search(qv, dv, DENSE_K))
+
+
 def q_query_bow(spark, sf):
     return Ctx(spark, sf).bow
 
@@ -561,6 +571,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dense_rocchio_neg_vec": q_dense_rocchio_neg_vec,
     "feedback_text": q_feedback_text,
     "encode_hashed": q_encode_hashed,
+    "prf_text_dense_run": q_prf_text_dense_run,
     "query_bow": q_query_bow,
     "doc_tf": q_doc_tf,
     "doc_bm25_weights": q_doc_bm25_weights,

@@ -32,12 +32,14 @@ CORPUS = "corpus AS (SELECT vec_id AS docid, embedding::DOUBLE[] AS vec FROM emb
 LABELS = "labs AS (SELECT vec_id AS docid, label FROM embeddings)"
 
 
-def topk(name: str, src: str, k: int, keys: tuple[str, ...] = ("qid",), score: str | None = None) -> str:
-    """Exact top-k by inner product, a topic never retrieving itself."""
+def topk(name: str, src: str, k: int, keys: tuple[str, ...] = ("qid",), score: str | None = None,
+         corpus: str = "corpus", exclude_self: bool = True) -> str:
+    """Exact top-k by inner product; by default a topic never retrieves itself."""
     score = score or "list_dot_product(q.qv, c.vec)"
     sel = ", ".join(f"q.{x}" for x in keys)
     part = ", ".join(keys)
-    return (f"{name}_s AS (SELECT {sel}, c.docid, {score} AS score FROM {src} q JOIN corpus c ON c.docid <> q.qid),\n"
+    on = "c.docid <> q.qid" if exclude_self else "true"
+    return (f"{name}_s AS (SELECT {sel}, c.docid, {score} AS score FROM {src} q JOIN {corpus} c ON {on}),\n"
             f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {part} "
             f"ORDER BY round(score, 9) DESC, docid) AS rank FROM {name}_s) WHERE rank <= {k})")
 
@@ -362,6 +364,14 @@ def build() -> dict[str, str]:
         f"ON c.qid = g.qid AND c.b = g.i GROUP BY g.qid), "
         f"n AS (SELECT qid, vec, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS nrm FROM v) "
         f"SELECT qid, list_transform(vec, lambda x: round(CASE WHEN nrm > 0 THEN x / nrm ELSE x END, 6)) AS qv FROM n")
+    q["prf_text_dense_run"] = _w(
+        *sfb,
+        "rtext AS (SELECT t.qid, concat_ws(' ', t.title, coalesce(array_to_string(x.texts, ' '), '')) AS title "
+        "FROM topics t LEFT JOIN (SELECT f.qid, list(d.text ORDER BY f.fb_pos) AS texts FROM fb f JOIN documents d "
+        "ON d.doc_id = f.docid GROUP BY f.qid) x USING (qid))",
+        *hashed("qenc", "rtext", "qid", "title", dim, "qv"),
+        *hashed("denc", "(SELECT doc_id AS docid, text FROM documents)", "docid", "text", dim, "vec"),
+        topk("tdr", "qenc", cat.DENSE_K, corpus="denc", exclude_self=False)) + " " + run_out("tdr")
     q["query_bow"] = _w(*SPARSE_BASE) + " SELECT qid, term, weight FROM bow"
     q["doc_tf"] = _w(*SPARSE_BASE) + " SELECT term, docid, tf FROM post"
     q["doc_bm25_weights"] = _w(*SPARSE_BASE) + " SELECT term, docid, round(w, 6) AS w FROM w"
@@ -409,6 +419,21 @@ def build() -> dict[str, str]:
     return q
 
 
+def hashed(name: str, src: str, id_col: str, text_col: str, dim: int, out: str) -> list[str]:
+    """Signed feature hashing of the tokens of ``text_col`` (same fixed rule as the engine)."""
+    return [
+        f"{name}_t AS (SELECT {id_col} AS id, unnest(regexp_extract_all(lower({text_col}), {TOKEN}, 1)) AS tok FROM {src})",
+        f"{name}_c AS (SELECT id, (('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim})::INTEGER AS b, "
+        f"sum(CASE WHEN ('0x' || substr(md5(tok), 9, 1))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x "
+        f"FROM {name}_t GROUP BY id, b)",
+        f"{name}_g AS (SELECT s.{id_col} AS id, r.i FROM {src} s, range(0, {dim}) r(i))",
+        f"{name}_v AS (SELECT g.id, list(coalesce(c.x, 0.0)::DOUBLE ORDER BY g.i) AS v FROM {name}_g g LEFT JOIN {name}_c c "
+        f"ON c.id = g.id AND c.b = g.i GROUP BY g.id)",
+        f"{name} AS (SELECT id AS {id_col}, CASE WHEN n > 0 THEN list_transform(v, lambda x: x / n) ELSE v END AS {out} "
+        f"FROM (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM {name}_v))",
+    ]
+
+
 def swap_ctes(first: str, fb: str, out: str, total: int, batch: int) -> list[str]:
     """F4 per trial: smallest whole-batch shift whose donors avoid every recipient's top-total."""
     return [

@@ -5,7 +5,7 @@ import pytest
 from conftest import SF001
 
 KEYS = ["dense_topk", "prf_dense_rocchio_run", "bm25_topk", "feedback_swapped", "feedback_donor", "eval_summary",
-        "dense_rocchio_vec", "encode_hashed", "max_passage", "qrels_scan", "binary_topk_rerank"]
+        "dense_rocchio_vec", "encode_hashed", "max_passage", "qrels_scan", "binary_topk_rerank", "prf_text_dense_run"]
 
 
 @pytest.fixture(scope="module")
