@@ -22,17 +22,18 @@ from fbrank.llm.frames import column, fresh
 OTHER = "other"
 ROUNDS = 10
 SEED = "mix-1"
-WORD = r"[^ \t\n\r\f\x0B]+"
-DIGITS, SYMBOLS, SPEECH = "0123456789", "#$%&*+/<=>@[]\\^_`{}~|", "?!\"“”»«"
+#: runs of characters above the space; one range, which is what regular expressions count fastest
+WORD = r"[!-\x{10FFFF}]+"
+DIGITS, SYMBOLS, SPEECH = r"[0-9]", r"[#$%&*+/<=>@\[\]\\^_`{}~|]", r"[?!\"“”»«]"
 
 
 def n_tokens(text: Column) -> Column:
-    """White-space separated words of the whole text; null has none."""
+    """Words of the whole text, cut at spaces and control characters; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.regexp_count(text, F.lit(chars))
 
 
 def topic(text: Column) -> Column:

@@ -88,11 +88,8 @@ FROM dw LEFT JOIN pos USING (rid) LEFT JOIN its USING (rid)
 
 
 def _mixing_sql() -> str:
-    def quoted(chars: str) -> str:
-        return "'" + chars.replace("'", "''") + "'"
-
     def count(chars: str) -> str:
-        return f"(length(text) - length(translate(text, {quoted(chars)}, '')))"
+        return f"len(regexp_extract_all(text, '{chars}'))"
 
     def values(targets: dict[str, float]) -> str:
         return ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in targets.items())
