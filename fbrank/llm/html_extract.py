@@ -31,6 +31,8 @@ from fbrank.llm.frames import ascii_lower, column, settled
 
 RUN = 8
 PAGES = 64
+#: hosts with more than PAGES pages: up to so many, which is counted first, are broadcast (some 50 MB); more are joined by a shuffle
+BIG_HOSTS = 500_000
 OPEN_PAGES, OPEN_SHARE = 3, 0.1
 ARTICLE_PAGES, ARTICLE_SHARE = 8, 0.5
 
@@ -240,6 +242,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kinds = [f.dataType.simpleString() for f in rows.schema.fields]
     parsed = rows.mapInArrow(_parse, f"page_id {kinds[0]}, url {kinds[1]}, host string, blocks array<struct<text:string,role:tinyint>>")
     part = F.coalesce(F.pmod(F.xxhash64("page_id", "url", F.to_json("blocks")), F.col("parts")), F.lit(0))
-    dealt = parsed.join(big, "host", "left").select("page_id", "url", "host", part.alias("part"), "blocks")
-    out = dealt.groupBy("host", "part").applyInArrow(_extract, f"page_id {kinds[0]}, url {kinds[1]}, text string")
+    if big.count() <= BIG_HOSTS:
+        big = F.broadcast(big)
+    # a key of its own: rows that were dealt by host for a join must be dealt anew by host and part
+    dealt = parsed.join(big, "host", "left").select("page_id", "url", F.concat_ws(" ", part.cast("string"), "host").alias("group"), "blocks")
+    out = dealt.groupBy("group").applyInArrow(_extract, f"page_id {kinds[0]}, url {kinds[1]}, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))
