@@ -103,7 +103,7 @@ def bradley_terry(differences: np.ndarray, ridge: float = RIDGE, rounds: int = 3
 def fit(x: np.ndarray, good: np.ndarray, seed: int = 11) -> Model:
     """Model from features and labels.  Without labels of both kinds nothing is known: all is kept."""
     if not len(x) or good.all() or not good.any():
-        k = x.shape[1] if x.ndim == 2 and x.shape[1] else len(FEATURES)
+        k = x.shape[1]
         return Model(np.zeros(k), np.ones(k), np.zeros(3 * k), -1.0)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     wide = _wide(x, mean, scale)
@@ -137,7 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rows = texts.join(F.broadcast(sample), "id").select("id", "good", described("text").alias("x"))  # bounded: max_labelled rows
     got = rows.orderBy("id", "good").toPandas()
-    x = np.array(got["x"].tolist(), float).reshape(len(got), -1)
+    x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     return fit(x, got["good"].to_numpy(bool))
 
 
