@@ -118,8 +118,6 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if not out:
-                        flush()
                     del stack[k:]
                     out, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
                     break
@@ -152,7 +150,7 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     h, n = 1, len(tokens)
     while h < depth:
         after = np.zeros(n, np.int64)
-        after[: n - h] = rank[h:] + 1
+        after[: max(n - h, 0)] = rank[h:] + 1
         rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
         h *= 2
     return rank
