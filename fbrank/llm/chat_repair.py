@@ -28,6 +28,8 @@ ROLES = ("system", "user", "assistant")
 START = 0  # state; the others are 1 + the index of the last role
 STATES = 1 + len(ROLES)
 MERGE, RELABEL, INSERT = 1, 2, 3
+#: a turn becomes a system turn only where nothing else is nearly as cheap
+TO_SYSTEM = 2
 FAR = 10**9
 _LEGAL = {(0, 1), (0, 2), (1, 2), (2, 3), (3, 2)}
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
@@ -53,7 +55,7 @@ def step(role: str | None, s: int, t: int) -> tuple[int, str, tuple[int, ...]]:
     """Cheapest way for a turn of ``role`` to lead from state ``s`` to ``t``: cost, action, empty turns before it."""
     if t == START:
         return FAR, "", ()
-    relabel = 0 if role == ROLES[t - 1] else RELABEL
+    relabel = 0 if role == ROLES[t - 1] else RELABEL + (TO_SYSTEM if t == 1 else 0)
     name = "relabel" if relabel else "keep"
     ways = [(relabel + INSERT * len(BETWEEN[s, t]), name, BETWEEN[s, t])] if (s, t) in BETWEEN else []
     if s == t:
@@ -99,7 +101,7 @@ def render(role: str | None, text: str | None, s: int, t: int, last: bool) -> tu
     if action.startswith("merge"):
         out = "\n" + safe(text)
     else:
-        out = (CLOSE if s != START else "") + "".join(OPEN.format(ROLES[e - 1]) + CLOSE for e in empty) + OPEN.format(ROLES[t - 1]) + safe(text)
+        out = ("\n" + CLOSE if s != START else "") + "".join(OPEN.format(ROLES[e - 1]) + "\n" + CLOSE for e in empty) + OPEN.format(ROLES[t - 1]) + safe(text)
     return action, [ROLES[e - 1] for e in empty], cost, out + ("\n" + CLOSE if last else "")
 
 
