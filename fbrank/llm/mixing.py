@@ -92,7 +92,8 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], id_col: str = "do
     unlisted categories are ``OTHER``.  Documents without tokens carry no weight and are sampled
     like the rest of their cell.  Rows repeated under one id are sampled together."""
     text = column(docs, text_col)
-    cell, extra = fresh(docs, "cell"), fresh(docs, "mixed")
+    extra = fresh(docs, "mixed")
+    cell, key, odds = (fresh(docs, n) for n in ("mix_cell", "mix_key", "mix_odds"))
     values = {name: topic(text) if name == "topic" else column(docs, name) for name in targets}
     marked = docs.withColumn(extra, F.struct(topic(text).alias("topic"), n_tokens(text).alias("n_tokens"))).withColumn(
         cell, F.concat_ws("\x1f", *[_category(values[n], targets[n]) for n in targets]))
@@ -100,9 +101,9 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]], id_col: str = "do
     names = [f"m{i}" for i in range(len(targets))]
     parts = sums.select("cell", "tokens", *[F.split("cell", "\x1f")[i].alias(n) for i, n in enumerate(names)])
     fitted = rake(parts.select(*names, "tokens"), dict(zip(names, targets.values(), strict=True)), rounds)
-    table = fitted.select(F.concat_ws("\x1f", *names).alias("__cell"), F.col("probability").alias("__p"))
-    joined = marked.join(F.broadcast(table), column(marked, cell) == F.col("__cell"))  # bounded: a product of configured sizes
+    table = fitted.select(F.concat_ws("\x1f", *names).alias(key), F.col("probability").alias(odds))
+    joined = marked.join(F.broadcast(table), column(marked, cell) == table[key])  # bounded: a product of configured sizes
     m = column(joined, extra)
-    done = F.struct(m["topic"].alias("topic"), m["n_tokens"].alias("n_tokens"), F.col("__p").alias("probability"),
-                    (chance(column(docs, id_col), text, seed) < F.col("__p")).alias("sampled"))
-    return joined.withColumn(extra, done).drop(cell, "__cell", "__p")
+    done = F.struct(m["topic"].alias("topic"), m["n_tokens"].alias("n_tokens"), F.col(odds).alias("probability"),
+                    (chance(column(docs, id_col), text, seed) < F.col(odds)).alias("sampled"))
+    return joined.withColumn(extra, done).drop(cell, key, odds)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fbrank.llm.components import connected_components, smallest_reachable
-from fbrank.llm.frames import column, settled
+from fbrank.llm.frames import column, fresh, settled
 
 SHINGLE = 5
 M = 144
@@ -289,6 +289,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows without an id stay.  Of rows repeated under one id, one stays."""
     found = near_duplicates(docs, id_col, text_col, percent)
     ident = column(docs, id_col)
-    stay = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
-    once = docs.join(stay, ident.cast("long") == F.col("__kept_id"), "left_semi").dropDuplicates([id_col])
+    kept = fresh(docs, "kept_id")
+    stay = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias(kept)).distinct()
+    once = docs.join(stay, ident.cast("long") == stay[kept], "left_semi").dropDuplicates([id_col])
     return once.unionByName(docs.filter(ident.isNull()))
