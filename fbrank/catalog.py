@@ -455,12 +455,19 @@ def q_eval_summary(spark, sf):
 
 # ------------------------------------------------------------------ sweeps
 
+def _stored(qrels: DataFrame) -> DataFrame:
+    """Judgements, computed once; Spark then knows their size when it plans the joins with them."""
+    qrels = qrels.persist()
+    qrels.count()
+    return qrels
+
+
 def _dense_sweep(spark, sf, c: Ctx | None = None):
     c = c or Ctx(spark, sf)
     trials = sw.trial_grid(spark, seed=sw.DEFAULT_SEEDS, nsplit=sw.DEFAULT_SLICES, total_prf_docs=(100,),
                            split_num=(10,), prf_depth=(3,), alpha=(0.4,), beta=(0.6,))
-    qrels = c.dense_qrels.persist()
-    runs = sw.dense_sweep_runs(trials, c.qv, c.corpus, hits=DENSE.hits, judged=qrels)
+    qrels = _stored(c.dense_qrels)
+    runs = sw.dense_sweep_runs(trials, c.qv, c.corpus, hits=DENSE.hits)
     return sw.evaluate_trials(runs, trials, qrels)
 
 
@@ -474,8 +481,8 @@ def q_sweep_dense_swapped(spark, sf):
                            prf_depth=(3,), batch_size=(SWAP["batch"],), alpha=(0.4,), beta=(0.6,), mode=("swap",))
     batched = (assign_batches(c.topics.select("qid"), SWAP["batch"]).withColumn("batch_size", F.lit(SWAP["batch"]))
                .select("batch_size", "qid", "batch"))
-    qrels = c.dense_qrels.persist()
-    runs = sw.dense_sweep_runs(trials, c.qv, c.corpus, hits=DENSE.hits, topics_batched=batched, judged=qrels)
+    qrels = _stored(c.dense_qrels)
+    runs = sw.dense_sweep_runs(trials, c.qv, c.corpus, hits=DENSE.hits, topics_batched=batched)
     return sw.evaluate_trials(runs, trials, qrels)
 
 
@@ -487,18 +494,16 @@ def _sparse_trials(spark, mode="random_split"):
 def q_sweep_sparse(spark, sf):
     c = Ctx(spark, sf)
     trials = _sparse_trials(spark)
-    qrels = c.sparse_qrels.persist()
-    runs = sw.sparse_sweep_runs(trials, c.topics, c.index, k=SPARSE.k, first=c.sparse_first, weights=c.weights,
-                                judged=qrels)
+    qrels = _stored(c.sparse_qrels)
+    runs = sw.sparse_sweep_runs(trials, c.topics, c.index, k=SPARSE.k, first=c.sparse_first, weights=c.weights)
     return sw.evaluate_trials(runs, trials, qrels)
 
 
 def q_sweep_sparse_donor(spark, sf):
     c = Ctx(spark, sf)
     trials = _sparse_trials(spark, "donor")
-    qrels = c.sparse_qrels.persist()
-    runs = sw.sparse_sweep_runs(trials, c.topics, c.index, k=SPARSE.k, first=c.sparse_first, weights=c.weights,
-                                judged=qrels)
+    qrels = _stored(c.sparse_qrels)
+    runs = sw.sparse_sweep_runs(trials, c.topics, c.index, k=SPARSE.k, first=c.sparse_first, weights=c.weights)
     return sw.evaluate_trials(runs, trials, qrels)
 
 

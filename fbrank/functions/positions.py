@@ -2,18 +2,15 @@
 
 ``random.Random(seed).sample(range(width), depth)`` is the exact rule of the studied
 experiments (their standard library, reseeded on every call).  It is a Python-only
-algorithm, so it runs as a small helper: on the driver for one literal setting, or as
-an Arrow-batched pandas UDF over a trials DataFrame.
+algorithm, so it runs as a small helper on the driver, once per cell of a grid.
 """
 
 from __future__ import annotations
 
 import random
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def slice_width(total: int, split_num: int) -> int:
@@ -41,20 +38,6 @@ def sample_positions(seed: int, depth: int, total: int, split_num: int, nsplit:
     return [p + width * nsplit for p in picked]
 
 
-def _positions_or_none(seed, depth, total, split_num, nsplit):
-    try:
-        return sample_positions(int(seed), int(depth), int(total), int(split_num), int(nsplit))
-    except ValueError:
-        return None
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def positions_udf(seed: pd.Series, depth: pd.Series, total: pd.Series, split_num: pd.Series,
-                  nsplit: pd.Series) -> pd.Series:
-    """Vectorised over trial rows; invalid settings give NULL (reported by P6)."""
-    return pd.Series([_positions_or_none(*row) for row in zip(seed, depth, total, split_num, nsplit)])
-
-
 def seeded_order_key(seed: Column | str, qid: Column | str) -> Column:
     """md5(seed || ':' || qid): deterministic per-trial topic order."""
     s = F.col(seed) if isinstance(seed, str) else seed

@@ -2,8 +2,7 @@
 
 The default encoder is signed feature hashing, written in SQL expressions:
 token -> md5 -> bucket (first 8 hex digits mod dim) and sign (9th hex digit parity),
-summed per text and L2-normalised.  Other encoders plug in as an iterator pandas UDF that
-loads the model once per task (``pandas_encoder``).
+summed per text and L2-normalised.
 
 Fixed values: bucket = int(md5(token)[0:8], 16) % dim; sign = +1 if int(md5(token)[8], 16)
 is even else -1.
@@ -11,41 +10,14 @@ is even else -1.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fbrank.functions.text import tokens
 from fbrank.functions.vectors import l2_normalize
 
-# Encoder class lookup: explicit class name, else the first keyword contained in the encoder
-# name, else automatic.  Fixed values (keyword order matters).
-ENCODER_KEYWORDS = ("dkrr", "dpr", "bpr", "tct_colbert", "ance", "sentence", "auto")
-
-
-def encoder_class(encoder: str, explicit: str | None = None) -> str:
-    if explicit is not None:
-        if explicit not in ENCODER_KEYWORDS:
-            raise ValueError(f"unknown encoder class {explicit!r}")
-        return explicit
-    low = encoder.lower()
-    for kw in ENCODER_KEYWORDS:
-        if kw in low:
-            return kw
-    return "auto"
-
-
-def encoder_pooling(encoder: str, explicit: str | None = None) -> dict:
-    """Sentence encoders use mean pooling and L2 normalisation (P5)."""
-    if explicit == "sentence" or "sentence" in encoder:
-        return {"pooling": "mean", "l2_norm": True}
-    return {}
-
-
 def _bucket(tok: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
 
@@ -68,20 +40,6 @@ def encode_hashed(df: DataFrame, *, id_cols: Sequence[str] = ("qid",), text: str
     return base.select(*id_cols, l2_normalize(vec).alias(out))
 
 
-def pandas_encoder(load: Callable[[], Callable[[list[str]], np.ndarray]], dim: int):
-    """Wrap a model loader as an iterator pandas UDF: the model loads once per task and
-    encodes Arrow batches of texts."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
-        for texts in batches:
-            m = np.asarray(model(texts.fillna("").tolist()), dtype=np.float64).reshape(len(texts), dim)
-            yield pd.Series(list(m))
-
-    return enc
-
-
 def pca_fit(corpus: DataFrame, n: int, vec: str = "vec"):
     """Fit a PCA model on the corpus vectors (pyspark.ml, distributed)."""
     from pyspark.ml.feature import PCA

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 METRICS = ("map", "ndcg_cut_10", "recall_1000")
 DIGITS = 6
-BROADCAST_QRELS_ROWS = 2_000_000  # judgements broadcast to the run only below this checked size
 
 
 def eval_order(run: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -28,39 +27,34 @@ def eval_order(run: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return run.withColumn("erank", F.row_number().over(w))
 
 
+def _hit_sums(run: DataFrame, qrels: DataFrame, level: int, keys: Sequence[str], ndcg_cut: int, recall_cut: int) -> DataFrame:
+    """Per (keys, qid) with a judged hit: sum of precisions, relevant hits in the cut, and DCG.
+
+    The run is ranked once; only judged hits go further."""
+    ranked = eval_order(run.select(*keys, "qid", "docid", "score"), keys)
+    hits = ranked.join(qrels.select("qid", "docid", "rel").filter(F.col("rel") > 0), ["qid", "docid"])
+    relevant = F.when(F.col("rel") >= level, 1).otherwise(0)
+    so_far = F.sum(relevant).over(Window.partitionBy(*keys, "qid").orderBy("erank"))
+    return (hits.withColumn("_n", so_far).groupBy(*keys, "qid")
+            .agg(F.sum(F.when(F.col("rel") >= level, F.col("_n") / F.col("erank")).otherwise(0.0)).alias("_prec_sum"),
+                 F.sum(F.when(F.col("erank") <= recall_cut, relevant).otherwise(0)).alias("_ret"),
+                 F.sum(F.when(F.col("erank") <= ndcg_cut, F.col("rel") / F.log2(F.col("erank") + 1)).otherwise(0.0)).alias("_dcg")))
+
+
+def _measures(sums: DataFrame, qrels: DataFrame, level: int, keys: Sequence[str], ndcg_cut: int) -> DataFrame:
+    out = sums.join(topic_stats(qrels, level=level, ndcg_cut=ndcg_cut), "qid")
+    return out.select(*keys, "qid",
+                      F.when(F.col("_R") > 0, F.coalesce("_prec_sum", F.lit(0.0)) / F.col("_R")).otherwise(0.0).alias("map"),
+                      F.when(F.col("_idcg") > 0, F.coalesce("_dcg", F.lit(0.0)) / F.col("_idcg")).otherwise(0.0).alias("ndcg_cut_10"),
+                      F.when(F.col("_R") > 0, F.coalesce("_ret", F.lit(0)) / F.col("_R")).otherwise(0.0).alias("recall_1000"))
+
+
 def per_topic(run: DataFrame, qrels: DataFrame, *, level: int = 2, keys: Sequence[str] = (),
               ndcg_cut: int = 10, recall_cut: int = 1000) -> DataFrame:
     """Per (keys, qid) of the run: ap, ndcg_cut_10, recall_1000 over the judged topics it covers."""
-    if "erank" in run.columns:  # pre-ranked partial run (judged rows + first row per topic)
-        ranked = run.select(*keys, "qid", "docid", "score", "erank")
-    else:
-        ranked = eval_order(run.select(*keys, "qid", "docid", "score"), keys)
-    judged = qrels.select("qid", "docid", "rel").filter(F.col("rel") > 0)
-    # The run keeps its (keys, qid) partitioning when the judgements are broadcast; their
-    # size is checked first, larger judgement sets use a shuffled join.
-    if judged.count() <= BROADCAST_QRELS_ROWS:
-        judged = F.broadcast(judged)
-    hits = ranked.join(judged, ["qid", "docid"])
-    wrel = Window.partitionBy(*keys, "qid").orderBy("erank")
-    relhits = (hits.filter(F.col("rel") >= level)
-               .withColumn("_n", F.row_number().over(wrel))
-               .groupBy(*keys, "qid")
-               .agg(F.sum(F.col("_n") / F.col("erank")).alias("_prec_sum"),
-                    F.sum(F.when(F.col("erank") <= recall_cut, 1).otherwise(0)).alias("_ret")))
-    dcg = (hits.filter(F.col("erank") <= ndcg_cut)
-           .groupBy(*keys, "qid")
-           .agg(F.sum(F.col("rel") / F.log2(F.col("erank") + 1)).alias("_dcg")))
-    stats = topic_stats(qrels, level=level, ndcg_cut=ndcg_cut)
-    topics_run = ranked.filter(F.col("erank") == 1).select(*keys, "qid").join(stats, "qid")
-    out = (topics_run.join(relhits, [*keys, "qid"], "left").join(dcg, [*keys, "qid"], "left")
-           .select(*keys, "qid",
-                   F.when(F.col("_R") > 0, F.coalesce("_prec_sum", F.lit(0.0)) / F.col("_R"))
-                   .otherwise(0.0).alias("map"),
-                   F.when(F.col("_idcg") > 0, F.coalesce("_dcg", F.lit(0.0)) / F.col("_idcg"))
-                   .otherwise(0.0).alias("ndcg_cut_10"),
-                   F.when(F.col("_R") > 0, F.coalesce("_ret", F.lit(0)) / F.col("_R"))
-                   .otherwise(0.0).alias("recall_1000")))
-    return out
+    sums = _hit_sums(run, qrels, level, keys, ndcg_cut, recall_cut)
+    covered = run.select(*keys, "qid").distinct()
+    return _measures(covered.join(sums, [*keys, "qid"], "left"), qrels, level, keys, ndcg_cut)
 
 
 def topic_stats(qrels: DataFrame, *, level: int = 2, ndcg_cut: int = 10) -> DataFrame:
@@ -82,11 +76,11 @@ def summarize(per_topic_df: DataFrame, qrels: DataFrame, *, keys: Sequence[str]
     ``per_topic_df``.  Judged topics per key = key_values x judged qids, formed by summing
     per-topic values and dividing by the judged-topic count (no pair enumeration).
     """
-    n_judged = qrels.select("qid").distinct().count()
+    n_judged = qrels.agg(F.count_distinct("qid").cast("double")).scalar()
     sums = per_topic_df.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in METRICS])
     if keys and key_values is not None:
         sums = key_values.select(*keys).distinct().join(sums, list(keys), "left")
-    denom = F.lit(float(max(n_judged, 1)))
+    denom = F.greatest(n_judged, F.lit(1.0))
     return sums.select(*keys, *[F.round(F.coalesce(F.col(m), F.lit(0.0)) / denom, DIGITS).alias(m)
                                 for m in METRICS])
 
@@ -94,7 +88,8 @@ def summarize(per_topic_df: DataFrame, qrels: DataFrame, *, keys: Sequence[str]
 def evaluate(run: DataFrame, qrels: DataFrame, *, level: int = 2, keys: Sequence[str] = (),
              key_values: DataFrame | None = None) -> DataFrame:
     """Summary metrics (map, ndcg_cut_10, recall_1000) per key tuple."""
-    pt = per_topic(run, qrels, level=level, keys=keys)
+    # topics without a judged hit add 0, so only those with one are looked at
+    pt = _measures(_hit_sums(run, qrels, level, keys, 10, 1000), qrels, level, keys, 10)
     return summarize(pt, qrels, keys=keys, key_values=key_values)
 
 

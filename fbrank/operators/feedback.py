@@ -5,7 +5,7 @@ A ranking ``run`` is ``(keys..., qid, docid, rank)`` with 1-based ranks.  Feedba
 the surviving feedback documents (T15: absent ranks simply produce no row, P1).
 
 Trials are rows ``(trial_id, seed, depth, total, split_num, nsplit, ...)``; the sampled
-positions of every trial come from ``positions_udf`` (F2) and are joined to the run by rank.
+positions of every trial come with the grid (F2) and are joined to the run by rank.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fbrank.functions.positions import positions_udf, sample_positions, seeded_offset, seeded_order_key
+from fbrank.functions.positions import sample_positions, seeded_offset, seeded_order_key
 from fbrank.operators.search import index_in_order
 
 
@@ -45,12 +45,6 @@ def select_random_split(run: DataFrame, *, seed: int, depth: int, total: int, sp
     return select_positions(run, sample_positions(seed, depth, total, split_num, nsplit), keys=keys)
 
 
-def trial_positions(trials: DataFrame) -> DataFrame:
-    """F2 over a trials frame: adds ``positions ARRAY<INT>`` (NULL for invalid settings)."""
-    return trials.withColumn(
-        "positions", positions_udf("seed", "prf_depth", "total_prf_docs", "split_num", "nsplit"))
-
-
 def validate_trials(trials: DataFrame) -> DataFrame:
     """The trials that cannot run, with a reason (empty frame = all valid)."""
     width = F.floor(F.col("total_prf_docs") / F.col("split_num"))

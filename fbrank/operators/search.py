@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fbrank.functions.vectors import dot, sign_vec
+from fbrank.session import cut_lineage
 
 RANK_DIGITS = 9      # fixed value: ranking key is round(score, 9), then docid
 TIE_EPS = 1e-9       # candidates within this of the k-th score are kept (exact ties survive)
 CELL_BUDGET = 1 << 22  # score-matrix cells per NumPy step inside one task
+SHARD_ROWS = 200_000   # documents of one kernel group
 
 
 def rank_key(score: Column | str = "score") -> Column:
@@ -56,78 +58,44 @@ def _scores(qm: np.ndarray, cm: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def _partial_topk(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row/col indices of each row's k best entries, keeping ties within TIE_EPS of the k-th."""
+def _partial_topk(scores: np.ndarray, k: int, order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Row/col indices that cover each row's k best entries by (score rounded anyhow, docid).
+
+    Entries within TIE_EPS of the k-th stay, whose order rounding decides; of entries with the same
+    score only the k first in ``order`` (a column's place in docid order) can be among the best."""
     nq, nc = scores.shape
     finite = np.isfinite(scores)
     if nc <= k:
         return np.nonzero(finite)
     part = np.partition(scores, nc - k, axis=1)[:, nc - k]
-    keep = (scores >= (part - TIE_EPS)[:, None]) & finite
-    return np.nonzero(keep)
+    rr, cc = np.nonzero((scores >= (part - TIE_EPS)[:, None]) & finite)
+    if order is not None and len(rr) > nq * k:
+        rr, cc = _first_of_equal(rr, cc, scores[rr, cc], order, k)
+    return rr, cc
 
 
-def judged_ranks(rr: np.ndarray, cc: np.ndarray, ss: np.ndarray, ids: np.ndarray, k: int,
-                 judged: list, r0: int = 0):
-    """Exact top-k of complete score rows, re-ordered the evaluator's way, judged rows only.
+def _first_of_equal(rr, cc, ss, order, k):
+    """Drops what comes after the k first, in docid order, of a row's entries with one score."""
+    at = np.lexsort((order[cc], ss, rr))
+    new = np.ones(len(at), bool)
+    new[1:] = (rr[at][1:] != rr[at][:-1]) | (ss[at][1:] != ss[at][:-1])
+    start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    keep = np.sort(at[np.arange(len(at)) - start < k])
+    return rr[keep], cc[keep]
 
-    ``rr, cc, ss``: candidate (row, column, score) triples covering each row's top-k with ties
-    (from ``_partial_topk`` over the WHOLE collection).  Per row: engine rank by
-    (round(score, 9) desc, docid asc), cut at k; evaluator rank by (round(score, 6) desc,
-    docid as string desc).  Returned are the rows whose docid is judged for that row, plus the
-    evaluator's first row (marks the topic as present in the run).
-    Returns (row, col, score, rank, erank) arrays.
-    """
-    out_r, out_c, out_s, out_k, out_e = [], [], [], [], []
-    if len(rr) == 0:
-        return [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] + [np.zeros(0, np.int32)] * 2
-    order = np.lexsort((ids[cc], -np.round(ss, RANK_DIGITS), rr))
-    rr, cc, ss = rr[order], cc[order], ss[order]
-    bounds = np.flatnonzero(np.diff(rr)) + 1
-    for s0, e0 in zip(np.concatenate([[0], bounds]), np.concatenate([bounds, [len(rr)]])):
-        e0 = min(e0, s0 + k)
-        row = rr[s0]
-        top_c, top_s = cc[s0:e0], ss[s0:e0]
-        s6 = np.round(top_s, 6)
-        eo = np.argsort(-s6, kind="stable")
-        s6o = s6[eo]
-        same = np.flatnonzero(s6o[1:] == s6o[:-1])
-        if len(same):  # 6-digit ties: docid as a string, descending
-            eo = eo.copy()
-            j = 0
-            while j < len(same):
-                a = same[j]
-                b = a + 1
-                while j + 1 < len(same) and same[j + 1] == b:
-                    j += 1
-                    b += 1
-                seg = sorted(eo[a:b + 1], key=lambda t: str(ids[top_c[t]]), reverse=True)
-                eo[a:b + 1] = seg
-                j += 1
-        erank = np.empty(len(eo), dtype=np.int32)
-        erank[eo] = np.arange(1, len(eo) + 1, dtype=np.int32)
-        jd = judged[row] if row < len(judged) and judged[row] is not None else []
-        sel = np.isin(ids[top_c], np.asarray(jd, dtype=ids.dtype)) | (erank == 1)
-        n = int(sel.sum())
-        out_r.append(np.full(n, row + r0))
-        out_c.append(top_c[sel])
-        out_s.append(top_s[sel])
-        out_k.append(np.arange(1, len(top_c) + 1, dtype=np.int32)[sel])
-        out_e.append(erank[sel])
-    return [np.concatenate(x) for x in (out_r, out_c, out_s, out_k, out_e)]
-
-
-def _make_kernel(keys: Sequence[str], qv: str, docid: str, vec: str, k: int, metric: str,
-                 exclude: str | None, fused: bool = False):
-    names = list(keys) + [docid, "score"] + (["rank", "erank"] if fused else [])
-
-    def emit(qt: pa.Table, ct: pa.Table, qi, di, sc, rk=None, er=None) -> pa.Table:
+
+def docid_order(ids: np.ndarray) -> np.ndarray:
+    """Each document's place when sorted by id (numbers, or strings by code point)."""
+    return np.unique(ids, return_inverse=True)[1]
+
+
+def _make_kernel(keys: Sequence[str], qv: str, docid: str, vec: str, k: int, metric: str, exclude: str | None):
+    names = list(keys) + [docid, "score"]
+
+    def emit(qt: pa.Table, ct: pa.Table, qi, di, sc) -> pa.Table:
         cols = [qt.column(kc).take(pa.array(qi, pa.int64())) for kc in keys]
         cols.append(ct.column(docid).take(pa.array(di, pa.int64())))
         cols.append(pa.array(sc, type=pa.float64()))
-        if fused:
-            cols.append(pa.array(np.zeros(0, np.int32) if rk is None else rk, pa.int32()))
-            cols.append(pa.array(np.zeros(0, np.int32) if er is None else er, pa.int32()))
         return pa.Table.from_arrays(cols, names=names)
 
     def kernel(qt: pa.Table, ct: pa.Table) -> pa.Table:
@@ -135,15 +103,17 @@ def _make_kernel(keys: Sequence[str], qv: str, docid: str, vec: str, k: int, met
             return emit(qt, ct, [], [], [])
         qm = _matrix(qt.column(qv))
         cm = _matrix(ct.column(vec))
+        cells = CELL_BUDGET
         if metric == "hamming":
             qm, cm = _bits(qm), _bits(cm)
+            cells = max(1, CELL_BUDGET // cm.shape[1])  # a pair takes as many bytes as a code
         ids = ct.column(docid).to_numpy()
+        order = docid_order(ids)
         excl = qt.column(exclude).to_numpy() if exclude else None
-        judged = qt.column("_judged").to_pylist() if fused else None
         nq, nc = qm.shape[0], cm.shape[0]
-        col_step = max(1, min(nc, CELL_BUDGET))
-        row_step = max(1, CELL_BUDGET // col_step)
-        out_q, out_d, out_s, out_k, out_e = [], [], [], [], []
+        col_step = max(1, min(nc, cells))
+        row_step = max(1, cells // col_step)
+        out_q, out_d, out_s = [], [], []
         for r0 in range(0, nq, row_step):
             r1 = min(nq, r0 + row_step)
             cand_r, cand_c, cand_s = [], [], []
@@ -152,7 +122,7 @@ def _make_kernel(keys: Sequence[str], qv: str, docid: str, vec: str, k: int, met
                 s = _scores(qm[r0:r1], cm[c0:c1], metric)
                 if excl is not None:
                     s[excl[r0:r1, None] == ids[None, c0:c1]] = -np.inf
-                rr, cc = _partial_topk(s, k)
+                rr, cc = _partial_topk(s, k, order[c0:c1])
                 cand_r.append(rr + r0)
                 cand_c.append(cc + c0)
                 cand_s.append(s[rr, cc])
@@ -160,28 +130,24 @@ def _make_kernel(keys: Sequence[str], qv: str, docid: str, vec: str, k: int, met
             cc = np.concatenate(cand_c)
             ss = np.concatenate(cand_s)
             if len(cand_r) > 1 and len(rr):
-                # merge chunk candidates: keep per-query top-k (with ties)
-                order = np.lexsort((-ss, rr))
-                rr, cc, ss = rr[order], cc[order], ss[order]
+                # merge the chunks' candidates as each chunk cut its own
+                by = np.lexsort((-ss, rr))
+                rr, cc, ss = rr[by], cc[by], ss[by]
                 starts = np.searchsorted(rr, rr, side="left")
                 pos = np.arange(len(rr)) - starts
                 kth_idx = np.minimum(starts + k - 1, np.searchsorted(rr, rr, side="right") - 1)
                 keep = (pos < k) | (ss >= ss[kth_idx] - TIE_EPS)
                 rr, cc, ss = rr[keep], cc[keep], ss[keep]
-            if fused:
-                rr, cc, ss, rk, er = judged_ranks(rr, cc, ss, ids, k, judged)
-                out_k.append(rk)
-                out_e.append(er)
+                by = np.lexsort((order[cc], -ss, rr))
+                rr, cc, ss = rr[by], cc[by], ss[by]
+                new = np.ones(len(rr), bool)
+                new[1:] = (rr[1:] != rr[:-1]) | (ss[1:] != ss[:-1])
+                keep = np.arange(len(rr)) - np.maximum.accumulate(np.where(new, np.arange(len(rr)), 0)) < k
+                rr, cc, ss = rr[keep], cc[keep], ss[keep]
             out_q.append(rr)
             out_d.append(cc)
             out_s.append(ss)
-        if fused:
-            return emit(qt, ct, np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s),
-                        np.concatenate(out_k), np.concatenate(out_e))
-        qi = np.concatenate(out_q) if out_q else np.zeros(0, dtype=np.int64)
-        di = np.concatenate(out_d) if out_d else np.zeros(0, dtype=np.int64)
-        sc = np.concatenate(out_s) if out_s else np.zeros(0)
-        return emit(qt, ct, qi, di, sc)
+        return emit(qt, ct, np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s))
 
     return kernel
 
@@ -189,23 +155,17 @@ def _make_kernel(keys: Sequence[str], qv: str, docid: str, vec: str, k: int, met
 def topk_search(queries: DataFrame, corpus: DataFrame, k: int, *, keys: Sequence[str] = ("qid",),
                 qv: str = "qv", docid: str = "docid", vec: str = "vec", metric: str = "ip",
                 exclude_self: str | None = None, n_shards: int | None = None,
-                query_blocks: int | None = None, judged: DataFrame | None = None) -> DataFrame:
+                query_blocks: int | None = None) -> DataFrame:
     """Exact top-k per query row.
 
     Returns ``keys..., docid, score DOUBLE, rank INT`` with rank 1..k ordered by
     ``round(score, 9) desc, docid asc``.  ``exclude_self`` names a query column whose value
     must never be retrieved as a docid (a topic drawn from the corpus).
 
-    Layout: the corpus is cut into ``n_shards`` hash shards of at least ``4k`` documents
-    (so the partial top-k of a shard actually prunes) and the queries into
-    ``query_blocks`` hash blocks; together they give about one group per core, and each group
-    holds one shard and one block (set both explicitly for very large query sets).
-
-    ``judged`` (qid, docid, rel): when the whole collection is one shard, each group sees
-    complete score rows, so it ranks them itself and returns only the judged documents (plus
-    each query's first row in the evaluator's order) with ``rank`` and ``erank`` columns - a
-    pre-ranked partial run for ``evaluate``; the run of trials x topics x k rows is never
-    materialised.  With several shards ``judged`` is ignored and the full run is returned.
+    Layout: the corpus is cut into ``n_shards`` hash shards, at least ``4k`` documents each (so
+    that the partial top-k of a shard prunes) and at most about ``SHARD_ROWS``, and the queries
+    into ``query_blocks`` hash blocks; each group holds one shard and one block (set both
+    explicitly for very large query sets).  The result does not depend on the layout.
     """
     spark = queries.sparkSession
     keys = list(keys)
@@ -216,35 +176,26 @@ def topk_search(queries: DataFrame, corpus: DataFrame, k: int, *, keys: Sequence
         [T.StructField(f.name, f.dataType, True) for f in key_fields]
         + [T.StructField(docid, id_field.dataType, True), T.StructField("score", T.DoubleType(), True)]
     )
-    fused = judged is not None and n_shards == 1
     qcols = list(dict.fromkeys(keys + ([exclude_self] if exclude_self and exclude_self not in keys else [])))
-    if fused:
-        per_topic = (judged.filter(F.col("rel") > 0).groupBy("qid")
-                     .agg(F.collect_list(F.col("docid").cast(corpus.schema[docid].dataType)).alias("_judged")))
-        queries = queries.join(per_topic, "qid", "left")
-        qcols.append("_judged")
-        out_struct = out_struct.add("rank", T.IntegerType()).add("erank", T.IntegerType())
     q = (queries.select(*qcols, F.col(qv).cast("array<double>").alias(qv))
          .withColumn("_blk", F.pmod(F.xxhash64(*[F.col(c) for c in keys]), F.lit(query_blocks)).cast("int"))
          .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))))
     c = (corpus.select(F.col(docid), F.col(vec).cast("array<double>").alias(vec))
          .withColumn("_shard", F.pmod(F.xxhash64(F.col(docid)), F.lit(n_shards)).cast("int"))
          .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
-    kernel = _make_kernel(keys, qv, docid, vec, k, metric, exclude_self, fused)
+    kernel = _make_kernel(keys, qv, docid, vec, k, metric, exclude_self)
     partial = (q.groupBy("_blk", "_shard").cogroup(c.groupBy("_blk", "_shard"))
                .applyInArrow(kernel, out_struct))
-    if fused:
-        return partial
     return limit_per_topic(partial, k, keys=keys, docid=docid)
 
 
 def search_layout(corpus: DataFrame, k: int, n_shards: int | None = None,
                   query_blocks: int | None = None) -> tuple[int, int]:
-    """(shards, query blocks) for a corpus: shards of >= 4k documents, about one group per core."""
+    """(shards, query blocks) for a corpus: shards of 4k to SHARD_ROWS documents, at least about one group per core."""
     cores = corpus.sparkSession.sparkContext.defaultParallelism
     if n_shards is None:
-        rows = corpus.count()  # a metadata-cheap count for a table scan
-        n_shards = int(max(1, min(cores, rows // max(4 * k, 1))))
+        rows = corpus.count()  # a job of its own: it sets the layout
+        n_shards = int(max(1, min(cores, rows // max(4 * k, 1)), -(-rows // SHARD_ROWS)))
     if query_blocks is None:
         query_blocks = int(max(1, cores // n_shards))
     return n_shards, query_blocks
@@ -293,30 +244,36 @@ def max_passage(hits: DataFrame, *, delimiter: str = "#", max_hits: int = 100, k
 
 def break_ties(hits: DataFrame, *, keys: Sequence[str] = ("qid",), docid: str = "docid",
                digits: int = 6, step: float = 1e-6) -> DataFrame:
-    """Within equal (rounded) scores, lower each later hit by ``step`` per place, re-rank."""
-    s6 = F.round(F.col("score"), digits)
-    w = Window.partitionBy(*keys, "_s6").orderBy(F.col("rank").asc())
-    out = (hits.withColumn("_s6", s6)
-           .withColumn("_n", F.row_number().over(w) - 1)
-           .withColumn("score", F.col("_s6") - F.col("_n") * F.lit(step))
-           .drop("_s6", "_n", "rank"))
+    """In rank order, each score is its rounded value or the previous one less ``step``,
+    whichever is lower, so that no two of a topic are equal; re-ranked.
+
+    In closed form: the running minimum of (score + place x step), less place x step."""
+    w = Window.partitionBy(*keys).orderBy(F.col("rank").asc())
+    place = F.row_number().over(w)
+    lifted = F.round(F.col("score"), digits) + place * F.lit(step)
+    out = (hits.withColumn("_place", place).withColumn("_lifted", lifted)
+           .withColumn("score", F.round(F.min("_lifted").over(w) - F.col("_place") * F.lit(step), digits))
+           .drop("_place", "_lifted", "rank"))
     wr = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col(docid).asc())
     return out.withColumn("rank", F.row_number().over(wr))
 
 
 def index_in_order(df: DataFrame, order_col: str, name: str = "i") -> DataFrame:
-    """0-based position of each row in ``order_col`` order, computed distributedly
-    (range-partitioned sort + ``zipWithIndex``), never in one single-partition window."""
-    ordered = df.orderBy(order_col)
-    schema = T.StructType(ordered.schema.fields + [T.StructField(name, T.LongType(), False)])
-    return ordered.rdd.zipWithIndex().map(lambda t: tuple(t[0]) + (t[1],)).toDF(schema)
+    """0-based position of each row in ``order_col`` order: rows are dealt by range and numbered in
+    their partition, to which the sizes of the partitions before it are added."""
+    dealt = cut_lineage(df.repartitionByRange(order_col).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(order_col))
+    return (dealt.join(starts, "_part").withColumn(name, (F.col("_start") + own - 1).cast("long"))
+            .drop("_part", "_start"))
 
 
 def assign_batches(topics: DataFrame, batch_size: int, *, qid: str = "qid") -> DataFrame:
     """Batches of ``batch_size`` topics in qid order; the last batch may be short.
 
-    The index comes from ``zipWithIndex`` on the sorted frame, so no single-partition
-    window is needed for large topic sets.
+    No single-partition window is needed for large topic sets (``index_in_order``).
     """
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from fbrank.functions.text import STOP_DF_FRACTION, tokens
-from fbrank.operators.search import _partial_topk, judged_ranks, limit_per_topic
+from fbrank.operators.search import _partial_topk, docid_order, limit_per_topic
 
 K1 = 0.9
 B = 0.4
@@ -148,8 +148,9 @@ def bm25_search(weighted_terms: DataFrame, index: Index, k: int = 1000, *, keys:
         nq, nw = q.count(), w.count()
         best = min(((s_, cores // s_) for s_ in range(1, cores + 1) if cores % s_ == 0),
                    key=lambda sb: nq * sb[0] + nw * sb[1])
-        n_shards = n_shards or best[0]
-        query_blocks = query_blocks or best[1]
+        # about a group per core, and more where a group would hold too much: only the layout differs
+        n_shards = n_shards or max(best[0], -(-nw // GROUP_ROWS))
+        query_blocks = query_blocks or max(best[1], -(-nq // GROUP_ROWS))
     qg = (q.withColumn("_blk", F.pmod(F.xxhash64(*[F.col(c) for c in keys]), F.lit(query_blocks)).cast("int"))
           .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))))
     wg = (w.select("term", "docid", "w")
@@ -163,6 +164,8 @@ def bm25_search(weighted_terms: DataFrame, index: Index, k: int = 1000, *, keys:
     return limit_per_topic(partial, k, keys=keys)
 
 
+GROUP_ROWS = 4_000_000   # postings, and query terms, of one kernel group
+SHARD_DOCS = 8192        # documents of one group of a sweep, about
 CELL_BUDGET = 1 << 22    # dense (query x document) score cells per step inside a task
 PAIR_BUDGET = 1 << 24    # posting contributions per step inside a task
 
@@ -249,40 +252,46 @@ class _Postings:
 
 
 def _emit(names, key_cols: list, docids, qi, di, sc) -> pa.Table:
-    cols = [pa.array(np.asarray(v)[qi]) for v in key_cols]
-    cols.append(pa.array(np.asarray(docids)[di], pa.int64()))
-    cols.append(pa.array(sc, pa.float64()))
-    return pa.Table.from_arrays(cols, names=names)
+    """Rows of the keys and documents at the given places; ids keep their types."""
+    qi, di = pa.array(qi, pa.int64()), pa.array(di, pa.int64())
+    return pa.Table.from_arrays([*(c.take(qi) for c in key_cols), docids.take(di), pa.array(sc, pa.float64())], names=names)
+
+
+def _nothing(names, key_types: list, id_type) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([], t) for t in (*key_types, id_type, pa.float64())], names=names)
 
 
 def _bm25_kernel(keys: Sequence[str], k: int):
     names = list(keys) + ["docid", "score"]
-    nothing = ([np.zeros(0, np.int64) for _ in keys], np.zeros(0, np.int64), [], [], np.zeros(0))
+
+    def empty(qt: pa.Table, wt: pa.Table) -> pa.Table:
+        return _nothing(names, [qt.schema.field(c).type for c in keys], wt.schema.field("docid").type)
 
     def kernel(qt: pa.Table, wt: pa.Table) -> pa.Table:
         if qt.num_rows == 0 or wt.num_rows == 0:
-            return _emit(names, *nothing)
+            return empty(qt, wt)
         qdf = qt.select([*keys, "term", "weight"]).to_pandas()
         qidx = qdf.groupby(list(keys), sort=False).ngroup().to_numpy()
         first = qdf.drop_duplicates(list(keys))
-        kv = [first[c].to_numpy() for c in keys]
+        kv = [qt.column(c).take(pa.array(first.index.to_numpy())) for c in keys]
         post = _Postings(wt, qdf["term"].to_numpy())
+        order = docid_order(np.asarray(post.docids))
         out_q, out_d, out_s = [], [], []
         for r0, _r1, sc in post.chunks(qidx, post.extra_codes[0], qdf["weight"].to_numpy(), len(first)):
             sc[~(sc > 0)] = -np.inf
-            rr, cc = _partial_topk(sc, k)
+            rr, cc = _partial_topk(sc, k, order)
             out_q.append(rr + r0)
             out_d.append(cc)
             out_s.append(sc[rr, cc])
         if not out_q:
-            return _emit(names, *nothing)
-        return _emit(names, kv, post.docids, np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s))
+            return empty(qt, wt)
+        return _emit(names, kv, pa.array(post.docids, wt.schema.field("docid").type), np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s))
 
     return kernel
 
 
 def rocchio_sweep_search(specs: DataFrame, bow: DataFrame, index: Index, weights: DataFrame, k: int = 1000, *,
-                         n_shards: int | None = None, judged: DataFrame | None = None) -> DataFrame:
+                         n_shards: int | None = None) -> DataFrame:
     """BM25 of many Rocchio-refined queries at once, by linearity of the score.
 
     For a refined query alpha*bow(q) + beta*mean_f tf(f) (all weights positive, T10),
@@ -293,22 +302,12 @@ def rocchio_sweep_search(specs: DataFrame, bow: DataFrame, index: Index, weights
 
     ``specs``: (trial_id, qid, alpha, beta, fb ARRAY<docid>); ``bow``: (qid, term, weight).
     Returns trial_id, qid, docid, score, rank (rank <= k).
-
-    With ``judged`` (qid, docid, rel) every group holds all documents (walked in chunks of
-    ``DOC_CHUNK``), ranks complete rows itself and returns only judged rows plus each
-    query's first row, with ``rank`` and ``erank`` (see ``search.judged_ranks``); the
-    trials x topics x k run is never materialised.
     """
     spark = specs.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    fused = judged is not None
-    if fused:
-        n_shards = 1
-        per_topic = (judged.filter(F.col("rel") > 0).groupBy("qid")
-                     .agg(F.collect_list(F.col("docid").cast("long")).alias("_judged")))
-        specs = specs.join(per_topic, "qid", "left")
-    if n_shards is None:  # shards of >= 4k documents so the partial top-k prunes
-        n_shards = int(max(1, min(cores, index.doclen.count() // max(4 * k, 1))))
+    if n_shards is None:  # shards of at least 4k documents, so that the partial top-k prunes, and of bounded size
+        rows = index.doclen.count()
+        n_shards = int(max(1, min(cores, rows // max(4 * k, 1)), -(-rows // SHARD_DOCS)))
     blocks = int(max(1, cores // n_shards))
     # Blocks are formed by topic: a topic's trials draw feedback from the same first ranking,
     # so a block needs the score rows of its own topics' feedback documents only.
@@ -318,8 +317,7 @@ def rocchio_sweep_search(specs: DataFrame, bow: DataFrame, index: Index, weights
     fbtf = (index.postings.join(blk_f, "docid")
             .select("_blk", F.col("docid").alias("f"), "term", F.col("tf").cast("double").alias("weight")))
     blk_bow = bow.join(specs.select("qid", "_blk").distinct(), "qid").select("_blk", "qid", "term", "weight")
-    spec_side = specs.select(F.lit(0).alias("_kind"), "_blk", "trial_id", "qid", "alpha", "beta", "fb",
-                             *(["_judged"] if fused else []))
+    spec_side = specs.select(F.lit(0).alias("_kind"), "_blk", "trial_id", "qid", "alpha", "beta", "fb")
     shared = (blk_bow.select(F.lit(1).alias("_kind"), "_blk", "qid", "term", "weight")
               .unionByName(fbtf.select(F.lit(2).alias("_kind"), "_blk", "f", "term", "weight"),
                            allowMissingColumns=True))
@@ -332,40 +330,26 @@ def rocchio_sweep_search(specs: DataFrame, bow: DataFrame, index: Index, weights
                                T.StructField("qid", specs.schema["qid"].dataType, True),
                                T.StructField("docid", weights.schema["docid"].dataType, True),
                                T.StructField("score", T.DoubleType(), True)])
-    if fused:
-        out_struct = out_struct.add("rank", T.IntegerType()).add("erank", T.IntegerType())
     partial = (side.groupBy("_blk", "_shard").cogroup(wg.groupBy("_blk", "_shard"))
-               .applyInArrow(_rocchio_kernel(k, fused), out_struct))
-    if fused:
-        return partial
+               .applyInArrow(_rocchio_kernel(k), out_struct))
     return limit_per_topic(partial, k, keys=("trial_id", "qid"))
 
 
-DOC_CHUNK = 4096  # documents scored together inside one group (bounds the score blocks)
-
+DOC_CHUNK = 2 * SHARD_DOCS  # documents scored together inside one group (bounds the score blocks)
 
-def _rocchio_kernel(k: int, fused: bool = False):
-    names = ["trial_id", "qid", "docid", "score"] + (["rank", "erank"] if fused else [])
-    nothing = ([np.zeros(0, np.int32), np.zeros(0, np.int64)], np.zeros(0, np.int64), [], [], np.zeros(0))
 
-    def out(kv, docids, qi, di, sc, rk=None, er=None):
-        t = _emit(["trial_id", "qid", "docid", "score"], kv, docids, qi, di, sc)
-        if fused:
-            z = np.zeros(0, np.int32)
-            t = t.append_column("rank", pa.array(z if rk is None else rk, pa.int32()))
-            t = t.append_column("erank", pa.array(z if er is None else er, pa.int32()))
-        return t
+def _rocchio_kernel(k: int):
+    names = ["trial_id", "qid", "docid", "score"]
 
     def kernel(st: pa.Table, wt: pa.Table) -> pa.Table:
         kind = st.column("_kind").to_numpy()
         if wt.num_rows == 0 or not (kind == 0).any():
-            return out(*nothing)
-        sd = st.drop_columns(["fb"] + (["_judged"] if fused else [])).to_pandas()
+            return _nothing(names, [st.schema.field("trial_id").type, st.schema.field("qid").type], wt.schema.field("docid").type)
+        sd = st.drop_columns(["fb"]).to_pandas()
         spec = sd[sd["_kind"] == 0]
         bow = sd[sd["_kind"] == 1]
         ftf = sd[sd["_kind"] == 2]
         spec_t = st.filter(pa.array(kind == 0))
-        judged = spec_t.column("_judged").to_pylist() if fused else None
         tcode, tq = pd.factorize(bow["qid"].to_numpy())
         fcode, fdocs = pd.factorize(ftf["f"].to_numpy())
         trow = pd.Index(tq).get_indexer(spec["qid"].to_numpy())
@@ -376,7 +360,7 @@ def _rocchio_kernel(k: int, fused: bool = False):
         width = max(1, int(n_fb.max()) if len(n_fb) else 1)
         frows = np.full((len(spec), width), len(fdocs))
         if len(flat):
-            r = pd.Index(fdocs).get_indexer(flat.astype(np.float64) if fdocs.dtype.kind == "f" else flat)
+            r = pd.Index(fdocs).get_indexer(flat.astype(np.float64) if getattr(fdocs, "dtype", flat.dtype).kind == "f" else flat)
             r[r < 0] = len(fdocs)  # a feedback document without any kept term
             frows[np.repeat(np.arange(len(spec)), n_fb), np.arange(len(flat)) - np.repeat(np.cumsum(n_fb) - n_fb, n_fb)] = r
         alpha = spec["alpha"].to_numpy(dtype=np.float64)
@@ -384,10 +368,10 @@ def _rocchio_kernel(k: int, fused: bool = False):
         bow_terms, ftf_terms = bow["term"].to_numpy(), ftf["term"].to_numpy()
         dall, docids_all = pd.factorize(wt.column("docid").to_numpy())
         n_all = len(docids_all)
-        chunk = n_all if not fused else DOC_CHUNK
+        order = docid_order(np.asarray(docids_all))
         out_q, out_d, out_s = [], [], []
-        for c0 in range(0, n_all, chunk):
-            sub = wt if chunk >= n_all else wt.filter(pa.array((dall >= c0) & (dall < c0 + chunk)))
+        for c0 in range(0, n_all, DOC_CHUNK):
+            sub = wt if n_all <= DOC_CHUNK else wt.filter(pa.array((dall >= c0) & (dall < c0 + DOC_CHUNK)))
             post = _Postings(sub, bow_terms, ftf_terms)
             nd = post.nd
             gcol = pd.Index(docids_all).get_indexer(post.docids)
@@ -402,16 +386,12 @@ def _rocchio_kernel(k: int, fused: bool = False):
                 r1 = min(len(spec), r0 + step)
                 sc = alpha[r0:r1, None] * s_bow[trow[r0:r1]] + coef[r0:r1, None] * s_f[frows[r0:r1]].sum(axis=1)
                 sc[~(sc > 0)] = -np.inf  # every contribution is positive: matched <=> score > 0
-                rr, cc = _partial_topk(sc, k)
+                rr, cc = _partial_topk(sc, k, order[gcol])
                 out_q.append(rr + r0)
                 out_d.append(gcol[cc])
                 out_s.append(sc[rr, cc])
-        kv = [spec["trial_id"].to_numpy().astype(np.int32), spec["qid"].to_numpy().astype(np.int64)]
-        qi, di, ss = np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s)
-        if fused:
-            qi, di, ss, rk, er = judged_ranks(qi, di, ss, np.asarray(docids_all), k, judged)
-            return out(kv, docids_all, qi, di, ss, rk, er)
-        return out(kv, docids_all, qi, di, ss)
+        kv = [spec_t.column("trial_id"), spec_t.column("qid")]
+        return _emit(names, kv, pa.array(docids_all, wt.schema.field("docid").type), np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s))
 
     return kernel
 

@@ -239,13 +239,16 @@ def trial_fb(name: str, run: str) -> str:
             f"::INTEGER AS fb_pos, r.docid, r.score FROM {run} r JOIN {name}_p p USING (rank))")
 
 
-def trial_rocchio(name: str, fb: str, alpha: float, beta: float) -> str:
+def trial_rocchio(name: str, fb: str, alpha: float, beta: float, given_only: bool = False) -> str:
     return (f"{name}_fe AS (SELECT f.trial_id, f.qid, unnest(c.vec) AS x, generate_subscripts(c.vec, 1) AS i "
             f"FROM {fb} f JOIN corpus c USING (docid)),\n"
             f"{name}_fm AS (SELECT trial_id, qid, i, avg(x) AS m FROM {name}_fe GROUP BY trial_id, qid, i),\n"
             f"{name}_qe AS (SELECT qid, unnest(qv) AS x, generate_subscripts(qv, 1) AS i FROM qv),\n"
-            f"{name} AS (SELECT fm.trial_id, fm.qid, list({alpha} * qe.x + {beta} * fm.m ORDER BY qe.i) AS qv "
-            f"FROM {name}_fm fm JOIN {name}_qe qe ON qe.qid = fm.qid AND qe.i = fm.i GROUP BY fm.trial_id, fm.qid)")
+            f"{name}_tq AS (SELECT t.trial_id, e.qid, e.i, e.x FROM trials t CROSS JOIN {name}_qe e"
+            + (f" WHERE (t.trial_id, e.qid) IN (SELECT trial_id, qid FROM {fb})" if given_only else "") + "),\n"
+            f"{name} AS (SELECT q.trial_id, q.qid, list({alpha} * q.x + {beta} * coalesce(m.m, 0) ORDER BY q.i) AS qv "
+            f"FROM {name}_tq q LEFT JOIN {name}_fm m ON m.trial_id = q.trial_id AND m.qid = q.qid AND m.i = q.i "
+            f"GROUP BY q.trial_id, q.qid)")
 
 
 def run_name_sql() -> str:
@@ -324,8 +327,8 @@ def build() -> dict[str, str]:
                           "mp2 AS (SELECT qid, docid, score, row_number() OVER (PARTITION BY qid ORDER BY rank) AS rank "
                           "FROM mp1)") + " SELECT qid, docid, rank::INTEGER AS rank, round(score, 6) AS score FROM mp2 WHERE rank <= 100"
     q["tie_break"] = _w(*SPARSE_BASE, bm25("first", "bow", cat.SPARSE.k),
-                        "tb AS (SELECT qid, docid, round(score, 6) - (row_number() OVER (PARTITION BY qid, round(score, 6) "
-                        "ORDER BY rank) - 1) * 0.000001 AS score FROM first)",
+                        "tb0 AS (SELECT qid, docid, rank, round(score, 6) + rank * 0.000001 AS up FROM first)",
+                        "tb AS (SELECT qid, docid, round(min(up) OVER (PARTITION BY qid ORDER BY rank) - rank * 0.000001, 6) AS score FROM tb0)",
                         "tb2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docid) AS rank FROM tb)"
                         ) + " " + run_out("tb2")
     q["topic_batches"] = ("SELECT qid, ((rn - 1) // 5)::INTEGER AS batch, ((rn - 1) % 5)::INTEGER AS batch_pos FROM "
@@ -481,7 +484,7 @@ def dense_swapped_sweep_sql() -> str:
     ctes = ([QV, CORPUS, trials_values(DEFAULT_SEEDS, (0, 1), sw_["total"], sw_["split_num"], sw_["depth"]),
              topk("first", "qv", sw_["total"]), trial_fb("fb", "first")]
             + swap_ctes("first", "fb", "sfb", sw_["total"], sw_["batch"])
-            + [trial_rocchio("ref", "sfb", 0.4, 0.6), topk("runs", "ref", s.hits, keys=("trial_id", "qid"))]
+            + [trial_rocchio("ref", "sfb", 0.4, 0.6, given_only=True), topk("runs", "ref", s.hits, keys=("trial_id", "qid"))]
             + dense_qrels() + evaluation("e", "runs", "qrels", 2, ("trial_id",)))
     return _w(*ctes) + " " + dense_sweep_select()
 
@@ -526,12 +529,14 @@ def donor_sql() -> str:
 def sparse_sweep_sql(donor: bool = False) -> str:
     s = cat.SPARSE
     sel = donor_ctes("first", "fb0", "fb", s.total_prf_docs) if donor else []
+    given = ("SELECT DISTINCT trial_id, qid FROM fb" if donor else
+             "SELECT t.trial_id, x.item_id AS qid FROM trials t CROSS JOIN benchmark x")
     ctes = SPARSE_BASE + [
         trials_values(DEFAULT_SEEDS, DEFAULT_SLICES, 100, 10, 3), bm25("first", "bow", s.k),
         trial_fb("fb0" if donor else "fb", "first"), *sel,
         mean_fb("fbv", "fb", keys=("trial_id", "qid")),
         f"terms AS (SELECT trial_id, qid, term, sum(weight) AS weight FROM (SELECT t.trial_id, b.qid, b.term, "
-        f"b.weight * {s.alpha} AS weight FROM (SELECT DISTINCT trial_id, qid FROM fb) t JOIN bow b USING (qid) "
+        f"b.weight * {s.alpha} AS weight FROM ({given}) t JOIN bow b USING (qid) "
         f"UNION ALL SELECT trial_id, qid, term, weight * {s.beta} FROM fbv) WHERE weight > 0 GROUP BY trial_id, qid, term)",
         bm25("runs", "terms", s.k, keys=("trial_id", "qid")), SPARSE_QRELS,
     ] + evaluation("e", "runs", "qrels", 2, ("trial_id",))

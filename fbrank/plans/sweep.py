@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from fbrank.functions.positions import sample_positions
 from fbrank.operators import sparse as sp
 from fbrank.operators.evaluate import METRICS, evaluate
-from fbrank.operators.feedback import select_donor, select_for_trials, select_swapped, trial_positions
+from fbrank.operators.feedback import select_donor, select_for_trials, select_swapped
 from fbrank.operators.refine import attach_vectors, refine_average
 from fbrank.operators.search import topk_search
 
@@ -41,14 +41,14 @@ def trial_grid(spark: SparkSession, *, seed: Sequence[int] = DEFAULT_SEEDS, spli
     """Cross product of the parameter lists, ``trial_id`` in grid order.
 
     The grid is configuration built on the driver from the literal lists, so the seeded
-    positions of each cell (F2) are computed there too; invalid cells get NULL positions
-    and are reported by ``validate_trials`` (P6)."""
+    positions of each cell (F2) are computed there too: the first ones for mode 'natural' (F1),
+    none at depth 0 (F7).  Invalid cells get NULL positions; sweeps refuse them (P6)."""
     lists = [seed, split_num, nsplit, total_prf_docs, prf_depth, topics, batch_size, alpha, beta, mode]
     rows = []
     for i, cell in enumerate(itertools.product(*lists)):
         conf = dict(zip(GRID_COLUMNS, cell))
         try:
-            pos = sample_positions(conf["seed"], conf["prf_depth"], conf["total_prf_docs"], conf["split_num"],
+            pos = list(range(max(conf["prf_depth"], 0))) if conf["mode"] == "natural" else sample_positions(conf["seed"], conf["prf_depth"], conf["total_prf_docs"], conf["split_num"],
                                    conf["nsplit"])
         except ValueError:
             pos = None
@@ -81,40 +81,61 @@ def project_name(method: str, topics: Column, total: Column, mode: Column | None
     return F.concat_ws("_", *parts)
 
 
-def _with_positions(trials: DataFrame) -> DataFrame:
-    if "positions" not in trials.columns:
-        trials = trial_positions(trials.coalesce(1))
-    return trials.filter(F.col("positions").isNotNull())
+def _checked(trials: DataFrame, modes: Sequence[str]) -> DataFrame:
+    """The grid, kept for the sweep; an unknown mode or a cell that cannot run is an error."""
+    unknown = [r[0] for r in trials.select("mode").distinct().collect() if r[0] not in modes]
+    if unknown:
+        raise ValueError(f"unknown selection modes {unknown}; this sweep knows {list(modes)}")
+    bad = trials.filter(F.col("positions").isNull()).select("trial_id").limit(5).collect()
+    if bad:
+        raise ValueError(f"trials that cannot run (see validate_trials): {[r[0] for r in bad]}")
+    return trials.persist()
+
+
+def _of_mode(trials: DataFrame, *modes: str) -> DataFrame:
+    return trials.filter(F.col("mode").isin(*modes))
+
+
+def _trial_topics(trials: DataFrame, topics: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Every trial with every topic (``topics``' columns, the trial's settings): topics without
+    feedback keep their query (T9, T15).  Swapped and donor trials only have the topics for which a
+    valid donor was found (T4; ``unsatisfied`` lists the others)."""
+    ids = [r[0] for r in trials.select("trial_id").collect()]  # the grid is configuration
+    each = topics.withColumn("trial_id", F.explode(F.lit(ids).cast("array<int>"))).join(
+        F.broadcast(trials.select("trial_id", "alpha", "beta", "prf_depth", "mode")), "trial_id")
+    some = feedback.select("trial_id", "qid").distinct().withColumn("_some", F.lit(True))
+    return each.join(some, ["trial_id", "qid"], "left").filter(~F.col("mode").isin("swap", "donor") | F.col("_some")).drop("_some")
+
+
+def unsatisfied(trials: DataFrame, topics: DataFrame, feedback: DataFrame) -> DataFrame:
+    """(trial_id, qid) of topics for which a swapped or donor trial found no valid donor."""
+    ids = [r[0] for r in trials.select("trial_id").collect()]
+    each = topics.select("qid").withColumn("trial_id", F.explode(F.lit(ids).cast("array<int>")))
+    return each.join(feedback.select("trial_id", "qid").distinct(), ["trial_id", "qid"], "left_anti").select("trial_id", "qid")
+
+
+def _feedback(first: DataFrame, trials: DataFrame, pick: str, picked) -> DataFrame:
+    """Feedback of all trials: by position, and for mode ``pick`` by the function ``picked``."""
+    fb = select_for_trials(first, _of_mode(trials, "random_split", "natural"))
+    return fb.unionByName(picked(first, _of_mode(trials, pick))) if not _of_mode(trials, pick).isEmpty() else fb
 
 
 def dense_sweep_runs(trials: DataFrame, queries: DataFrame, corpus: DataFrame, *, hits: int = 1000,
                      method: str = "rocchio", exclude_self: str | None = "qid",
-                     topics_batched: DataFrame | None = None, judged: DataFrame | None = None) -> DataFrame:
+                     topics_batched: DataFrame | None = None) -> DataFrame:
     """X2 (dense): the second ranking of every (trial_id, qid); ``mode`` per trial row is
-    'random_split' (F3) or 'swap' (F4, needs ``topics_batched``).  With ``judged``, only what
-    evaluation needs is returned when the search layout allows (see ``topk_search``)."""
-    trials = _with_positions(trials).persist()
-    max_total = trials.agg(F.max("total_prf_docs")).first()[0]
+    'random_split' (F3), 'natural' (F1) or 'swap' (F4, needs ``topics_batched``)."""
+    trials = _checked(trials, ("random_split", "natural", "swap"))
+    max_total = trials.agg(F.max(F.greatest("total_prf_docs", "prf_depth"))).first()[0]
     first = topk_search(queries, corpus, max_total, exclude_self=exclude_self).persist()
-    modes = {r[0] for r in trials.select("mode").distinct().collect()}
-    parts = []
-    if "random_split" in modes:
-        parts.append(select_for_trials(first, trials.filter(F.col("mode") == "random_split")))
-    if "swap" in modes:
-        parts.append(select_swapped(first, trials.filter(F.col("mode") == "swap"), topics_batched))
-    fb = parts[0]
-    for p in parts[1:]:
-        fb = fb.unionByName(p)
+    fb = _feedback(first, trials, "swap", lambda f, t: select_swapped(f, t, topics_batched))
     fbv = attach_vectors(fb, corpus)
-    tq = (F.broadcast(trials.select("trial_id", "alpha", "beta", "prf_depth"))
-          .join(fb.select("trial_id", "qid").distinct(), "trial_id")
-          .join(queries.select("qid", "qv"), "qid"))
+    tq = _trial_topics(trials, queries.select("qid", "qv"), fb)
     if method == "rocchio":
         refined = _rocchio_per_trial(tq, fbv)
     else:
         refined = refine_average(tq.select("trial_id", "qid", "qv"), fbv, keys=("trial_id", "qid"))
-    runs = topk_search(refined, corpus, hits, keys=("trial_id", "qid"), exclude_self=exclude_self, judged=judged)
-    return runs.persist()  # read by ranking and by evaluation
+    return topk_search(refined, corpus, hits, keys=("trial_id", "qid"), exclude_self=exclude_self)
 
 
 def _rocchio_per_trial(tq: DataFrame, fbv: DataFrame) -> DataFrame:
@@ -127,52 +148,45 @@ def _rocchio_per_trial(tq: DataFrame, fbv: DataFrame) -> DataFrame:
     q = as_double_array("qv")
     pos_v = F.transform(F.slice("_fb", 1, F.greatest(F.col("prf_depth"), F.lit(1))), lambda x: x["v"])
     mean = F.transform(sum_vectors(pos_v, F.size(q)), lambda x: x / F.greatest(F.size(pos_v), F.lit(1)))
-    out = F.zip_with(q, mean, lambda a, b: F.col("alpha") * a + F.col("beta") * b)
+    out = F.when(F.col("prf_depth") > 0, F.zip_with(q, mean, lambda a, b: F.col("alpha") * a + F.col("beta") * b)).otherwise(q)
     return j.select("trial_id", "qid", out.alias("qv"))
 
 
 def sparse_sweep_runs(trials: DataFrame, topics: DataFrame, index: sp.Index, *, k: int = 1000,
                       first: DataFrame | None = None, weights: DataFrame | None = None,
-                      method: str = "linear", judged: DataFrame | None = None) -> DataFrame:
-    """X2 (sparse): BM25 + Rocchio terms per (trial_id, qid); mode 'random_split' or 'donor' (F5).
+                      method: str = "linear") -> DataFrame:
+    """X2 (sparse): BM25 + Rocchio terms per (trial_id, qid); mode 'random_split', 'natural' or 'donor' (F5).
 
     ``method='linear'`` scores all trials from shared per-document score rows
     (``rocchio_sweep_search``); ``method='terms'`` builds every refined term vector and searches it."""
-    trials = _with_positions(trials).persist()
+    trials = _checked(trials, ("random_split", "natural", "donor"))
     w = weights if weights is not None else sp.doc_weights(index).persist()
     bow = sp.query_bow(topics, index).persist()
     if first is None:
         first = sp.bm25_search(bow, index, k, weights=w)
     first = first.persist()
-    modes = {r[0] for r in trials.select("mode").distinct().collect()}
-    parts = []
-    if "random_split" in modes:
-        parts.append(select_for_trials(first, trials.filter(F.col("mode") == "random_split")))
-    if "donor" in modes:
-        parts.append(select_donor(first, trials.filter(F.col("mode") == "donor")))
-    fb = parts[0]
-    for p in parts[1:]:
-        fb = fb.unionByName(p)
+    fb = _feedback(first, trials, "donor", select_donor)
     keys = ("trial_id", "qid")
+    tq = _trial_topics(trials, topics.select("qid"), fb).withColumn(
+        "alpha", F.when(F.col("prf_depth") > 0, F.col("alpha")).otherwise(1.0))
     if method == "linear":
-        specs = (fb.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("fb_pos", "docid"))).alias("_fb"))
-                 .join(F.broadcast(trials.select("trial_id", "alpha", "beta")), "trial_id")
-                 .select(*keys, "alpha", "beta", F.transform("_fb", lambda x: x["docid"]).alias("fb")))
-        return sp.rocchio_sweep_search(specs, bow, index, w, k, judged=judged).persist()
+        lists = fb.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("fb_pos", "docid"))).alias("_fb"))
+        none = F.array().cast(f"array<{fb.schema['docid'].dataType.simpleString()}>")
+        specs = tq.join(lists, list(keys), "left").select(
+            *keys, "alpha", "beta", F.coalesce(F.transform("_fb", lambda x: x["docid"]), none).alias("fb"))
+        return sp.rocchio_sweep_search(specs, bow, index, w, k)
     fbv = sp.mean_feedback(fb, index, keys=keys)
-    ab = F.broadcast(trials.select("trial_id", "alpha", "beta"))
-    tq = ab.join(fb.select("trial_id", "qid").distinct(), "trial_id")
     q_terms = tq.join(bow, "qid").select("trial_id", "qid", "term", (F.col("weight") * F.col("alpha")).alias("weight"))
-    f_terms = fbv.join(ab, "trial_id").select("trial_id", "qid", "term",
-                                              (F.col("weight") * F.col("beta")).alias("weight"))
+    f_terms = fbv.join(F.broadcast(trials.select("trial_id", "beta")), "trial_id").select(
+        "trial_id", "qid", "term", (F.col("weight") * F.col("beta")).alias("weight"))
     terms = (q_terms.filter("weight > 0").unionByName(f_terms.filter("weight > 0"))
              .groupBy(*keys, "term").agg(F.sum("weight").alias("weight")))
-    return sp.bm25_search(terms, index, k, keys=keys, weights=w).persist()
+    return sp.bm25_search(terms, index, k, keys=keys, weights=w)
 
 
 def evaluate_trials(runs: DataFrame, trials: DataFrame, qrels: DataFrame, *, level: int = 2) -> DataFrame:
     """Metrics per trial (every trial reported, empty ones as 0), with its settings and run name."""
-    m = evaluate(runs, qrels.persist(), level=level, keys=("trial_id",), key_values=trials)
+    m = evaluate(runs, qrels, level=level, keys=("trial_id",), key_values=trials)
     return (trials.select("trial_id", "seed", "nsplit", "total_prf_docs", "split_num", "prf_depth",
                           run_name(trials).alias("run_name"))
             .join(m, "trial_id"))

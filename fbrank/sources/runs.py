@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 RUN_FORMATS = ("trec", "msmarco")
 
@@ -35,18 +34,23 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every run under ``folder`` (written by ``write_named_runs``), tagged by run name."""
-    lines = spark.read.text(folder).select("value", "run_name")
-    return parse_run_lines(lines)
-
-
-def write_named_runs(hits: DataFrame, folder: str, tag: str = "Faiss", *, max_hits: int = 1000) -> None:
-    """Many runs in one job: one sub-folder per ``run_name``, lines sorted by (qid, rank)."""
+    """Every run under ``folder`` and its sub-folders, tagged by run name: ``*.trec`` files by
+    their file name, runs of ``write_named_runs`` by the name of their folder; other files are ignored."""
+    at = F.col("_metadata.file_path")
+    ours, theirs = F.regexp_extract(at, r"run_name=([^/]+)/[^/]*$", 1), F.regexp_extract(at, r"([^/]+\.trec)$", 1)
+    lines = (spark.read.option("recursiveFileLookup", "true").text(folder)
+             .select("value", F.url_decode(F.when(ours != "", ours).otherwise(theirs)).alias("run_name")))
+    return parse_run_lines(lines.filter(F.col("run_name") != ""))
+
+
+def write_named_runs(hits: DataFrame, folder: str, tag: str = "Faiss", *, max_hits: int = 1000, parts: int = 8) -> None:
+    """Many runs in one job: a sub-folder per ``run_name`` of up to ``parts`` files, each with whole
+    topics sorted by (qid, rank)."""
     h = hits.filter(F.col("rank") <= max_hits)
     line = F.format_string("%s Q0 %s %d %.6f %s", F.col("qid").cast("string"), F.col("docid").cast("string"),
                            F.col("rank"), F.col("score"), F.lit(tag))
     (h.select("run_name", "qid", "rank", line.alias("value"))
-     .repartition("run_name").sortWithinPartitions("run_name", "qid", "rank")
+     .repartition("run_name", F.pmod(F.xxhash64("qid"), F.lit(parts))).sortWithinPartitions("run_name", "qid", "rank")
      .select("run_name", "value").write.mode("overwrite").partitionBy("run_name").text(folder))
 
 
@@ -79,9 +83,6 @@ def write_single_file_run(hits: DataFrame, path: str, tag: str = "Faiss", *, max
     lines.orderBy("qid", "rank").coalesce(1).select("line").write.mode("overwrite").text(path)
 
 
-QRELS_SCHEMA = T.StructType([T.StructField("value", T.StringType())])
-
-
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
     """Graded judgements ``(qid STRING, docid STRING, rel INT)`` from TREC qrels text."""
     f = _fields(F.col("value"))

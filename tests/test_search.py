@@ -69,6 +69,12 @@ def test_break_ties_lowers_later_equal_scores(spark):
     assert out == [(5, 6.2279), (9, 6.227899), (2, 6.1)]
 
 
+def test_break_ties_never_meets_the_next_score(spark):
+    hits = spark.createDataFrame([(1, i, s, i) for i, s in enumerate([3e-6, 3e-6, 2e-6, 2e-6], 1)], "qid long, docid long, score double, rank int")
+    out = [r["score"] for r in break_ties(hits).orderBy("rank").collect()]
+    assert out == [3e-6, 2e-6, 1e-6, 0.0]
+
+
 def test_bm25_matches_closed_form(spark):
     docs = spark.createDataFrame([(1, "apple pie apple"), (2, "banana pie"), (3, "cherry tart"), (4, "dune")],
                                  "docid long, text string")

@@ -4,7 +4,6 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from fbrank.operators.encode import encoder_class, encoder_pooling
 from fbrank.sources import runs as rf
 from fbrank.sources import tables as tb
 
@@ -38,12 +37,6 @@ def test_topic_set_alias(spark):
     assert [r[0] for r in df.select(rf.qrels_name(F.col("t"))).collect()] == ["dl20-passage", "dl19-passage"]
 
 
-def test_encoder_class_lookup():
-    assert encoder_class("castorini/ance-msmarco-passage") == "ance"
-    assert encoder_class("castorini/tct_colbert-v2") == "tct_colbert"
-    assert encoder_class("some/other-model") == "auto"
-    assert encoder_class("x", explicit="dpr") == "dpr"
-    assert encoder_pooling("sentence-transformers/foo") == {"pooling": "mean", "l2_norm": True}
 
 
 def test_write_metrics_appends_by_project(spark):

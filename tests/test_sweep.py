@@ -1,29 +1,70 @@
-"""Fused (judged rows only) and materialised sweeps must give the same metrics."""
+"""Sweeps: layouts and methods must not matter, and every trial covers every topic."""
+import pytest
+
 from conftest import SF001
 from fbrank import catalog as cat
+from fbrank.operators import evaluate as ev
+from fbrank.operators.search import topk_search
 from fbrank.plans import sweep as sw
+from fbrank.plans.dense import DenseSettings, dense_feedback_run
 
 
 def _metrics(df):
     return sorted((r["trial_id"], r["map"], r["ndcg_cut_10"], r["recall_1000"]) for r in df.collect())
 
 
-def test_dense_sweep_fused_equals_materialised(spark):
+def test_metrics_do_not_depend_on_the_layout(spark):
+    queries = spark.createDataFrame([(1, [1.0])], "qid long, qv array<double>")
+    corpus = spark.createDataFrame([(i, [x]) for i, x in enumerate([0.1234570, 0.1234565, 0.5, 0.0000125, 0.0000134])], "docid long, vec array<double>")
+    qrels = spark.createDataFrame([(1, 1, 2), (1, 3, 2)], "qid long, docid long, rel int")
+    got = {tuple(ev.evaluate(topk_search(queries, corpus, 5, n_shards=n), qrels).first()) for n in (1, 2, 5)}
+    assert len(got) == 1
+
+
+def test_ties_leave_the_kernel_cut(spark):
+    queries = spark.createDataFrame([(1, [0.0, 0.0])], "qid long, qv array<double>")
+    corpus = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(300)], "docid long, vec array<double>")
+    for n in (1, 3):
+        assert [r.docid for r in topk_search(queries, corpus, 10, n_shards=n).orderBy("rank").collect()] == list(range(10))
+    from fbrank.operators.search import _partial_topk
+    import numpy as np
+    assert len(_partial_topk(np.zeros((2, 300)), 10, np.arange(300))[0]) == 20
+
+
+@pytest.mark.parametrize("setting", [dict(nsplit=9, total_prf_docs=1000), dict(prf_depth=0), dict(mode="natural")])
+def test_dense_sweep_equals_the_single_run(spark, setting):
     c = cat.Ctx(spark, SF001)
-    trials = sw.trial_grid(spark, seed=(42, 9), nsplit=(0, 5))
-    q = c.dense_qrels.persist()
-    fused = sw.dense_sweep_runs(trials, c.qv, c.corpus, judged=q)
-    assert "erank" in fused.columns
-    full = sw.dense_sweep_runs(trials, c.qv, c.corpus)
-    assert "erank" not in full.columns
-    assert _metrics(sw.evaluate_trials(fused, trials, q)) == _metrics(sw.evaluate_trials(full, trials, q))
+    one = sw.trial_grid(spark, **{k: (v,) for k, v in (dict(seed=42, nsplit=0) | setting).items()})
+    runs = sw.dense_sweep_runs(one, c.qv, c.corpus, hits=50)
+    s = DenseSettings(**(dict(alpha=0.4, beta=0.6, topk=3, hits=50, seed=42) | setting))
+    want = dense_feedback_run(c.qv, c.corpus, s, exclude_self="qid")
+    a, b = (sorted((r.qid, r["rank"], r.docid) for r in x.collect()) for x in (runs, want))
+    assert a == b and len({q for q, *_ in a}) == c.qv.count()
 
 
-def test_sparse_sweep_fused_equals_materialised(spark):
+def test_sweeps_refuse_what_they_do_not_know(spark):
     c = cat.Ctx(spark, SF001)
-    trials = sw.trial_grid(spark, seed=(42, 9), nsplit=(0, 5), alpha=(1.0,), beta=(0.75,))
+    for bad in (dict(mode=("random_split", "other")), dict(nsplit=(12,)), dict(prf_depth=(50,))):
+        with pytest.raises(ValueError):
+            sw.dense_sweep_runs(sw.trial_grid(spark, **(dict(seed=(42,), nsplit=(0,)) | bad)), c.qv, c.corpus)
+
+
+def test_sparse_sweep_methods_agree(spark):
+    c = cat.Ctx(spark, SF001)
+    trials = sw.trial_grid(spark, seed=(42, 9), nsplit=(0, 9), total_prf_docs=(1000,), alpha=(1.0,), beta=(0.75,))
     q = c.sparse_qrels.persist()
     kw = dict(k=1000, first=c.sparse_first, weights=c.weights)
-    fused = sw.sparse_sweep_runs(trials, c.topics, c.index, judged=q, **kw)
-    full = sw.sparse_sweep_runs(trials, c.topics, c.index, method="terms", **kw)
-    assert _metrics(sw.evaluate_trials(fused, trials, q)) == _metrics(sw.evaluate_trials(full, trials, q))
+    linear = sw.sparse_sweep_runs(trials, c.topics, c.index, **kw)
+    terms = sw.sparse_sweep_runs(trials, c.topics, c.index, method="terms", **kw)
+    assert _metrics(sw.evaluate_trials(linear, trials, q)) == _metrics(sw.evaluate_trials(terms, trials, q))
+    assert linear.select("trial_id", "qid").distinct().count() == terms.select("trial_id", "qid").distinct().count()
+
+
+def test_bm25_keeps_string_ids(spark):
+    from fbrank.operators import sparse as sp
+
+    docs = spark.createDataFrame([("D1", "apple pie"), ("D2", "pear"), ("D3", "apple"), ("D4", "plum"), ("D5", "fig")], "docid string, text string")
+    idx = sp.build_index(docs)
+    q = spark.createDataFrame([("a", "apple", 1.0), ("b", "pear", 1.0)], "qid string, term string, weight double")
+    for method in ("block", "join"):
+        assert sorted((r.qid, r.docid) for r in sp.bm25_search(q, idx, 5, method=method).collect()) == [("a", "D1"), ("a", "D3"), ("b", "D2")]
