@@ -25,7 +25,7 @@ from fbrank.functions.positions import sample_positions
 from fbrank.functions.vectors import round_vec
 from fbrank.operators import evaluate as ev
 from fbrank.operators import sparse as sp
-from fbrank.operators.encode import encode_hashed, pca_apply, pca_fit
+from fbrank.operators.encode import apply_matrix, encode_hashed
 from fbrank.operators.feedback import (overlaps, select_donor, select_natural, select_positions,
                                        select_swapped, selection_log)
 from fbrank.operators.judgements import containment_qrels, pooled_label_qrels
@@ -42,11 +42,12 @@ DENSE = DenseSettings(prf_depth=3, total_prf_docs=100, split_num=10, nsplit=0, s
                       alpha=0.4, beta=0.6, topk=3, hits=1000)
 SPARSE = SparseSettings(prf_depth=3, total_prf_docs=100, split_num=10, nsplit=0, seed=42, alpha=1.0, beta=0.75)
 DENSE_K = 100
+VECTOR_TOTAL = 1000          # the vector sweep's total; slices run past the end of shorter rankings
+SPARSE_TOTALS = (100, 1000)  # the sparse sweeps' totals
 POOL = 100
 SWAP = dict(total=20, split_num=2, depth=3, nsplit=0, seed=42, batch=5)
 SHORT = dict(total=1000, split_num=10, depth=3, nsplit=4, seed=23)
 HASH_DIM = 64
-PCA_DIM = 16
 BINARY_K = 100
 
 
@@ -257,9 +258,11 @@ def q_binary_topk_rerank(spark, sf):
 
 def q_pca_topk(spark, sf):
     c = Ctx(spark, sf)
-    model = pca_fit(c.corpus, PCA_DIM)
-    qr = pca_apply(c.qv, model, "qv")
-    cr = pca_apply(c.corpus, model, "vec")
+    # the given matrix: a row per label of the embeddings table, its mean vector
+    e = tb.table(spark, sf, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
+    mean = e.groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("r"))
+    matrix = mean.select(F.col("label").alias("component"), F.transform("r", lambda x: x["m"]).alias("row"))
+    qr, cr = apply_matrix(c.qv, "qv", matrix), apply_matrix(c.corpus, "vec", matrix)
     return _run_out(topk_search(qr, cr, 10, exclude_self="qid"))
 
 
@@ -271,6 +274,26 @@ def q_prf_sparse_rocchio_run(spark, sf):
     return _run_out(Ctx(spark, sf).sparse_prf_run())
 
 
+def q_prf_sparse_from_run(spark, sf):
+    """The sparse command's own start: feedback drawn from a run file, here a dense run that is
+    written and read back; its ids take the index's type, its tag names both steps."""
+    c = Ctx(spark, sf)
+    path = scratch_path(spark, "initial-run")
+    rf.write_run(c.dense_first(SPARSE.total_prf_docs), path, tag="Faiss")
+    run = rf.read_run(spark, path)
+    first = run.select(*[F.col(i).cast(t.schema[i].dataType).alias(i) for i, t in (("qid", c.topics), ("docid", c.docs))], "rank", "score")
+    out = sparse_feedback_run(c.topics, first, c.index, SPARSE, weights=c.weights)
+    tag = run.agg(F.max("tag")).scalar()
+    return _run_out(out).withColumn("tag", F.concat(tag, F.lit("+rocchio")))
+
+
+def q_dense_topk_single(spark, sf):
+    """R2: one query's search."""
+    c = Ctx(spark, sf)
+    one = c.qv.filter(F.col("qid") == c.qv.agg(F.min("qid")).scalar())
+    return _run_out(topk_search(one, c.corpus, DENSE_K, exclude_self="qid"))
+
+
 def q_max_passage(spark, sf):
     h = Ctx(spark, sf).dense_first()
     h = h.withColumn("docid", F.concat_ws("#", F.floor(F.col("docid") / 5).cast("string"),
@@ -464,7 +487,7 @@ def _stored(qrels: DataFrame) -> DataFrame:
 
 def _dense_sweep(spark, sf, c: Ctx | None = None):
     c = c or Ctx(spark, sf)
-    trials = sw.trial_grid(spark, seed=sw.DEFAULT_SEEDS, nsplit=sw.DEFAULT_SLICES, total_prf_docs=(100,),
+    trials = sw.trial_grid(spark, seed=sw.DEFAULT_SEEDS, nsplit=sw.DEFAULT_SLICES, total_prf_docs=(VECTOR_TOTAL,),
                            split_num=(10,), prf_depth=(3,), alpha=(0.4,), beta=(0.6,))
     qrels = _stored(c.dense_qrels)
     runs = sw.dense_sweep_runs(trials, c.qv, c.corpus, hits=DENSE.hits)
@@ -486,14 +509,14 @@ def q_sweep_dense_swapped(spark, sf):
     return sw.evaluate_trials(runs, trials, qrels)
 
 
-def _sparse_trials(spark, mode="random_split"):
-    return sw.trial_grid(spark, seed=sw.DEFAULT_SEEDS, nsplit=sw.DEFAULT_SLICES, total_prf_docs=(100,),
+def _sparse_trials(spark, mode="random_split", totals=SPARSE_TOTALS):
+    return sw.trial_grid(spark, seed=sw.DEFAULT_SEEDS, nsplit=sw.DEFAULT_SLICES, total_prf_docs=totals,
                          split_num=(10,), prf_depth=(3,), alpha=(1.0,), beta=(0.75,), mode=(mode,))
 
 
-def q_sweep_sparse(spark, sf):
+def q_sweep_sparse(spark, sf, totals=SPARSE_TOTALS):
     c = Ctx(spark, sf)
-    trials = _sparse_trials(spark)
+    trials = _sparse_trials(spark, totals=totals)
     qrels = _stored(c.sparse_qrels)
     runs = sw.sparse_sweep_runs(trials, c.topics, c.index, k=SPARSE.k, first=c.sparse_first, weights=c.weights)
     return sw.evaluate_trials(runs, trials, qrels)
@@ -522,11 +545,12 @@ def q_compare_positions(spark, sf):
 
 
 def q_evaluate_runs(spark, sf):
-    """X6 + S9 + X4: write the run of every slice (seed 42) as TREC text, one folder per run
+    """X6 + S9 + X4: write the run of every seed and slice as TREC text, one folder per run
     name, read the folder back, decode the settings from the names and evaluate every run
     without searching again."""
     c = Ctx(spark, sf)
-    trials = sw.trial_grid(spark, seed=(42,), nsplit=sw.DEFAULT_SLICES)
+    trials = sw.trial_grid(spark, seed=sw.DEFAULT_SEEDS, nsplit=sw.DEFAULT_SLICES, total_prf_docs=(VECTOR_TOTAL,))
+    sw.assert_unique_names(trials)
     runs = sw.dense_sweep_runs(trials, c.qv, c.corpus, hits=DENSE.hits)
     named = runs.join(F.broadcast(trials.select("trial_id", sw.run_name(trials).alias("run_name"))), "trial_id")
     folder = scratch_path(spark, "runs")
@@ -562,6 +586,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pca_topk": q_pca_topk,
     "bm25_topk": q_bm25_topk,
     "prf_sparse_rocchio_run": q_prf_sparse_rocchio_run,
+    "prf_sparse_from_run": q_prf_sparse_from_run,
+    "dense_topk_single": q_dense_topk_single,
     "max_passage": q_max_passage,
     "tie_break": q_tie_break,
     "topic_batches": q_topic_batches,

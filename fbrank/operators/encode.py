@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fbrank.functions.text import tokens
-from fbrank.functions.vectors import l2_normalize
+from fbrank.functions.vectors import dot, l2_normalize
 
 def _bucket(tok: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
@@ -56,3 +56,12 @@ def pca_apply(df: DataFrame, model, vec: str) -> DataFrame:
     keep = [c for c in df.columns if c != vec]
     f = df.select(*keep, array_to_vector(F.col(vec).cast("array<double>")).alias("_f"))
     return model.transform(f).select(*keep, vector_to_array("_p").alias(vec))
+
+
+def apply_matrix(df: DataFrame, vec: str, matrix: DataFrame) -> DataFrame:
+    """R6 with a given model: ``vec`` becomes its products with the rows of ``matrix``
+    (component, row), in component order.  A matrix has a row per output dimension."""
+    rows = matrix.agg(F.array_sort(F.collect_list(F.struct("component", "row")))).scalar()
+    wide = df.withColumn("_matrix", rows)
+    product = F.transform("_matrix", lambda r: dot(F.col(vec).cast("array<double>"), r["row"]))
+    return wide.withColumn(vec, product).drop("_matrix")

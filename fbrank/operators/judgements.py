@@ -4,18 +4,16 @@
   judged by label agreement with the topic's own vector, grade ``1 + docid % 3`` when the
   labels agree, 0 otherwise.  Size is topics x pool depth.
 * ``containment_qrels``: a document is relevant to a topic when its text contains the
-  topic text verbatim; grade ``1 + coalesce(labels.quality, 0)``.  Exact multi-pattern
-  matching (Aho-Corasick) runs inside ``mapInPandas`` over the document partitions; the
-  patterns (topic texts) are broadcast in blocks whose byte size is checked first, so no
-  block exceeds ``block_bytes`` and no document x topic pair is ever formed.
+  topic text verbatim; grade ``1 + coalesce(labels.quality, 0)``.  Candidates come from an
+  equi-join on each topic's rarest inner token.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from fbrank.functions.text import tokens
 
 
 def pooled_label_qrels(pool_run: DataFrame, labels: DataFrame, *, pool: int = 100) -> DataFrame:
@@ -29,61 +27,25 @@ def pooled_label_qrels(pool_run: DataFrame, labels: DataFrame, *, pool: int = 10
                     .cast("int").alias("rel")))
 
 
-_MATCH_SCHEMA = T.StructType([T.StructField("docid", T.LongType()), T.StructField("qid", T.LongType())])
-
-
-def _matcher(patterns_bc):
-    def run(batches):
-        import ahocorasick
-
-        patterns = patterns_bc.value
-        auto = ahocorasick.Automaton()
-        by_text: dict[str, list[int]] = {}
-        for qid, text in patterns:
-            if text:
-                by_text.setdefault(text, []).append(qid)
-        for text, qids in by_text.items():
-            auto.add_word(text, qids)
-        if len(by_text):
-            auto.make_automaton()
-        for pdf in batches:
-            out_d, out_q = [], []
-            if len(by_text):
-                for docid, text in zip(pdf["docid"], pdf["text"]):
-                    if text is None:
-                        continue
-                    seen: set[int] = set()
-                    for _, qids in auto.iter(text):
-                        for q in qids:
-                            if q not in seen:
-                                seen.add(q)
-                                out_d.append(int(docid))
-                                out_q.append(int(q))
-            yield pd.DataFrame({"docid": pd.Series(out_d, dtype="int64"), "qid": pd.Series(out_q, dtype="int64")})
-
-    return run
-
-
-def containment_pairs(documents: DataFrame, topics: DataFrame, *, block_bytes: int = 64 << 20) -> DataFrame:
-    """(docid, qid) where ``documents.text`` contains ``topics.title``.
-
-    The topic texts are the broadcast side of a multi-pattern scan; their total size is
-    measured first and split into hash blocks of at most ``block_bytes`` each.
-    """
-    spark = documents.sparkSession
-    size = topics.agg(F.coalesce(F.sum(F.length("title")), F.lit(0)), F.count(F.lit(1))).first()
-    n_blocks = max(1, -(-int(size[0]) // block_bytes))
-    docs = documents.select("docid", "text")
-    parts = []
-    for blk in range(n_blocks):
-        sel = topics if n_blocks == 1 else topics.filter(F.pmod(F.xxhash64("qid"), F.lit(n_blocks)) == blk)
-        rows = [(int(r["qid"]), r["title"]) for r in sel.select("qid", "title").toLocalIterator()]
-        bc = spark.sparkContext.broadcast(rows)
-        parts.append(docs.mapInPandas(_matcher(bc), _MATCH_SCHEMA))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def containment_pairs(documents: DataFrame, topics: DataFrame) -> DataFrame:
+    """(docid, qid) where ``documents.text`` contains ``topics.title`` (null and empty titles match nothing).
+
+    A document that contains a title contains each of its tokens that have another on both sides.
+    Topics are joined to documents on the one of those that the fewest documents have, and
+    ``contains`` decides.  Titles of fewer than three tokens have none; they are joined on the
+    tokens of the collection that contain their first one."""
+    titles = topics.select("qid", "title").filter(F.length("title") > 0).withColumn("_t", tokens("title"))
+    words = documents.select("docid", F.explode(F.array_distinct(tokens("text"))).alias("term"))
+    freq = words.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    inner = titles.filter(F.size("_t") > 2).select("qid", "title", F.explode(F.slice("_t", 2, F.size("_t") - 2)).alias("term"))
+    rarest = inner.join(freq, "term").groupBy("qid", "title").agg(F.min_by("term", F.struct("_df", "term")).alias("term"))
+    short = titles.filter(F.size("_t").between(1, 2)).select("qid", "title", F.element_at("_t", 1).alias("_first"))
+    by_part = short.join(freq.select("term"), F.contains("term", "_first")).select("qid", "title", "term")
+    keyed = rarest.select("qid", "title", "term").unionByName(by_part)
+    cand = words.join(keyed, "term").select("docid", "qid", "title").distinct()
+    found = cand.join(documents.select("docid", "text"), "docid").filter(F.contains("text", "title")).select("docid", "qid")
+    bare = titles.filter(F.size("_t") == 0).select("qid", "title")  # nothing but marks: compared as they are
+    return found.unionByName(documents.join(bare, F.contains("text", "title")).select("docid", "qid"))
 
 
 def containment_qrels(documents: DataFrame, topics: DataFrame, labels: DataFrame) -> DataFrame:

@@ -149,10 +149,10 @@ def mean_fb(name: str, fb: str, mode: str = "tf", keys: tuple[str, ...] = ("qid"
             f"WHERE s.s / n.n > 0)")
 
 
-def sparse_prf(name: str = "prf") -> list[str]:
+def sparse_prf(name: str = "prf", first: tuple[str, ...] = ()) -> list[str]:
     s = cat.SPARSE
     return SPARSE_BASE + [
-        bm25("first", "bow", s.k), positions_fb("fb", "first", sparse_pos()), mean_fb("fbv", "fb"),
+        *(first or (bm25("first", "bow", s.k),)), positions_fb("fb", "first", sparse_pos()), mean_fb("fbv", "fb"),
         f"terms AS (SELECT qid, term, sum(weight) AS weight FROM (SELECT qid, term, weight * {s.alpha} AS weight "
         f"FROM bow WHERE weight * {s.alpha} > 0 UNION ALL SELECT qid, term, weight * {s.beta} FROM fbv "
         f"WHERE weight * {s.beta} > 0) GROUP BY qid, term HAVING sum(weight) > 0)",
@@ -225,10 +225,10 @@ def trials_values(seeds, slices, total, split, depth, extra=None) -> str:
     tid = 0
     for seed in seeds:
         for ns in slices:
-            pos = sample_positions(seed, depth, total, split, ns)
-            arr = "[" + ", ".join(str(p) for p in pos) + "]"
-            rows.append(f"({tid}, {seed}, {ns}, {total}, {split}, {depth}, {arr})")
-            tid += 1
+            for tot in total if isinstance(total, tuple) else (total,):
+                arr = "[" + ", ".join(str(p) for p in sample_positions(seed, depth, tot, split, ns)) + "]"
+                rows.append(f"({tid}, {seed}, {ns}, {tot}, {split}, {depth}, {arr})")
+                tid += 1
     return ("trials AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") AS t(trial_id, seed, nsplit, total_prf_docs, "
             "split_num, prf_depth, positions))")
 
@@ -258,7 +258,7 @@ def run_name_sql() -> str:
 
 def dense_sweep_ctes(seeds=DEFAULT_SEEDS, slices=DEFAULT_SLICES) -> list[str]:
     s = cat.DENSE
-    return ([QV, CORPUS, trials_values(seeds, slices, 100, 10, 3), topk("first", "qv", 100), trial_fb("fb", "first"),
+    return ([QV, CORPUS, trials_values(seeds, slices, cat.VECTOR_TOTAL, 10, 3), topk("first", "qv", cat.VECTOR_TOTAL), trial_fb("fb", "first"),
              trial_rocchio("ref", "fb", 0.4, 0.6), topk("runs", "ref", s.hits, keys=("trial_id", "qid"))]
             + dense_qrels() + evaluation("e", "runs", "qrels", 2, ("trial_id",)))
 
@@ -413,9 +413,21 @@ def build() -> dict[str, str]:
     q["compare_positions"] = _w(*dense_sweep_ctes(), topk("base", "qv", s.hits), *evaluation("b", "base", "qrels"),
                                 f"bs AS ({summary_select('b', 'qrels')})", f"sw AS ({dense_sweep_select()})") + (
         f" SELECT nsplit, count(*) AS n_trials, {aggs}, {gains} FROM sw GROUP BY nsplit")
-    q["evaluate_runs"] = _w(*dense_sweep_ctes(seeds=(42,))) + (
+    q["evaluate_runs"] = _w(*dense_sweep_ctes()) + (
         " SELECT run_name, total_prf_docs, split_num, prf_depth, nsplit, seed, map, ndcg_cut_10, recall_1000 "
         f"FROM ({dense_sweep_select()})")
+    q["prf_sparse_from_run"] = _w(*sparse_prf(first=(QV, CORPUS, topk("first", "qv", cat.SPARSE.total_prf_docs)))) + (
+        " SELECT qid, docid, rank::INTEGER AS rank, round(score, 6) AS score, 'Faiss+rocchio' AS tag FROM prf")
+    q["pca_topk"] = _w(
+        "e AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)",
+        "mu AS (SELECT label, i, avg(x) AS m FROM e GROUP BY label, i)",
+        "mat AS (SELECT label, list(m ORDER BY i) AS r FROM mu GROUP BY label)",
+        "qv AS (SELECT b.item_id AS qid, (SELECT list(list_dot_product(v.embedding::DOUBLE[], r) ORDER BY label) FROM mat) AS qv "
+        "FROM benchmark b JOIN embeddings v ON v.vec_id = b.item_id)",
+        "corpus AS (SELECT vec_id AS docid, (SELECT list(list_dot_product(v.embedding::DOUBLE[], r) ORDER BY label) FROM mat) AS vec "
+        "FROM embeddings v)", topk("first", "qv", 10)) + " " + run_out("first")
+    q["dense_topk_single"] = _w(QV, CORPUS, "one AS (SELECT * FROM qv WHERE qid = (SELECT min(qid) FROM qv))",
+                                topk("first", "one", cat.DENSE_K)) + " " + run_out("first")
     q["sweep_sparse"] = sparse_sweep_sql()
     q["sweep_dense_swapped"] = dense_swapped_sweep_sql()
     q["sweep_sparse_donor"] = sparse_sweep_sql(donor=True)
@@ -457,7 +469,7 @@ def swap_ctes(first: str, fb: str, out: str, total: int, batch: int) -> list[str
     ]
 
 
-def donor_ctes(first: str, fb: str, out: str, total: int) -> list[str]:
+def donor_ctes(first: str, fb: str, out: str) -> list[str]:
     """F5 per trial: first donor, stepping back cyclically from a seeded start, disjoint from top-total."""
     return [
         f"idx AS (SELECT qid, row_number() OVER (ORDER BY qid) - 1 AS i, count(*) OVER () AS n FROM "
@@ -470,7 +482,8 @@ def donor_ctes(first: str, fb: str, out: str, total: int) -> list[str]:
         f"ON d.i = ((b.start - b.step) % b.n + b.n) % b.n WHERE d.i <> b.i AND EXISTS (SELECT 1 FROM {fb} h "
         f"WHERE h.trial_id = b.trial_id AND h.qid = d.qid))",
         f"bad AS (SELECT DISTINCT c.trial_id, c.qid, c.step FROM cand c JOIN {fb} f ON f.trial_id = c.trial_id "
-        f"AND f.qid = c.donor JOIN {first} o ON o.qid = c.qid AND o.docid = f.docid AND o.rank <= {total})",
+        f"AND f.qid = c.donor JOIN trials t ON t.trial_id = c.trial_id JOIN {first} o ON o.qid = c.qid AND o.docid = f.docid "
+        f"AND o.rank <= t.total_prf_docs)",
         "asg AS (SELECT trial_id, qid, arg_min(donor, step) AS donor FROM (SELECT * FROM cand ANTI JOIN bad "
         "USING (trial_id, qid, step)) GROUP BY trial_id, qid)",
         f"{out} AS (SELECT a.trial_id, a.qid, f.fb_pos, f.docid, f.score FROM asg a JOIN {fb} f "
@@ -528,11 +541,11 @@ def donor_sql() -> str:
 
 def sparse_sweep_sql(donor: bool = False) -> str:
     s = cat.SPARSE
-    sel = donor_ctes("first", "fb0", "fb", s.total_prf_docs) if donor else []
+    sel = donor_ctes("first", "fb0", "fb") if donor else []
     given = ("SELECT DISTINCT trial_id, qid FROM fb" if donor else
              "SELECT t.trial_id, x.item_id AS qid FROM trials t CROSS JOIN benchmark x")
     ctes = SPARSE_BASE + [
-        trials_values(DEFAULT_SEEDS, DEFAULT_SLICES, 100, 10, 3), bm25("first", "bow", s.k),
+        trials_values(DEFAULT_SEEDS, DEFAULT_SLICES, cat.SPARSE_TOTALS, 10, 3), bm25("first", "bow", s.k),
         trial_fb("fb0" if donor else "fb", "first"), *sel,
         mean_fb("fbv", "fb", keys=("trial_id", "qid")),
         f"terms AS (SELECT trial_id, qid, term, sum(weight) AS weight FROM (SELECT t.trial_id, b.qid, b.term, "

@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from fbrank.operators.feedback import select_natural, select_random_split
+from fbrank.functions.positions import sample_positions
+from fbrank.operators.feedback import select_donor, select_natural, select_random_split, select_swapped
 from fbrank.operators.refine import attach_vectors, refine_average, refine_rocchio
-from fbrank.operators.search import topk_search
+from fbrank.operators.search import assign_batches, topk_search
 
 
 @dataclass(frozen=True)
@@ -21,7 +23,8 @@ class DenseSettings:
     nsplit: int = 0
     seed: int = 42
     method: str = "rocchio"        # 'rocchio' | 'avg'
-    mode: str = "random_split"     # 'random_split' | 'natural'
+    mode: str = "random_split"     # 'random_split' | 'natural' | 'swap' | 'donor'
+    batch_size: int = 32           # of 'swap'
     alpha: float = 0.9
     beta: float = 0.1
     gamma: float = 0.1
@@ -36,9 +39,23 @@ def feedback_for(first: DataFrame, s: DenseSettings) -> DataFrame:
     if s.mode == "random_split":
         return select_random_split(first, seed=s.seed, depth=s.prf_depth, total=s.total_prf_docs,
                                    split_num=s.split_num, nsplit=s.nsplit)
+    if s.mode in ("swap", "donor"):
+        return _other_topics(first, s)
     raise ValueError(f"unknown selection mode {s.mode!r}")
 
 
+def _other_topics(first: DataFrame, s) -> DataFrame:
+    """F4/F5 for one setting: a grid of one trial; topics without a valid donor get no feedback."""
+    spark = first.sparkSession
+    pos = sample_positions(s.seed, s.prf_depth, s.total_prf_docs, s.split_num, s.nsplit)
+    trial = spark.createDataFrame([(0, s.seed, s.total_prf_docs, s.batch_size, pos)],
+                                  "trial_id int, seed int, total_prf_docs int, batch_size int, positions array<int>")
+    if s.mode == "donor":
+        return select_donor(first, trial).drop("trial_id")
+    batches = assign_batches(first.select("qid").distinct(), s.batch_size).withColumn("batch_size", F.lit(s.batch_size))
+    return select_swapped(first, trial, batches.select("batch_size", "qid", "batch")).drop("trial_id")
+
+
 def refine_for(queries: DataFrame, fb_vecs: DataFrame, s: DenseSettings) -> DataFrame:
     if s.method == "rocchio":
         return refine_rocchio(queries, fb_vecs, alpha=s.alpha, beta=s.beta, gamma=s.gamma, topk=s.topk,

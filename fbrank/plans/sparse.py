@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from fbrank.operators import sparse as sp
-from fbrank.operators.feedback import select_natural, select_random_split
+from fbrank.plans.dense import feedback_for
 
 
 @dataclass(frozen=True)
@@ -19,7 +19,8 @@ class SparseSettings:
     split_num: int = 10
     nsplit: int = 0
     seed: int = 42
-    mode: str = "random_split"   # 'random_split' | 'natural'
+    mode: str = "random_split"   # 'random_split' | 'natural' | 'swap' | 'donor'
+    batch_size: int = 32         # of 'swap'
     alpha: float = 1.0
     beta: float = 0.75
     fb_vector: str = "tf"
@@ -37,13 +38,7 @@ def sparse_feedback_run(topics: DataFrame, first: DataFrame, index: sp.Index, s:
     bow = sp.query_bow(topics, index)
     if s.prf_depth <= 0:
         return sp.bm25_search(bow, index, s.k, weights=weights)
-    if s.mode == "natural":
-        fb = select_natural(first, s.prf_depth)
-    elif s.mode == "random_split":
-        fb = select_random_split(first, seed=s.seed, depth=s.prf_depth, total=s.total_prf_docs,
-                                 split_num=s.split_num, nsplit=s.nsplit)
-    else:
-        raise ValueError(f"unknown selection mode {s.mode!r}")
+    fb = feedback_for(first, s)
     fbv = sp.mean_feedback(fb, index, mode=s.fb_vector, weights=weights)
     terms = sp.refine_terms(bow, fbv, alpha=s.alpha, beta=s.beta)
     return sp.bm25_search(terms, index, s.k, weights=weights)

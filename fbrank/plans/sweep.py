@@ -66,6 +66,13 @@ def run_name(trials: DataFrame) -> Column:
                        F.lit("trec"))
 
 
+def assert_unique_names(trials: DataFrame) -> None:
+    """Two trials of one name would mix their lines in one run; the grid is configuration."""
+    names = [r[0] for r in trials.select(run_name(trials)).collect()]
+    if len(set(names)) < len(names):
+        raise ValueError("trials share run names; write them to a folder per method, topics and mode")
+
+
 def parse_run_name(name: Column) -> list[Column]:
     """Decode run.<total>.<split>.<depth>.<nsplit>.<seed>.trec into integer settings."""
     parts = F.split(name, r"\.")

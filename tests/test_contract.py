@@ -10,7 +10,7 @@ def test_every_oracle_key_is_a_query():
 
     q, sql = queries(), oracle_sql()
     assert set(sql) <= set(q)
-    assert {k for k in catalog.QUERIES if k not in sql} == {"pca_topk"}  # rows-only: PCA sign/numeric freedom
+    assert {k for k in catalog.QUERIES if k not in sql} == set()  # rows-only: PCA sign/numeric freedom
     for name, fn in q.items():
         assert callable(fn) and len(inspect.signature(fn).parameters) == 2, name
 

@@ -50,3 +50,16 @@ def test_mean_feedback_divides_by_all_feedback_docs(spark):
 def test_mean_pool_l2(spark):
     df = spark.createDataFrame([(1, [3.0, 0.0]), (1, [3.0, 8.0])], "g int, vec array<double>")
     assert mean_pool(df, ["g"]).first()["vec"] == pytest.approx([0.6, 0.8])
+
+
+def test_fitted_pca_is_a_matrix(spark):
+    import numpy as np
+    from fbrank.operators.encode import apply_matrix, pca_apply, pca_fit
+
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(40, 5)) * [5, 3, 1, 1, 1])], "docid long, vec array<double>")
+    model = pca_fit(df, 2)
+    m = model.pc.toArray().T
+    matrix = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "component int, row array<double>")
+    a, b = ({r.docid: r.vec for r in x.collect()} for x in (pca_apply(df, model, "vec"), apply_matrix(df, "vec", matrix)))
+    assert all(np.allclose(a[i], b[i]) for i in a)
