@@ -124,10 +124,11 @@ def training_rows(id_col: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on the training rows of ``labels`` whose documents are in ``docs``.  Null ids or labels are not learned."""
+    """Fit on the training rows of ``labels`` whose documents are in ``docs``.  Null ids or labels are not learned;
+    of rows repeated under one id, one is."""
     ident = column(labels, id_col)
     sample = (labels.filter(training_rows(ident) & column(labels, label_col).isNotNull())
-              .select(ident.alias("id"), (column(labels, label_col) == 1).alias("good"))
+              .select(ident.alias("id"), (column(labels, label_col) == 1).alias("good")).distinct()
               .orderBy(F.xxhash64(F.lit(3), "id"), "id", "good").limit(max_labelled))
     texts = docs.select(column(docs, id_col).alias("id"), column(docs, text_col).cast("binary").alias("text"))
 
@@ -136,7 +137,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return text.map(features)
 
     rows = texts.join(F.broadcast(sample), "id").select("id", "good", described("text").alias("x"))  # bounded: max_labelled rows
-    got = rows.orderBy("id", "good").toPandas()
+    # rows may be repeated under one id without bound; one of them is learned
+    got = rows.groupBy("id", "good").agg(F.min("x").alias("x")).orderBy("id", "good").toPandas()
     x = np.array(got["x"].tolist(), float).reshape(len(got), len(FEATURES))
     return fit(x, got["good"].to_numpy(bool))
 
