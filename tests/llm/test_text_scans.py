@@ -126,6 +126,13 @@ def test_quality_learns_only_training_rows(spark):
     assert a == b
 
 
+def test_quality_learns_repeated_rows_once(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    again = docs.unionByName(docs.filter("doc_id % 3 = 0")).unionByName(docs.filter("doc_id % 3 = 0"))
+    a, b = quality.learn(docs, labels), quality.learn(again, labels.unionByName(labels))
+    assert np.array_equal(a.weights, b.weights) and a.cut == b.cut
+
+
 def test_quality_of_odd_rows(spark):
     schema = "doc_id long, text string, score string, predicted int"
     docs = spark.createDataFrame([(1, None, "a", 1), (None, "", "b", 2), (3, "x" * 100_000, "c", 3), (3, LONG, "c", 3), (3, LONG, "c", 3)], schema)
