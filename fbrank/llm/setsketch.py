@@ -9,9 +9,11 @@ similarity, so bands of register values find the candidates.
 Documents with equal sets are one class from the start and only classes are compared.  Bands with
 the same members are compared once.  A bucket of any size is split into tiles of about ``TILE``
 classes and every pair of tiles is one task's group: nothing is capped and no group grows with the
-data.  In a group, a pair is dropped when the joint likelihood of its registers (given the two
-set sizes) speaks against the threshold by more than ``SURE`` nats; the others are confirmed on
-their full shingle sets.  A group returns a spanning forest of its links, never the pairs.
+data.  A pair that shares several bands belongs to the first of them.  In a group, a pair is
+dropped when it belongs to another or when the joint likelihood of its registers (given the two
+set sizes) speaks against the threshold by more than ``SURE`` nats.  This is tested on the bands'
+registers alone; then the full shingle sets of members with a pair left are fetched, and those
+pairs are confirmed on them.  A group returns a spanning forest of its links, never the pairs.
 """
 
 from __future__ import annotations
@@ -152,35 +154,50 @@ def _more(x: np.ndarray) -> np.ndarray:
     return -np.log(np.maximum(1.0 - x * (BASE - 1.0) / BASE, 1e-300)) / np.log(BASE)
 
 
-def log_likelihood(j, above, below, n_a, n_b):
-    """Joint log-likelihood of ``above`` registers larger in A and ``below`` larger in B, at Jaccard ``j``."""
+def log_likelihood(j, above, below, n_a, n_b, m=M):
+    """Joint log-likelihood of ``above`` registers larger in A and ``below`` larger in B, of ``m``, at Jaccard ``j``."""
     u = n_a / (n_a + n_b)
     p = np.maximum(_more(u - (1 - u) * j), 1e-12)
     q = np.maximum(_more((1 - u) - u * j), 1e-12)
-    return above * np.log(p) + below * np.log(q) + (M - above - below) * np.log(np.maximum(1 - p - q, 1e-12))
+    return above * np.log(p) + below * np.log(q) + (m - above - below) * np.log(np.maximum(1 - p - q, 1e-12))
 
 
 def possible(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs (A x B) may reach the threshold: by their sizes (exact) and by joint likelihood."""
     ok = np.minimum(na[:, None], nb[None, :]) * 100 >= percent * np.maximum(na[:, None], nb[None, :])
-    above, below = np.zeros(ok.shape, np.uint8), np.zeros(ok.shape, np.uint8)
-    for i in range(M):
-        above += ra[:, i, None] > rb[None, :, i]
-        below += ra[:, i, None] < rb[None, :, i]
-    same = M - above.astype(np.int16) - below
+    k = ra.shape[1]
+    if ok.size <= 64:
+        above, below = ((ra[:, None] > rb[None]).sum(axis=2, dtype=np.uint8), (ra[:, None] < rb[None]).sum(axis=2, dtype=np.uint8))
+    else:  # a register at a time, so that memory is that of the pairs
+        above, below = np.zeros(ok.shape, np.uint8), np.zeros(ok.shape, np.uint8)
+        for i in range(k):
+            above += ra[:, i, None] > rb[None, :, i]
+            below += ra[:, i, None] < rb[None, :, i]
+    same = k - above.astype(np.int16) - below
     j0 = percent / 100.0
-    ok &= same >= M * (j0 - 0.35)  # further off than any likelihood in question
-    x, y = np.nonzero(ok & (same < M * j0))
+    ok &= same >= k * (j0 - 0.35)  # further off than any likelihood in question
+    x, y = np.nonzero(ok & (same < k * j0))
     for at in range(0, len(x), 100_000):
         i, j = x[at : at + 100_000], y[at : at + 100_000]
         a, b, n, m = above[i, j].astype(float), below[i, j].astype(float), na[i].astype(float), nb[j].astype(float)
-        here = log_likelihood(np.minimum(j0, np.minimum(n, m) / np.maximum(n, m)), a, b, n, m)
-        best = np.max([log_likelihood(np.minimum(g, np.minimum(n, m) / np.maximum(n, m)), a, b, n, m)
+        here = log_likelihood(np.minimum(j0, np.minimum(n, m) / np.maximum(n, m)), a, b, n, m, k)
+        best = np.max([log_likelihood(np.minimum(g, np.minimum(n, m) / np.maximum(n, m)), a, b, n, m, k)
                        for g in np.linspace(j0 - 0.4, j0, 9)], axis=0)
         ok[i, j] = best - here <= SURE
     return ok
 
 
+def belongs(ka: np.ndarray, kb: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs (A x B, rows of band keys) share no band before that of ``band``.
+
+    A pair's first shared band is always among the buckets compared: of buckets with the same
+    members the one of the least key stays, and keys are in the order of their bands."""
+    ok = np.ones((len(ka), len(kb)), bool)
+    for i in np.nonzero(ka[:1] >> 48 < band >> 48)[1]:
+        ok &= ka[:, i, None] != kb[None, :, i]
+    return ok
+
+
 def _overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
     """Sizes of the intersections between the first ``split`` sets and the others (or all, if none are others)."""
     n = len(sets)
@@ -202,7 +219,28 @@ def _overlaps(sets: list[np.ndarray], split: int) -> np.ndarray:
     return out
 
 
-def _group_links(percent: int):
+def _group_members(percent: int, rows: int):
+    """The members of a group that have a pair to confirm there: those whose sets must be fetched."""
+    def members(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        band, i, j = (x.as_py() for x in key)
+        tile, size = table.column("tile").to_numpy(), table.column("n").to_numpy()
+        keys = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(tile), -1)
+        a, b = np.nonzero(tile == i)[0], np.nonzero(tile == j)[0]
+        ok = belongs(keys[a], keys[b], band)
+        if i == j:
+            np.fill_diagonal(ok, False)
+        if ok.any():
+            reg = np.ascontiguousarray(keys).view(np.uint8).reshape(len(tile), -1, 8)[:, :, :rows].reshape(len(tile), -1)
+            ok &= possible(reg[a], reg[b], size[a], size[b], percent)
+        some = np.zeros(len(tile), bool)
+        some[a[ok.any(axis=1)]] = True
+        some[b[ok.any(axis=0)]] = True
+        return table.filter(pa.array(some)).select(["k1", "k2", "rep", "band", "tile", "i", "j"])
+
+    return members
+
+
+def _group_links(percent: int, rows: int):
     def links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         cross = key[1].as_py() != key[2].as_py()
         table = table.sort_by([("tile", "ascending")])
@@ -215,7 +253,8 @@ def _group_links(percent: int):
         if len(ids) < 2 or cross and not 0 < split < len(ids):
             a_end, b_end = ids[:0], ids[:0]
         else:
-            ok = possible(reg[a], reg[b], size[a], size[b], percent)
+            keys = np.array([band_keys(r, rows) for r in reg])
+            ok = belongs(keys[a], keys[b], key[0].as_py()) & possible(reg[a], reg[b], size[a], size[b], percent)
             if not cross:
                 np.fill_diagonal(ok, False)
             if len(ids) > 24 and ok.any():
@@ -256,23 +295,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("binary").alias("text"))
     sketched = settled(rows.mapInArrow(lambda it: _sketch(it, shingle, per_band), "id long, n long, k1 long, k2 long, bands array<long>"))
     alike = sketched.filter("n > 0 and id is not null")
-    classes = settled(alike.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    bands = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("mark"))
+    classes = settled(alike.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    bands = classes.select("k1", "k2", F.explode("bands").alias("band"))
+    buckets = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("k1").alias("first"), F.bit_xor(F.xxhash64("k1", "k2")).alias("mark"))
     once = buckets.filter("size > 1").groupBy("size", "first", "mark").agg(F.min("band").alias("band")).select("band", "size")
-    members = settled(bands.join(once, "band").join(classes.select("rep", "k1", "k2"), "rep"))
-    wanted = members.select(F.col("rep").alias("id")).distinct()
+    n_tiles = F.ceil(F.col("size") / F.lit(tile)).cast("int")
+    tiled = (bands.join(once, "band").withColumn("tile", F.pmod(F.xxhash64("k1", "k2"), n_tiles).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), n_tiles - 1)))
+             .select("k1", "k2", "band", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
+    tested = settled(tiled.join(classes, ["k1", "k2"]).groupBy("band", "i", "j").applyInArrow(
+        _group_members(percent, per_band), "k1 long, k2 long, rep long, band long, tile int, i int, j int"))
+    wanted = tested.select(F.col("rep").alias("id")).distinct()
     full = (rows.filter("id is not null").join(wanted, "id", "left_semi").select("text")
             .mapInArrow(lambda it: _full_sets(it, shingle), "k1 long, k2 long, hashes binary, reg binary")
             .groupBy("k1", "k2").agg(F.first("hashes").alias("hashes"), F.first("reg").alias("reg")))
-    n_tiles = F.ceil(F.col("size") / F.lit(tile))
-    own = F.pmod(F.xxhash64("k1", "k2"), n_tiles).cast("int")
-    grouped = (members.withColumn("tile", own)
-               .withColumn("other", F.explode(F.sequence(F.lit(0), (n_tiles - 1).cast("int"))))
-               .select("k1", "k2", "rep", "band", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-               .join(full, ["k1", "k2"])
-               .select("band", "i", "j", "rep", "tile", "hashes", "reg"))
-    links = grouped.groupBy("band", "i", "j").applyInArrow(_group_links(percent), "a long, b long")
+    grouped = tested.join(full, ["k1", "k2"]).select("band", "i", "j", "rep", "tile", "hashes", "reg")
+    links = grouped.groupBy("band", "i", "j").applyInArrow(_group_links(percent, per_band), "a long, b long")
     found = connected_components(links).withColumnRenamed("node", "rep")
     labelled = classes.select("k1", "k2", "rep").join(found, "rep", "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("component_id"))

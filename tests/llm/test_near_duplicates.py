@@ -76,6 +76,26 @@ def test_near_duplicates_of_odd_rows(spark):
     assert setsketch.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_ids_repeated_over_different_texts_keep_their_buckets(spark):
+    rng = random.Random(9)
+    families = [list(near_texts(rng, 2, 2)) for _ in range(12)]
+    rows = [(i % 4, t) for i, two in enumerate(families) for t in two] + [(100 + i, two[0] + " z") for i, two in enumerate(families)]
+    got = {(r.doc_id, r.component_id) for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i % 4, i % 4) for i in range(12)} | {(100 + i, i % 4) for i in range(12)}
+
+
+def test_each_pair_belongs_to_its_first_shared_band():
+    rng = np.random.default_rng(4)
+    for percent in (80, 20):  # the second has a register a band, 144 bands
+        rows = setsketch.band_rows(percent)
+        keys = np.array([setsketch.band_keys(r, rows) for r in rng.integers(0, 3, (12, setsketch.M)).astype(np.uint8)])
+        home = np.zeros((12, 12), int)
+        for band in {int(x) for x in keys.ravel()}:
+            held = (keys == band).any(axis=1)
+            home += setsketch.belongs(keys, keys, band) & held[:, None] & held[None, :]
+        assert (home == (keys[:, None] == keys[None]).any(axis=2)).all()
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(2)
     h = rng.integers(0, 2**64, size=3000, dtype=np.uint64)
