@@ -328,13 +328,21 @@ def _one_trial(spark, **kw):
         base["seed"], base["prf_depth"], base["total_prf_docs"], base["split_num"], base["nsplit"])]))
 
 
-def q_feedback_swapped(spark, sf):
-    c = Ctx(spark, sf)
+def _swapped(spark, c: Ctx):
     trials = _one_trial(spark, seed=SWAP["seed"], split_num=SWAP["split_num"], nsplit=SWAP["nsplit"],
                         total_prf_docs=SWAP["total"], prf_depth=SWAP["depth"], batch_size=SWAP["batch"])
     batched = assign_batches(c.topics.select("qid"), SWAP["batch"]).withColumn("batch_size", F.lit(SWAP["batch"]))
-    fb = select_swapped(c.dense_first(DENSE_K), trials, batched.select("batch_size", "qid", "batch"))
-    return fb.select("trial_id", "qid", "fb_pos", "docid", _r("score"))
+    return trials, select_swapped(c.dense_first(DENSE_K), trials, batched.select("batch_size", "qid", "batch"))
+
+
+def q_feedback_swapped(spark, sf):
+    return _swapped(spark, Ctx(spark, sf))[1].select("trial_id", "qid", "fb_pos", "docid", _r("score"))
+
+
+def q_feedback_unsatisfied(spark, sf):
+    c = Ctx(spark, sf)
+    trials, fb = _swapped(spark, c)
+    return sw.unsatisfied(trials, c.topics, fb)
 
 
 def q_feedback_donor(spark, sf):
@@ -594,6 +602,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "feedback_natural": q_feedback_natural,
     "feedback_random_split": q_feedback_random_split,
     "feedback_swapped": q_feedback_swapped,
+    "feedback_unsatisfied": q_feedback_unsatisfied,
     "feedback_donor": q_feedback_donor,
     "ranking_overlap": q_ranking_overlap,
     "prf_depth_zero": q_prf_depth_zero,

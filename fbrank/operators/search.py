@@ -29,6 +29,7 @@ RANK_DIGITS = 9      # fixed value: ranking key is round(score, 9), then docid
 TIE_EPS = 1e-9       # candidates within this of the k-th score are kept (exact ties survive)
 CELL_BUDGET = 1 << 22  # score-matrix cells per NumPy step inside one task
 SHARD_ROWS = 200_000   # documents of one kernel group
+QUERY_ROWS = 50_000    # queries of one kernel group, where their number is given
 
 
 def rank_key(score: Column | str = "score") -> Column:
@@ -155,7 +156,7 @@ def _make_kernel(keys: Sequence[str], qv: str, docid: str, vec: str, k: int, met
 def topk_search(queries: DataFrame, corpus: DataFrame, k: int, *, keys: Sequence[str] = ("qid",),
                 qv: str = "qv", docid: str = "docid", vec: str = "vec", metric: str = "ip",
                 exclude_self: str | None = None, n_shards: int | None = None,
-                query_blocks: int | None = None) -> DataFrame:
+                query_blocks: int | None = None, n_queries: int | None = None) -> DataFrame:
     """Exact top-k per query row.
 
     Returns ``keys..., docid, score DOUBLE, rank INT`` with rank 1..k ordered by
@@ -164,12 +165,13 @@ def topk_search(queries: DataFrame, corpus: DataFrame, k: int, *, keys: Sequence
 
     Layout: the corpus is cut into ``n_shards`` hash shards, at least ``4k`` documents each (so
     that the partial top-k of a shard prunes) and at most about ``SHARD_ROWS``, and the queries
-    into ``query_blocks`` hash blocks; each group holds one shard and one block (set both
-    explicitly for very large query sets).  The result does not depend on the layout.
+    into ``query_blocks`` hash blocks; each group holds one shard and one block.  Give
+    ``n_queries`` (about, at least) for query sets that may be large: a block then holds about
+    ``QUERY_ROWS``.  The result does not depend on the layout.
     """
     spark = queries.sparkSession
     keys = list(keys)
-    n_shards, query_blocks = search_layout(corpus, k, n_shards, query_blocks)
+    n_shards, query_blocks = search_layout(corpus, k, n_shards, query_blocks, n_queries)
     key_fields = [queries.schema[kc] for kc in keys]
     id_field = corpus.schema[docid]
     out_struct = T.StructType(
@@ -190,14 +192,15 @@ def topk_search(queries: DataFrame, corpus: DataFrame, k: int, *, keys: Sequence
 
 
 def search_layout(corpus: DataFrame, k: int, n_shards: int | None = None,
-                  query_blocks: int | None = None) -> tuple[int, int]:
-    """(shards, query blocks) for a corpus: shards of 4k to SHARD_ROWS documents, at least about one group per core."""
+                  query_blocks: int | None = None, n_queries: int | None = None) -> tuple[int, int]:
+    """(shards, query blocks) for a corpus: shards of 4k to SHARD_ROWS documents, blocks of at most
+    about QUERY_ROWS of ``n_queries``, at least about one group per core."""
     cores = corpus.sparkSession.sparkContext.defaultParallelism
     if n_shards is None:
         rows = corpus.count()  # a job of its own: it sets the layout
         n_shards = int(max(1, min(cores, rows // max(4 * k, 1)), -(-rows // SHARD_ROWS)))
     if query_blocks is None:
-        query_blocks = int(max(1, cores // n_shards))
+        query_blocks = int(max(1, cores // n_shards, -(-(n_queries or 0) // QUERY_ROWS)))
     return n_shards, query_blocks
 
 

@@ -339,6 +339,7 @@ def build() -> dict[str, str]:
     q["feedback_random_split"] = _w(QV, CORPUS, topk("first", "qv", s.total_prf_docs), positions_fb("fb", "first", pos)) + (
         " SELECT qid, fb_pos, docid, round(score, 6) AS score FROM fb")
     q["feedback_swapped"] = swapped_sql()
+    q["feedback_unsatisfied"] = f"SELECT 0 AS trial_id, item_id AS qid FROM benchmark WHERE item_id NOT IN (SELECT qid FROM ({swapped_sql()}))"
     q["feedback_donor"] = donor_sql()
     q["ranking_overlap"] = _w(*dense_prf(), topk("first", "qv", cat.DENSE_K).replace("first", "f100")) + (
         " SELECT f.qid, f.docid, f.rank::INTEGER AS rank FROM f100 f SEMI JOIN (SELECT qid, docid FROM prf WHERE rank <= 10) p "

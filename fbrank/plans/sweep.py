@@ -133,8 +133,9 @@ def dense_sweep_runs(trials: DataFrame, queries: DataFrame, corpus: DataFrame, *
     """X2 (dense): the second ranking of every (trial_id, qid); ``mode`` per trial row is
     'random_split' (F3), 'natural' (F1) or 'swap' (F4, needs ``topics_batched``)."""
     trials = _checked(trials, ("random_split", "natural", "swap"))
-    max_total = trials.agg(F.max(F.greatest("total_prf_docs", "prf_depth"))).first()[0]
-    first = topk_search(queries, corpus, max_total, exclude_self=exclude_self).persist()
+    max_total, n_trials = trials.agg(F.max(F.greatest("total_prf_docs", "prf_depth")), F.count(F.lit(1))).first()
+    n_topics = queries.count()  # with the grid's size it sets the layout of the searches
+    first = topk_search(queries, corpus, max_total, exclude_self=exclude_self, n_queries=n_topics).persist()
     fb = _feedback(first, trials, "swap", lambda f, t: select_swapped(f, t, topics_batched))
     fbv = attach_vectors(fb, corpus)
     tq = _trial_topics(trials, queries.select("qid", "qv"), fb)
@@ -142,7 +143,7 @@ def dense_sweep_runs(trials: DataFrame, queries: DataFrame, corpus: DataFrame, *
         refined = _rocchio_per_trial(tq, fbv)
     else:
         refined = refine_average(tq.select("trial_id", "qid", "qv"), fbv, keys=("trial_id", "qid"))
-    return topk_search(refined, corpus, hits, keys=("trial_id", "qid"), exclude_self=exclude_self)
+    return topk_search(refined, corpus, hits, keys=("trial_id", "qid"), exclude_self=exclude_self, n_queries=n_trials * n_topics)
 
 
 def _rocchio_per_trial(tq: DataFrame, fbv: DataFrame) -> DataFrame:

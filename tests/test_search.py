@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fbrank.operators import sparse as sp
-from fbrank.operators.search import binary_search, break_ties, max_passage, topk_search
+from fbrank.operators.search import QUERY_ROWS, binary_search, break_ties, max_passage, search_layout, topk_search
 
 
 def _brute(Q, C, ids, k, exclude=None, qids=None):
@@ -124,3 +124,12 @@ def test_rocchio_sweep_linear_equals_terms(spark):
                                method="terms")
     key = lambda r: (r["trial_id"], r["qid"], r["rank"], r["docid"], round(r["score"], 6))
     assert sorted(map(key, lin.collect())) == sorted(map(key, ter.collect()))
+
+
+def test_query_blocks_are_bounded_and_change_nothing(spark):
+    corpus = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "docid long, vec array<double>")
+    queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "qid long, qv array<double>")
+    shards, blocks = search_layout(corpus, 5, n_queries=40 * QUERY_ROWS)
+    assert blocks >= 40 and shards >= 1
+    one, many = (topk_search(queries, corpus, 5, **o).orderBy("qid", "rank").collect() for o in ({"query_blocks": 1}, {"n_queries": 40 * QUERY_ROWS}))
+    assert one == many
