@@ -15,6 +15,9 @@ from fbrank.llm.frames import column
 from fbrank.llm.queries import TARGETS, table
 from fbrank.session import scratch_path, ship_package
 
+#: share of the tokens left by the other stages that the sample holds at least
+SAMPLE = 0.25
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -37,8 +40,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sample that meets the target weights (operator 2)."""
-    mixed = mixing.mix(docs, TARGETS)
+    """The sample that meets the target weights, a quarter of the tokens at least (operator 2)."""
+    mixed = mixing.mix(docs, TARGETS, share=SAMPLE)
     return mixed.filter(column(mixed, mixed.columns[-1])["sampled"])
 
 

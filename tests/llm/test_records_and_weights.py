@@ -43,6 +43,25 @@ def test_raking_meets_the_margins(spark):
     assert max(r.probability for r in got) == pytest.approx(1.0)
 
 
+def test_a_stray_document_does_not_set_the_sample(spark):
+    cells = [(f"src{i}", lang, "prose", 1000.0 + 10 * i) for i in range(4) for lang in ("en", "de")]
+    margins = {"m0": {f"src{i}": 1.0 for i in range(4)}, "m1": {"en": 2.0, "de": 1.0}, "m2": {"prose": 97.0, "speech": 3.0}}
+    stray = ("src3", "de", "speech", 3.0)
+    df = spark.createDataFrame([*cells, stray], "m0 string, m1 string, m2 string, tokens double")
+    got = mixing.rake(df, margins, rounds=200, share=0.25).collect()
+    total, sampled = sum(r.tokens for r in got), sum(r.tokens * r.probability for r in got)
+    assert sampled / total == pytest.approx(0.25, rel=1e-6)
+    assert all(0 < r.probability <= 1 for r in got) and [r.probability for r in got if r.m2 == "speech"] == [1.0]
+    for m, name in (("m0", "src0"), ("m0", "src3"), ("m1", "en"), ("m1", "de")):
+        weight = margins[m][name] / sum(margins[m].values())
+        assert sum(r.tokens * r.probability for r in got if r[m] == name) / sampled == pytest.approx(weight, rel=1e-6)
+    _, unmet = mixing.fit([*cells, stray], margins, 200, 0.25)
+    assert {u[:2] for u in unmet} == {("m2", "speech"), ("m2", "prose")}
+    docs = [(k, "word " * 60, ("en", "de", "fr", "es")[k % 4], f"src{k % 20}") for k in range(4000)] + [(9999, "what? " * 60, "es", "src3")]
+    mixed = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), queries.TARGETS)
+    assert mixed.filter("mixed.sampled").count() > 0.1 * len(docs)
+
+
 def test_mixing_of_odd_rows(spark):
     rows = [(1, "a b", "en", "src1", 1), (1, "a b", "en", "src1", 1), (2, None, None, None, 2), (3, "", "en", "src1", 3), (None, "x 1 2", "xx", "src2", 4), (4, "w " * 100_000, "de", "src0", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mixed int").withColumn("cell", F.lit(1)).withColumn("mix_cell", F.lit(1))
