@@ -12,17 +12,22 @@ so that passages which some pages have in common, quotes and near copies stay.
 streams count as one.  Sorting by the first ``RUN`` words is enough: a longer repeat is a chain of
 repeats of that length, and covers the same words.
 
-A host's pages are dealt at random into groups of about ``PAGES``, so a hot host is many groups;
-shares of pages mean the same in each.
+A host of up to ``PAGES`` pages is one group.  The distinct streams of a larger one are dealt into
+groups of about ``PAGES`` to find its runs: a run on a tenth of the host's streams is on a tenth of
+the streams of some group, so groups name every candidate.  Candidates are then counted over all
+distinct streams of the host, and each page is cut by the host's counts alone.  Runs and streams are
+known by 64-bit hashes there.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +38,8 @@ RUN = 8
 PAGES = 64
 #: hosts with more than PAGES pages: up to so many, which is counted first, are broadcast (some 50 MB); more are joined by a shuffle
 BIG_HOSTS = 500_000
+#: runs of all hosts together, counted first, that are broadcast (some 80 MB); more are joined by a shuffle
+BIG_RUNS = 5_000_000
 OPEN_PAGES, OPEN_SHARE = 3, 0.1
 ARTICLE_PAGES, ARTICLE_SHARE = 8, 0.5
 
@@ -156,28 +163,39 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def repeated_cover(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
-    """Per token of each stream, on how many distinct streams the most wide-spread run of ``run`` tokens through it occurs.
-
-    Equal streams count as one.  0 where no run reaches over the token (streams shorter than a run)."""
-    seen: dict[bytes, int] = {}
-    which = [seen.setdefault(s.tobytes(), k) for k, s in enumerate(streams)]
-    kept = [k for k in range(len(streams)) if which[k] == k]
+def _spread(streams: list[np.ndarray], run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Over the concatenated ``streams``, each ended by a separator: the tokens, the suffixes' ranks, whether a
+    whole run starts there, and per rank on how many streams it occurs."""
     top = 1 + max((int(s.max()) for s in streams if len(s)), default=0)
     # one separator of its own ends each stream, so no run that counts goes over a border
-    text = np.concatenate([np.append(streams[k], top + i) for i, k in enumerate(kept)]) if kept else np.empty(0, np.int64)
-    page = np.repeat(np.arange(len(kept)), [len(streams[k]) + 1 for k in kept])
+    text = np.concatenate([np.append(s, top + i) for i, s in enumerate(streams)]) if streams else np.empty(0, np.int64)
+    page = np.repeat(np.arange(len(streams)), [len(s) + 1 for s in streams])
     rank = suffix_ranks(text, run)
     whole = np.zeros(len(text), bool)
-    ends = np.cumsum([len(streams[k]) + 1 for k in kept]) - 1
+    ends = np.cumsum([len(s) + 1 for s in streams]) - 1
     if len(text):
         whole = np.arange(len(text)) + run <= ends[page]
-    pairs = np.unique(rank[whole] * (len(kept) + 1) + page[whole])
-    spread = np.bincount(pairs // (len(kept) + 1), minlength=int(rank.max()) + 1 if len(rank) else 0)
-    here = np.where(whole, spread[rank] if len(rank) else 0, 0)
+    pairs = np.unique(rank[whole] * (len(streams) + 1) + page[whole])
+    return text, rank, whole, np.bincount(pairs // (len(streams) + 1), minlength=int(rank.max()) + 1 if len(rank) else 0)
+
+
+def _covered(here: np.ndarray, run: int) -> np.ndarray:
+    """Per token the largest of ``here`` at the starts of the runs through it."""
     cover = here.copy()
     for shift in range(1, run):
         cover[shift:] = np.maximum(cover[shift:], here[:-shift])
+    return cover
+
+
+def repeated_cover(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray]:
+    """Per token of each stream, on how many distinct streams the most wide-spread run of ``run`` tokens through it occurs.
+
+    Equal streams count as one.  0 where no run reaches over the token (streams shorter than a run)."""
+    seen: dict[bytes, int] = {}
+    which = [seen.setdefault(s.tobytes(), k) for k, s in enumerate(streams)]
+    kept = [k for k in range(len(streams)) if which[k] == k]
+    _, rank, whole, spread = _spread([streams[k] for k in kept], run)
+    cover = _covered(np.where(whole, spread[rank] if len(rank) else 0, 0), run)
     at, by = 0, {}
     for k in kept:
         by[k] = cover[at : at + len(streams[k])]
@@ -185,29 +203,51 @@ def repeated_cover(streams: list[np.ndarray], run: int = RUN) -> list[np.ndarray
     return [by[w] for w in which]
 
 
+def _cut(page: list[tuple[str, int]], words: list[list[str]], cover: np.ndarray, distinct: int) -> str:
+    """The page's text without what ``cover`` shows to be boilerplate on a host of ``distinct`` streams."""
+    wide = max(OPEN_PAGES, OPEN_SHARE * distinct)
+    site = max(ARTICLE_PAGES, ARTICLE_SHARE * distinct)
+    at, kept = 0, []
+    for (text, role), block in zip(page, words, strict=True):
+        c = cover[at : at + len(block)]
+        at += len(block)
+        if role == ARTICLE:
+            if c.min() < site:
+                kept.append(text)
+        elif (c < wide).all():
+            kept.append(text)
+        elif (c < wide).any():
+            kept.append(" ".join(w for w, n in zip(block, c, strict=True) if n < wide))
+    return " ".join(kept)
+
+
 def unique_text(pages: list[list[tuple[str, int]]]) -> list[str]:
     """The pages' texts without what is boilerplate among them."""
     ids: dict[str, int] = {}
     words = [[b.split(" ") for b, _ in p] for p in pages]
     streams = [np.array([ids.setdefault(w, len(ids)) for b in p for w in b], np.int64) for p in words]
     distinct = len({s.tobytes() for s in streams})
-    wide = max(OPEN_PAGES, OPEN_SHARE * distinct)
-    site = max(ARTICLE_PAGES, ARTICLE_SHARE * distinct)
-    out = []
-    for page, blocks, cover in zip(pages, words, repeated_cover(streams), strict=True):
-        at, kept = 0, []
-        for (text, role), block in zip(page, blocks, strict=True):
-            c = cover[at : at + len(block)]
-            at += len(block)
-            if role == ARTICLE:
-                if c.min() < site:
-                    kept.append(text)
-            elif (c < wide).all():
-                kept.append(text)
-            elif (c < wide).any():
-                kept.append(" ".join(w for w, n in zip(block, c, strict=True) if n < wide))
-        out.append(" ".join(kept))
-    return out
+    return [_cut(p, w, c, distinct) for p, w, c in zip(pages, words, repeated_cover(streams), strict=True)]
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    return pd.util.hash_array(np.array(words, object), categorize=False) if words else np.empty(0, np.uint64)
+
+
+def run_hashes(hashes: np.ndarray, run: int = RUN) -> np.ndarray:
+    """A hash of the ``run`` words from each place on where so many are left, from the words' hashes."""
+    n = max(len(hashes) - run + 1, 0)
+    out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+    for k in range(run):
+        out = (out ^ hashes[k : k + n]) * np.uint64(0xBF58476D1CE4E5B9)
+        out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def _stream(page: str | None) -> tuple[str, int]:
+    """The page's words joined by spaces, and their hash."""
+    text = " ".join(b for b, _ in blocks_of(page))
+    return text, int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 _BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("role", pa.int8())]))
@@ -225,24 +265,129 @@ def _extract(table: pa.Table) -> pa.Table:
     return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": pa.array(unique_text(pages), pa.string())})
 
 
+_STREAMS = "host string, part long, stream long, words string"
+_RUNS = "host string, run long, n long"
+_FOUND = "host string, stream long, runs array<long>"
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, str, str, int]]]]:
+    """Per piece of a batch of ``host, html, ...`` the rows whose stream is new to the task: place, host, words, hash."""
+    seen: set[tuple[str, int]] = set()
+    for batch in batches:
+        for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            new = []
+            for k, (host, page) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                words, stream = _stream(page)
+                if (host, stream) not in seen:
+                    seen.add((host, stream))
+                    new.append((k, host, words, stream))
+            yield part, new
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, new in _once(batches):
+        parts = part.column(2).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([h for _, h, _, _ in new], pa.string()), pa.array([s % parts[k] for k, _, _, s in new], pa.int64()),
+                                          pa.array([s for *_, s in new], pa.int64()), pa.array([w for _, _, w, _ in new], pa.string())], names=["host", "part", "stream", "words"])
+
+
+def _candidates(table: pa.Table) -> pa.Table:
+    """Runs on ``OPEN_SHARE`` of the group's distinct streams, and a row without run for the number of these."""
+    texts = dict(zip(table.column("stream").to_pylist(), table.column("words").to_pylist(), strict=True))
+    ids: dict[str, int] = {}
+    streams = [np.array([ids.setdefault(w, len(ids)) for w in t.split(" ")] if t else [], np.int64) for t in texts.values()]
+    text, rank, whole, spread = _spread(streams, RUN)
+    ranks, first = np.unique(rank[whole], return_index=True)
+    often = spread[ranks] >= OPEN_SHARE * len(streams)
+    starts = np.flatnonzero(whole)[first[often]]
+    words = _hashes(list(ids))
+    runs = run_hashes(words[text[starts[:, None] + np.arange(RUN)]].ravel())[::RUN] if len(starts) else np.empty(0, np.int64)
+    host = table.column("host")[0].as_py()
+    return pa.table({"host": pa.array([host] * (len(runs) + 1), pa.string()), "run": pa.array([None, *runs.tolist()], pa.int64()),
+                     "n": pa.array([len(streams), *spread[ranks[often]].tolist()], pa.int64())})
+
+
+def _per_host(part: pa.RecordBatch, *names: str) -> dict[str, tuple]:
+    """The values of columns that are the same on all rows of a host."""
+    first: dict[str, int] = {}
+    for k, host in enumerate(part.column("host").to_pylist()):
+        first.setdefault(host, k)
+    return {h: tuple(part.column(n)[k].as_py() for n in names) for h, k in first.items()}
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, new in _once(batches):
+        runs = {h: np.array(r, np.int64) for h, (r,) in _per_host(part, "runs").items()}
+        out = []
+        for _, host, words, stream in new:
+            here = np.unique(run_hashes(_hashes(words.split(" ") if words else [])))
+            if len(here := here[np.isin(here, runs[host])]):
+                out.append((host, stream, here.tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in out], pa.string()), pa.array([s for _, s, _ in out], pa.int64()),
+                                          pa.array([r for *_, r in out], pa.list_(pa.int64()))], names=["host", "stream", "runs"])
+
+
+def _cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+            known = {}
+            for host, (often, distinct) in _per_host(part, "often", "streams").items():
+                pairs = np.array(sorted((x["run"], x["n"]) for x in often or ()), np.int64).reshape(-1, 2)
+                known[host] = pairs[:, 0], pairs[:, 1], distinct
+            out = []
+            for host, html in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                page = blocks_of(html)
+                runs, counts, distinct = known[host]
+                words = [b.split(" ") for b, _ in page]
+                here = np.zeros(sum(map(len, words)), np.int64)
+                if len(runs):
+                    own = run_hashes(_hashes([w for b in words for w in b]))
+                    at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
+                    here[: len(own)] = np.where(runs[at] == own, counts[at], 0)
+                out.append(_cut(page, words, _covered(here, RUN), distinct))
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
+
+
+def _with_runs(rows: DataFrame, table: DataFrame, total: int, how: str) -> DataFrame:
+    return rows.join(F.broadcast(table) if total <= BIG_RUNS else table, "host", how)
+
+
+def _extract_large(rows: DataFrame, kinds: list[str]) -> DataFrame:
+    """``page_id, url, text`` of the pages of large hosts (``parts``: the number of a host's groups)."""
+    dealt = rows.select("host", "html", "parts").mapInArrow(_streams, _STREAMS)
+    named = settled(dealt.groupBy("host", "part").applyInArrow(_candidates, _RUNS))
+    streams = named.filter("run is null").groupBy("host").agg(F.sum("n").alias("streams"))
+    asked = named.filter("run is not null").groupBy("host").agg(F.collect_set("run").alias("runs"))
+    total = named.filter("run is not null").select("host", "run").distinct().count()
+    found = _with_runs(rows.select("host", "html"), asked, total, "inner").mapInArrow(_found, _FOUND)
+    counts = (found.groupBy("host", "stream").agg(F.first("runs").alias("runs")).select("host", F.explode("runs").alias("run"))
+              .groupBy("host", "run").agg(F.count("*").alias("n")).join(streams, "host")
+              .filter(F.col("n") >= F.greatest(F.lit(float(OPEN_PAGES)), F.lit(OPEN_SHARE) * F.col("streams"))))
+    often = counts.groupBy("host").agg(F.collect_list(F.struct("run", "n")).alias("often"))
+    known = streams.join(often, "host", "left")
+    return _with_runs(rows.select("page_id", "url", "host", "html"), known, total, "left").select("page_id", "url", "host", "html", "often", "streams").mapInArrow(
+        _cut_all, f"page_id {kinds[0]}, url {kinds[1]}, text string")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of ``pages``: ``page_id, url, text, n_chars``.
 
     Character references are decoded, white space inside a block is one space, blocks are joined
     by one space.  A null or empty page, or one without main text, has the empty text.  Pages
-    whose url is null or has no host are grouped by a hash of their content.  Repeated rows give
-    equal texts as far as they fall into one group.  Other columns are not read."""
+    whose url is null or has no host count as pages of one host.  Repeated rows give equal texts.
+    Other columns are not read."""
     url, body = column(pages, url_col), column(pages, html_col).cast("string")
     host = ascii_lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"://([^/?#]*)", 1))
     rows = pages.select(column(pages, id_col).alias("page_id"), url.alias("url"), host.alias("host"), body.alias("html"))
-    big = settled(rows.groupBy("host").agg(F.count("*").alias("n")).filter((F.col("n") > PAGES) | (F.col("host") == ""))
-                  .select("host", F.ceil(F.col("n") / F.lit(PAGES)).alias("parts")))
+    each = rows.groupBy("host", F.xxhash64("html").alias("copy")).agg(F.count("*").alias("n"))
+    big = settled(each.groupBy("host").agg(F.sum("n").alias("n"), F.count("*").alias("copies")).filter(F.col("n") > PAGES)
+                  .select("host", F.ceil(F.col("copies") / F.lit(PAGES)).alias("parts")))
     kinds = [f.dataType.simpleString() for f in rows.schema.fields]
-    parsed = rows.mapInArrow(_parse, f"page_id {kinds[0]}, url {kinds[1]}, host string, blocks array<struct<text:string,role:tinyint>>")
-    part = F.coalesce(F.pmod(F.xxhash64("page_id", "url", F.to_json("blocks")), F.col("parts")), F.lit(0))
-    if big.count() <= BIG_HOSTS:
+    n_big = big.count()
+    if n_big <= BIG_HOSTS:
         big = F.broadcast(big)
-    # a key of its own: rows that were dealt by host for a join must be dealt anew by host and part
-    dealt = parsed.join(big, "host", "left").select("page_id", "url", F.concat_ws(" ", part.cast("string"), "host").alias("group"), "blocks")
-    out = dealt.groupBy("group").applyInArrow(_extract, f"page_id {kinds[0]}, url {kinds[1]}, text string")
+    parsed = rows.join(big, "host", "left_anti").select("page_id", "url", "host", "html").mapInArrow(_parse, f"page_id {kinds[0]}, url {kinds[1]}, host string, blocks array<struct<text:string,role:tinyint>>")
+    out = parsed.groupBy("host").applyInArrow(_extract, f"page_id {kinds[0]}, url {kinds[1]}, text string")
+    if n_big:
+        out = out.unionByName(_extract_large(rows.join(big, "host"), kinds))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -140,6 +140,21 @@ def test_extraction_removes_what_a_host_repeats(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_large_hosts_are_judged_as_a_whole(spark):
+    rng = random.Random(11)
+    text = lambda n: " ".join("w" + str(rng.randrange(10**6)) for _ in range(n))
+    lines = {k: f"line {k} " + text(12) for k in (8, 12, 50)}  # on so many pages in a hundred
+    for host, n in (("a", 60), ("b", 400)):
+        places = {k: set(rng.sample(range(n), n * k // 100)) for k in lines}
+        pages = [[(text(20), html_extract.OPEN), *((lines[k], html_extract.OPEN) for k in lines if i in places[k])] for i in range(n)]
+        rows = [(i, f"https://{host}.example/{i}", "".join(f"<p>{b}</p>" for b, _ in p)) for i, p in enumerate(pages)]
+        rows += [(n + i, f"https://{host}.example/{n + i}", rows[0][2] + f"<!-- {i} -->") for i in range(n)]  # equal streams count once
+        got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        want = html_extract.unique_text(pages)
+        assert [got[i] for i in range(n)] == want and {got[n + i] for i in range(n)} == {want[0]}
+        assert {k: sum(lines[k] in t for t in want) for k in lines} == {8: n * 8 // 100, 12: 0, 50: 0}
+
+
 # 6: roles
 
 def slow_cost(roles):
