@@ -46,6 +46,7 @@ VECTOR_TOTAL = 1000          # the vector sweep's total; slices run past the end
 SPARSE_TOTALS = (100, 1000)  # the sparse sweeps' totals
 POOL = 100
 SWAP = dict(total=20, split_num=2, depth=3, nsplit=0, seed=42, batch=5)
+SWAP_GRID = dict(totals=(100, 1000), split_num=10, depth=3, batch=64)  # the swapped sweep's default grid
 SHORT = dict(total=1000, split_num=10, depth=3, nsplit=4, seed=23)
 HASH_DIM = 64
 BINARY_K = 100
@@ -517,6 +518,31 @@ def q_sweep_dense_swapped(spark, sf):
     return sw.evaluate_trials(runs, trials, qrels)
 
 
+def _swapped_grid(spark, c: Ctx):
+    """The studied swapped grid, every seed, slice and total: its trials and the whole topic table in batches."""
+    g = SWAP_GRID
+    trials = sw.trial_grid(spark, seed=sw.DEFAULT_SEEDS, nsplit=sw.DEFAULT_SLICES, total_prf_docs=g["totals"], split_num=(g["split_num"],),
+                           prf_depth=(g["depth"],), batch_size=(g["batch"],), alpha=(0.4,), beta=(0.6,), mode=("swap",))
+    batched = assign_batches(c.topics.select("qid"), g["batch"]).withColumn("batch_size", F.lit(g["batch"])).select("batch_size", "qid", "batch")
+    return trials, batched
+
+
+def q_sweep_dense_swapped_grid(spark, sf):
+    c = Ctx(spark, sf)
+    trials, batched = _swapped_grid(spark, c)
+    qrels = _stored(c.dense_qrels)
+    runs = sw.dense_sweep_runs(trials, c.qv, c.corpus, hits=DENSE.hits, topics_batched=batched)
+    return sw.evaluate_trials(runs, trials, qrels)
+
+
+def q_sweep_dense_swapped_unsatisfied(spark, sf):
+    """Topics without a valid shift, per trial of the swapped grid."""
+    c = Ctx(spark, sf)
+    trials, batched = _swapped_grid(spark, c)
+    fb = select_swapped(c.dense_first(max(SWAP_GRID["totals"])).persist(), trials, batched)
+    return sw.unsatisfied(trials, c.topics, fb)
+
+
 def _sparse_trials(spark, mode="random_split", totals=SPARSE_TOTALS):
     return sw.trial_grid(spark, seed=sw.DEFAULT_SEEDS, nsplit=sw.DEFAULT_SLICES, total_prf_docs=totals,
                          split_num=(10,), prf_depth=(3,), alpha=(1.0,), beta=(0.75,), mode=(mode,))
@@ -627,6 +653,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_summary": q_eval_summary,
     "sweep_dense": q_sweep_dense,
     "sweep_dense_swapped": q_sweep_dense_swapped,
+    "sweep_dense_swapped_grid": q_sweep_dense_swapped_grid,
+    "sweep_dense_swapped_unsatisfied": q_sweep_dense_swapped_unsatisfied,
     "sweep_sparse": q_sweep_sparse,
     "sweep_sparse_donor": q_sweep_sparse_donor,
     "sweep_with_baseline": q_sweep_with_baseline,

@@ -431,6 +431,9 @@ def build() -> dict[str, str]:
                                 topk("first", "one", cat.DENSE_K)) + " " + run_out("first")
     q["sweep_sparse"] = sparse_sweep_sql()
     q["sweep_dense_swapped"] = dense_swapped_sweep_sql()
+    q["sweep_dense_swapped_grid"] = dense_swapped_grid_sql()
+    q["sweep_dense_swapped_unsatisfied"] = _w(*swapped_grid_ctes()) + (
+        " SELECT t.trial_id, b.item_id AS qid FROM trials t CROSS JOIN benchmark b WHERE (t.trial_id, b.item_id) NOT IN (SELECT trial_id, qid FROM sfb)")
     q["sweep_sparse_donor"] = sparse_sweep_sql(donor=True)
     return q
 
@@ -450,7 +453,7 @@ def hashed(name: str, src: str, id_col: str, text_col: str, dim: int, out: str)
     ]
 
 
-def swap_ctes(first: str, fb: str, out: str, total: int, batch: int) -> list[str]:
+def swap_ctes(first: str, fb: str, out: str, total: int | str, batch: int) -> list[str]:
     """F4 per trial: smallest whole-batch shift whose donors avoid every recipient's top-total."""
     return [
         f"mem0 AS (SELECT t.trial_id, b.item_id AS qid, (row_number() OVER (PARTITION BY t.trial_id ORDER BY b.item_id) "
@@ -503,6 +506,21 @@ def dense_swapped_sweep_sql() -> str:
     return _w(*ctes) + " " + dense_sweep_select()
 
 
+def swapped_grid_ctes() -> list[str]:
+    g = cat.SWAP_GRID
+    return ([QV, CORPUS, trials_values(DEFAULT_SEEDS, DEFAULT_SLICES, g["totals"], g["split_num"], g["depth"]),
+             topk("first", "qv", max(g["totals"])), trial_fb("fb", "first"),
+             "fbt AS (SELECT fb.*, t.total_prf_docs AS total FROM fb JOIN trials t USING (trial_id))"]
+            + swap_ctes("first", "fbt", "sfb", "f.total", g["batch"]))
+
+
+def dense_swapped_grid_sql() -> str:
+    ctes = (swapped_grid_ctes()
+            + [trial_rocchio("ref", "sfb", 0.4, 0.6, given_only=True), topk("runs", "ref", cat.DENSE.hits, keys=("trial_id", "qid"))]
+            + dense_qrels() + evaluation("e", "runs", "qrels", 2, ("trial_id",)))
+    return _w(*ctes) + " " + dense_sweep_select()
+
+
 def swapped_sql() -> str:
     sw_ = cat.SWAP
     pos = sample_positions(sw_["seed"], sw_["depth"], sw_["total"], sw_["split_num"], sw_["nsplit"])

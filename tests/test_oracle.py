@@ -34,3 +34,23 @@ def test_entry_runs(spark):
     from __spark_entry__ import entry
 
     assert entry(spark).count() > 0
+
+
+def test_swapped_grid_is_whole_and_matches_oracle(spark, monkeypatch):
+    from fbrank import catalog, oracle
+    from tools.oracle_check import digest
+
+    sf = "/root/testdata/sf0.01"
+    trials, batched = catalog._swapped_grid(spark, catalog.Ctx(spark, sf))
+    assert {(r.seed, r.nsplit, r.total_prf_docs) for r in trials.collect()} == {(s, n, t) for s in catalog.sw.DEFAULT_SEEDS for n in range(10) for t in (100, 1000)}
+    assert trials.count() == 200 and batched.count() == 40 and {r[0] for r in batched.select("batch_size").distinct().collect()} == {64}
+    monkeypatch.setitem(catalog.SWAP_GRID, "batch", 5)  # at this scale no batch of 64 has a valid shift
+    c = duckdb.connect()
+    for t in ["embeddings", "benchmark", "documents", "labels"]:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    sql = oracle.build()
+    for key in ("sweep_dense_swapped_grid", "sweep_dense_swapped_unsatisfied"):
+        df = catalog.QUERIES[key](spark, sf)
+        res = c.sql(sql[key])
+        rows = [tuple(r) for r in df.collect()]
+        assert rows and digest(rows, df.columns)[0] == digest(res.fetchall(), res.columns)[0]
