@@ -1,7 +1,7 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Token counts are summed per cell (source, language, topic).  Cell weights are rescaled to one
-margin after the other, ``rounds`` times, until the margins have their targets.  A document's
+margin after the other until the margins have their targets (``TOLERANCE``).  A document's
 sampling probability is its cell's fitted weight over its natural weight, divided by the largest
 such ratio: the largest sample that meets the targets without a probability above one.  If that
 sample is below a share of all tokens (``SHARE``), a rare cell would set its size: then the share
@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 from fbrank.llm.frames import column, fresh
 
 OTHER = "other"
+#: rounds of the SQL, enough on dense cells; here raking goes on until it has converged
 ROUNDS = 10
+#: of the worst margin, relative to its target
+TOLERANCE = 1e-9
+PATIENCE = 1000
 #: the expected sample's share of all tokens, at least
 SHARE = 0.15
 #: a margin off by more than this, relative to its target, is reported
@@ -62,14 +66,24 @@ def _totals(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(at, values, n)
 
 
-def _raked(w: np.ndarray, index: list[np.ndarray], targets: list[np.ndarray], rounds: int) -> np.ndarray:
-    for _ in range(rounds):
+def _raked(w: np.ndarray, index: list[np.ndarray], targets: list[np.ndarray], rounds: int | None) -> np.ndarray:
+    """``rounds`` rounds; None: until the worst relative margin error is within ``TOLERANCE``, or
+    has not halved in ``PATIENCE`` rounds (targets that contradict each other can't be met)."""
+    best, since = np.inf, 0
+    while rounds is None or rounds > 0:
         for at, t in zip(index, targets, strict=True):
             w = w * (t / np.maximum(_totals(w, at, len(t)), 1e-300))[at]
+        if rounds is not None:
+            rounds -= 1
+            continue
+        error = max(float((np.abs(_totals(w, at, len(t)) - t)[t > 0] / t[t > 0]).max(initial=0.0)) for at, t in zip(index, targets, strict=True))
+        best, since = (error, 0) if error < best / 2 else (best, since + 1)
+        if error <= TOLERANCE or since >= PATIENCE:
+            break
     return w
 
 
-def fit(cells: list[tuple], margins: dict[str, dict[str, float]], rounds: int = ROUNDS, share: float = 0.0) -> tuple[list[float], list[tuple[str, str, float, float]]]:
+def fit(cells: list[tuple], margins: dict[str, dict[str, float]], rounds: int | None = None, share: float = 0.0) -> tuple[list[float], list[tuple[str, str, float, float]]]:
     """Probabilities of ``cells`` (a category per margin, then tokens), and the margins not met:
     ``(margin, category, target, reached)``, shares of the expected sample's tokens.
 
@@ -117,7 +131,7 @@ def fit(cells: list[tuple], margins: dict[str, dict[str, float]], rounds: int =
     return out.tolist(), unmet
 
 
-def rake(cells: DataFrame, margins: dict[str, dict[str, float]], rounds: int = ROUNDS, share: float = 0.0) -> DataFrame:
+def rake(cells: DataFrame, margins: dict[str, dict[str, float]], rounds: int | None = None, share: float = 0.0) -> DataFrame:
     """``cells`` (one row per cell: a column per margin, ``tokens``) with ``probability``.
 
     A margin's targets are weights: they are scaled to sum to what listed categories that occur
@@ -138,7 +152,7 @@ def chance(id_col: Column, text: Column, seed: str) -> Column:
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]], id_col: str = "doc_id", text_col: str = "text",
-        rounds: int = ROUNDS, seed: str = SEED, share: float = SHARE) -> DataFrame:
+        rounds: int | None = None, seed: str = SEED, share: float = SHARE) -> DataFrame:
     """All rows and columns of ``docs`` plus one column ``mixed`` (longer if taken), the last:
     ``struct<topic, n_tokens, probability, sampled>``.
 

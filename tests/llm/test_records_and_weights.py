@@ -62,6 +62,26 @@ def test_a_stray_document_does_not_set_the_sample(spark):
     assert mixed.filter("mixed.sampled").count() > 0.1 * len(docs)
 
 
+def test_raking_converges_on_sparse_cells(spark):
+    rng = random.Random(5)
+    cells = [(f"src{i}", lang, "prose", float(rng.randint(100, 5000))) for i in range(20) for lang in queries.LANGUAGES if rng.random() < 0.5]
+    cells += [("src3", "es", "speech", 30.0), ("src3", "es", "prose", 900.0), ("src7", "de", "speech", 40.0), ("src7", "de", "markup", 5.0)]
+    cells = list({c[:3]: c for c in cells}.values())
+    margins = {"m0": queries.SOURCES, "m1": queries.LANGUAGES, "m2": queries.TOPICS}
+    df = spark.createDataFrame(cells, "m0 string, m1 string, m2 string, tokens double")
+    got = mixing.rake(df, margins).collect()  # as mix() calls it, but for the share
+    total = sum(r.tokens * r.probability for r in got)
+    worst = 0.0
+    for m, targets in margins.items():
+        there = {r[m] for r in got}
+        for k in there:
+            want = targets[k] / sum(targets[x] for x in there)
+            worst = max(worst, abs(sum(r.tokens * r.probability for r in got if r[m] == k) / total / want - 1))
+    assert worst < 1e-6
+    _, unmet = mixing.fit([("a", "x", 1.0), ("b", "y", 1.0)], {"p": {"a": 1.0, "b": 3.0}, "q": {"x": 1.0, "y": 1.0}})
+    assert {u[0] for u in unmet} == {"p"}  # contradicting targets end, and are reported
+
+
 def test_mixing_of_odd_rows(spark):
     rows = [(1, "a b", "en", "src1", 1), (1, "a b", "en", "src1", 1), (2, None, None, None, 2), (3, "", "en", "src1", 3), (None, "x 1 2", "xx", "src2", 4), (4, "w " * 100_000, "de", "src0", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mixed int").withColumn("cell", F.lit(1)).withColumn("mix_cell", F.lit(1))
