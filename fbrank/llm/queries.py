@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fbrank.llm import (chat_repair, decontaminate, embedding_dedup, html_extract, mixing, quality, setsketch,
+from fbrank.llm import (chat_repair, decontaminate, embedding_dedup, html_extract, mixing, quality, rule_ledger, setsketch,
                         token_count, url_filter, warc)
 
 from fbrank.llm.frames import LOWER, UPPER
@@ -64,8 +64,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rule_ledger.ledger(table(spark, sf_dir, "documents"))
+    measured = [F.col(f"ledger.{c}").cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    base, kept = (rule_ledger.passes(F.col("ledger.failed"), v) for v in ("base", rule_ledger.CURRENT))
+    return found.select("doc_id", *measured, (~base).alias("base_failed"), (base & kept).alias("kept"), F.col("ledger.failed").alias("failed"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_html_extraction, op4_token_counts, op5_embedding_dedup,
-                                   op6_chat_repair, op7_warc, op8_minhash_dedup, op9_url_filter, op10_quality)}
+                                   op6_chat_repair, op7_warc, op8_minhash_dedup, op9_url_filter, op10_quality, op11_quality_rules)}
 
 _AZ = f"'{UPPER}', '{LOWER}'"
 
@@ -199,5 +206,26 @@ SELECT page_id, host, path, rule, coalesce(by_rule, CASE WHEN coalesce(score >=
 """
 
 
+def _rules_sql() -> str:
+    bits = " + ".join(f"CASE WHEN {rule} THEN {1 << i} ELSE 0 END" for i, rule in enumerate(rule_ledger.RULES.values()))
+    w = rule_ledger.WINDOW
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+win AS (SELECT rid, i, array_to_string(w[i:i + {w - 1}], ' ') AS k FROM (SELECT rid, w, unnest(range(1, len(w) - {w - 2})) AS i FROM w WHERE len(w) >= {w})),
+rep AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, k) > 1),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + {w})) AS p FROM rep) GROUP BY rid),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+      len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '[A-Z]'))::BIGINT AS n_upper,
+      len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN cov USING (rid)),
+f AS (SELECT *, ({bits})::BIGINT AS failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {rule_ledger.mask(rule_ledger.POLICIES['base'])} <> 0 AS base_failed,
+       failed & {rule_ledger.mask(rule_ledger.POLICIES['base'] + rule_ledger.POLICIES[rule_ledger.CURRENT])} = 0 AS kept, failed FROM f
+"""
+
+
 ORACLE = {"op1_decontamination": _OP1, "op2_mixing": _mixing_sql(), "op5_embedding_dedup": _OP5, "op7_warc": _OP7,
-          "op8_minhash_dedup": _OP8, "op9_url_filter": _url_sql()}
+          "op8_minhash_dedup": _OP8, "op9_url_filter": _url_sql(),
+          "op11_quality_rules": _rules_sql()}
