@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fbrank.llm import (chat_repair, decontaminate, embedding_dedup, html_extract, mixing, quality, rule_ledger, setsketch,
-                        token_count, url_filter, warc)
+                        token_count, url_filter, vector_codes, warc)
 
 from fbrank.llm.frames import LOWER, UPPER
 
@@ -71,8 +71,14 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *measured, (~base).alias("base_failed"), (base & kept).alias("kept"), F.col("ledger.failed").alias("failed"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(table(spark, sf_dir, "embeddings"), keep=("label",))
+    rows = codes.rows.withColumn("code", F.concat_ws("", F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))))
+    return vector_codes.error_by(rows, "label").select("vec_id", "code", "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_html_extraction, op4_token_counts, op5_embedding_dedup,
-                                   op6_chat_repair, op7_warc, op8_minhash_dedup, op9_url_filter, op10_quality, op11_quality_rules)}
+                                   op6_chat_repair, op7_warc, op8_minhash_dedup, op9_url_filter, op10_quality, op11_quality_rules, op12_vector_codes)}
 
 _AZ = f"'{UPPER}', '{LOWER}'"
 
@@ -226,6 +232,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+def _codes_sql() -> str:
+    parts, k = vector_codes.PARTS, vector_codes.ENTRIES
+    square = lambda x, y: f"list_inner_product(list_transform(list_zip({x}, {y}), lambda z: (z[1] - z[2])::DOUBLE), list_transform(list_zip({x}, {y}), lambda z: (z[1] - z[2])::DOUBLE))"
+    sql = [f"""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS rid, vec_id, label,
+        list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+           f"x AS MATERIALIZED (SELECT rid, p, e[p * len(e) // {parts} + 1:(p + 1) * len(e) // {parts}] AS x FROM v, range({parts}) r(p))",
+           f"b0 AS MATERIALIZED (SELECT p, (rid - 1)::INT AS i, x AS y FROM x WHERE rid <= {k})"]
+    for r in range(vector_codes.ROUNDS + 1):
+        sql.append(f"d{r} AS (SELECT rid, x.p, i, x, {square('x', 'y')}::BIGINT AS d FROM x JOIN b{r} b ON x.p = b.p)")
+        sql.append(f"a{r} AS MATERIALIZED (SELECT rid, p, min(i) FILTER (d = m) AS i, any_value(x) AS x, any_value(m) AS d FROM "
+                   f"(SELECT *, min(d) OVER (PARTITION BY rid, p) AS m FROM d{r}) GROUP BY rid, p)")
+        if r < vector_codes.ROUNDS:
+            sql.append(f"s{r} AS (SELECT p, i, j, floor(sum(c)::DOUBLE / count(*))::BIGINT AS y FROM (SELECT p, i, unnest(x) AS c, unnest(range(1, len(x) + 1)) AS j FROM a{r}) GROUP BY p, i, j)")
+            sql.append(f"n{r} AS (SELECT p, i, list(y ORDER BY j) AS y FROM s{r} GROUP BY p, i)")
+            sql.append(f"b{r + 1} AS MATERIALIZED (SELECT b.p, b.i, coalesce(n.y, b.y) AS y FROM b{r} b LEFT JOIN n{r} n ON n.p = b.p AND n.i = b.i)")
+    last = vector_codes.ROUNDS
+    sql.append(f"c AS (SELECT rid, string_agg(printf('%02x', i::INT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY rid)")
+    sql.append(f"h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY p, i)) AS h FROM b{last})")
+    return "WITH " + ",\n".join(sql) + """
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM v JOIN c USING (rid), h"""
+
+
 ORACLE = {"op1_decontamination": _OP1, "op2_mixing": _mixing_sql(), "op5_embedding_dedup": _OP5, "op7_warc": _OP7,
           "op8_minhash_dedup": _OP8, "op9_url_filter": _url_sql(),
-          "op11_quality_rules": _rules_sql()}
+          "op11_quality_rules": _rules_sql(), "op12_vector_codes": _codes_sql()}
