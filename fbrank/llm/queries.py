@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fbrank.llm import (chat_repair, decontaminate, embedding_dedup, html_extract, mixing, quality, rule_ledger, setsketch,
-                        token_count, url_filter, vector_codes, warc)
+from fbrank.llm import (chat_repair, decontaminate, embedding_dedup, filter_audit, html_extract, mixing, quality, rule_ledger,
+                        setsketch, token_count, url_filter, vector_codes, warc)
 
 from fbrank.llm.frames import LOWER, UPPER
 
@@ -77,8 +77,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.error_by(rows, "label").select("vec_id", "code", "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_html_extraction, op4_token_counts, op5_embedding_dedup,
-                                   op6_chat_repair, op7_warc, op8_minhash_dedup, op9_url_filter, op10_quality, op11_quality_rules, op12_vector_codes)}
+                                   op6_chat_repair, op7_warc, op8_minhash_dedup, op9_url_filter, op10_quality, op11_quality_rules, op12_vector_codes,
+                                   op13_filter_audit)}
 
 _AZ = f"'{UPPER}', '{LOWER}'"
 
@@ -255,6 +260,24 @@ def _codes_sql() -> str:
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM v JOIN c USING (rid), h"""
 
 
+_OP13 = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+d AS (SELECT part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic, {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+      'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t), 'D': regexp_matches(t, '[#$%&*|]'), 'E': doc_id > min(doc_id) OVER (PARTITION BY t)} AS f
+      FROM t LEFT JOIN labels USING (doc_id)),
+m AS MATERIALIZED (SELECT part, f.A::INT + 2 * f.B::INT + 4 * f.C::INT + 8 * f.D::INT + 16 * f.E::INT AS mask, count(*) AS n, count(*) FILTER (good) AS good,
+      count(*) FILTER (toxic) AS toxic FROM d GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bits FROM l a, l b, l c, l d, l e
+      WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+s AS (SELECT filter_order, step::INT AS step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, range(1, 6) r(step)),
+x AS (SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+      sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+      sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+      sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM m, s GROUP BY ALL)
+SELECT * EXCLUDE (bit), sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley FROM x
+"""
+
 ORACLE = {"op1_decontamination": _OP1, "op2_mixing": _mixing_sql(), "op5_embedding_dedup": _OP5, "op7_warc": _OP7,
           "op8_minhash_dedup": _OP8, "op9_url_filter": _url_sql(),
-          "op11_quality_rules": _rules_sql(), "op12_vector_codes": _codes_sql()}
+          "op11_quality_rules": _rules_sql(), "op12_vector_codes": _codes_sql(), "op13_filter_audit": _OP13}
