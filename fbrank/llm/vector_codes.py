@@ -56,7 +56,7 @@ class Codebook:
         gaps = _squares(entries[:, None, :] - entries[None, :, :])
         self.near = np.argsort(gaps, axis=1, kind="stable").astype(np.int32)
         self.gaps = np.take_along_axis(gaps, self.near, axis=1)
-        self.start = int(np.argmin(gaps.astype(np.float64).sum(axis=1)))  # the most central entry
+        self.start = int(np.argmin(gaps.astype(np.float64).sum(axis=1))) if len(entries) else 0  # the most central entry
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Per row the index of its nearest entry, the lower of equals, and the squared distance."""
