@@ -34,7 +34,7 @@ FAR = 10**9
 _LEGAL = {(0, 1), (0, 2), (1, 2), (2, 3), (3, 2)}
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 
-OUT = "conv_id {0}, turn {1}, role string, new_role string, action string, inserted array<string>, cost int, rendered string"
+OUT = "conv_id {0}, turn {1}, place long, role string, new_role string, action string, inserted array<string>, cost int, rendered string"
 
 
 def _between() -> dict[tuple[int, int], tuple[int, ...]]:
@@ -106,26 +106,28 @@ def render(role: str | None, text: str | None, s: int, t: int, last: bool) -> tu
 
 
 def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    conv, parts, flat, kind = [], [], [], None
+    conv, parts, flat, turns, kind = [], [], [], [], None
     for batch in batches:
         kind = batch.schema.field(0).type
         key = list(zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True))
         role = batch.column(2).to_pylist()
         for (part, c), run in groupby(range(len(key)), key=key.__getitem__):
-            m = None
+            m, n = None, 0
             for i in run:
+                n += 1
                 m = _matrix(role[i]) if m is None else min_plus(m, _matrix(role[i]))
             if parts and parts[-1] == part and conv[-1] == c:
                 flat[-1] = min_plus(np.array(flat[-1]).reshape(STATES, STATES), m).ravel().tolist()
+                turns[-1] += n
             else:
-                conv.append(c), parts.append(part), flat.append(m.ravel().tolist())
+                conv.append(c), parts.append(part), flat.append(m.ravel().tolist()), turns.append(n)
     if conv:
-        yield pa.RecordBatch.from_arrays([pa.array(conv, kind), pa.array(parts, pa.int32()), pa.array(flat, pa.list_(pa.int64()))],
-                                         names=["conv_id", "part", "m"])
+        yield pa.RecordBatch.from_arrays([pa.array(conv, kind), pa.array(parts, pa.int32()), pa.array(flat, pa.list_(pa.int64())), pa.array(turns, pa.int64())],
+                                         names=["conv_id", "part", "m", "turns"])
 
 
 def _ends(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """States before and after each part of one conversation on a cheapest whole path."""
+    """States before and after each part of one conversation on a cheapest whole path, and the turns before it."""
     table = table.sort_by("part")
     mats = [np.array(m).reshape(STATES, STATES) for m in table.column("m").to_pylist()]
     cost, back = np.full(STATES, FAR), []
@@ -141,34 +143,35 @@ def _ends(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     n = len(mats)
     return pa.table({"part_conv": pa.array([key[0].as_py()] * n, table.schema.field("conv_id").type), "part": table.column("part"),
                      "before": pa.array(after[:-1], pa.int32()), "after": pa.array(after[1:], pa.int32()),
-                     "ends": pa.array([i == n - 1 for i in range(n)], pa.bool_())})
+                     "ends": pa.array([i == n - 1 for i in range(n)], pa.bool_()),
+                     "earlier": pa.array(np.cumsum([0, *table.column("turns").to_pylist()[:-1]]), pa.int64())})
 
 
 def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``conv, turn, role, text, part, before, after, ends`` of a sorted partition to the result's."""
+    """Rows ``conv, turn, role, text, part, before, after, ends, earlier`` of a sorted partition to the result's."""
     kinds = None
 
     def rows():
         nonlocal kinds
         for b in batches:
             kinds = kinds or (b.schema.field(0).type, b.schema.field(1).type)
-            yield from zip(*(b.column(i).to_pylist() for i in range(8)), strict=True)
+            yield from zip(*(b.column(i).to_pylist() for i in range(9)), strict=True)
 
     def flush(out):
         cols = list(zip(*out, strict=True))
-        types = [*kinds, pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string()]
-        names = ["conv_id", "turn", "role", "new_role", "action", "inserted", "cost", "rendered"]
+        types = [*kinds, pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string()]
+        names = ["conv_id", "turn", "place", "role", "new_role", "action", "inserted", "cost", "rendered"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     out: list[tuple] = []
     for _, run in groupby(rows(), key=lambda r: (r[4], r[0])):
         turns = list(run)
-        before, after, ends = turns[0][5:8]
+        before, after, ends, earlier = turns[0][5:9]
         s = START if before is None else before
         path = best_path([r[2] for r in turns], s, after)
         for i, (r, t) in enumerate(zip(turns, path, strict=True)):
             action, inserted, cost, text = render(r[2], r[3], s, t, i == len(turns) - 1 and ends is not False)
-            out.append((r[0], r[1], r[2], ROLES[t - 1], action, inserted, cost, text))
+            out.append((r[0], r[1], (earlier or 0) + i, r[2], ROLES[t - 1], action, inserted, cost, text))
             s = t
         if len(out) >= 2000:
             yield flush(out)
@@ -178,11 +181,12 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Per row of ``turns``: ``conv_id, turn, role, new_role, action, inserted, cost, rendered``.
+    """Per row of ``turns``: ``conv_id, turn, place, role, new_role, action, inserted, cost, rendered``.
 
-    ``rendered`` is the turn's part: the parts of a conversation in order of (turn, role, text) are
-    its formatted text.  Turns that are null come last; a null or unknown role must be relabelled;
-    a null text is rendered empty; repeated rows are turns of their own.  Rows whose
+    ``rendered`` is the turn's part: the parts of a conversation in order of ``place``, which counts its
+    rows from 0, are its formatted text.  Rows are placed by turn, then role; rows that tie in both get some
+    order, and equal rows are told apart by their places alone.  Turns that are null come last; a null or unknown role must be relabelled;
+    a null text is rendered empty, a very long one whole; repeated rows are turns of their own.  Rows whose
     conversation is null form one conversation.  Other columns are not read."""
     c = {n: column(turns, x) for n, x in (("conv_id", conv_col), ("turn", turn_col), ("role", role_col), ("text", text_col))}
     rows = turns.select(c["conv_id"].alias("conv_id"), c["turn"].alias("turn"), c["role"].cast("string").alias("role"), c["text"].cast("string").alias("text"))
@@ -191,12 +195,12 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     dealt = settled(numbered.repartitionByRange(*order, F.col("row").asc()).sortWithinPartitions(*order, F.col("row").asc())
                     .select("conv_id", "turn", "role", "text", F.spark_partition_id().alias("part")))
     kinds = [f.dataType.simpleString() for f in dealt.schema.fields]
-    reduced = dealt.select("conv_id", "part", "role").mapInArrow(_reduced, f"conv_id {kinds[0]}, part int, m array<bigint>")
+    reduced = dealt.select("conv_id", "part", "role").mapInArrow(_reduced, f"conv_id {kinds[0]}, part int, m array<bigint>, turns long")
     reduced = settled(reduced)
     cut = reduced.groupBy("conv_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("conv_id").alias("cut_conv"))
     parts = reduced.join(cut, F.col("conv_id").eqNullSafe(F.col("cut_conv"))).drop("cut_conv")
-    ends = parts.groupBy("conv_id").applyInArrow(_ends, f"part_conv {kinds[0]}, part int, before int, after int, ends boolean")
+    ends = parts.groupBy("conv_id").applyInArrow(_ends, f"part_conv {kinds[0]}, part int, before int, after int, ends boolean, earlier long")
     # bounded: a partition border cuts one conversation, so there are less than two rows a partition
     joined = dealt.alias("d").join(F.broadcast(ends.withColumnRenamed("part", "of_part")),
                                    F.col("conv_id").eqNullSafe(F.col("part_conv")) & (F.col("part") == F.col("of_part")), "left")
-    return joined.select("conv_id", "turn", "role", "text", "part", "before", "after", "ends").mapInArrow(_filled, OUT.format(*kinds[:2]))
+    return joined.select("conv_id", "turn", "role", "text", "part", "before", "after", "ends", "earlier").mapInArrow(_filled, OUT.format(*kinds[:2]))

@@ -121,8 +121,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], k: int, rows: int) -> Iterator[pa
             n.append(len(h)), k1.append(a), k2.append(b)
             bands.append(band_keys(registers(h), rows) if len(h) else [])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-             pa.array(bands, pa.list_(pa.int64()))], names=["id", "n", "k1", "k2", "bands"])
+            [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+             pa.array(bands, pa.list_(pa.int64()))], names=["id", "mark", "n", "k1", "k2", "bands"])
 
 
 def pack(h: np.ndarray) -> bytes:
@@ -235,7 +235,7 @@ def _group_members(percent: int, rows: int):
         some = np.zeros(len(tile), bool)
         some[a[ok.any(axis=1)]] = True
         some[b[ok.any(axis=0)]] = True
-        return table.filter(pa.array(some)).select(["k1", "k2", "rep", "band", "tile", "i", "j"])
+        return table.filter(pa.array(some)).select(["k1", "k2", "rep", "least", "band", "tile", "i", "j"])
 
     return members
 
@@ -291,11 +291,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null or blank text has no shingles and is linked with nothing.  A row without an id is
     linked with nothing: its ``component_id`` is null and it is kept.  Rows repeated under one id
     are each placed by their own text.  Other columns are not read.  Ids are integers."""
+    found = _grouped(docs, id_col, text_col, percent, shingle, tile)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
+                        F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, tile: int) -> DataFrame:
+    """Per row of ``docs``: ``id, mark`` (a hash of the text), ``n, k1, k2`` (the set's size and key), ``component_id``
+    and ``first``: whether its set is the one with the component's smallest (id, set key).
+
+    Classes of equal sets are the nodes, under numbers of their own, so ids reused over different texts link nothing."""
     per_band = band_rows(percent)
-    rows = docs.select(column(docs, id_col).cast("long").alias("id"), column(docs, text_col).cast("binary").alias("text"))
-    sketched = settled(rows.mapInArrow(lambda it: _sketch(it, shingle, per_band), "id long, n long, k1 long, k2 long, bands array<long>"))
+    text = column(docs, text_col)
+    rows = docs.select(column(docs, id_col).cast("long").alias("id"), text.cast("binary").alias("text"), F.xxhash64(text.cast("binary")).alias("mark"))
+    sketched = settled(rows.mapInArrow(lambda it: _sketch(it, shingle, per_band), "id long, mark long, n long, k1 long, k2 long, bands array<long>"))
     alike = sketched.filter("n > 0 and id is not null")
-    classes = settled(alike.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    # numbered where they are checkpointed: rep is the node, least the smallest id of the class
+    classes = settled(alike.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+                      .withColumn("rep", F.monotonically_increasing_id()))
     bands = classes.select("k1", "k2", F.explode("bands").alias("band"))
     buckets = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("k1").alias("first"), F.bit_xor(F.xxhash64("k1", "k2")).alias("mark"))
     once = buckets.filter("size > 1").groupBy("size", "first", "mark").agg(F.min("band").alias("band")).select("band", "size")
@@ -304,30 +317,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .withColumn("other", F.explode(F.sequence(F.lit(0), n_tiles - 1)))
              .select("k1", "k2", "band", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
     tested = settled(tiled.join(classes, ["k1", "k2"]).groupBy("band", "i", "j").applyInArrow(
-        _group_members(percent, per_band), "k1 long, k2 long, rep long, band long, tile int, i int, j int"))
-    wanted = tested.select(F.col("rep").alias("id")).distinct()
+        _group_members(percent, per_band), "k1 long, k2 long, rep long, least long, band long, tile int, i int, j int"))
+    wanted = tested.select(F.col("least").alias("id")).distinct()
     full = (rows.filter("id is not null").join(wanted, "id", "left_semi").select("text")
             .mapInArrow(lambda it: _full_sets(it, shingle), "k1 long, k2 long, hashes binary, reg binary")
             .groupBy("k1", "k2").agg(F.first("hashes").alias("hashes"), F.first("reg").alias("reg")))
     grouped = tested.join(full, ["k1", "k2"]).select("band", "i", "j", "rep", "tile", "hashes", "reg")
     links = grouped.groupBy("band", "i", "j").applyInArrow(_group_links(percent, per_band), "a long, b long")
     found = connected_components(links).withColumnRenamed("node", "rep")
-    labelled = classes.select("k1", "k2", "rep").join(found, "rep", "left").select(
-        "k1", "k2", F.coalesce("component", "rep").alias("component_id"))
-    alone = sketched.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
-    together = alike.select("id", "n", "k1", "k2").join(labelled, ["k1", "k2"]).select("id", "n", "component_id")
-    return together.unionByName(alone).select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id",
-        F.col("component_id").eqNullSafe(F.col("id")).alias("kept"))
+    linked = settled(classes.select("rep", "least", "k1", "k2").join(found, "rep"))
+    heads = linked.groupBy("component").agg(F.min(F.struct("least", "k1", "k2")).alias("head"))
+    headed = linked.join(heads, "component").select("k1", "k2", "head")
+    labelled = classes.select("k1", "k2", "least").join(headed, ["k1", "k2"], "left").select(
+        "k1", "k2", F.coalesce("head", F.struct("least", "k1", "k2")).alias("head"))
+    alone = sketched.filter("n = 0 or id is null").select("id", "mark", "n", "k1", "k2", F.col("id").alias("component_id"), F.lit(True).alias("first"))
+    together = alike.select("id", "mark", "n", "k1", "k2").join(labelled, ["k1", "k2"]).select(
+        "id", "mark", "n", "k1", "k2", F.col("head.least").alias("component_id"), (F.struct("id", "k1", "k2") == F.col("head")).alias("first"))
+    return together.unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """The rows of ``docs`` (all columns) that stay: of each group the one with the smallest id.
 
-    Rows without an id stay.  Of rows repeated under one id, one stays."""
-    found = near_duplicates(docs, id_col, text_col, percent)
+    Rows without an id stay, and rows without words, of which only those equal in id and text are one.  An id
+    reused over different texts is as many documents: each is grouped by its own text, and of rows with the group's
+    smallest id and equal sets of shingles one stays (that whose text has the smallest hash)."""
+    found = _grouped(docs, id_col, text_col, percent, SHINGLE, TILE).filter("first and id is not null")
     ident = column(docs, id_col)
-    kept = fresh(docs, "kept_id")
-    stay = found.filter("kept and doc_id is not null").select(F.col("doc_id").alias(kept)).distinct()
-    once = docs.join(stay, ident.cast("long") == stay[kept], "left_semi").dropDuplicates([id_col])
+    kept, mark = fresh(docs, "kept_id"), fresh(docs, "kept_mark")
+    blank = found.filter("n = 0").select("id", "mark").distinct()
+    stay = found.filter("n > 0").groupBy("id", "k1", "k2").agg(F.min("mark").alias("mark")).select("id", "mark").unionByName(blank)
+    stay = stay.select(F.col("id").alias(kept), F.col("mark").alias(f"{mark}_"))
+    marked = docs.withColumn(mark, F.xxhash64(column(docs, text_col).cast("binary")))
+    once = (marked.join(stay, (column(marked, id_col).cast("long") == stay[kept]) & (marked[mark] == stay[f"{mark}_"]), "left_semi")
+            .dropDuplicates([id_col, mark]).drop(mark))
     return once.unionByName(docs.filter(ident.isNull()))

@@ -11,7 +11,7 @@ distance to it.  A search walks the list of its current entry and jumps to the l
 entries seen before are marked and not measured again; it stops where the list is farther from the
 current entry than twice the current distance, as no entry beyond can be nearer (by the triangle
 inequality; entries at exactly twice the distance are still seen, which keeps ties right).  Many
-searches walk side by side, a few places of each list at a time.
+searches walk side by side; those in the same list measure its entries together, each those within its own reach.
 
 Scale: a task holds a batch of vectors and the codebooks; per round only sums and counts per (part, entry) are
 shuffled and reach the driver, ``parts * entries`` rows of at most ``dimension / parts`` components, whatever the
@@ -36,16 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fbrank.llm.frames import column
+from fbrank.llm.frames import column, settled
 
 SCALE = 1024
 PARTS = 4
 ENTRIES = 256
 ROUNDS = 4
 LARGEST = 1 << 24      # size of a component that still leaves room for squared distances of 2^13 components
-STEP = 8               # places of a list that a search looks at together
 SEARCHES = 4096        # searches that walk side by side
-FAR = np.iinfo(np.int64).max
+FAR = 1 << 62
 
 
 class Codebook:
@@ -54,7 +53,8 @@ class Codebook:
     def __init__(self, entries: np.ndarray):
         self.entries = entries
         gaps = _squares(entries[:, None, :] - entries[None, :, :])
-        self.near = np.argsort(gaps, axis=1, kind="stable").astype(np.int32)
+        self.between = gaps
+        self.near = np.argsort(gaps, axis=1, kind="stable")
         self.gaps = np.take_along_axis(gaps, self.near, axis=1)
         self.start = int(np.argmin(gaps.astype(np.float64).sum(axis=1))) if len(entries) else 0  # the most central entry
 
@@ -66,36 +66,45 @@ class Codebook:
         return codes, dist
 
     def _walk(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k = len(self.entries)
         at = np.full(len(x), self.start)
         best = _squares(x - self.entries[self.start])
-        seen = np.zeros((len(x), k), bool)
+        seen = np.zeros((len(x), len(self.entries)), bool)
         seen[:, self.start] = True
-        place = np.zeros(len(x), np.int64)
         walking = np.arange(len(x))
         while len(walking):
-            here = at[walking]
-            places = place[walking, None] + np.arange(STEP)
-            inside = places < k
-            places = np.minimum(places, k - 1)
-            # of a sorted list the rest is too far as soon as one entry is (distances are squared: twice is four times)
-            close = inside & (self.gaps[here[:, None], places] <= 4 * best[walking, None])
-            them = self.near[here[:, None], places]
-            row, col = np.nonzero(close & ~seen[walking[:, None], them])
-            entry = them[row, col]
-            seen[walking[row], entry] = True
-            dist = np.full(them.shape, FAR)
-            dist[row, col] = _squares(x[walking[row]] - self.entries[entry])
-            found = dist.min(axis=1)
-            index = np.where(dist == found[:, None], them, k).min(axis=1)
-            better = (found < best[walking]) | ((found == best[walking]) & (index < here))
-            jump = walking[better]
-            at[jump], best[jump], place[jump] = index[better], found[better], 0
-            stay = walking[~better]
-            place[stay] += STEP
-            walking = walking[better | close[:, -1]]
+            walking = walking[np.argsort(at[walking], kind="stable")]
+            jumped = []
+            for rows in np.split(walking, np.flatnonzero(np.diff(at[walking])) + 1):
+                # of a sorted list the rest is too far as soon as one entry is (distances are squared: twice is four times)
+                here, reach = at[rows[0]], 4 * best[rows]
+                them = np.sort(self.near[here, :np.searchsorted(self.gaps[here], reach.max(), side="right")])
+                new = (self.between[here, them] <= reach[:, None]) & ~seen[rows[:, None], them]
+                if not new.any():
+                    continue
+                seen[rows[:, None], them] |= new
+                dist = self._distances(x[rows], them)
+                dist[~new] = FAR
+                first = dist.argmin(axis=1)  # of equals the lowest index
+                found, index = dist[np.arange(len(rows)), first], them[first]
+                better = (found < best[rows]) | ((found == best[rows]) & (index < here))
+                jump = rows[better]
+                at[jump], best[jump] = index[better], found[better]
+                jumped.append(jump)
+            walking = np.concatenate(jumped) if jumped else walking[:0]
         return at, best
 
+    def _distances(self, x: np.ndarray, them: np.ndarray) -> np.ndarray:
+        """Squared distances of rows to entries, exact: by a product of doubles where these hold all sums."""
+        e = self.entries[them]
+        top = max(int(np.abs(x).max(initial=0)), int(np.abs(e).max(initial=0)))
+        if 4 * top * top * max(x.shape[1], 1) < 1 << 53:
+            out = x.astype(np.float64) @ e.T.astype(np.float64)
+            out *= -2
+            out += _squares(x)[:, None]
+            out += _squares(e)[None, :]
+            return out
+        return _squares(x[:, None, :] - e[None, :, :])
+
 
 def _squares(gaps: np.ndarray) -> np.ndarray:
     return np.einsum("...i,...i->...", gaps, gaps)
@@ -189,7 +198,7 @@ def compress(vectors: DataFrame, *, vec_id: str = "vec_id", vec: str = "embeddin
 
     out = [c for c in data.columns if c != "vec"] + ["code", "error"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.drop("vec").schema.fields)
-    coded = data.mapInArrow(codes, schema + ", code array<int>, error bigint")
+    coded = settled(data.mapInArrow(codes, schema + ", code array<int>, error bigint"))  # the last search is made once, whatever reads it
     return Codes(coded.select(F.col("id").alias(vec_id), *[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)], "code", "error"), books)
 
 

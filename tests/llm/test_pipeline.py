@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fbrank.llm import decontaminate, quality, queries
+from fbrank.llm import decontaminate, quality, queries, setsketch
 from tests.llm.test_near_duplicates import slow_near
 from tests.llm.test_text_scans import slow_contamination
 
@@ -47,12 +47,32 @@ def test_stages_take_odd_rows(spark):
         assert at.count() <= 4
 
 
+def test_reused_ids_and_long_texts_lose_nothing(spark):
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
+    a, b = words(100), words(100)
+    near = " ".join([*b[:-1], "other"])
+    long = " ".join(words(200_000))
+    blank = [(50, ""), (50, " "), (50, ""), (51, None), (51, None)]
+    for first in ((1, " ".join(a)), (1, " ".join(b))):
+        rows = [first, (1, " ".join(b)), (1, " ".join(a)), (101, near), (102, near.upper()), (7, long), (8, long + " more"), (None, near), *blank]
+        df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept_mark string").repartition(4)
+        out = setsketch.drop_near_duplicates(df)
+        assert out.columns == df.columns
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        want = [(1, " ".join(a)), (1, " ".join(b)), (7, long), (None, near), (50, ""), (50, " "), (51, None)]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    rows = [(5, " ".join(a)), (5, " ".join(a).upper()), (5, " ".join([*a[:-1], "x"])), (4, " ".join(b))]  # one id, one group, three texts
+    got = setsketch.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [4, 5]
+
+
 def test_queries_are_registered():
     from __spark_entry__ import oracle_sql, queries as registered
 
     names = registered()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names) and set(queries.ORACLE) <= set(oracle_sql())
-    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 def test_decontamination_keeps_extra_columns(spark):

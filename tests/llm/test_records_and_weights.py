@@ -198,12 +198,15 @@ def test_repair_is_legal_and_cheapest(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("x")).withColumn("row", F.lit("x"))
     out = chat_repair.repair(df)
     assert out.count() == len(rows)
-    ordered = out.orderBy(F.col("conv_id").asc_nulls_last(), F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_last()).collect()
+    ordered = out.orderBy(F.col("conv_id").asc_nulls_last(), F.col("place")).collect()
     for conv, run in itertools.groupby(ordered, key=lambda r: r.conv_id):
         run = list(run)
         assert sum(r.cost for r in run) == slow_cost([r.role for r in run])
-        if conv != 1000:
-            assert legal(run)
+        assert [r.place for r in run] == list(range(len(run))) and legal(run)
+        known = lambda r: (r.turn is None, r.turn or 0, r.role is None, r.role or "")
+        assert [known(r) for r in run] == sorted(map(known, run))
+        # every text that isn't the start of a merged part follows its own mark
+        assert all(r.rendered.startswith("\n") == (r.action.startswith("merge") or r.place > 0) for r in run)
     by = {c: "".join(r.rendered for r in ordered if r.conv_id == c) for c in (0, None)}
     assert by[None].count("< |end|>") == 1 and by[None].count("<|end|>") == sum(by[None].count(f"<|{r}|>") for r in chat_repair.ROLES)
     assert chat_repair.render("user", "a", 0, 2, False)[3] + chat_repair.render("user", "b", 2, 2, False)[3] + chat_repair.render("assistant", "c", 2, 3, True)[3] == (
@@ -211,6 +214,13 @@ def test_repair_is_legal_and_cheapest(spark):
     assert chat_repair.repair(df.limit(0)).count() == 0
 
 
+def test_parts_of_tied_turns_go_together_in_their_places(spark):
+    for pair in itertools.product(("ax", "bx", "cx", "dx"), repeat=2):
+        df = spark.createDataFrame([(1, 1, "user", pair[0]), (1, 1, "user", pair[1]), (1, 2, "assistant", "ok")], "conv_id long, turn long, role string, text string")
+        whole = "".join(r.rendered for r in sorted(chat_repair.repair(df).collect(), key=lambda r: r.place))
+        assert whole in {f"<|user|>\n{x}\n{y}\n<|end|>\n<|assistant|>\nok\n<|end|>\n" for x, y in (pair, pair[::-1])}
+
+
 def test_repair_cut_anywhere_gives_the_same_cost():
     rng = random.Random(10)
     for _ in range(50):
