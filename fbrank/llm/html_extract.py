@@ -25,6 +25,7 @@ import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,10 +44,14 @@ BIG_RUNS = 5_000_000
 OPEN_PAGES, OPEN_SHARE = 3, 0.1
 ARTICLE_PAGES, ARTICLE_SHARE = 8, 0.5
 
+#: every alternative takes what it has looked at, also where nothing closes it, so a page is read once; a tag without its
+#: ``>`` (the last group is empty or a quotation mark that nothing closes) is text
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)"
     r"|<(script|style|noscript|template|textarea|svg|math|iframe|object|select|title)\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>?)", re.S | re.I)
+_CDATA = "<![CDATA["
+_ZEROS, _LONG_NUMBER = re.compile(r"&#0{7,}"), re.compile(r"&#0*+[0-9]{8,}")
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -61,57 +66,109 @@ OUT_WORDS = frozenset(
     "recommendations ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent "
     "gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup share sharing social comment comments commentlist "
     "disqus reply replies respond login search toolbar pagination pager skip disclaimer outbrain taboola".split())
-OUT_ARTICLES = frozenset("comment comments reply related recommended ad advert sponsored promo".split())
+#: words whose elements hold articles of their own that are out
+OUT_ARTICLES = frozenset("comment comments commentlist disqus reply replies related recommended recommendations ad ads advert adverts sponsored promo outbrain taboola".split())
+#: what may stand beside such a word in one class or id; with any other word, as in has-sidebar or share-price, it says nothing about the element
+PLAIN_WORDS = frozenset(
+    "site page main global body primary secondary top bottom left right upper lower inner outer center middle first last small large big sticky fixed floating "
+    "mobile desktop box block bar wrap wrapper container area section region module panel row column col slot unit holder group list item items entry "
+    "entries link links button buttons btn icon icons form field input title heading label text content body post posts article articles story stories "
+    "blog user users author reader count counter thread tree toggle nested level children child parent meta info tools tool "
+    "google media image img video email mail alert accept message more".split())
 #: an open element of the left kind ends where one of the right kinds begins
 _ENDS = {"p": frozenset("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article main header footer nav aside form blockquote pre hr figure address fieldset".split()),
          "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option"]),
          "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody"]), "th": frozenset(["td", "th", "tr", "tbody"])}
 
-ARTICLE, OPEN = 1, 0
+#: an article inside an element that is out by its class or id is ``WRAPPED``
+WRAPPED, ARTICLE, OPEN = 2, 1, 0
 
 
-def _is_out(tag: str, attributes: str, in_article: bool) -> bool:
+def _named(value: str, words: frozenset[str]) -> bool:
+    """Whether a class or id names one of the words: alone or beside plain ones (``site-footer``, not ``has-sidebar``)."""
+    for name in value.split():
+        parts = _PARTS.findall(_CAMEL.sub(" ", name).lower())
+        if not words.isdisjoint(parts) and all(p in words or p in OUT_WORDS or p in PLAIN_WORDS or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+IN, SOFT, HARD = 0, 1, 2
+
+
+def _is_out(tag: str, attributes: str, in_article: bool) -> int:
+    """``HARD`` if the element is out for good; ``SOFT`` for forms and by class or id, which an article inside may outweigh."""
+    if len(attributes) <= 200:
+        return _out_kept(tag, attributes, in_article)
+    return _out(tag, attributes, in_article)
+
+
+def _out(tag: str, attributes: str, in_article: bool) -> int:
     if tag in OUT_TAGS or tag == "header" and not in_article:
-        return True
+        return SOFT if tag == "form" else HARD
     if not attributes.strip(" /"):
-        return False
+        return IN
+    found = IN
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            words = _PARTS.findall(_CAMEL.sub(" ", value).lower())
             if tag == "article":
-                if not OUT_ARTICLES.isdisjoint(words):
-                    return True
-            elif tag not in ("body", "html", "main") and not (in_article and tag in ("header", "h1", "h2")) and not OUT_WORDS.isdisjoint(words):
-                return True
+                if _named(value, OUT_ARTICLES):
+                    return HARD
+            elif tag not in ("body", "html", "main") and not (in_article and tag in ("header", "h1", "h2")) and _named(value, OUT_WORDS):
+                if _named(value, OUT_ARTICLES):
+                    return HARD
+                found = SOFT
         elif name == "role":
             if value.lower() in OUT_ROLES:
-                return True
+                return HARD
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return HARD
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return HARD
+    return found
+
+
+_out_kept = lru_cache(maxsize=20_000)(_out)  # templates repeat their tags; at most 200 characters each
+
+
+def _text(pieces: list[str]) -> str:
+    text = "".join(pieces)
+    if "&" in text:
+        # a number that no character has, however long, is the replacement character
+        text = entities.unescape(_LONG_NUMBER.sub("&#1114112", _ZEROS.sub("&#0", text)) if "&#" in text else text)
+    return " ".join(text.split())
 
 
 def blocks_of(page: str | None) -> list[tuple[str, int]]:
     """Text blocks in page order that markup doesn't rule out, each with ``ARTICLE`` or ``OPEN``.
 
-    If the page has article blocks, its open ones are not part of the article and are left out."""
+    If the page has article blocks, its open ones are not part of the article and are left out.  An article inside
+    an element that is out by its class or id, or inside a form, counts where the page has no other: then the class
+    was that of a wrapper around the whole page.  Time and memory are linear in the page, well formed or not."""
     page = page or ""
-    stack: list[tuple[str, bool, bool]] = []  # tag, text is out, inside an article
-    out, article = False, False
+    closed = page.rfind("]]>") + 1
+    if page.find(_CDATA, closed) >= 0:  # nothing closes these: comments up to the next ``>``, as browsers read them
+        page = page[:closed] + page[closed:].replace(_CDATA, "<!-CDATA[")
+    stack: list[tuple[str, int, int]] = []  # tag, text is out, role of text
+    standing: dict[str, int] = {}  # open elements by tag
+    out, role = IN, OPEN
     found: list[tuple[str, int]] = []
     piece: list[str] = []
     at = 0
 
     def flush() -> None:
         if piece:
-            text = " ".join(entities.unescape("".join(piece)).split())
+            text = _text(piece)
             if text:
-                found.append((text, ARTICLE if article else OPEN))
+                found.append((text, role))
             piece.clear()
 
+    def pop(k: int) -> None:
+        for name, _, _ in stack[k:]:
+            standing[name] -= 1
+        del stack[k:]
+
     for m in _TOKEN.finditer(page):
         if not out and m.start() > at:
             piece.append(page[at : m.start()])
@@ -119,36 +176,43 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
         tag = m[3]
         if tag is None:
             continue
+        if not m[5]:
+            at = m.start()
+            continue
         tag = tag.lower()
         if tag not in INLINE and not out:
             flush()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    out, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                    break
+            if standing.get(tag):
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                pop(k)
+                out, role = (stack[-1][1], stack[-1][2]) if stack else (IN, OPEN)
             continue
         if tag in VOID:
             continue
         while stack and tag in _ENDS.get(stack[-1][0], ()):
-            stack.pop()
-        out, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            pop(len(stack) - 1)
+        out, role = (stack[-1][1], stack[-1][2]) if stack else (IN, OPEN)
         if m[4].endswith("/") and tag not in INLINE and tag not in OUT_TAGS:
             continue
-        was = article
-        article = article or not out and (tag in ("article", "main") or 'role="main"' in m[4])
-        out = out or _is_out(tag, m[4], was)
-        if out or article != was:
-            now = article
-            article = was
+        was, here = role, max(out, _is_out(tag, m[4], role != OPEN))
+        now = role
+        if (tag in ("article", "main") or 'role="main"' in m[4]) and here != HARD:
+            if out == SOFT:
+                now, here = WRAPPED, IN
+            elif not here and role == OPEN:
+                now = ARTICLE
+        if here or now != was:
             flush()
-            article = now
-        stack.append((tag, out, article))
+        out, role = here, now
+        stack.append((tag, out, role))
+        standing[tag] = standing.get(tag, 0) + 1
     if not out and at < len(page):
         piece.append(page[at:])
     flush()
-    return [b for b in found if b[1] == ARTICLE] or found
+    return [b for b in found if b[1] == ARTICLE] or [(t, ARTICLE) for t, r in found if r == WRAPPED] or found
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
