@@ -72,117 +72,119 @@ def overlaps(a: DataFrame, b: DataFrame, on: Sequence[str]) -> DataFrame:
     return a.join(b.select(*on).distinct(), list(on), "left_semi")
 
 
-def _conflicts(given: DataFrame, run: DataFrame, trials: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Candidate keys ``by`` whose given documents appear in the recipient's own top-``total``.
-
-    ``given`` holds (trial_id, qid = recipient, docid, by...); the test is an equi-join on
-    (qid, docid) against the first ranking plus a rank filter - no pair enumeration.
-    """
-    totals = F.broadcast(trials.select("trial_id", "total_prf_docs"))
-    return (given.join(run.select("qid", "docid", "rank"), ["qid", "docid"])
-            .join(totals, "trial_id")
-            .filter(F.col("rank") <= F.col("total_prf_docs"))
-            .select(*by).distinct())
+def _first_gap(taken: DataFrame, keys: Sequence[str], value: str, out: str, start: int) -> DataFrame:
+    """Per ``keys`` the smallest integer from ``start`` on that isn't among the distinct ``value``s: in sorted
+    order the first value ahead of its place, else the one after the last."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(value)) + F.lit(start - 1)
+    gap = F.min(F.when(F.col(value) > F.col("_place"), F.col("_place")))
+    return (taken.withColumn("_place", place).groupBy(*keys)
+            .agg(F.coalesce(gap, F.max("_place") + 1).cast("int").alias(out)))
 
 
-def select_swapped(run: DataFrame, trials: DataFrame, topics_batched: DataFrame, *,
-                   shift_round: int = 64) -> DataFrame:
+def select_swapped(run: DataFrame, trials: DataFrame, topics_batched: DataFrame) -> DataFrame:
     """swap feedback sets within each batch so no topic gets a document of its own top-``total``.
 
     Within a batch of n topics ordered by md5(seed:qid), topic i receives the feedback of topic
     (i+s) mod n for the smallest shift s in 1..n-1 valid for the whole batch; donors keep their
     documents and scores (T5).  A batch with no valid shift (or n = 1) gets no rows.
-    Shifts are tested in rounds of ``shift_round`` so candidate rows stay
-    topics x round at a time; rounds stop once every batch is decided.
+
+    Shifts are not tried: a donor's document among a recipient's own forbids the one shift
+    (i_donor - i_recipient) mod n, and the answer is the smallest number that nothing forbids.
+    Conflicts come from one join on (batch, document) for all trials of a seed, and are reduced to
+    one row per (seed, batch, position, shift) with the best rank at which the shift is forbidden, which
+    any total then reads.  The plan has no rounds and does not grow with the batch.
 
     ``run``: (qid, docid, rank, score) first ranking; ``trials``: trial_id, seed, total_prf_docs,
     positions, batch_size; ``topics_batched``: (batch_size, qid, batch) from R11.
     """
-    chosen = select_for_trials(run, trials)  # each topic's own documents at the trial's positions
-    members = (F.broadcast(trials.select("trial_id", "seed", "batch_size"))
-               .join(topics_batched, "batch_size")
-               .withColumn("_key", seeded_order_key("seed", "qid")))
-    wb = Window.partitionBy("trial_id", "batch").orderBy("_key")
-    members = (members.withColumn("i", (F.row_number().over(wb) - 1).cast("int"))
-               .withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("trial_id", "batch")).cast("int"))
-               .select("trial_id", "batch", "qid", "i", "n")).persist()
-    donors = members.select("trial_id", "batch", F.col("i").alias("di"), F.col("qid").alias("donor"))
-    max_n = members.agg(F.max("n")).first()[0] or 1
-    decided = None
-    lo = 1
-    while lo < max_n:
-        hi = min(max_n, lo + shift_round)
-        cand = (members.filter(F.col("n") > lo)
-                .withColumn("shift", F.explode(F.sequence(F.lit(lo), F.least(F.lit(hi - 1), F.col("n") - 1))))
-                .withColumn("di", F.pmod(F.col("i") + F.col("shift"), F.col("n"))))
-        if decided is not None:
-            cand = cand.join(decided.select("trial_id", "batch"), ["trial_id", "batch"], "left_anti")
-        cand = cand.join(donors, ["trial_id", "batch", "di"])
-        given = cand.join(chosen.select("trial_id", F.col("qid").alias("donor"), "docid"), ["trial_id", "donor"])
-        bad = _conflicts(given, run, trials, ["trial_id", "batch", "shift"])
-        ok = (cand.select("trial_id", "batch", "shift").distinct()
-              .join(bad, ["trial_id", "batch", "shift"], "left_anti")
-              .groupBy("trial_id", "batch").agg(F.min("shift").alias("shift"))).persist()
-        decided = ok if decided is None else decided.unionByName(ok)
-        lo = hi
-        if lo < max_n:
-            open_batches = (members.filter(F.col("n") > lo).select("trial_id", "batch").distinct()
-                            .join(decided.select("trial_id", "batch"), ["trial_id", "batch"], "left_anti"))
-            if open_batches.isEmpty():
-                break
-    if decided is None:
-        return chosen.limit(0).select("trial_id", "qid", "fb_pos", "docid", "score")
-    assign = (members.join(decided, ["trial_id", "batch"])
-              .withColumn("di", F.pmod(F.col("i") + F.col("shift"), F.col("n")))
-              .join(donors, ["trial_id", "batch", "di"])
-              .select("trial_id", "qid", "donor"))
-    return (assign.join(chosen.withColumnRenamed("qid", "donor"), ["trial_id", "donor"])
+    at = F.broadcast(trials.select("trial_id", "seed", "batch_size", "total_prf_docs", F.explode("positions").alias("pos")))  # configuration
+    slots = at.select("seed", "batch_size", "pos").distinct()
+    seeds = F.broadcast(trials.select("seed", "batch_size").distinct())
+    batch = ["seed", "batch_size", "batch"]
+    wb = Window.partitionBy(*batch)
+    order = (topics_batched.join(seeds, "batch_size")
+             .withColumn("i", (F.row_number().over(wb.orderBy(seeded_order_key("seed", "qid"))) - 1).cast("int"))
+             .withColumn("n", F.count(F.lit(1)).over(wb).cast("int")).select(*batch, "qid", "i", "n"))
+    ranked = run.select("qid", "docid", "rank")
+    given = (ranked.join(F.broadcast(slots.select("seed", "batch_size", (F.col("pos") + 1).alias("rank"))), "rank")
+             .join(order, ["seed", "batch_size", "qid"])
+             .select(*batch, "docid", (F.col("rank") - 1).alias("pos"), F.col("qid").alias("donor"), F.col("i").alias("di")))
+    most = trials.agg(F.max("total_prf_docs")).scalar()
+    own = (ranked.filter(F.col("rank") <= most).join(topics_batched, "qid")
+           .select("batch_size", "batch", "docid", "qid", "rank"))
+    met = given.join(own, ["batch_size", "batch", "docid"]).filter(F.col("donor") != F.col("qid"))
+    forbidden = (met.join(order, [*batch, "qid"])
+                 .groupBy(*batch, "pos", F.pmod(F.col("di") - F.col("i"), F.col("n")).alias("shift"))
+                 .agg(F.min("rank").alias("rank")))
+    taken = (forbidden.join(at, ["seed", "batch_size", "pos"]).filter(F.col("rank") <= F.col("total_prf_docs"))
+             .select("trial_id", "batch", "shift").distinct())
+    gaps = _first_gap(taken, ["trial_id", "batch"], "shift", "shift", 1)
+    # one row per member and trial; batches that nothing is forbidden in take shift 1
+    members = order.join(F.broadcast(trials.select("trial_id", "seed", "batch_size")), ["seed", "batch_size"])
+    assign = (members.join(gaps, ["trial_id", "batch"], "left").withColumn("shift", F.coalesce("shift", F.lit(1)))
+              .filter(F.col("shift") < F.col("n")).withColumn("di", F.pmod(F.col("i") + F.col("shift"), F.col("n"))))
+    donors = order.select(*batch, F.col("i").alias("di"), F.col("qid").alias("donor"))
+    return (assign.join(donors, [*batch, "di"]).select("trial_id", "qid", "donor")
+            .join(select_for_trials(run, trials).withColumnRenamed("qid", "donor"), ["trial_id", "donor"])
             .select("trial_id", "qid", "fb_pos", "docid", "score"))
 
 
-def select_donor(run: DataFrame, trials: DataFrame, *, step_round: int = 64) -> DataFrame:
+RING_CHUNK = 1 << 16  # topics that are numbered together in a ring
+
+
+def select_donor(run: DataFrame, trials: DataFrame) -> DataFrame:
     """each topic takes the feedback of a donor topic whose chosen documents are disjoint
     from its own top-``total``; search backwards cyclically from a seeded start, skipping self.
 
     With the n topics of the run in qid order at index i, the start is
     (i - 1 - h mod (n-1)) mod n, h = first 8 hex digits of md5(seed:qid); step s tries
-    (start - s) mod n.  Steps are tested in rounds of ``step_round`` (candidate rows stay
-    linear in topics); topics with no valid donor get no rows.  Donors may repeat.
+    (start - s) mod n.  Topics without documents at the trial's positions neither give nor
+    receive; topics with no valid donor get no rows.  Donors may repeat.
+
+    Steps are not tried: the topics that can give form a ring, a conflict forbids one step back from the
+    start in it, and so does the topic itself; the answer is the smallest step that nothing forbids.
     """
-    chosen = select_for_trials(run, trials)
-    idx = (index_in_order(run.select("qid").distinct(), "qid", "i")
-           .withColumn("i", F.col("i").cast("int"))).persist()
-    n = idx.count()
-    if n <= 1:
-        return chosen.limit(0).select("trial_id", "qid", "fb_pos", "docid", "score")
-    recipients = chosen.select("trial_id", "qid").distinct()
-    base = (recipients.join(idx, "qid")
-            .join(F.broadcast(trials.select("trial_id", "seed")), "trial_id")
-            .withColumn("start", F.pmod(F.col("i") - 1 - F.pmod(seeded_offset("seed", "qid"), F.lit(n - 1)),
-                                        F.lit(n)).cast("int"))).persist()
-    donor_of = idx.select(F.col("i").alias("di"), F.col("qid").alias("donor"))
-    has_docs = chosen.select("trial_id", F.col("qid").alias("donor")).distinct()
-    decided = None
-    s0 = 0
-    while s0 < n:
-        cand = (base.withColumn("step", F.explode(F.sequence(F.lit(s0), F.lit(min(n, s0 + step_round) - 1))))
-                .withColumn("di", F.pmod(F.col("start") - F.col("step"), F.lit(n)))
-                .filter(F.col("di") != F.col("i")))
-        if decided is not None:
-            cand = cand.join(decided.select("trial_id", "qid"), ["trial_id", "qid"], "left_anti")
-        cand = cand.join(donor_of, "di").join(has_docs, ["trial_id", "donor"], "left_semi")
-        given = cand.join(chosen.select("trial_id", F.col("qid").alias("donor"), "docid"), ["trial_id", "donor"])
-        bad = _conflicts(given, run, trials, ["trial_id", "qid", "step"])
-        ok = (cand.join(bad, ["trial_id", "qid", "step"], "left_anti")
-              .groupBy("trial_id", "qid").agg(F.min_by("donor", "step").alias("donor"))).persist()
-        decided = ok if decided is None else decided.unionByName(ok)
-        s0 += step_round
-        if s0 < n:
-            left = base.select("trial_id", "qid").join(decided.select("trial_id", "qid"), ["trial_id", "qid"],
-                                                       "left_anti")
-            if left.isEmpty():
-                break
-    return (decided.join(chosen.withColumnRenamed("qid", "donor"), ["trial_id", "donor"])
+    rank1 = run.groupBy("qid").agg(F.max("rank").alias("len"))
+    idx = index_in_order(rank1, "qid", "i").withColumn("i", F.col("i").cast("int"))
+    n = idx.agg(F.count(F.lit(1)).cast("int")).scalar()
+    least = F.broadcast(trials.filter(F.size("positions") > 0).select("trial_id", "seed", "total_prf_docs", F.array_min("positions").alias("least")))
+    # per least position the ring of the topics whose ranking reaches it, with the count of them up to each topic
+    leasts = sorted({r[0] for r in least.select("least").distinct().collect()})  # the grid is configuration
+    rings = (idx.withColumn("least", F.explode(F.lit(leasts).cast("array<int>"))).withColumn("in", (F.col("len") > F.col("least")).cast("int"))
+             .withColumn("chunk", F.floor(F.col("i") / RING_CHUNK).cast("int")))
+    sums = rings.groupBy("least", "chunk").agg(F.sum("in").alias("n_in"))
+    upto = sums.select("least", "chunk", (F.sum("n_in").over(Window.partitionBy("least").orderBy("chunk")) - F.col("n_in")).alias("before"),
+                       F.sum("n_in").over(Window.partitionBy("least")).alias("ring"))
+    within = F.sum("in").over(Window.partitionBy("least", "chunk").orderBy("i"))
+    rings = (rings.withColumn("cum", within).join(upto, ["least", "chunk"])
+             .select("least", "i", "qid", "in", (F.col("before") + F.col("cum")).cast("int").alias("cum"), F.col("ring").cast("int").alias("ring")))
+    members = rings.filter("in = 1").select("least", "qid", "i", (F.col("cum") - 1).alias("j"), "ring")
+    offset = F.pmod(seeded_offset("seed", "qid"), F.greatest(n - 1, F.lit(1)))
+    starts = (members.join(F.broadcast(least.select("least", "seed").distinct()), "least")
+              .withColumn("start", F.pmod(F.col("i") - 1 - offset, n).cast("int"))
+              .join(rings.select("least", F.col("i").alias("start"), "cum"), ["least", "start"])
+              .select("least", "seed", "qid", "j", "ring", F.pmod(F.col("cum") - 1, F.col("ring")).alias("j0")))
+    # conflicts, once for all trials: a document at a position of the donor's among the recipient's own
+    at = F.broadcast(trials.select("trial_id", "seed", "total_prf_docs", F.array_min("positions").alias("least"), F.explode("positions").alias("pos")))
+    ranked = run.select("qid", "docid", "rank")
+    used = F.broadcast(at.select((F.col("pos") + 1).alias("rank")).distinct())
+    most = trials.agg(F.max("total_prf_docs")).scalar()
+    given = ranked.join(used, "rank").select("docid", (F.col("rank") - 1).alias("pos"), F.col("qid").alias("donor"))
+    met = (given.join(ranked.filter(F.col("rank") <= most), "docid").filter(F.col("donor") != F.col("qid"))
+           .groupBy("pos", "donor", "qid").agg(F.min("rank").alias("rank")))
+    pairs = (met.join(at, "pos").filter(F.col("rank") <= F.col("total_prf_docs"))
+             .select("trial_id", "seed", "least", "qid", "donor").distinct())
+    back = F.pmod(F.col("j0") - F.col("dj"), F.col("ring"))
+    barred = (pairs.join(starts, ["least", "seed", "qid"]).join(members.select("least", F.col("qid").alias("donor"), F.col("j").alias("dj")), ["least", "donor"])
+              .select("trial_id", "qid", back.alias("step")))
+    entered = starts.join(least.select("trial_id", "seed", "least"), ["least", "seed"])
+    itself = entered.select("trial_id", "qid", F.pmod(F.col("j0") - F.col("j"), F.col("ring")).alias("step"))
+    steps = _first_gap(barred.unionByName(itself), ["trial_id", "qid"], "step", "step", 0)
+    taken = (entered.join(steps, ["trial_id", "qid"]).filter(F.col("step") < F.col("ring"))
+             .select("trial_id", "qid", "least", F.pmod(F.col("j0") - F.col("step"), F.col("ring")).alias("dj")))
+    donors = members.select("least", F.col("j").alias("dj"), F.col("qid").alias("donor"))
+    return (taken.join(donors, ["least", "dj"]).select("trial_id", "qid", "donor")
+            .join(select_for_trials(run, trials).withColumnRenamed("qid", "donor"), ["trial_id", "donor"])
             .select("trial_id", "qid", "fb_pos", "docid", "score"))
 
 
