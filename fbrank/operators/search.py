@@ -1,20 +1,23 @@
 """Retrieval operators R1-R5, R8-R11.
 
-Exact top-k vector search is a block matrix product laid out by Spark:
+Exact top-k vector search reads the corpus where it is scanned:
 
-* the corpus is hash-sharded on ``docid`` (``n_shards`` groups, balanced by hash);
-* each query row is replicated once per shard (|queries| x shards rows, never pairs);
-* ``cogroup(...).applyInArrow`` scores one (query block, shard) group with NumPy and keeps
-  only a partial top-k per query (plus exact ties at the cut);
-* a global ``row_number() <= k`` window (``WindowGroupLimit`` partial + final) merges shards.
+* the queries are measured and, up to ``QUERY_BYTES``, broadcast in blocks, each small enough that a task
+  holds the block and its best hits (``BLOCK_BYTES``);
+* ``mapInArrow`` over the corpus partitions scores a batch of documents against a block with one NumPy product
+  and keeps the k best per query (plus exact ties) while the batches pass;
+* a global ``row_number() <= k`` window (``WindowGroupLimit`` partial + final) merges the partitions.
 
-No row per (query, document) pair is ever materialised, no query set passes through the
-driver, and every group holds at most one shard plus one query block.
+The corpus is never shuffled; at most k rows (and ties) per query and partition are.  Where a scan has fewer
+partitions than the cluster has cores, more blocks than memory asks for keep the cores busy.
+
+Larger query sets meet the corpus in shuffled groups instead (hash shards of the corpus by query blocks, both
+bounded by bytes).  Both ways share one kernel; the result does not depend on the layout.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,8 @@ from fbrank.session import cut_lineage
 RANK_DIGITS = 9      # fixed value: ranking key is round(score, 9), then docid
 TIE_EPS = 1e-9       # candidates within this of the k-th score are kept (exact ties survive)
 CELL_BUDGET = 1 << 22  # score-matrix cells per NumPy step inside one task
-SHARD_ROWS = 200_000   # documents of one kernel group
-QUERY_ROWS = 50_000    # queries of one kernel group, where their number is given
+QUERY_BYTES = 128 << 20  # of all queries of a search that are broadcast
+BLOCK_BYTES = 64 << 20   # of a block's queries and best hits in one task; of a shuffled shard or block of vectors
 
 
 def rank_key(score: Column | str = "score") -> Column:
@@ -90,118 +93,147 @@ def docid_order(ids: np.ndarray) -> np.ndarray:
     return np.unique(ids, return_inverse=True)[1]
 
 
-def _make_kernel(keys: Sequence[str], qv: str, docid: str, vec: str, k: int, metric: str, exclude: str | None):
-    names = list(keys) + [docid, "score"]
-
-    def emit(qt: pa.Table, ct: pa.Table, qi, di, sc) -> pa.Table:
-        cols = [qt.column(kc).take(pa.array(qi, pa.int64())) for kc in keys]
-        cols.append(ct.column(docid).take(pa.array(di, pa.int64())))
-        cols.append(pa.array(sc, type=pa.float64()))
-        return pa.Table.from_arrays(cols, names=names)
-
-    def kernel(qt: pa.Table, ct: pa.Table) -> pa.Table:
-        if qt.num_rows == 0 or ct.num_rows == 0:
-            return emit(qt, ct, [], [], [])
-        qm = _matrix(qt.column(qv))
-        cm = _matrix(ct.column(vec))
+class _Best:
+    """The best hits per query so far: (query row, docid, score) arrays, cut now and then."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor, self.room = k, np.full(n, -np.inf), max(2 * n * k, 1 << 16)
+        self.parts, self.held = [], 0
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.parts.append((rows, ids, scores))
+        self.held += len(rows)
+        if self.held > self.room:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Keeps each query's k first by score and the exact or nearly exact ties of the last, which rounding decides."""
+        if not self.parts:
+            return None
+        rows, ids, scores = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        by = np.lexsort((docid_order(ids), -scores, rows))
+        rows, ids, scores = rows[by], ids[by], scores[by]
+        first = np.searchsorted(rows, rows, side="left")
+        place = np.arange(len(rows)) - first
+        last = np.minimum(first + self.k - 1, np.searchsorted(rows, rows, side="right") - 1)
+        same = np.ones(len(rows), bool)
+        same[1:] = (rows[1:] != rows[:-1]) | (scores[1:] != scores[:-1])
+        tie = np.arange(len(rows)) - np.maximum.accumulate(np.where(same, np.arange(len(rows)), 0))
+        keep = ((place < self.k) | (scores >= scores[last] - TIE_EPS)) & (tie < self.k)
+        full = place == self.k - 1
+        self.floor[rows[full]] = scores[full] - TIE_EPS
+        self.parts, self.held = [(rows[keep], ids[keep], scores[keep])], int(keep.sum())
+        return self.parts[0]
+
+
+def _searched(qt: pa.Table, batches: Iterable[tuple[pa.Array, pa.Array]], qv: str, k: int, metric: str, exclude: str | None):
+    """Query rows, docids and scores of the best hits over batches of (docid, vector) columns."""
+    qm = _matrix(qt.column(qv))
+    if metric == "hamming":
+        qm = _bits(qm)
+    excl = qt.column(exclude).to_numpy() if exclude else None
+    best = _Best(len(qm), k)
+    for docids, vecs in batches:
+        cm, ids = _matrix(vecs), docids.to_numpy(zero_copy_only=False) if isinstance(docids, pa.Array) else docids.to_numpy()
+        if not len(ids) or not len(qm):
+            continue
         cells = CELL_BUDGET
         if metric == "hamming":
-            qm, cm = _bits(qm), _bits(cm)
+            cm = _bits(cm)
             cells = max(1, CELL_BUDGET // cm.shape[1])  # a pair takes as many bytes as a code
-        ids = ct.column(docid).to_numpy()
         order = docid_order(ids)
-        excl = qt.column(exclude).to_numpy() if exclude else None
-        nq, nc = qm.shape[0], cm.shape[0]
-        col_step = max(1, min(nc, cells))
-        row_step = max(1, cells // col_step)
-        out_q, out_d, out_s = [], [], []
-        for r0 in range(0, nq, row_step):
-            r1 = min(nq, r0 + row_step)
-            cand_r, cand_c, cand_s = [], [], []
-            for c0 in range(0, nc, col_step):
-                c1 = min(nc, c0 + col_step)
-                s = _scores(qm[r0:r1], cm[c0:c1], metric)
+        cols = min(len(ids), cells)
+        rows = max(1, cells // cols)
+        for c0 in range(0, len(ids), cols):
+            for r0 in range(0, len(qm), rows):
+                s = _scores(qm[r0:r0 + rows], cm[c0:c0 + cols], metric)
                 if excl is not None:
-                    s[excl[r0:r1, None] == ids[None, c0:c1]] = -np.inf
-                rr, cc = _partial_topk(s, k, order[c0:c1])
-                cand_r.append(rr + r0)
-                cand_c.append(cc + c0)
-                cand_s.append(s[rr, cc])
-            rr = np.concatenate(cand_r)
-            cc = np.concatenate(cand_c)
-            ss = np.concatenate(cand_s)
-            if len(cand_r) > 1 and len(rr):
-                # merge the chunks' candidates as each chunk cut its own
-                by = np.lexsort((-ss, rr))
-                rr, cc, ss = rr[by], cc[by], ss[by]
-                starts = np.searchsorted(rr, rr, side="left")
-                pos = np.arange(len(rr)) - starts
-                kth_idx = np.minimum(starts + k - 1, np.searchsorted(rr, rr, side="right") - 1)
-                keep = (pos < k) | (ss >= ss[kth_idx] - TIE_EPS)
-                rr, cc, ss = rr[keep], cc[keep], ss[keep]
-                by = np.lexsort((order[cc], -ss, rr))
-                rr, cc, ss = rr[by], cc[by], ss[by]
-                new = np.ones(len(rr), bool)
-                new[1:] = (rr[1:] != rr[:-1]) | (ss[1:] != ss[:-1])
-                keep = np.arange(len(rr)) - np.maximum.accumulate(np.where(new, np.arange(len(rr)), 0)) < k
-                rr, cc, ss = rr[keep], cc[keep], ss[keep]
-            out_q.append(rr)
-            out_d.append(cc)
-            out_s.append(ss)
-        return emit(qt, ct, np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s))
-
-    return kernel
+                    s[excl[r0:r0 + rows, None] == ids[None, c0:c0 + cols]] = -np.inf
+                s[s < best.floor[r0:r0 + rows, None]] = -np.inf
+                rr, cc = _partial_topk(s, k, order[c0:c0 + cols])
+                best.add(rr + r0, ids[c0 + cc], s[rr, cc])
+    return best.cut()
+
+
+def _hits(qt: pa.Table, keys: Sequence[str], found, id_type: pa.DataType, names: Sequence[str]) -> list[pa.Array]:
+    rows, ids, scores = found if found is not None else (np.empty(0, np.int64), np.empty(0, object), np.empty(0))
+    at = pa.array(rows, pa.int64())
+    return [*((c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c).take(at) for c in map(qt.column, keys)),
+            pa.array(ids, id_type), pa.array(scores, pa.float64())]
 
 
 def topk_search(queries: DataFrame, corpus: DataFrame, k: int, *, keys: Sequence[str] = ("qid",),
                 qv: str = "qv", docid: str = "docid", vec: str = "vec", metric: str = "ip",
-                exclude_self: str | None = None, n_shards: int | None = None,
-                query_blocks: int | None = None, n_queries: int | None = None) -> DataFrame:
+                exclude_self: str | None = None, blocks: int | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Exact top-k per query row.
 
     Returns ``keys..., docid, score DOUBLE, rank INT`` with rank 1..k ordered by
     ``round(score, 9) desc, docid asc``.  ``exclude_self`` names a query column whose value
     must never be retrieved as a docid (a topic drawn from the corpus).
 
-    Layout: the corpus is cut into ``n_shards`` hash shards, at least ``4k`` documents each (so
-    that the partial top-k of a shard prunes) and at most about ``SHARD_ROWS``, and the queries
-    into ``query_blocks`` hash blocks; each group holds one shard and one block.  Give
-    ``n_queries`` (about, at least) for query sets that may be large: a block then holds about
-    ``QUERY_ROWS``.  The result does not depend on the layout.
+    The queries are computed and measured when the search is planned: up to ``query_bytes`` they are
+    broadcast in ``blocks`` (by default as many as memory and cores ask for) and the corpus is searched
+    where it is scanned; larger sets are searched in shuffled groups.
     """
     spark = queries.sparkSession
     keys = list(keys)
-    n_shards, query_blocks = search_layout(corpus, k, n_shards, query_blocks, n_queries)
-    key_fields = [queries.schema[kc] for kc in keys]
+    qcols = list(dict.fromkeys(keys + ([exclude_self] if exclude_self else [])))
+    q = queries.select(*qcols, F.col(qv).cast("array<double>").alias(qv)).persist()
+    n, top, size = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(qv)), F.lit(0)), F.coalesce(F.sum(F.size(qv)), F.lit(0)) * 8).first()
+    c = corpus.select(F.col(docid), F.col(vec).cast("array<double>").alias(vec))
     id_field = corpus.schema[docid]
-    out_struct = T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in key_fields]
-        + [T.StructField(docid, id_field.dataType, True), T.StructField("score", T.DoubleType(), True)]
-    )
-    qcols = list(dict.fromkeys(keys + ([exclude_self] if exclude_self and exclude_self not in keys else [])))
-    q = (queries.select(*qcols, F.col(qv).cast("array<double>").alias(qv))
-         .withColumn("_blk", F.pmod(F.xxhash64(*[F.col(c) for c in keys]), F.lit(query_blocks)).cast("int"))
-         .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))))
-    c = (corpus.select(F.col(docid), F.col(vec).cast("array<double>").alias(vec))
-         .withColumn("_shard", F.pmod(F.xxhash64(F.col(docid)), F.lit(n_shards)).cast("int"))
-         .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
-    kernel = _make_kernel(keys, qv, docid, vec, k, metric, exclude_self)
-    partial = (q.groupBy("_blk", "_shard").cogroup(c.groupBy("_blk", "_shard"))
-               .applyInArrow(kernel, out_struct))
-    return limit_per_topic(partial, k, keys=keys, docid=docid)
-
-
-def search_layout(corpus: DataFrame, k: int, n_shards: int | None = None,
-                  query_blocks: int | None = None, n_queries: int | None = None) -> tuple[int, int]:
-    """(shards, query blocks) for a corpus: shards of 4k to SHARD_ROWS documents, blocks of at most
-    about QUERY_ROWS of ``n_queries``, at least about one group per core."""
-    cores = corpus.sparkSession.sparkContext.defaultParallelism
-    if n_shards is None:
-        rows = corpus.count()  # a job of its own: it sets the layout
-        n_shards = int(max(1, min(cores, rows // max(4 * k, 1)), -(-rows // SHARD_ROWS)))
-    if query_blocks is None:
-        query_blocks = int(max(1, cores // n_shards, -(-(n_queries or 0) // QUERY_ROWS)))
-    return n_shards, query_blocks
+    out = T.StructType([T.StructField(kc, queries.schema[kc].dataType, True) for kc in keys]
+                       + [T.StructField(docid, id_field.dataType, True), T.StructField("score", T.DoubleType(), True)])
+    if size > query_bytes:
+        found = _in_groups(q, c, k, out, keys, qv, docid, vec, metric, exclude_self, int(top), int(size))
+        return limit_per_topic(found, k, keys=keys, docid=docid)
+    table = q.toArrow().combine_chunks()
+    q.unpersist()
+    cores = spark.sparkContext.defaultParallelism
+    # a corpus that is computed with a shuffle has as many partitions as that gives it; a scan's are known
+    parts = cores if "Exchange" in c._jdf.queryExecution().executedPlan().toString() else max(1, c.rdd.getNumPartitions())
+    need = -(-n * (8 * top + 16 * k) // BLOCK_BYTES)
+    blocks = max(1, min(n, blocks or max(need, -(-cores // parts))))
+    found = None
+    for b in range(blocks):
+        block = spark.sparkContext.broadcast(table.take(pa.array(np.arange(b, n, blocks), pa.int64())))
+        part = c.mapInArrow(_scan_kernel(block, keys, qv, docid, k, metric, exclude_self, out.names), out)
+        found = part if found is None else found.unionAll(part)
+    return limit_per_topic(found, k, keys=keys, docid=docid)
+
+
+def _scan_kernel(block, keys, qv, docid, k, metric, exclude, names):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qt, kind = block.value, None
+
+        def columns():
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                yield batch.column(0), batch.column(1)
+
+        found = _searched(qt, columns(), qv, k, metric, exclude)
+        if found is not None:
+            yield pa.RecordBatch.from_arrays(_hits(qt, keys, found, kind, names), names=names)
+
+    return search
+
+
+def _in_groups(q: DataFrame, c: DataFrame, k: int, out: T.StructType, keys, qv, docid, vec, metric, exclude, dim: int, size: int) -> DataFrame:
+    """The search of query sets too large to broadcast: a corpus shard of at least 4k documents and a query block
+    per group, each of about ``BLOCK_BYTES``; a query is copied once per shard, a document once per block."""
+    shards = max(1, -(-c.count() * 8 * max(dim, 1) // BLOCK_BYTES))
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    left = (q.withColumn("_blk", F.pmod(F.xxhash64(*keys), F.lit(blocks)).cast("int"))
+            .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
+    right = (c.withColumn("_shard", F.pmod(F.xxhash64(docid), F.lit(shards)).cast("int"))
+             .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+
+    def search(qt: pa.Table, ct: pa.Table) -> pa.Table:
+        found = _searched(qt, [(ct.column(docid), ct.column(vec))], qv, k, metric, exclude)
+        return pa.Table.from_arrays(_hits(qt, keys, found, ct.schema.field(docid).type, out.names), names=out.names)
+
+    return left.groupBy("_blk", "_shard").cogroup(right.groupBy("_blk", "_shard")).applyInArrow(search, out)
 
 
 def limit_per_topic(hits: DataFrame, k: int, *, keys: Sequence[str] = ("qid",), docid: str = "docid",
@@ -214,11 +246,11 @@ def limit_per_topic(hits: DataFrame, k: int, *, keys: Sequence[str] = ("qid",),
 
 def binary_search(queries: DataFrame, corpus: DataFrame, binary_k: int, k: int, *, rerank: bool = False,
                   keys: Sequence[str] = ("qid",), qv: str = "qv", docid: str = "docid", vec: str = "vec",
-                  exclude_self: str | None = None, n_shards: int | None = None) -> DataFrame:
+                  exclude_self: str | None = None) -> DataFrame:
     """Hamming top-``binary_k`` over sign codes; with ``rerank``, rescore the candidates by
     dot(query, +-1 code) and keep ``k``.  Without rerank, score = -hamming distance."""
     cand = topk_search(queries, corpus, binary_k, keys=keys, qv=qv, docid=docid, vec=vec, metric="hamming",
-                       exclude_self=exclude_self, n_shards=n_shards)
+                       exclude_self=exclude_self)
     if not rerank:
         return cand.filter(F.col("rank") <= k)
     qsel = queries.select(*keys, F.col(qv).alias("_qv"))

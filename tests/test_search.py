@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fbrank.operators import sparse as sp
-from fbrank.operators.search import QUERY_ROWS, binary_search, break_ties, max_passage, search_layout, topk_search
+from fbrank.operators import search
+from fbrank.operators.search import binary_search, break_ties, max_passage, topk_search
 
 
 def _brute(Q, C, ids, k, exclude=None, qids=None):
@@ -17,17 +18,21 @@ def _brute(Q, C, ids, k, exclude=None, qids=None):
     return out
 
 
-@pytest.mark.parametrize("n_shards,blocks", [(1, 1), (3, 2), (5, 1)])
-def test_topk_matches_brute_force(spark, n_shards, blocks):
+# scanned in 1, 3 or 5 partitions by 1 to 3 blocks of queries, or (no bytes for a broadcast) in shuffled groups
+LAYOUTS = [(1, dict(blocks=1)), (3, dict(blocks=2)), (5, dict(blocks=1)), (4, dict(blocks=3)), (2, dict()), (3, dict(query_bytes=0))]
+
+
+@pytest.mark.parametrize("parts,layout", LAYOUTS)
+def test_topk_matches_brute_force(spark, parts, layout):
     rng = np.random.default_rng(7)
     C = rng.normal(size=(97, 8)).round(2)
     C[10] = C[11]  # exact tie: docid order decides
     Q = C[[0, 10, 20, 30]]
     ids = list(range(97))
     qids = [0, 10, 20, 30]
-    corpus = spark.createDataFrame([(i, C[i].tolist()) for i in ids], "docid long, vec array<double>")
+    corpus = spark.createDataFrame([(i, C[i].tolist()) for i in ids], "docid long, vec array<double>").repartition(parts)
     queries = spark.createDataFrame([(q, C[q].tolist()) for q in qids], "qid long, qv array<double>")
-    got = topk_search(queries, corpus, 7, exclude_self="qid", n_shards=n_shards, query_blocks=blocks)
+    got = topk_search(queries, corpus, 7, exclude_self="qid", **layout)
     res = {}
     for r in got.orderBy("qid", "rank").collect():
         res.setdefault(r["qid"], []).append(r["docid"])
@@ -39,7 +44,7 @@ def test_topk_matches_brute_force(spark, n_shards, blocks):
 def test_topk_plan_has_partial_and_final_window_limit(spark):
     corpus = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "docid long, vec array<double>")
     queries = spark.createDataFrame([(100, [1.0, 0.0])], "qid long, qv array<double>")
-    plan = topk_search(queries, corpus, 3, n_shards=2)._jdf.queryExecution().executedPlan().toString()
+    plan = topk_search(queries, corpus, 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert "CrossJoin" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
@@ -126,10 +131,33 @@ def test_rocchio_sweep_linear_equals_terms(spark):
     assert sorted(map(key, lin.collect())) == sorted(map(key, ter.collect()))
 
 
-def test_query_blocks_are_bounded_and_change_nothing(spark):
-    corpus = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(60)], "docid long, vec array<double>")
+def test_layouts_are_bounded_and_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    corpus = spark.createDataFrame([(f"d{i:04d}", rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(700)], "docid string, vec array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(50)], "qid long, qv array<double>")
+    want = topk_search(queries, corpus, 20, blocks=1).orderBy("qid", "rank").collect()
+    assert len(want) == 1000
+    monkeypatch.setattr(search, "BLOCK_BYTES", 4000)  # several blocks, several groups
+    monkeypatch.setattr(search, "CELL_BUDGET", 300)
+    for layout in (dict(), dict(query_bytes=0), dict(blocks=50)):
+        assert topk_search(queries, corpus, 20, **layout).orderBy("qid", "rank").collect() == want
+    assert topk_search(queries.limit(0), corpus, 20).count() == topk_search(queries, corpus.limit(0), 20).count() == 0
+
+
+def test_the_corpus_is_searched_where_it_is_scanned(spark, tmp_path):
+    path = str(tmp_path / "vectors.parquet")
+    spark.createDataFrame([(i, [float(i % 7), float(i % 5)], "x") for i in range(60)], "docid long, vec array<float>, extra string").repartition(4).write.parquet(path)
     queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(9)], "qid long, qv array<double>")
-    shards, blocks = search_layout(corpus, 5, n_queries=40 * QUERY_ROWS)
-    assert blocks >= 40 and shards >= 1
-    one, many = (topk_search(queries, corpus, 5, **o).orderBy("qid", "rank").collect() for o in ({"query_blocks": 1}, {"n_queries": 40 * QUERY_ROWS}))
-    assert one == many
+    found = topk_search(queries, spark.read.parquet(path), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "MapInArrow" in plan and "extra" not in plan  # the hits by topic, nothing else
+    assert found.count() == 45
+
+
+def test_a_task_keeps_k_hits_and_ties(spark):
+    best = search._Best(2, 3)
+    for lo in range(0, 40_000, 100):
+        ids = np.arange(lo, lo + 100)
+        best.add(np.repeat([0, 1], 100), np.tile(ids, 2), np.concatenate([ids % 7 * 1.0, np.zeros(100)]))
+    rows, ids, scores = best.cut()
+    assert ids[rows == 0].tolist() == [6, 13, 20] and ids[rows == 1].tolist() == [0, 1, 2] and best.held == 6

@@ -17,7 +17,7 @@ def test_metrics_do_not_depend_on_the_layout(spark):
     queries = spark.createDataFrame([(1, [1.0])], "qid long, qv array<double>")
     corpus = spark.createDataFrame([(i, [x]) for i, x in enumerate([0.1234570, 0.1234565, 0.5, 0.0000125, 0.0000134])], "docid long, vec array<double>")
     qrels = spark.createDataFrame([(1, 1, 2), (1, 3, 2)], "qid long, docid long, rel int")
-    got = {tuple(ev.evaluate(topk_search(queries, corpus, 5, n_shards=n), qrels).first()) for n in (1, 2, 5)}
+    got = {tuple(ev.evaluate(topk_search(queries, corpus.repartition(n), 5), qrels).first()) for n in (1, 2, 5)}
     assert len(got) == 1
 
 
@@ -25,7 +25,7 @@ def test_ties_leave_the_kernel_cut(spark):
     queries = spark.createDataFrame([(1, [0.0, 0.0])], "qid long, qv array<double>")
     corpus = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(300)], "docid long, vec array<double>")
     for n in (1, 3):
-        assert [r.docid for r in topk_search(queries, corpus, 10, n_shards=n).orderBy("rank").collect()] == list(range(10))
+        assert [r.docid for r in topk_search(queries, corpus.repartition(n), 10).orderBy("rank").collect()] == list(range(10))
     from fbrank.operators.search import _partial_topk
     import numpy as np
     assert len(_partial_topk(np.zeros((2, 300)), 10, np.arange(300))[0]) == 20
