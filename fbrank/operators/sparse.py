@@ -22,12 +22,13 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from fbrank.functions.text import STOP_DF_FRACTION, tokens
-from fbrank.operators.search import _partial_topk, docid_order, limit_per_topic
+from fbrank.operators.search import _partial_topk, docid_order, index_in_order, limit_per_topic
+from fbrank.session import cut_lineage
 
 K1 = 0.9
 B = 0.4
@@ -118,176 +119,81 @@ def doc_weights(index: Index, *, k1: float = K1, b: float = B) -> DataFrame:
 
 
 def bm25_search(weighted_terms: DataFrame, index: Index, k: int = 1000, *, keys: Sequence[str] = ("qid",),
-                k1: float = K1, b: float = B, weights: DataFrame | None = None, method: str = "block",
-                n_shards: int | None = None, query_blocks: int | None = None) -> DataFrame:
+                k1: float = K1, b: float = B, weights: DataFrame | None = None) -> DataFrame:
     """Weighted any-term BM25 search; returns keys..., docid, score, rank (rank <= k).
 
     Terms with empty text or weight <= 0 are skipped (V9).  ``weights`` may pass a persisted
-    ``doc_weights`` frame to reuse across searches.
-
-    ``method='block'`` (default) scores in a per-group kernel: groups are (query block,
-    document shard); the smaller side is replicated (queries over shards or postings over
-    query blocks, chosen from the two row counts), and each group turns its query terms into
-    posting contributions with sorted arrays and accumulates them with ``bincount`` - the
-    (query, term, document) fan-out never becomes Spark rows; only a partial top-k per query
-    and group leaves the kernel, merged by the usual top-k window.
-    ``method='join'`` is the plain relational form (term equi-join, sum, window).
+    ``doc_weights`` frame, or a stored one (``sources.index``), to reuse across searches.
+
+    A term equi-join, sums by (keys, docid) that start before the shuffle, and the usual top-k window: a frequent
+    term is a hot key of the join, which adaptive execution splits; nothing is copied, collected or cut.  Sums
+    don't depend on the order in which parts arrive (``exact_sum``), so equal documents have equal scores.
     """
     w = weights if weights is not None else doc_weights(index, k1=k1, b=b)
     q = weighted_terms.filter((F.col("weight") > 0) & (F.length("term") > 0)).select(*keys, "term", "weight")
-    if method == "join":
-        scored = (q.join(w, "term")
-                  .groupBy(*keys, "docid").agg(F.sum(F.col("weight") * F.col("w")).alias("score")))
-        return limit_per_topic(scored, k, keys=keys)
-    if method != "block":
-        raise ValueError(f"unknown BM25 method {method!r}")
-    keys = list(keys)
-    cores = q.sparkSession.sparkContext.defaultParallelism
-    if n_shards is None or query_blocks is None:
-        q = q.persist()
-        nq, nw = q.count(), w.count()
-        best = min(((s_, cores // s_) for s_ in range(1, cores + 1) if cores % s_ == 0),
-                   key=lambda sb: nq * sb[0] + nw * sb[1])
-        # about a group per core, and more where a group would hold too much: only the layout differs
-        n_shards = n_shards or max(best[0], -(-nw // GROUP_ROWS))
-        query_blocks = query_blocks or max(best[1], -(-nq // GROUP_ROWS))
-    qg = (q.withColumn("_blk", F.pmod(F.xxhash64(*[F.col(c) for c in keys]), F.lit(query_blocks)).cast("int"))
-          .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))))
-    wg = (w.select("term", "docid", "w")
-          .withColumn("_shard", F.pmod(F.xxhash64("docid"), F.lit(n_shards)).cast("int"))
-          .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))))
-    out_struct = T.StructType([T.StructField(c, q.schema[c].dataType, True) for c in keys]
-                              + [T.StructField("docid", w.schema["docid"].dataType, True),
-                                 T.StructField("score", T.DoubleType(), True)])
-    partial = (qg.groupBy("_blk", "_shard").cogroup(wg.groupBy("_blk", "_shard"))
-               .applyInArrow(_bm25_kernel(keys, k), out_struct))
-    return limit_per_topic(partial, k, keys=keys)
-
-
-GROUP_ROWS = 4_000_000   # postings, and query terms, of one kernel group
-SHARD_DOCS = 8192        # documents of one group of a sweep, about
-CELL_BUDGET = 1 << 22    # dense (query x document) score cells per step inside a task
-PAIR_BUDGET = 1 << 24    # posting contributions per step inside a task
+    scored = q.join(w, "term").groupBy(*keys, "docid").agg(exact_sum(F.col("weight") * F.col("w")).alias("score"))
+    return limit_per_topic(scored, k, keys=keys)
 
 
-DENSE_TERM_CELLS = 1 << 24  # cells of the dense (heavy term x document) block of a group
-HEAVY_DENSITY = 1 / 64      # a term is "heavy" when it occurs in at least this share of a group's documents
+def exact_sum(x: Column) -> Column:
+    """Sum of non-negative doubles (below 2^23, at most 2^20 of the largest size) that is the same in any order:
+    two integer sums, of the multiples of 2^-20 and of what is left in multiples of 2^-60."""
+    scaled = x * F.lit(2.0 ** 20)
+    high = F.floor(scaled)
+    low = F.floor((scaled - high) * F.lit(2.0 ** 40))
+    return F.sum(high) / F.lit(2.0 ** 20) + F.sum(low) / F.lit(2.0 ** 60)
 
 
-class _Postings:
-    """A group's postings sorted by term code, for vectorised scoring of weighted term rows.
-
-    Light terms are expanded into (row, document) contributions accumulated with
-    ``bincount``; heavy terms (frequent in the group) form a dense term x document block that
-    is multiplied with the rows' dense weights, so frequent terms cost a matrix product
-    instead of one scatter per posting.  All contributions are positive, so a document
-    matches a row exactly when its score is > 0.
-    """
-
-    def __init__(self, wt: pa.Table, *extra_terms: np.ndarray):
-        wterms = wt.column("term").to_numpy(zero_copy_only=False)
-        codes, vocab = pd.factorize(np.concatenate([wterms, *extra_terms]))
-        nw = len(wterms)
-        self.extra_codes = []
-        pos = nw
-        for e in extra_terms:
-            self.extra_codes.append(codes[pos:pos + len(e)])
-            pos += len(e)
-        wcode = codes[:nw]
-        dloc, self.docids = pd.factorize(wt.column("docid").to_numpy())
-        self.nd = nd = len(self.docids)
-        order = np.argsort(wcode, kind="stable")
-        self.d_s = dloc[order]
-        self.w_s = wt.column("w").to_numpy()[order]
-        self.counts = np.bincount(wcode, minlength=len(vocab))
-        self.offs = np.concatenate([[0], np.cumsum(self.counts)])
-        # heavy terms: the most frequent ones, as many as fit the dense block
-        cand = np.nonzero(self.counts >= max(2, nd * HEAVY_DENSITY))[0]
-        cap = max(0, DENSE_TERM_CELLS // max(nd, 1))
-        if len(cand) > cap:
-            cand = cand[np.argsort(-self.counts[cand], kind="stable")[:cap]]
-        self.hrow = np.full(len(vocab), -1, dtype=np.int64)
-        self.hrow[cand] = np.arange(len(cand))
-        self.dense = np.zeros((len(cand), nd))
-        for i, c in enumerate(cand):
-            sl = slice(self.offs[c], self.offs[c + 1])
-            self.dense[i, self.d_s[sl]] = self.w_s[sl]
-        self.light_counts = np.where(self.hrow >= 0, 0, self.counts)
-
-    def chunks(self, ridx: np.ndarray, codes: np.ndarray, weights: np.ndarray, n_rows: int):
-        """Yield (r0, r1, scores) dense score blocks of rows [r0, r1) x documents."""
-        o = np.argsort(ridx, kind="stable")
-        ridx, codes, weights = ridx[o], codes[o], weights[o]
-        ptr = np.searchsorted(ridx, np.arange(n_rows + 1))
-        pairs = np.bincount(ridx, weights=self.light_counts[codes], minlength=n_rows)
-        nd, nh = self.nd, self.dense.shape[0]
-        width = max(nd, nh)
-        r0 = 0
-        while r0 < n_rows:
-            r1, acc = r0, 0.0
-            while r1 < n_rows and (r1 == r0 or ((r1 + 1 - r0) * width <= CELL_BUDGET and acc + pairs[r1] <= PAIR_BUDGET)):
-                acc += pairs[r1]
-                r1 += 1
-            sl = slice(ptr[r0], ptr[r1])
-            c, wq, rq = codes[sl], weights[sl], ridx[sl] - r0
-            heavy = self.hrow[c] >= 0
-            size = (r1 - r0) * nd
-            lc, lw, lr = c[~heavy], wq[~heavy], rq[~heavy]
-            lens = self.counts[lc]
-            total = int(lens.sum())
-            if total:
-                rep = np.repeat(np.arange(len(lc)), lens)
-                within = np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens)
-                pidx = self.offs[lc][rep] + within
-                cell = lr[rep] * nd + self.d_s[pidx]
-                sc = np.bincount(cell, weights=lw[rep] * self.w_s[pidx], minlength=size).reshape(r1 - r0, nd)
-            else:
-                sc = np.zeros((r1 - r0, nd))
-            if heavy.any():
-                dense_q = np.zeros((r1 - r0, nh))
-                np.add.at(dense_q, (rq[heavy], self.hrow[c[heavy]]), wq[heavy])
-                sc += dense_q @ self.dense
-            yield r0, r1, sc
-            r0 = r1
-
-
-def _emit(names, key_cols: list, docids, qi, di, sc) -> pa.Table:
-    """Rows of the keys and documents at the given places; ids keep their types."""
-    qi, di = pa.array(qi, pa.int64()), pa.array(di, pa.int64())
-    return pa.Table.from_arrays([*(c.take(qi) for c in key_cols), docids.take(di), pa.array(sc, pa.float64())], names=names)
-
-
-def _nothing(names, key_types: list, id_type) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([], t) for t in (*key_types, id_type, pa.float64())], names=names)
-
-
-def _bm25_kernel(keys: Sequence[str], k: int):
-    names = list(keys) + ["docid", "score"]
-
-    def empty(qt: pa.Table, wt: pa.Table) -> pa.Table:
-        return _nothing(names, [qt.schema.field(c).type for c in keys], wt.schema.field("docid").type)
-
-    def kernel(qt: pa.Table, wt: pa.Table) -> pa.Table:
-        if qt.num_rows == 0 or wt.num_rows == 0:
-            return empty(qt, wt)
-        qdf = qt.select([*keys, "term", "weight"]).to_pandas()
-        qidx = qdf.groupby(list(keys), sort=False).ngroup().to_numpy()
-        first = qdf.drop_duplicates(list(keys))
-        kv = [qt.column(c).take(pa.array(first.index.to_numpy())) for c in keys]
-        post = _Postings(wt, qdf["term"].to_numpy())
-        order = docid_order(np.asarray(post.docids))
-        out_q, out_d, out_s = [], [], []
-        for r0, _r1, sc in post.chunks(qidx, post.extra_codes[0], qdf["weight"].to_numpy(), len(first)):
-            sc[~(sc > 0)] = -np.inf
-            rr, cc = _partial_topk(sc, k, order)
-            out_q.append(rr + r0)
-            out_d.append(cc)
-            out_s.append(sc[rr, cc])
-        if not out_q:
-            return empty(qt, wt)
-        return _emit(names, kv, pa.array(post.docids, wt.schema.field("docid").type), np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s))
-
-    return kernel
+SHARD_DOCS = 8192        # documents of one shard of a sweep, about
+UNIT_CELLS = 1 << 24     # scores (of a topic's words or a feedback document, by a shard's document) a task holds
+CELL_BUDGET = 1 << 22    # scores of refined queries a task holds
+PAIR_BUDGET = 1 << 24    # posting contributions per step inside a task
+DENSE_TERM_CELLS = 1 << 24  # cells of the dense (heavy term x document) block of a shard
+HEAVY_DENSITY = 1 / 64      # a term is "heavy" when it occurs in at least this share of a shard's documents
+
+
+class _Shard:
+    """A shard's postings by term: scores the rows (unit, term, weight) of a few units against its documents.
+
+    Light terms add one contribution per posting; heavy ones (frequent in the shard) are a dense
+    term x document block that is multiplied with the units' weights.  All contributions are positive, so a
+    document matches a unit exactly when its score is > 0."""
+
+    def __init__(self, rows: pa.Table):
+        code, terms = pd.factorize(rows.column("term").to_numpy(zero_copy_only=False))
+        place, docids = pd.factorize(rows.column("docid").to_numpy())
+        self.terms, self.docids, self.nd = pd.Index(terms), docids, len(docids)
+        self.order = docid_order(np.asarray(docids))
+        by = np.argsort(code, kind="stable")
+        self.doc, self.w = place[by], rows.column("w").to_numpy()[by]
+        self.count = np.bincount(code, minlength=len(terms))
+        self.start = np.concatenate([[0], np.cumsum(self.count)])
+        heavy = np.nonzero(self.count >= max(2, self.nd * HEAVY_DENSITY))[0]
+        heavy = heavy[np.argsort(-self.count[heavy], kind="stable")[:DENSE_TERM_CELLS // max(self.nd, 1)]]
+        self.row_of = np.full(len(terms), -1)
+        self.row_of[heavy] = np.arange(len(heavy))
+        self.dense = np.zeros((len(heavy), self.nd))
+        for i, c in enumerate(heavy):
+            at = slice(self.start[c], self.start[c + 1])
+            self.dense[i, self.doc[at]] = self.w[at]
+
+    def scores(self, unit: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """(n units x documents) scores."""
+        out = np.zeros((n, self.nd))
+        code = self.terms.get_indexer(term)
+        unit, weight, code = unit[code >= 0], weight[code >= 0], code[code >= 0]
+        heavy = self.row_of[code] >= 0
+        some = np.zeros((n, len(self.dense)))
+        np.add.at(some, (unit[heavy], self.row_of[code[heavy]]), weight[heavy])
+        np.matmul(some, self.dense, out=out)
+        unit, weight, code = unit[~heavy], weight[~heavy], code[~heavy]
+        cuts = np.searchsorted(np.cumsum(self.count[code]), np.arange(PAIR_BUDGET, self.count[code].sum() + PAIR_BUDGET, PAIR_BUDGET))
+        for lo, hi in zip([0, *cuts], [*cuts, len(code)], strict=True):
+            c, n_of = code[lo:hi], self.count[code[lo:hi]]
+            row = np.repeat(np.arange(len(c)), n_of)
+            at = self.start[c][row] + np.arange(len(row)) - np.repeat(np.cumsum(n_of) - n_of, n_of)
+            np.add.at(out.reshape(-1), unit[lo:hi][row] * self.nd + self.doc[at], weight[lo:hi][row] * self.w[at])
+        return out
 
 
 def rocchio_sweep_search(specs: DataFrame, bow: DataFrame, index: Index, weights: DataFrame, k: int = 1000, *,
@@ -296,104 +202,114 @@ def rocchio_sweep_search(specs: DataFrame, bow: DataFrame, index: Index, weights
 
     For a refined query alpha*bow(q) + beta*mean_f tf(f) (all weights positive, T10),
     score(d) = alpha*S_bow(q, d) + beta/n * sum_f S_f(d), where S_f is the BM25 score of feedback
-    document f used as a query.  Each shard of documents computes S_bow for the topics and S_f
-    for the distinct feedback documents once, then combines them per (trial, topic) - the
-    trials share those score rows instead of each re-expanding whole documents into terms.
+    document f used as a query: a topic's trials share these scores instead of each expanding whole documents.
+
+    Documents are dealt into shards, topics into blocks of a few.  A shard's rows come to a task in order: its
+    postings, then block after block the topics' words, the terms of their feedback documents and the trials.  The task
+    keeps the postings and the scores of the units of one block (``UNIT_CELLS``), so what it holds does not grow
+    with topics or trials; the postings are copied only where there are fewer shards than cores.
 
     ``specs``: (trial_id, qid, alpha, beta, fb ARRAY<docid>); ``bow``: (qid, term, weight).
     Returns trial_id, qid, docid, score, rank (rank <= k).
     """
-    spark = specs.sparkSession
-    cores = spark.sparkContext.defaultParallelism
+    cores = specs.sparkSession.sparkContext.defaultParallelism
+    specs = cut_lineage(specs.select("trial_id", "qid", "alpha", "beta", "fb"))  # a row per trial and topic; read several times
     if n_shards is None:  # shards of at least 4k documents, so that the partial top-k prunes, and of bounded size
         rows = index.doclen.count()
         n_shards = int(max(1, min(cores, rows // max(4 * k, 1)), -(-rows // SHARD_DOCS)))
-    blocks = int(max(1, cores // n_shards))
-    # Blocks are formed by topic: a topic's trials draw feedback from the same first ranking,
-    # so a block needs the score rows of its own topics' feedback documents only.
-    every_blk = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    specs = specs.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
-    blk_f = specs.select("_blk", F.explode("fb").alias("docid")).distinct()
-    fbtf = (index.postings.join(blk_f, "docid")
-            .select("_blk", F.col("docid").alias("f"), "term", F.col("tf").cast("double").alias("weight")))
-    blk_bow = bow.join(specs.select("qid", "_blk").distinct(), "qid").select("_blk", "qid", "term", "weight")
-    spec_side = specs.select(F.lit(0).alias("_kind"), "_blk", "trial_id", "qid", "alpha", "beta", "fb")
-    shared = (blk_bow.select(F.lit(1).alias("_kind"), "_blk", "qid", "term", "weight")
-              .unionByName(fbtf.select(F.lit(2).alias("_kind"), "_blk", "f", "term", "weight"),
-                           allowMissingColumns=True))
-    side = (spec_side.unionByName(shared, allowMissingColumns=True)
-            .withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))))
-    wg = (weights.select("term", "docid", "w")
-          .withColumn("_shard", F.pmod(F.xxhash64("docid"), F.lit(n_shards)).cast("int"))
-          .withColumn("_blk", every_blk))
-    out_struct = T.StructType([T.StructField("trial_id", specs.schema["trial_id"].dataType, True),
-                               T.StructField("qid", specs.schema["qid"].dataType, True),
-                               T.StructField("docid", weights.schema["docid"].dataType, True),
-                               T.StructField("score", T.DoubleType(), True)])
-    partial = (side.groupBy("_blk", "_shard").cogroup(wg.groupBy("_blk", "_shard"))
-               .applyInArrow(_rocchio_kernel(k), out_struct))
-    return limit_per_topic(partial, k, keys=("trial_id", "qid"))
-
-
-DOC_CHUNK = 2 * SHARD_DOCS  # documents scored together inside one group (bounds the score blocks)
-
-
-def _rocchio_kernel(k: int):
-    names = ["trial_id", "qid", "docid", "score"]
-
-    def kernel(st: pa.Table, wt: pa.Table) -> pa.Table:
-        kind = st.column("_kind").to_numpy()
-        if wt.num_rows == 0 or not (kind == 0).any():
-            return _nothing(names, [st.schema.field("trial_id").type, st.schema.field("qid").type], wt.schema.field("docid").type)
-        sd = st.drop_columns(["fb"]).to_pandas()
-        spec = sd[sd["_kind"] == 0]
-        bow = sd[sd["_kind"] == 1]
-        ftf = sd[sd["_kind"] == 2]
-        spec_t = st.filter(pa.array(kind == 0))
-        tcode, tq = pd.factorize(bow["qid"].to_numpy())
-        fcode, fdocs = pd.factorize(ftf["f"].to_numpy())
-        trow = pd.Index(tq).get_indexer(spec["qid"].to_numpy())
-        trow[trow < 0] = len(tq)
-        fb_col = spec_t.column("fb").combine_chunks()
-        n_fb = fb_col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = fb_col.flatten().to_numpy(zero_copy_only=False)
-        width = max(1, int(n_fb.max()) if len(n_fb) else 1)
-        frows = np.full((len(spec), width), len(fdocs))
-        if len(flat):
-            r = pd.Index(fdocs).get_indexer(flat.astype(np.float64) if getattr(fdocs, "dtype", flat.dtype).kind == "f" else flat)
-            r[r < 0] = len(fdocs)  # a feedback document without any kept term
-            frows[np.repeat(np.arange(len(spec)), n_fb), np.arange(len(flat)) - np.repeat(np.cumsum(n_fb) - n_fb, n_fb)] = r
-        alpha = spec["alpha"].to_numpy(dtype=np.float64)
-        coef = np.where(n_fb > 0, spec["beta"].to_numpy(dtype=np.float64) / np.maximum(n_fb, 1), 0.0)
-        bow_terms, ftf_terms = bow["term"].to_numpy(), ftf["term"].to_numpy()
-        dall, docids_all = pd.factorize(wt.column("docid").to_numpy())
-        n_all = len(docids_all)
-        order = docid_order(np.asarray(docids_all))
-        out_q, out_d, out_s = [], [], []
-        for c0 in range(0, n_all, DOC_CHUNK):
-            sub = wt if n_all <= DOC_CHUNK else wt.filter(pa.array((dall >= c0) & (dall < c0 + DOC_CHUNK)))
-            post = _Postings(sub, bow_terms, ftf_terms)
-            nd = post.nd
-            gcol = pd.Index(docids_all).get_indexer(post.docids)
-            s_bow = np.zeros((len(tq) + 1, nd))
-            for r0, r1, sc in post.chunks(tcode, post.extra_codes[0], bow["weight"].to_numpy(), len(tq)):
-                s_bow[r0:r1] = sc
-            s_f = np.zeros((len(fdocs) + 1, nd))
-            for r0, r1, sc in post.chunks(fcode, post.extra_codes[1], ftf["weight"].to_numpy(), len(fdocs)):
-                s_f[r0:r1] = sc
-            step = max(1, CELL_BUDGET // max(nd, 1))
-            for r0 in range(0, len(spec), step):
-                r1 = min(len(spec), r0 + step)
-                sc = alpha[r0:r1, None] * s_bow[trow[r0:r1]] + coef[r0:r1, None] * s_f[frows[r0:r1]].sum(axis=1)
-                sc[~(sc > 0)] = -np.inf  # every contribution is positive: matched <=> score > 0
-                rr, cc = _partial_topk(sc, k, order[gcol])
-                out_q.append(rr + r0)
-                out_d.append(gcol[cc])
-                out_s.append(sc[rr, cc])
-        kv = [spec_t.column("trial_id"), spec_t.column("qid")]
-        return _emit(names, kv, pa.array(docids_all, wt.schema.field("docid").type), np.concatenate(out_q), np.concatenate(out_d), np.concatenate(out_s))
-
-    return kernel
+    lanes = max(1, cores // n_shards)
+    used = specs.select("qid", F.explode_outer("fb").alias("docid")).distinct()
+    most = used.groupBy("qid").agg(F.count("docid").alias("n")).agg(F.max("n")).first()[0] or 1
+    per_block = max(1, UNIT_CELLS // SHARD_DOCS // (most + 1))
+    blocks = (index_in_order(specs.select("qid").distinct(), "qid", "i")
+              .select("qid", F.floor(F.col("i") / per_block).cast("int").alias("_blk")))
+    specs = specs.join(blocks, "qid")
+    units = used.filter("docid is not null").join(blocks, "qid").select("_blk", "docid").distinct()
+    terms = index.postings.join(units, "docid").select(F.lit(2).alias("_kind"), "_blk", F.col("docid").alias("f"), "term", F.col("tf").cast("double").alias("weight"))
+    words = bow.join(blocks, "qid").select(F.lit(1).alias("_kind"), "_blk", "qid", "term", "weight")
+    trials = specs.select(F.lit(3).alias("_kind"), "_blk", "trial_id", "qid", "alpha", "beta", "fb")
+    side = (words.unionByName(terms, allowMissingColumns=True).unionByName(trials, allowMissingColumns=True)
+            .withColumn("_group", F.explode(F.sequence(F.pmod("_blk", F.lit(lanes)), F.lit(n_shards * lanes - 1), F.lit(lanes)))))
+    posts = (weights.select(F.lit(0).alias("_kind"), F.lit(-1).alias("_blk"), "term", "docid", "w", F.pmod(F.xxhash64("docid"), F.lit(n_shards)).cast("int").alias("_shard"))
+             .withColumn("_group", F.explode(F.sequence(F.col("_shard") * lanes, F.col("_shard") * lanes + lanes - 1))).drop("_shard"))
+    stream = (posts.unionByName(side, allowMissingColumns=True).repartitionById(n_shards * lanes, F.col("_group"))
+              .sortWithinPartitions("_group", "_blk", "_kind"))
+    out = T.StructType([T.StructField(c, specs.schema[c].dataType, True) for c in ("trial_id", "qid")]
+                       + [T.StructField("docid", weights.schema["docid"].dataType, True), T.StructField("score", T.DoubleType(), True)])
+    return limit_per_topic(stream.mapInArrow(_sweep_kernel(k, out.names), out), k, keys=("trial_id", "qid"))
+
+
+def _sweep_kernel(k: int, names: Sequence[str]):
+    def pieces(batches):
+        """Tables of equal (group, block), whole, in order."""
+        held, key = [], None
+        for batch in batches:
+            keys = np.stack([batch.column("_group").to_numpy(), batch.column("_blk").to_numpy()], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi:
+                    if key is not None and tuple(keys[lo]) != key:
+                        yield key, pa.Table.from_batches(held)
+                        held = []
+                    key = tuple(keys[lo])
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield key, pa.Table.from_batches(held)
+
+    def search(batches):
+        shard = None
+        for (_, block), rows in pieces(batches):
+            if block < 0:
+                shard = _Shard(rows)
+            elif shard is not None:
+                yield from _block_hits(shard, rows, k, names)
+
+    return search
+
+
+def _block_hits(shard: _Shard, rows: pa.Table, k: int, names: Sequence[str]):
+    """The partial top-k of the trials of one block of topics against one shard."""
+    kind = rows.column("_kind").to_numpy()
+    words, terms, specs = (rows.filter(pa.array(kind == i)) for i in (1, 2, 3))
+    kinds = [rows.schema.field(c).type for c in ("trial_id", "qid", "docid")]
+    fb = specs.column("fb").combine_chunks()
+    n_fb = fb.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(n_fb)])
+    flat = fb.flatten().to_numpy(zero_copy_only=False)
+    qcode, topics = pd.factorize(words.column("qid").to_numpy(zero_copy_only=False))
+    fcode, docs = pd.factorize(terms.column("f").to_numpy(zero_copy_only=False))
+    trow = pd.Index(topics).get_indexer(specs.column("qid").to_numpy(zero_copy_only=False))
+    frow = pd.Index(docs).get_indexer(flat.astype(docs.dtype) if docs.dtype.kind in "if" else flat)  # -1: a document without kept terms
+    alpha, beta = (specs.column(c).to_numpy() for c in ("alpha", "beta"))
+    coef = np.where(n_fb > 0, beta / np.maximum(n_fb, 1), 0.0)
+    wterm, wweight = words.column("term").to_numpy(zero_copy_only=False), words.column("weight").to_numpy()
+    fterm, fweight = terms.column("term").to_numpy(zero_copy_only=False), terms.column("weight").to_numpy()
+    by_unit = np.argsort(fcode, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(fcode, minlength=len(docs)))])
+    s_q = np.vstack([shard.scores(qcode, wterm, wweight, len(topics)), np.zeros((1, shard.nd))])
+    room = max(1, UNIT_CELLS // max(shard.nd, 1))
+    lo = 0
+    while lo < len(n_fb):  # as many trials as have feedback documents for which there is room
+        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + room, side="right")) - 1) if len(docs) > room else len(n_fb)
+        mine = np.unique(frow[start[lo]:start[hi]])
+        mine = mine[mine >= 0]
+        at = by_unit[np.concatenate([np.arange(ends[m], ends[m + 1]) for m in mine])] if len(mine) else by_unit[:0]
+        s_f = shard.scores(np.searchsorted(mine, fcode[at]), fterm[at], fweight[at], len(mine))
+        step = max(1, CELL_BUDGET // max(shard.nd, 1))
+        for r0 in range(lo, hi, step):
+            r1 = min(hi, r0 + step)
+            sc = alpha[r0:r1, None] * s_q[trow[r0:r1]]
+            for j in range(int(n_fb[r0:r1].max(initial=0))):
+                have = np.flatnonzero(n_fb[r0:r1] > j)
+                unit = frow[start[r0 + have] + j]
+                have, unit = have[unit >= 0], unit[unit >= 0]
+                sc[have] += coef[r0 + have, None] * s_f[np.searchsorted(mine, unit)]
+            sc[~(sc > 0)] = -np.inf  # every contribution is positive: matched <=> score > 0
+            rr, cc = _partial_topk(sc, k, shard.order)
+            trial = pa.array(rr + r0, pa.int64())
+            yield pa.RecordBatch.from_arrays([specs.column("trial_id").combine_chunks().take(trial), specs.column("qid").combine_chunks().take(trial),
+                                              pa.array(shard.docids[cc], kinds[2]), pa.array(sc[rr, cc])], names=names)
+        lo = hi
 
 
 def mean_feedback(feedback: DataFrame, index: Index, *, mode: str = "tf", keys: Sequence[str] = ("qid",),

@@ -98,37 +98,83 @@ def test_bm25_join_plan_stays_in_jvm(spark):
     docs = spark.createDataFrame([(1, "apple pie"), (2, "banana pie")], "docid long, text string")
     idx = sp.build_index(docs)
     q = spark.createDataFrame([(1, "apple", 1.0)], "qid long, term string, weight double")
-    plan = sp.bm25_search(q, idx, 10, method="join")._jdf.queryExecution().executedPlan().toString()
+    plan = sp.bm25_search(q, idx, 10)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
-@pytest.mark.parametrize("layout", [(None, None), (1, 1), (3, 2)])
-def test_bm25_block_equals_join(spark, layout):
-    from conftest import SF001
-    from fbrank.sources import tables as tb
-
-    idx = sp.build_index(tb.documents(spark, SF001))
-    w = sp.doc_weights(idx).persist()
-    bow = sp.query_bow(tb.topics(spark, SF001), idx)
-    a = sp.bm25_search(bow, idx, 50, weights=w, n_shards=layout[0], query_blocks=layout[1])
-    b = sp.bm25_search(bow, idx, 50, weights=w, method="join")
-    ra = sorted((r["qid"], r["rank"], r["docid"], round(r["score"], 6)) for r in a.collect())
-    rb = sorted((r["qid"], r["rank"], r["docid"], round(r["score"], 6)) for r in b.collect())
-    assert ra == rb and len(ra) > 0
-
-
-def test_rocchio_sweep_linear_equals_terms(spark):
+def test_bm25_equals_plain_python(spark):
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(8)
+    texts = [[rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 12))] for _ in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "docid long, text string")
+    terms = [(q, t, w) for q in range(6) for t in rng.sample("abcdefghijklmnopz", 4) for w in (rng.choice([0.5, 1.0, 2.5, -1.0]),)] + [(0, "", 3.0)]
+    df = Counter(t for x in texts for t in set(x))
+    stop = {t for t, n in df.items() if n > len(texts) / 2}
+    kept = [Counter(t for t in x if t not in stop) for x in texts]
+    avg = sum(sum(c.values()) for c in kept) / len(kept)
+    got = sorted((r.qid, r["rank"], r.docid, round(r.score, 9)) for r in sp.bm25_search(spark.createDataFrame(terms, "qid long, term string, weight double"), sp.build_index(docs), 7).collect())
+    want = []
+    for q in range(6):
+        score = {}
+        for _, t, w in (x for x in terms if x[0] == q and x[2] > 0 and x[1] and x[1] not in stop):
+            idf = math.log(1 + (len(texts) - df[t] + 0.5) / (df[t] + 0.5))
+            for i, c in enumerate(kept):
+                if c[t]:
+                    score[i] = score.get(i, 0) + w * idf * c[t] / (c[t] + 0.9 * (0.6 + 0.4 * sum(c.values()) / avg))
+        best = sorted(score.items(), key=lambda x: (-round(x[1], 9), x[0]))[:7]
+        want += [(q, r, i, round(v, 9)) for r, (i, v) in enumerate(best, 1)]
+    assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want])
+
+
+@pytest.mark.parametrize("layout", [dict(), dict(UNIT_CELLS=400, PAIR_BUDGET=500, CELL_BUDGET=300, SHARD_DOCS=20, DENSE_TERM_CELLS=600), dict(UNIT_CELLS=1)])
+def test_rocchio_sweep_linear_equals_terms(spark, layout, monkeypatch):
     from conftest import SF001
     from fbrank import catalog as cat
     from fbrank.plans import sweep as sw
 
+    for name, value in layout.items():
+        monkeypatch.setattr(sp, name, value)
     c = cat.Ctx(spark, SF001)
     trials = sw.trial_grid(spark, seed=(42, 9), nsplit=(0, 3), alpha=(1.0, 0.0), beta=(0.75,))
-    lin = sw.sparse_sweep_runs(trials, c.topics, c.index, k=100, first=c.sparse_first, weights=c.weights)
-    ter = sw.sparse_sweep_runs(trials, c.topics, c.index, k=100, first=c.sparse_first, weights=c.weights,
+    lin = sw.sparse_sweep_runs(trials, c.topics, c.index, k=1000, first=c.sparse_first, weights=c.weights)
+    ter = sw.sparse_sweep_runs(trials, c.topics, c.index, k=1000, first=c.sparse_first, weights=c.weights,
                                method="terms")
-    key = lambda r: (r["trial_id"], r["qid"], r["rank"], r["docid"], round(r["score"], 6))
-    assert sorted(map(key, lin.collect())) == sorted(map(key, ter.collect()))
+    got, want = ({(r.trial_id, r.qid, r.docid): r.score for r in x.collect()} for x in (lin, ter))  # every matching document
+    assert got.keys() == want.keys() and np.allclose([got[i] for i in want], list(want.values()), rtol=1e-11)
+
+
+def test_a_sweep_block_is_scored_in_bounded_pieces(monkeypatch):
+    """One shard, two topics, many trials: whatever the budgets, the hits are those of whole dense products."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    post = [(f"t{t}", d, float(rng.random() + 0.1)) for t in range(40) for d in range(50) if rng.random() < (0.7 if t < 5 else 0.1)]
+    shard_rows = pa.table({"term": [p[0] for p in post], "docid": [p[1] for p in post], "w": [p[2] for p in post]})
+    W = np.zeros((40, 50))
+    for t, d, w in post:
+        W[int(t[1:]), d] = w
+    U = (rng.random((12, 40)) < 0.2) * 1.0
+    rows = [dict(_kind=1, qid=q, term=f"t{t}", weight=1.0) for q in (0, 1) for t in range(q, 40, 7)]
+    rows += [dict(_kind=2, f=f, term=f"t{t}", weight=U[f, t]) for f in range(12) for t in range(40) if U[f, t]] + [dict(_kind=2, f=3, term="unseen", weight=1.0)]
+    specs = [(t, q, [0.0, 0.5, 1.0][t % 3], 0.75, rng.choice(13, size=t % 4, replace=False).tolist()) for t in range(30) for q in (0, 1, 2)]
+    rows += [dict(_kind=3, trial_id=t, qid=q, alpha=a, beta=b, fb=fb) for t, q, a, b, fb in specs]
+    block = pa.Table.from_pylist(rows, pa.schema([("_kind", pa.int32()), ("qid", pa.int64()), ("term", pa.string()), ("weight", pa.float64()), ("f", pa.int64()), ("trial_id", pa.int32()),
+                                                  ("alpha", pa.float64()), ("beta", pa.float64()), ("fb", pa.list_(pa.int64())), ("docid", pa.int64())]))
+    B = np.zeros((3, 40))
+    for q in (0, 1):
+        B[q, q::7] = 1.0
+    for budgets in (dict(), dict(UNIT_CELLS=150, PAIR_BUDGET=10, CELL_BUDGET=120, DENSE_TERM_CELLS=100), dict(UNIT_CELLS=1, CELL_BUDGET=1, DENSE_TERM_CELLS=0)):
+        for name, value in budgets.items():
+            monkeypatch.setattr(sp, name, value)
+        got = {(r["trial_id"], r["qid"], r["docid"]): r["score"] for b in sp._block_hits(sp._Shard(shard_rows), block, 50, ["trial_id", "qid", "docid", "score"]) for r in b.to_pylist()}
+        want = {}
+        for t, q, a, b, fb in specs:
+            score = a * B[q] @ W + (b / len(fb) * sum(U[f] @ W for f in fb if f < 12) if fb else 0)
+            want |= {(t, q, d): s for d, s in enumerate(np.broadcast_to(score, 50)) if s > 0}
+        assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
 
 
 def test_layouts_are_bounded_and_change_nothing(spark, monkeypatch):
