@@ -18,6 +18,7 @@ import os
 from collections.abc import Callable
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +26,14 @@ from fbrank.functions.positions import sample_positions
 from fbrank.functions.vectors import round_vec
 from fbrank.operators import evaluate as ev
 from fbrank.operators import sparse as sp
-from fbrank.operators.encode import apply_matrix, encode_hashed
+from fbrank.operators.encode import EncoderClass, MatrixEncoder, apply_matrix, encode_hashed, encode_named
 from fbrank.operators.feedback import (overlaps, select_donor, select_natural, select_positions,
                                        select_swapped, selection_log)
 from fbrank.operators.judgements import containment_qrels, pooled_label_qrels
 from fbrank.operators.refine import attach_vectors, mean_pool, refine_average, refine_rocchio, refine_text
 from fbrank.operators.search import (assign_batches, binary_search, break_ties, max_passage, topk_search)
 from fbrank.plans import sweep as sw
-from fbrank.plans.dense import DenseSettings, dense_feedback_run
+from fbrank.plans.dense import DenseSettings, Texts, dense_feedback_run
 from fbrank.plans.sparse import SparseSettings, sparse_feedback_run
 from fbrank.session import scratch_path
 from fbrank.sources import runs as rf
@@ -46,9 +47,11 @@ VECTOR_TOTAL = 1000          # the vector sweep's total; slices run past the end
 SPARSE_TOTALS = (100, 1000)  # the sparse sweeps' totals
 POOL = 100
 SWAP = dict(total=20, split_num=2, depth=3, nsplit=0, seed=42, batch=5)
-SWAP_GRID = dict(totals=(100, 1000), split_num=10, depth=3, batch=64)  # the swapped sweep's default grid
+# the swapped sweep's default grid, over two topic sets: here the topics of even and of odd ids
+SWAP_GRID = dict(totals=(100, 1000), split_num=10, depth=3, batch=64, topics=("even", "odd"))
 SHORT = dict(total=1000, split_num=10, depth=3, nsplit=4, seed=23)
 HASH_DIM = 64
+TEXT_TOTAL = 100             # the text sweep's total
 BINARY_K = 100
 
 
@@ -257,12 +260,16 @@ def q_binary_topk_rerank(spark, sf):
     return _run_out(binary_search(c.qv, c.corpus, BINARY_K, 10, rerank=True, exclude_self="qid"))
 
 
-def q_pca_topk(spark, sf):
-    c = Ctx(spark, sf)
-    # the given matrix: a row per label of the embeddings table, its mean vector
+def _label_means(spark, sf):
+    """A given matrix: a row per label of the embeddings table, its mean vector."""
     e = tb.table(spark, sf, "embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
     mean = e.groupBy("label", "i").agg(F.avg("x").alias("m")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("r"))
-    matrix = mean.select(F.col("label").alias("component"), F.transform("r", lambda x: x["m"]).alias("row"))
+    return mean.select(F.col("label").alias("component"), F.transform("r", lambda x: x["m"]).alias("row"))
+
+
+def q_pca_topk(spark, sf):
+    c = Ctx(spark, sf)
+    matrix = _label_means(spark, sf)
     qr, cr = apply_matrix(c.qv, "qv", matrix), apply_matrix(c.corpus, "vec", matrix)
     return _run_out(topk_search(qr, cr, 10, exclude_self="qid"))
 
@@ -406,6 +413,37 @@ def q_prf_text_dense_run(spark, sf):
     return _run_out(topk_search(qv, dv, DENSE_K))
 
 
+def q_encode_matrix(spark, sf):
+    """U1 with a loaded encoder, chosen by the keyword in its name: hashed tokens times the mean vectors of the labels."""
+    c = Ctx(spark, sf)
+    rows = _label_means(spark, sf).orderBy("component").collect()  # a row per label
+    matrix = spark.sparkContext.broadcast(np.array([r["row"] for r in rows], dtype=np.float64))
+    classes = {"hashing": EncoderClass(lambda name: lambda: MatrixEncoder(np.eye(HASH_DIM))),
+               "labelmean": EncoderClass(lambda name: lambda: MatrixEncoder(matrix.value)),
+               "auto": EncoderClass(lambda name: lambda: MatrixEncoder(np.eye(HASH_DIM)))}
+    return encode_named(c.topics, classes, "acme/LabelMean-base", prefix="query: ").select("qid", round_vec("qv").alias("qv"))
+
+
+def _hash_texts(c: Ctx) -> Texts:
+    return Texts(c.topics, c.docs, lambda frame, keys: encode_hashed(frame, id_cols=tuple(keys), text="title", dim=HASH_DIM))
+
+
+def _encoded(c: Ctx) -> tuple[DataFrame, DataFrame]:
+    """Topics and documents as hashed vectors (written once, as both searches read the documents)."""
+    qv = encode_hashed(c.topics, id_cols=("qid",), text="title", dim=HASH_DIM)
+    path = scratch_path(c.spark, "encoded")
+    encode_hashed(c.docs, id_cols=("docid",), text="text", dim=HASH_DIM, out="vec").write.parquet(path)
+    return qv, c.spark.read.parquet(path)
+
+
+def q_prf_dense_text_run(spark, sf):
+    """The dense command with text-based refinement (V3): both searches over the encoded documents."""
+    c = Ctx(spark, sf)
+    qv, dv = _encoded(c)
+    s = DenseSettings(**{**DENSE.__dict__, "method": "text"})
+    return _run_out(dense_feedback_run(qv, dv, s, texts=_hash_texts(c)))
+
+
 def q_query_bow(spark, sf):
     return Ctx(spark, sf).bow
 
@@ -507,23 +545,62 @@ def q_sweep_dense(spark, sf):
     return _dense_sweep(spark, sf)
 
 
+def _batches(c: Ctx, size: int) -> DataFrame:
+    return assign_batches(c.topics.select("qid"), size).withColumn("batch_size", F.lit(size)).select("batch_size", "qid", "batch")
+
+
+def _swapped_sweep(spark, c: Ctx):
+    """Ten seeds and both slices of the small setting, in which most batches have a valid shift."""
+    trials = sw.trial_grid(spark, seed=sw.DEFAULT_SEEDS, nsplit=(0, 1), total_prf_docs=(SWAP["total"],), split_num=(SWAP["split_num"],),
+                           prf_depth=(SWAP["depth"],), batch_size=(SWAP["batch"],), alpha=(0.4,), beta=(0.6,), mode=("swap",))
+    return trials, sw.dense_sweep(trials, c.qv, c.corpus, hits=DENSE.hits, topics_batched=_batches(c, SWAP["batch"]))
+
+
 def q_sweep_dense_swapped(spark, sf):
     c = Ctx(spark, sf)
-    trials = sw.trial_grid(spark, seed=sw.DEFAULT_SEEDS, nsplit=(0, 1), total_prf_docs=(20,), split_num=(2,),
-                           prf_depth=(3,), batch_size=(SWAP["batch"],), alpha=(0.4,), beta=(0.6,), mode=("swap",))
-    batched = (assign_batches(c.topics.select("qid"), SWAP["batch"]).withColumn("batch_size", F.lit(SWAP["batch"]))
-               .select("batch_size", "qid", "batch"))
     qrels = _stored(c.dense_qrels)
-    runs = sw.dense_sweep_runs(trials, c.qv, c.corpus, hits=DENSE.hits, topics_batched=batched)
-    return sw.evaluate_trials(runs, trials, qrels)
+    trials, sweep = _swapped_sweep(spark, c)
+    return sw.evaluate_trials(sweep.runs, trials, qrels, covered=sweep.covered)
+
+
+def _logged(spark, sf) -> str:
+    """The small swapped sweep, logged twice: the second time changes nothing."""
+    c = Ctx(spark, sf)
+    qrels = _stored(c.dense_qrels)
+    trials, sweep = _swapped_sweep(spark, c)
+    metrics = sw.evaluate_trials(sweep.runs, trials, qrels, covered=sweep.covered).persist()
+    folder = scratch_path(spark, "logs")
+    for _ in range(2):
+        sw.log_sweep(sweep, trials, metrics, folder, "vector_position_prf")
+    metrics.unpersist()
+    return folder
+
+
+def q_sweep_metrics_log(spark, sf):
+    """Metric rows of a sweep with project and settings, from the log."""
+    log = rf.read_log(spark, f"{_logged(spark, sf)}/metrics")
+    return log.select("project", "run_name", *sw.SETTINGS, "alpha", "beta", "mode", "topics", "metric", _r("value"))
+
+
+def q_sweep_selection_log(spark, sf):
+    """The feedback of every run and topic of a sweep, from the log."""
+    log = rf.read_log(spark, f"{_logged(spark, sf)}/selections")
+    return log.select("project", "run_name", "seed", "qid", "docids", "positions", "rand_prf")
+
+
+def _in_sets(df: DataFrame) -> DataFrame:
+    even, odd = SWAP_GRID["topics"]
+    return df.withColumn("topics", F.when(F.col("qid") % 2 == 0, even).otherwise(odd))
 
 
 def _swapped_grid(spark, c: Ctx):
-    """The studied swapped grid, every seed, slice and total: its trials and the whole topic table in batches."""
+    """The studied swapped grid, every seed, slice, total and topic set: its trials and all topics in batches of their set."""
     g = SWAP_GRID
-    trials = sw.trial_grid(spark, seed=sw.DEFAULT_SEEDS, nsplit=sw.DEFAULT_SLICES, total_prf_docs=g["totals"], split_num=(g["split_num"],),
+    trials = sw.trial_grid(spark, seed=sw.DEFAULT_SEEDS, nsplit=sw.DEFAULT_SLICES, total_prf_docs=g["totals"], split_num=(g["split_num"],), topics=g["topics"],
                            prf_depth=(g["depth"],), batch_size=(g["batch"],), alpha=(0.4,), beta=(0.6,), mode=("swap",))
-    batched = assign_batches(c.topics.select("qid"), g["batch"]).withColumn("batch_size", F.lit(g["batch"])).select("batch_size", "qid", "batch")
+    topics = _in_sets(c.topics.select("qid"))
+    each = [assign_batches(topics.filter(F.col("topics") == t), g["batch"]) for t in g["topics"]]
+    batched = each[0].unionByName(each[1]).withColumn("batch_size", F.lit(g["batch"])).select("batch_size", "topics", "qid", "batch")
     return trials, batched
 
 
@@ -531,8 +608,9 @@ def q_sweep_dense_swapped_grid(spark, sf):
     c = Ctx(spark, sf)
     trials, batched = _swapped_grid(spark, c)
     qrels = _stored(c.dense_qrels)
-    runs = sw.dense_sweep_runs(trials, c.qv, c.corpus, hits=DENSE.hits, topics_batched=batched)
-    return sw.evaluate_trials(runs, trials, qrels)
+    sweep = sw.dense_sweep(trials, _in_sets(c.qv), c.corpus, hits=DENSE.hits, topics_batched=batched)
+    out = sw.evaluate_trials(sweep.runs, trials, qrels, covered=sweep.covered)
+    return out.join(F.broadcast(trials.select("trial_id", "topics")), "trial_id")
 
 
 def q_sweep_dense_swapped_unsatisfied(spark, sf):
@@ -540,7 +618,16 @@ def q_sweep_dense_swapped_unsatisfied(spark, sf):
     c = Ctx(spark, sf)
     trials, batched = _swapped_grid(spark, c)
     fb = select_swapped(c.dense_first(max(SWAP_GRID["totals"])).persist(), trials, batched)
-    return sw.unsatisfied(trials, c.topics, fb)
+    return sw.unsatisfied(trials, _in_sets(c.topics.select("qid")), fb)
+
+
+def q_sweep_dense_text(spark, sf):
+    """The dense sweep with text-based refinement: every seed and slice, each topic's text and feedback texts encoded anew."""
+    c = Ctx(spark, sf)
+    trials = sw.trial_grid(spark, seed=sw.DEFAULT_SEEDS, nsplit=sw.DEFAULT_SLICES, total_prf_docs=(TEXT_TOTAL,))
+    qv, dv = _encoded(c)
+    sweep = sw.dense_sweep(trials, qv, dv, hits=DENSE.hits, method="text", exclude_self=None, texts=_hash_texts(c))
+    return sw.evaluate_trials(sweep.runs, trials, _stored(c.sparse_qrels))
 
 
 def _sparse_trials(spark, mode="random_split", totals=SPARSE_TOTALS):
@@ -548,9 +635,9 @@ def _sparse_trials(spark, mode="random_split", totals=SPARSE_TOTALS):
                          split_num=(10,), prf_depth=(3,), alpha=(1.0,), beta=(0.75,), mode=(mode,))
 
 
-def q_sweep_sparse(spark, sf, totals=SPARSE_TOTALS):
+def q_sweep_sparse(spark, sf):
     c = Ctx(spark, sf)
-    trials = _sparse_trials(spark, totals=totals)
+    trials = _sparse_trials(spark)
     qrels = _stored(c.sparse_qrels)
     runs = sw.sparse_sweep_runs(trials, c.topics, c.index, k=SPARSE.k, first=c.sparse_first, weights=c.weights)
     return sw.evaluate_trials(runs, trials, qrels)
@@ -560,8 +647,8 @@ def q_sweep_sparse_donor(spark, sf):
     c = Ctx(spark, sf)
     trials = _sparse_trials(spark, "donor")
     qrels = _stored(c.sparse_qrels)
-    runs = sw.sparse_sweep_runs(trials, c.topics, c.index, k=SPARSE.k, first=c.sparse_first, weights=c.weights)
-    return sw.evaluate_trials(runs, trials, qrels)
+    sweep = sw.sparse_sweep(trials, c.topics, c.index, k=SPARSE.k, first=c.sparse_first, weights=c.weights)
+    return sw.evaluate_trials(sweep.runs, trials, qrels, covered=sweep.covered)
 
 
 def q_sweep_with_baseline(spark, sf):
@@ -579,17 +666,16 @@ def q_compare_positions(spark, sf):
 
 
 def q_evaluate_runs(spark, sf):
-    """X6 + S9 + X4: write the run of every seed and slice as TREC text, one folder per run
-    name, read the folder back, decode the settings from the names and evaluate every run
-    without searching again."""
+    """X6 + S9 + X4: a sweep that is broken off and taken up again.  The runs of the first slices are written as TREC text
+    and committed, then the whole grid is asked for: only what is missing is searched.  The committed runs are read
+    back, their settings decoded from their names, and evaluated without searching again."""
     c = Ctx(spark, sf)
     trials = sw.trial_grid(spark, seed=sw.DEFAULT_SEEDS, nsplit=sw.DEFAULT_SLICES, total_prf_docs=(VECTOR_TOTAL,))
-    sw.assert_unique_names(trials)
-    runs = sw.dense_sweep_runs(trials, c.qv, c.corpus, hits=DENSE.hits)
-    named = runs.join(F.broadcast(trials.select("trial_id", sw.run_name(trials).alias("run_name"))), "trial_id")
     folder = scratch_path(spark, "runs")
-    rf.write_named_runs(named, folder, tag="Faiss")
-    parsed = rf.read_runs(spark, folder)
+    search = lambda missing: sw.dense_sweep_runs(missing, c.qv, c.corpus, hits=DENSE.hits)
+    for part in (trials.filter(F.col("nsplit") < 4), trials):
+        sw.resume_sweep(part, folder, search)
+    parsed = rf.read_committed(spark, f"{folder}/dense/benchmark/random_split")
     qrels = c.dense_qrels.select(F.col("qid").cast("string").alias("qid"),
                                  F.col("docid").cast("string").alias("docid"), "rel")
     m = ev.evaluate(parsed, qrels, keys=("run_name",))
@@ -637,7 +723,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dense_rocchio_neg_vec": q_dense_rocchio_neg_vec,
     "feedback_text": q_feedback_text,
     "encode_hashed": q_encode_hashed,
+    "encode_matrix": q_encode_matrix,
     "prf_text_dense_run": q_prf_text_dense_run,
+    "prf_dense_text_run": q_prf_dense_text_run,
     "query_bow": q_query_bow,
     "doc_tf": q_doc_tf,
     "doc_bm25_weights": q_doc_bm25_weights,
@@ -655,6 +743,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sweep_dense_swapped": q_sweep_dense_swapped,
     "sweep_dense_swapped_grid": q_sweep_dense_swapped_grid,
     "sweep_dense_swapped_unsatisfied": q_sweep_dense_swapped_unsatisfied,
+    "sweep_dense_text": q_sweep_dense_text,
+    "sweep_metrics_log": q_sweep_metrics_log,
+    "sweep_selection_log": q_sweep_selection_log,
     "sweep_sparse": q_sweep_sparse,
     "sweep_sparse_donor": q_sweep_sparse_donor,
     "sweep_with_baseline": q_sweep_with_baseline,

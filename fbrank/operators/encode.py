@@ -10,13 +10,20 @@ is even else -1.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fbrank.functions.text import tokens
 from fbrank.functions.vectors import dot, l2_normalize
+from fbrank.sources.tables import with_prefix
+
 
 def _bucket(tok: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
@@ -40,6 +47,69 @@ def encode_hashed(df: DataFrame, *, id_cols: Sequence[str] = ("qid",), text: str
     return base.select(*id_cols, l2_normalize(vec).alias(out))
 
 
+Encoder = Callable[[list[str]], np.ndarray]
+
+
+def encode_batches(df: DataFrame, load: Callable[[], Encoder], *, id_cols: Sequence[str] = ("qid",), text: str = "title",
+                   out: str = "qv", batch_size: int = 256) -> DataFrame:
+    """U1 with any encoder of lists of texts: ``load`` is called once per task, texts (null: empty) are encoded
+    ``batch_size`` at a time, and every row of ``df`` gets its vector.  Nothing is shuffled or collected."""
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encoder = None
+        for texts in batches:
+            encoder = encoder or load()
+            given = texts.fillna("").tolist()
+            vectors = [v for i in range(0, len(given), batch_size) for v in np.asarray(encoder(given[i:i + batch_size]), dtype=np.float64)]
+            yield pd.Series(vectors, index=texts.index, dtype=object)
+
+    return df.select(*id_cols, F.pandas_udf(encode, "array<double>")(F.col(text)).alias(out))
+
+
+TOKEN = regex.compile(r"[\p{L}\p{N}]+")  # as functions.text.tokens
+
+
+class MatrixEncoder:
+    """Hashed, signed counts of a text's tokens times a given matrix (a row per bucket), L2-normalised."""
+
+    def __init__(self, matrix: np.ndarray):
+        self.matrix = np.asarray(matrix, dtype=np.float64)
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        counts = np.zeros((len(texts), len(self.matrix)))
+        for row, t in zip(counts, texts, strict=True):
+            for token in TOKEN.findall(t.lower()):
+                digest = hashlib.md5(token.encode()).hexdigest()
+                row[int(digest[:8], 16) % len(row)] += 1.0 if int(digest[8], 16) % 2 == 0 else -1.0
+        out = counts @ self.matrix
+        length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return np.divide(out, length, out=out, where=length > 0)
+
+
+@dataclass(frozen=True)
+class EncoderClass:
+    """A kind of encoder: ``load`` makes the loader of one from its name; ``pool`` L2-normalises what it gives."""
+
+    load: Callable[[str], Callable[[], Encoder]]
+    pool: bool = False
+
+
+def choose_encoder(classes: Mapping[str, EncoderClass], name: str, kind: str | None = None, *, default: str = "auto") -> EncoderClass:
+    """The class named ``kind``, else the first whose keyword is contained in the encoder's name, else ``default``."""
+    if kind is not None:
+        if kind not in classes:
+            raise ValueError(f"unknown encoder class {kind!r}; known are {list(classes)}")
+        return classes[kind]
+    return next((c for keyword, c in classes.items() if keyword in name.lower()), None) or classes[default]
+
+
+def encode_named(df: DataFrame, classes: Mapping[str, EncoderClass], name: str, kind: str | None = None, *, prefix: str | None = None,
+                 id_cols: Sequence[str] = ("qid",), text: str = "title", out: str = "qv") -> DataFrame:
+    """Texts, prefixed (P2), through the encoder chosen by class or name; pooling classes normalise (P5)."""
+    chosen = choose_encoder(classes, name, kind)
+    vectors = encode_batches(with_prefix(df, prefix, text), chosen.load(name), id_cols=id_cols, text=text, out=out)
+    return vectors.withColumn(out, l2_normalize(F.col(out))) if chosen.pool else vectors
+
+
 def pca_fit(corpus: DataFrame, n: int, vec: str = "vec"):
     """Fit a PCA model on the corpus vectors (pyspark.ml, distributed)."""
     from pyspark.ml.feature import PCA

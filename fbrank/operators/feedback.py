@@ -95,32 +95,36 @@ def select_swapped(run: DataFrame, trials: DataFrame, topics_batched: DataFrame)
     any total then reads.  The plan has no rounds and does not grow with the batch.
 
     ``run``: (qid, docid, rank, score) first ranking; ``trials``: trial_id, seed, total_prf_docs,
-    positions, batch_size; ``topics_batched``: (batch_size, qid, batch) from R11.
+    positions, batch_size; ``topics_batched``: (batch_size, qid, batch) from R11.  If both have a column
+    ``topics``, a trial covers the batches of its own topic set.
     """
-    at = F.broadcast(trials.select("trial_id", "seed", "batch_size", "total_prf_docs", F.explode("positions").alias("pos")))  # configuration
-    slots = at.select("seed", "batch_size", "pos").distinct()
-    seeds = F.broadcast(trials.select("seed", "batch_size").distinct())
-    batch = ["seed", "batch_size", "batch"]
+    if not ("topics" in trials.columns and "topics" in topics_batched.columns):
+        trials, topics_batched = trials.withColumn("topics", F.lit("")), topics_batched.withColumn("topics", F.lit(""))
+    cell = ["seed", "batch_size", "topics"]
+    at = F.broadcast(trials.select("trial_id", *cell, "total_prf_docs", F.explode("positions").alias("pos")))  # configuration
+    slots = at.select(*cell, "pos").distinct()
+    seeds = F.broadcast(trials.select(*cell).distinct())
+    batch = [*cell, "batch"]
     wb = Window.partitionBy(*batch)
-    order = (topics_batched.join(seeds, "batch_size")
+    order = (topics_batched.join(seeds, ["batch_size", "topics"])
              .withColumn("i", (F.row_number().over(wb.orderBy(seeded_order_key("seed", "qid"))) - 1).cast("int"))
              .withColumn("n", F.count(F.lit(1)).over(wb).cast("int")).select(*batch, "qid", "i", "n"))
     ranked = run.select("qid", "docid", "rank")
-    given = (ranked.join(F.broadcast(slots.select("seed", "batch_size", (F.col("pos") + 1).alias("rank"))), "rank")
-             .join(order, ["seed", "batch_size", "qid"])
+    given = (ranked.join(F.broadcast(slots.select(*cell, (F.col("pos") + 1).alias("rank"))), "rank")
+             .join(order, [*cell, "qid"])
              .select(*batch, "docid", (F.col("rank") - 1).alias("pos"), F.col("qid").alias("donor"), F.col("i").alias("di")))
     most = trials.agg(F.max("total_prf_docs")).scalar()
     own = (ranked.filter(F.col("rank") <= most).join(topics_batched, "qid")
-           .select("batch_size", "batch", "docid", "qid", "rank"))
-    met = given.join(own, ["batch_size", "batch", "docid"]).filter(F.col("donor") != F.col("qid"))
+           .select("batch_size", "topics", "batch", "docid", "qid", "rank"))
+    met = given.join(own, ["batch_size", "topics", "batch", "docid"]).filter(F.col("donor") != F.col("qid"))
     forbidden = (met.join(order, [*batch, "qid"])
                  .groupBy(*batch, "pos", F.pmod(F.col("di") - F.col("i"), F.col("n")).alias("shift"))
                  .agg(F.min("rank").alias("rank")))
-    taken = (forbidden.join(at, ["seed", "batch_size", "pos"]).filter(F.col("rank") <= F.col("total_prf_docs"))
+    taken = (forbidden.join(at, [*cell, "pos"]).filter(F.col("rank") <= F.col("total_prf_docs"))
              .select("trial_id", "batch", "shift").distinct())
     gaps = _first_gap(taken, ["trial_id", "batch"], "shift", "shift", 1)
     # one row per member and trial; batches that nothing is forbidden in take shift 1
-    members = order.join(F.broadcast(trials.select("trial_id", "seed", "batch_size")), ["seed", "batch_size"])
+    members = order.join(F.broadcast(trials.select("trial_id", *cell)), cell)
     assign = (members.join(gaps, ["trial_id", "batch"], "left").withColumn("shift", F.coalesce("shift", F.lit(1)))
               .filter(F.col("shift") < F.col("n")).withColumn("di", F.pmod(F.col("i") + F.col("shift"), F.col("n"))))
     donors = order.select(*batch, F.col("i").alias("di"), F.col("qid").alias("donor"))

@@ -219,7 +219,7 @@ def vec_out(col: str) -> str:
 
 # ---------------------------------------------------------------- sweeps
 
-def trials_values(seeds, slices, total, split, depth, extra=None) -> str:
+def trials_values(seeds, slices, total, split, depth, topics=("benchmark",)) -> str:
     """Trial grid in grid order (seed-major, as ``trial_grid``) with literal positions."""
     rows = []
     tid = 0
@@ -227,10 +227,11 @@ def trials_values(seeds, slices, total, split, depth, extra=None) -> str:
         for ns in slices:
             for tot in total if isinstance(total, tuple) else (total,):
                 arr = "[" + ", ".join(str(p) for p in sample_positions(seed, depth, tot, split, ns)) + "]"
-                rows.append(f"({tid}, {seed}, {ns}, {tot}, {split}, {depth}, {arr})")
-                tid += 1
+                for name in topics:
+                    rows.append(f"({tid}, {seed}, {ns}, {tot}, {split}, {depth}, {arr}, '{name}')")
+                    tid += 1
     return ("trials AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") AS t(trial_id, seed, nsplit, total_prf_docs, "
-            "split_num, prf_depth, positions))")
+            "split_num, prf_depth, positions, topics))")
 
 
 def trial_fb(name: str, run: str) -> str:
@@ -263,6 +264,14 @@ def dense_sweep_ctes(seeds=DEFAULT_SEEDS, slices=DEFAULT_SLICES) -> list[str]:
             + dense_qrels() + evaluation("e", "runs", "qrels", 2, ("trial_id",)))
 
 
+def covered_sweep_select(fb: str) -> str:
+    """As ``dense_sweep_select``, with the number of topics that ``fb`` covers and no metrics where there are none."""
+    metrics = ", ".join(f"CASE WHEN coalesce(n, 0) > 0 THEN {m} END AS {m}" for m in ("map", "ndcg_cut_10", "recall_1000"))
+    return (f"SELECT x.trial_id, seed, nsplit, total_prf_docs, split_num, prf_depth, run_name, {metrics}, coalesce(n, 0) AS n_topics "
+            f"FROM ({dense_sweep_select()}) x LEFT JOIN (SELECT trial_id, count(DISTINCT qid) AS n FROM {fb} GROUP BY trial_id) n "
+            f"ON n.trial_id = x.trial_id")
+
+
 def dense_sweep_select() -> str:
     return (f"SELECT t.trial_id, t.seed, t.nsplit, t.total_prf_docs, t.split_num, t.prf_depth, "
             f"{run_name_sql()} AS run_name, m.map, m.ndcg_cut_10, m.recall_1000 FROM trials t JOIN "
@@ -430,10 +439,14 @@ def build() -> dict[str, str]:
     q["dense_topk_single"] = _w(QV, CORPUS, "one AS (SELECT * FROM qv WHERE qid = (SELECT min(qid) FROM qv))",
                                 topk("first", "one", cat.DENSE_K)) + " " + run_out("first")
     q["sweep_sparse"] = sparse_sweep_sql()
-    q["sweep_dense_swapped"] = dense_swapped_sweep_sql()
+    q["sweep_dense_swapped"] = _w(*small_swapped_ctes()) + " " + covered_sweep_select("sfb")
+    q["sweep_metrics_log"], q["sweep_selection_log"] = sweep_log_sql("metrics"), sweep_log_sql("selections")
+    q["sweep_dense_text"] = text_sweep_sql()
+    q["prf_dense_text_run"] = _w(*text_ctes(positions_fb("fb", "first", pos), ("qid",), s.hits)) + " " + run_out("tdr")
+    q["encode_matrix"] = matrix_sql()
     q["sweep_dense_swapped_grid"] = dense_swapped_grid_sql()
     q["sweep_dense_swapped_unsatisfied"] = _w(*swapped_grid_ctes()) + (
-        " SELECT t.trial_id, b.item_id AS qid FROM trials t CROSS JOIN benchmark b WHERE (t.trial_id, b.item_id) NOT IN (SELECT trial_id, qid FROM sfb)")
+        f" SELECT t.trial_id, b.item_id AS qid FROM trials t JOIN benchmark b ON {IN_SET} WHERE (t.trial_id, b.item_id) NOT IN (SELECT trial_id, qid FROM sfb)")
     q["sweep_sparse_donor"] = sparse_sweep_sql(donor=True)
     return q
 
@@ -453,11 +466,15 @@ def hashed(name: str, src: str, id_col: str, text_col: str, dim: int, out: str)
     ]
 
 
+#: a topic (b.item_id) is in the trial's topic set
+IN_SET = "(t.topics = 'benchmark' OR t.topics = CASE WHEN b.item_id % 2 = 0 THEN 'even' ELSE 'odd' END)"
+
+
 def swap_ctes(first: str, fb: str, out: str, total: int | str, batch: int) -> list[str]:
     """F4 per trial: smallest whole-batch shift whose donors avoid every recipient's top-total."""
     return [
         f"mem0 AS (SELECT t.trial_id, b.item_id AS qid, (row_number() OVER (PARTITION BY t.trial_id ORDER BY b.item_id) "
-        f"- 1) // {batch} AS batch, md5(t.seed || ':' || b.item_id) AS k FROM trials t CROSS JOIN benchmark b)",
+        f"- 1) // {batch} AS batch, md5(t.seed || ':' || b.item_id) AS k FROM trials t JOIN benchmark b ON {IN_SET})",
         "mem AS (SELECT trial_id, qid, batch, row_number() OVER (PARTITION BY trial_id, batch ORDER BY k) - 1 AS i, "
         "count(*) OVER (PARTITION BY trial_id, batch) AS n FROM mem0)",
         "shifts AS (SELECT trial_id, qid, batch, i, n, unnest(range(1, n)) AS shift FROM mem)",
@@ -495,20 +512,30 @@ def donor_ctes(first: str, fb: str, out: str) -> list[str]:
     ]
 
 
-def dense_swapped_sweep_sql() -> str:
+def small_swapped_ctes() -> list[str]:
     s = cat.DENSE
     sw_ = cat.SWAP
-    ctes = ([QV, CORPUS, trials_values(DEFAULT_SEEDS, (0, 1), sw_["total"], sw_["split_num"], sw_["depth"]),
+    return ([QV, CORPUS, trials_values(DEFAULT_SEEDS, (0, 1), sw_["total"], sw_["split_num"], sw_["depth"]),
              topk("first", "qv", sw_["total"]), trial_fb("fb", "first")]
             + swap_ctes("first", "fb", "sfb", sw_["total"], sw_["batch"])
             + [trial_rocchio("ref", "sfb", 0.4, 0.6, given_only=True), topk("runs", "ref", s.hits, keys=("trial_id", "qid"))]
             + dense_qrels() + evaluation("e", "runs", "qrels", 2, ("trial_id",)))
-    return _w(*ctes) + " " + dense_sweep_select()
+
+
+def sweep_log_sql(what: str) -> str:
+    project = "'vector_position_prf_benchmark_' || t.total_prf_docs || '_swap' AS project"
+    if what == "selections":
+        return _w(*small_swapped_ctes()) + (
+            f" SELECT {project}, {run_name_sql()} AS run_name, t.seed, f.qid, list(f.docid ORDER BY f.fb_pos) AS docids, any_value(t.positions) AS positions, "
+            f"true AS rand_prf FROM sfb f JOIN trials t USING (trial_id) GROUP BY t.trial_id, t.seed, t.total_prf_docs, t.split_num, t.prf_depth, t.nsplit, f.qid")
+    return _w(*small_swapped_ctes(), f"m AS ({covered_sweep_select('sfb')})") + "".join(
+        f"{' UNION ALL' if i else ''} SELECT {project}, run_name, seed, nsplit, total_prf_docs, split_num, prf_depth, 0.4::DOUBLE AS alpha, 0.6::DOUBLE AS beta, "
+        f"'swap' AS mode, 'benchmark' AS topics, '{x}' AS metric, round({x}, 6) AS value FROM m t" for i, x in enumerate(("map", "ndcg_cut_10", "recall_1000")))
 
 
 def swapped_grid_ctes() -> list[str]:
     g = cat.SWAP_GRID
-    return ([QV, CORPUS, trials_values(DEFAULT_SEEDS, DEFAULT_SLICES, g["totals"], g["split_num"], g["depth"]),
+    return ([QV, CORPUS, trials_values(DEFAULT_SEEDS, DEFAULT_SLICES, g["totals"], g["split_num"], g["depth"], g["topics"]),
              topk("first", "qv", max(g["totals"])), trial_fb("fb", "first"),
              "fbt AS (SELECT fb.*, t.total_prf_docs AS total FROM fb JOIN trials t USING (trial_id))"]
             + swap_ctes("first", "fbt", "sfb", "f.total", g["batch"]))
@@ -518,9 +545,49 @@ def dense_swapped_grid_sql() -> str:
     ctes = (swapped_grid_ctes()
             + [trial_rocchio("ref", "sfb", 0.4, 0.6, given_only=True), topk("runs", "ref", cat.DENSE.hits, keys=("trial_id", "qid"))]
             + dense_qrels() + evaluation("e", "runs", "qrels", 2, ("trial_id",)))
+    return _w(*ctes) + f" SELECT x.*, t.topics FROM ({covered_sweep_select('sfb')}) x JOIN trials t USING (trial_id)"
+
+
+def text_ctes(positions: str, keys: tuple[str, ...], hits: int) -> list[str]:
+    """Topics and documents as hashed vectors, feedback texts appended to the topic's, encoded anew and searched (``tdr``)."""
+    dim, s = cat.HASH_DIM, cat.DENSE
+    kk, part = _k(keys, "f"), ", ".join(keys)
+    given = "topics t" if keys == ("qid",) else "(SELECT r.trial_id, x.* FROM trials r CROSS JOIN topics x) t"
+    ident = "qid" if keys == ("qid",) else "key"
+    split = "qid" if keys == ("qid",) else "key.trial_id AS trial_id, key.qid AS qid"
+    key = "t.qid" if keys == ("qid",) else "{'trial_id': t.trial_id, 'qid': t.qid}"
+    return ["topics AS (SELECT item_id AS qid, text AS title FROM benchmark)",
+            *hashed("qenc", "topics", "qid", "title", dim, "qv"),
+            *hashed("denc", "(SELECT doc_id AS docid, text FROM documents)", "docid", "text", dim, "vec"),
+            topk("first", "qenc", s.total_prf_docs, corpus="denc", exclude_self=False), positions,
+            f"fbx AS (SELECT {kk}list(d.text ORDER BY f.fb_pos) AS texts FROM fb f JOIN documents d ON d.doc_id = f.docid GROUP BY {part})",
+            f"rtext AS (SELECT {key} AS {ident}, concat_ws(' ', t.title, coalesce(array_to_string(x.texts, ' '), '')) AS title "
+            f"FROM {given} LEFT JOIN fbx x USING ({part}))",
+            *hashed("renc", "rtext", ident, "title", dim, "qv"), f"rq AS (SELECT {split}, qv FROM renc)",
+            topk("tdr", "rq", hits, keys=keys, corpus="denc", exclude_self=False)]
+
+
+def text_sweep_sql() -> str:
+    ctes = ([trials_values(DEFAULT_SEEDS, DEFAULT_SLICES, cat.TEXT_TOTAL, 10, 3)]
+            + text_ctes(trial_fb("fb", "first"), ("trial_id", "qid"), cat.DENSE.hits) + [SPARSE_QRELS]
+            + evaluation("e", "tdr", "qrels", 2, ("trial_id",)))
     return _w(*ctes) + " " + dense_sweep_select()
 
 
+def matrix_sql() -> str:
+    """Hashed, signed token counts times the labels' mean vectors, L2-normalised."""
+    return _w(
+        "e AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)",
+        "mu AS (SELECT label, i, avg(x) AS m FROM e GROUP BY label, i)",
+        "mat AS (SELECT i, m, dense_rank() OVER (ORDER BY label) - 1 AS b, (SELECT count(DISTINCT label) FROM mu) AS n FROM mu)",
+        f"t AS (SELECT item_id AS qid, unnest(regexp_extract_all(lower('query: ' || text), {TOKEN}, 1)) AS tok FROM benchmark)",
+        "c AS (SELECT qid, ('0x' || substr(md5(tok), 1, 8))::BIGINT % (SELECT any_value(n) FROM mat) AS b, "
+        "sum(CASE WHEN ('0x' || substr(md5(tok), 9, 1))::INTEGER % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM t GROUP BY ALL)",
+        "p AS (SELECT qid, i, sum(x * m) AS y FROM c JOIN mat USING (b) GROUP BY qid, i)",
+        "v AS (SELECT qid, list(y ORDER BY i) AS v, sqrt(sum(y * y)) AS n FROM p GROUP BY qid)") + (
+        " SELECT qid, list_transform(v, lambda y: round(CASE WHEN n > 0 THEN y / n ELSE y END, 6)) AS qv FROM v")
+
+
 def swapped_sql() -> str:
     sw_ = cat.SWAP
     pos = sample_positions(sw_["seed"], sw_["depth"], sw_["total"], sw_["split_num"], sw_["nsplit"])
@@ -572,7 +639,7 @@ def sparse_sweep_sql(donor: bool = False) -> str:
         f"UNION ALL SELECT trial_id, qid, term, weight * {s.beta} FROM fbv) WHERE weight > 0 GROUP BY trial_id, qid, term)",
         bm25("runs", "terms", s.k, keys=("trial_id", "qid")), SPARSE_QRELS,
     ] + evaluation("e", "runs", "qrels", 2, ("trial_id",))
-    return _w(*ctes) + " " + dense_sweep_select()
+    return _w(*ctes) + " " + (covered_sweep_select("fb") if donor else dense_sweep_select())
 
 
 ORACLE = build()

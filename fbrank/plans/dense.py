@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fbrank.functions.positions import sample_positions
 from fbrank.operators.feedback import select_donor, select_natural, select_random_split, select_swapped
-from fbrank.operators.refine import attach_vectors, refine_average, refine_rocchio
+from fbrank.operators.refine import attach_vectors, refine_average, refine_rocchio, refine_text
 from fbrank.operators.search import assign_batches, topk_search
 
 
@@ -22,7 +23,7 @@ class DenseSettings:
     split_num: int = 10
     nsplit: int = 0
     seed: int = 42
-    method: str = "rocchio"        # 'rocchio' | 'avg'
+    method: str = "rocchio"        # 'rocchio' | 'avg' | 'text'
     mode: str = "random_split"     # 'random_split' | 'natural' | 'swap' | 'donor'
     batch_size: int = 32           # of 'swap'
     alpha: float = 0.9
@@ -65,13 +66,35 @@ def refine_for(queries: DataFrame, fb_vecs: DataFrame, s: DenseSettings) -> Data
     raise ValueError(f"unknown refinement {s.method!r}")
 
 
+@dataclass(frozen=True)
+class Texts:
+    """What method 'text' needs: topics (qid, title), documents (docid, text) and how texts become vectors:
+    ``encode(frame, id_cols)`` gives id_cols and ``qv`` for a frame of id_cols and ``title``."""
+
+    topics: DataFrame
+    documents: DataFrame
+    encode: Callable[[DataFrame, Sequence[str]], DataFrame]
+    sep: str = " "
+
+    def refined(self, feedback: DataFrame, keys: Sequence[str] = ("qid",), topics: DataFrame | None = None) -> DataFrame:
+        """V3: each query's text and its feedback passages', encoded anew."""
+        return self.encode(refine_text(self.topics if topics is None else topics, feedback, self.documents, sep=self.sep, keys=keys), keys)
+
+
 def dense_feedback_run(queries: DataFrame, corpus: DataFrame, s: DenseSettings, *,
-                       exclude_self: str | None = None) -> DataFrame:
-    """(qid, docid, score, rank) of the second search; depth 0 = plain search."""
+                       exclude_self: str | None = None, texts: Texts | None = None) -> DataFrame:
+    """(qid, docid, score, rank) of the second search; depth 0 = plain search.
+
+    Method 'text' takes the refined vectors from ``texts`` (V3), the others from the stored vectors."""
     if s.prf_depth <= 0:
         return topk_search(queries, corpus, s.hits, exclude_self=exclude_self)
     first = topk_search(queries, corpus, s.total_prf_docs, exclude_self=exclude_self)
     fb = feedback_for(first, s)
-    refined = refine_for(queries, attach_vectors(fb, corpus), s)
+    if s.method == "text":
+        if texts is None:
+            raise ValueError("method 'text' needs texts")
+        refined = texts.refined(fb)
+    else:
+        refined = refine_for(queries, attach_vectors(fb, corpus), s)
     refined = refined.join(queries.drop("qv"), "qid") if exclude_self and exclude_self != "qid" else refined
     return topk_search(refined, corpus, s.hits, exclude_self=exclude_self)

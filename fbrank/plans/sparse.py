@@ -27,11 +27,6 @@ class SparseSettings:
     k: int = 1000
 
 
-def first_run(topics: DataFrame, index: sp.Index, k: int = 1000, weights: DataFrame | None = None) -> DataFrame:
-    """Plain BM25 on the raw topic text."""
-    return sp.bm25_search(sp.query_bow(topics, index), index, k, weights=weights)
-
-
 def sparse_feedback_run(topics: DataFrame, first: DataFrame, index: sp.Index, s: SparseSettings,
                         weights: DataFrame | None = None) -> DataFrame:
     """(qid, docid, score, rank) after Rocchio feedback on ``first``; depth 0 = plain BM25."""

@@ -40,12 +40,9 @@ def read_topics(spark: SparkSession, path: str, fmt: str = "tsv", *, id_col: str
     return df.select(F.col(id_col).alias("qid"), F.col(text_col).alias("title"))
 
 
-def read_vectors(spark: SparkSession, path_or_name: str, id_col: str = "docid", vec_col: str = "vec") -> DataFrame:
-    """A vector collection by path (parquet) or by registered table name."""
-    if os.path.exists(path_or_name) or "/" in path_or_name or ":" in path_or_name:
-        df = spark.read.parquet(path_or_name)
-    else:
-        df = spark.table(path_or_name)
+def read_vectors(spark: SparkSession, path_or_name: str, id_col: str = "docid", vec_col: str = "vec", *, registered: bool = False) -> DataFrame:
+    """A vector collection by path (parquet) or, if ``registered``, by table name."""
+    df = spark.table(path_or_name) if registered else spark.read.parquet(path_or_name)
     return df.select(F.col(id_col).alias("docid"), F.col(vec_col).alias("vec"))
 
 

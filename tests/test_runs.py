@@ -14,7 +14,7 @@ def test_run_file_roundtrip(spark):
     run = rf.read_run(spark, src)
     assert run.count() == 6
     out = os.path.join(d, "out")
-    rf.write_single_file_run(run, out, tag="own")
+    rf.write_run(run, out, tag="own", partitions=1)
     lines = [r["value"] for r in spark.read.text(out).collect()]
     assert "\n".join(lines) + "\n" == SAMPLE
 

@@ -39,11 +39,14 @@ def test_topic_set_alias(spark):
 
 
 
-def test_write_metrics_appends_by_project(spark):
-    d = os.path.join(tempfile.mkdtemp(prefix="fbrank-metrics-"), "m")
-    long = spark.createDataFrame([("p1", 0, "map", 0.5), ("p1", 0, "ndcg_cut_10", 0.4)],
-                                 "project string, trial_id int, metric string, value double")
-    rf.write_metrics(long, d)
-    rf.write_metrics(long, d)
-    back = spark.read.parquet(d)
-    assert back.count() == 4 and back.select("project").distinct().first()[0] == "p1"
+def test_logs_hold_a_run_once_however_often_it_is_written(spark):
+    d = os.path.join(tempfile.mkdtemp(prefix="fbrank-log-"), "m")
+    schema = "project string, run_name string, seed int, metric string, value double"
+    one = spark.createDataFrame([("p1", "run.1", 42, "map", 0.5), ("p1", "run.1", 42, "ndcg_cut_10", 0.4), ("p1", "2", 9, "map", 0.1)], schema)
+    other = spark.createDataFrame([("p2", "run.1", 42, "map", 0.7)], schema)
+    for rows in (one, other, one, one):
+        rf.write_metrics(rows, d)
+    back = rf.read_log(spark, d)
+    assert sorted(map(tuple, back.select(*one.columns).collect())) == sorted([*map(tuple, one.collect()), *map(tuple, other.collect())])
+    rf.write_metrics(one.filter("run_name = '2'").withColumn("value", F.lit(0.2)), d)  # a run's newer rows replace its older ones
+    assert rf.read_log(spark, d).filter("run_name = '2'").first()["value"] == 0.2 and rf.read_log(spark, d).count() == 4
