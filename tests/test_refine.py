@@ -63,3 +63,28 @@ def test_fitted_pca_is_a_matrix(spark):
     matrix = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "component int, row array<double>")
     a, b = ({r.docid: r.vec for r in x.collect()} for x in (pca_apply(df, model, "vec"), apply_matrix(df, "vec", matrix)))
     assert all(np.allclose(a[i], b[i]) for i in a)
+
+
+def test_encoders_are_chosen_by_class_then_by_keyword(spark):
+    import numpy as np
+    import pytest
+    from fbrank.operators.encode import EncoderClass, MatrixEncoder, choose_encoder, encode_batches, encode_named
+
+    def length_of(factor):
+        return lambda name: lambda: (lambda texts: np.array([[len(t) * factor, 4.0] for t in texts]))
+
+    classes = {"one": EncoderClass(length_of(1.0)), "sentence": EncoderClass(length_of(3.0), pool=True), "auto": EncoderClass(length_of(0.0))}
+    assert choose_encoder(classes, "some/Sentence-model") is classes["sentence"]
+    assert choose_encoder(classes, "some/sentence-model", "one") is classes["one"]
+    assert choose_encoder(classes, "other") is classes["auto"]
+    with pytest.raises(ValueError):
+        choose_encoder(classes, "x", "two")
+    rows = [(1, "a"), (2, None), (3, "x" * 50_000), (3, "x" * 50_000), (4, "")]
+    df = spark.createDataFrame(rows, "qid long, title string").repartition(3)
+    got = sorted((r.qid, r.qv) for r in encode_batches(df, length_of(1.0)(""), batch_size=2).collect())
+    assert got == [(1, [1.0, 4.0]), (2, [0.0, 4.0]), (3, [50000.0, 4.0]), (3, [50000.0, 4.0]), (4, [0.0, 4.0])]
+    pooled = {r.qid: r.qv for r in encode_named(df, classes, "a-sentence-b", prefix="").collect()}
+    assert np.allclose(pooled[1], [0.6, 0.8]) and np.allclose(pooled[4], [0, 1])
+    assert encode_batches(df.limit(0), length_of(1.0)("")).count() == 0
+    m = MatrixEncoder([[1.0, 0.0], [0.0, 2.0]])
+    assert np.allclose(np.linalg.norm(m(["some words here", ""]), axis=1), [1, 0])

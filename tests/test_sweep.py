@@ -67,3 +67,63 @@ def test_bm25_keeps_string_ids(spark):
     idx = sp.build_index(docs)
     q = spark.createDataFrame([("a", "apple", 1.0), ("b", "pear", 1.0)], "qid string, term string, weight double")
     assert sorted((r.qid, r.docid) for r in sp.bm25_search(q, idx, 5).collect()) == [("a", "D1"), ("a", "D3"), ("b", "D2")]
+
+
+def test_resuming_searches_only_what_is_not_committed(spark, tmp_path):
+    from fbrank.sources import runs as rf
+
+    hits = lambda ids: spark.createDataFrame([(t, q, 10 * q + r, 1.0 / r, r) for t in ids for q in (1, 2) for r in (1, 2)], "trial_id int, qid long, docid long, score double, rank int")
+    asked = []
+
+    def search(missing):
+        asked.append(sorted(r.trial_id for r in missing.collect()))
+        return hits([i for i in asked[-1] if i != 3])  # trial 3 finds nothing
+
+    grid = sw.trial_grid(spark, seed=(42, 9), nsplit=(0, 1), mode=("random_split", "natural"))
+    folder, at = str(tmp_path / "runs"), str(tmp_path / "runs") + "/dense/benchmark/random_split"
+    some = grid.filter("nsplit = 0 and mode = 'random_split'")
+    assert len(sw.resume_sweep(some, folder, search)) == 2 and len(asked) == 1
+    rf.write_named_runs(hits([4]).join(grid.select("trial_id", sw.run_name(grid).alias("run_name")), "trial_id"), f"{at}/runs")  # a job lost before it committed
+    before = {r.run_name for r in rf.read_committed(spark, at).select("run_name").distinct().collect()}
+    assert len(before) == 2
+    done = sw.resume_sweep(grid, folder, search)
+    assert len(done) == 6 and len({d.rsplit("/", 1)[0] for d in done}) == 2  # a folder per mode, where equal names don't meet
+    assert sorted(i for a in asked for i in a) == list(range(8))
+    assert sw.resume_sweep(grid, folder, search) == [] and len(asked) == 3  # nothing missing: no search, the empty run included
+    assert rf.read_committed(spark, at).count() == 4 * 4 and rf.committed_runs(spark, at).count() == 4
+
+
+def test_trials_without_a_valid_swap_have_no_metrics(spark):
+    c = cat.Ctx(spark, SF001)
+    trials = sw.trial_grid(spark, seed=(42,), nsplit=(0,), total_prf_docs=(20,), split_num=(2,), batch_size=(1, 5), mode=("swap",))
+    batched = cat._batches(c, 1).unionByName(cat._batches(c, 5))
+    sweep = sw.dense_sweep(trials, c.qv, c.corpus, hits=20, topics_batched=batched)
+    got = {r.trial_id: r for r in sw.evaluate_trials(sweep.runs, trials, c.dense_qrels, covered=sweep.covered).collect()}
+    assert (got[0].n_topics, got[0]["map"], got[0].ndcg_cut_10, got[0].recall_1000) == (0, None, None, None)
+    assert got[1].n_topics > 0 and got[1]["map"] is not None
+    assert sw.unsatisfied(trials, c.topics.select("qid"), sweep.feedback).filter("trial_id = 0").count() == c.topics.count()
+
+
+def test_trials_cover_their_own_topic_set(spark):
+    c = cat.Ctx(spark, SF001)
+    trials = sw.trial_grid(spark, seed=(42,), nsplit=(0,), topics=("even", "odd"))
+    sweep = sw.dense_sweep(trials, cat._in_sets(c.qv), c.corpus, hits=5)
+    n = {(r.trial_id, r.qid % 2) for r in sweep.runs.select("trial_id", "qid").distinct().collect()}
+    assert n == {(0, 0), (1, 1)}
+    whole = sw.dense_sweep(sw.trial_grid(spark, seed=(42,), nsplit=(0,)), c.qv, c.corpus, hits=5)
+    rows = lambda s: sorted((r.qid, r["rank"], r.docid) for r in s.runs.collect())
+    assert rows(sweep) == rows(whole)
+
+
+def test_text_sweep_equals_the_single_run(spark):
+    c = cat.Ctx(spark, SF001)
+    qv, dv = cat._encoded(c)
+    one = sw.trial_grid(spark, seed=(42,), nsplit=(0,), prf_depth=(3, 0))
+    runs = sw.dense_sweep(one, qv, dv, hits=20, method="text", exclude_self=None, texts=cat._hash_texts(c)).runs
+    for trial, depth in ((0, 3), (1, 0)):
+        s = DenseSettings(seed=42, prf_depth=depth, method="text", hits=20)
+        want = dense_feedback_run(qv, dv, s, texts=cat._hash_texts(c))
+        a, b = (sorted((r.qid, r["rank"], r.docid) for r in x.collect()) for x in (runs.filter(f"trial_id = {trial}"), want))
+        assert a == b and len(a) == 20 * c.topics.count()
+    with pytest.raises(ValueError):
+        sw.dense_sweep(one, qv, dv, method="text")
