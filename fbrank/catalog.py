@@ -38,6 +38,7 @@ from fbrank.plans.sparse import SparseSettings, sparse_feedback_run
 from fbrank.session import scratch_path
 from fbrank.sources import runs as rf
 from fbrank.sources import tables as tb
+from fbrank.sources.index import stored_index
 
 DENSE = DenseSettings(prf_depth=3, total_prf_docs=100, split_num=10, nsplit=0, seed=42, method="rocchio",
                       alpha=0.4, beta=0.6, topk=3, hits=1000)
@@ -63,17 +64,11 @@ def _run_out(run: DataFrame, keys=("qid",)) -> DataFrame:
     return run.select(*keys, "docid", F.col("rank").cast("int").alias("rank"), _r("score"))
 
 
-_SHARED_INDEX: dict = {}
-
-
 def shared_index(spark: SparkSession, sf_dir: str) -> tuple[sp.Index, DataFrame]:
-    """The text index of ``sf_dir`` and its BM25 weights, built once per session and persisted
-    (like a search index built once and queried many times); recomputable from the tables."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    if key not in _SHARED_INDEX:
-        idx = sp.build_index(tb.documents(spark, sf_dir))
-        _SHARED_INDEX[key] = (idx, sp.doc_weights(idx).persist())
-    return _SHARED_INDEX[key]
+    """The stored text index of ``sf_dir``'s documents and its BM25 weights: built once, found again by the
+    documents' content (like a search index that is built once and queried many times)."""
+    found = stored_index(tb.documents(spark, sf_dir))
+    return found.index, found.weights
 
 
 class Ctx:
@@ -114,12 +109,16 @@ class Ctx:
         return pooled_label_qrels(self.dense_first(POOL), self.labels, pool=POOL)
 
     @cached_property
+    def _shared(self):
+        return shared_index(self.spark, self.sf)
+
+    @property
     def index(self):
-        return shared_index(self.spark, self.sf)[0]
+        return self._shared[0]
 
-    @cached_property
+    @property
     def weights(self):
-        return shared_index(self.spark, self.sf)[1]
+        return self._shared[1]
 
     @cached_property
     def bow(self):

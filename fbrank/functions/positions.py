@@ -23,7 +23,7 @@ def check_slice(depth: int, total: int, split_num: int, nsplit: int) -> None:
     if split_num <= 0:
         raise ValueError("split_num must be positive")
     if not 0 <= nsplit < split_num:
-        raise ValueError(f"out of split index: nsplit={nsplit}, split_num={split_num}")
+        raise ValueError(f"slice {nsplit} isn't among {split_num}")
     if depth > slice_width(total, split_num):
         raise ValueError(f"sample larger than slice: depth={depth}, width={slice_width(total, split_num)}")
 

@@ -94,7 +94,7 @@ def evaluate(run: DataFrame, qrels: DataFrame, *, level: int = 2, keys: Sequence
 
 
 def metrics_long(metrics: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row per (keys, metric) - the text-log form, metrics sorted by name."""
+    """One row per (keys, metric) - the text-log form, a key's metrics in the order of their names (``METRICS``)."""
     return metrics.unpivot(list(keys), list(METRICS), "metric", "value")
 
 

@@ -50,7 +50,7 @@ def validate_trials(trials: DataFrame) -> DataFrame:
     width = F.floor(F.col("total_prf_docs") / F.col("split_num"))
     reason = (F.when(F.col("split_num") <= 0, F.lit("split_num must be positive"))
               .when(F.col("nsplit") < 0, F.lit("negative nsplit"))
-              .when(F.col("nsplit") >= F.col("split_num"), F.lit("out of split index"))
+              .when(F.col("nsplit") >= F.col("split_num"), F.lit("slice beyond the last one"))
               .when(F.col("prf_depth") > width, F.lit("sample larger than slice")))
     return trials.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 

@@ -43,11 +43,12 @@ class Index:
     doclen: DataFrame     # docid, dl
     stats: DataFrame      # one row: n_docs, avgdl
     stop: DataFrame       # term
+    raw: DataFrame | None = None  # kept term counts
 
-    def persist(self) -> "Index":
-        for d in (self.postings, self.df, self.doclen, self.stats, self.stop):
-            d.persist()
-        return self
+    def release(self) -> None:
+        """Lets go of the raw term counts that ``build_index`` keeps."""
+        if self.raw is not None:
+            self.raw.unpersist()
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -91,7 +92,7 @@ def build_index(documents: DataFrame, *, persist: bool = True) -> Index:
               .join(postings.groupBy("docid").agg(F.sum("tf").cast("bigint").alias("dl")), "docid", "left")
               .withColumn("dl", F.coalesce("dl", F.lit(0).cast("bigint"))))
     stats = doclen.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    return Index(postings, idf, doclen, stats, stop)
+    return Index(postings, idf, doclen, stats, stop, raw if persist else None)
 
 
 def query_bow(topics: DataFrame, index: Index, *, keys: Sequence[str] = ("qid",)) -> DataFrame:
@@ -144,7 +145,7 @@ def exact_sum(x: Column) -> Column:
     return F.sum(high) / F.lit(2.0 ** 20) + F.sum(low) / F.lit(2.0 ** 60)
 
 
-SHARD_DOCS = 8192        # documents of one shard of a sweep, about
+SHARD_DOCS = 16384       # documents of one shard of a sweep, about
 UNIT_CELLS = 1 << 24     # scores (of a topic's words or a feedback document, by a shard's document) a task holds
 CELL_BUDGET = 1 << 22    # scores of refined queries a task holds
 PAIR_BUDGET = 1 << 24    # posting contributions per step inside a task
@@ -214,9 +215,9 @@ def rocchio_sweep_search(specs: DataFrame, bow: DataFrame, index: Index, weights
     """
     cores = specs.sparkSession.sparkContext.defaultParallelism
     specs = cut_lineage(specs.select("trial_id", "qid", "alpha", "beta", "fb"))  # a row per trial and topic; read several times
-    if n_shards is None:  # shards of at least 4k documents, so that the partial top-k prunes, and of bounded size
+    if n_shards is None:  # shards of at least 16k documents, so that the partial top-k prunes, and of bounded size
         rows = index.doclen.count()
-        n_shards = int(max(1, min(cores, rows // max(4 * k, 1)), -(-rows // SHARD_DOCS)))
+        n_shards = int(max(1, min(cores, rows // max(16 * k, 1)), -(-rows // SHARD_DOCS)))
     lanes = max(1, cores // n_shards)
     used = specs.select("qid", F.explode_outer("fb").alias("docid")).distinct()
     most = used.groupBy("qid").agg(F.count("docid").alias("n")).agg(F.max("n")).first()[0] or 1

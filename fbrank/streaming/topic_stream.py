@@ -4,8 +4,8 @@ The studied command buffers topics into batches of ``batch_size`` and searches e
 batch.  Here a Structured Streaming source plays that buffer: every micro-batch of topic
 rows (``maxFilesPerTrigger`` files) goes through the same lazy plan as the batch job -
 lookup of encoded vectors, search, feedback selection, refinement, second search - and its
-run rows are appended to a parquet sink.  ``foreachBatch`` plus the checkpoint folder make
-the output exactly-once across restarts; the corpus side is a static frame.
+run rows are written to the partition of its number in a parquet sink.  A micro-batch that is run
+again after a restart replaces its own partition, so each is there once; the corpus side is a static frame.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def start_topic_stream(spark: SparkSession, topics_dir: str, encoded: DataFrame,
         queries = lookup_encoded(batch.select("qid"), encoded, on="qid", vec_col="qv").select("qid", "qv")
         hits = dense_feedback_run(queries, corpus, settings, exclude_self=exclude_self)
         (hits.select("qid", "docid", "rank", F.round("score", 6).alias("score"), F.lit(batch_id).alias("batch_id"))
-         .write.mode("append").parquet(out_dir))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_dir))
 
     writer = topics.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

@@ -23,7 +23,7 @@ def test_short_list_drops_absent_positions(spark):
 def test_validate_trials_reports_bad_cells(spark):
     grid = trial_grid(spark, seed=(42,), nsplit=(0, 10, -1), total_prf_docs=(100,), prf_depth=(3, 11))
     reasons = {(r["nsplit"], r["prf_depth"]): r["reason"] for r in validate_trials(grid).collect()}
-    assert reasons[(10, 3)] == "out of split index"
+    assert reasons[(10, 3)] == "slice beyond the last one"
     assert reasons[(-1, 3)] == "negative nsplit"
     assert reasons[(0, 11)] == "sample larger than slice"
     assert (0, 3) not in reasons
