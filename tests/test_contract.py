@@ -20,3 +20,17 @@ def test_oracle_sql_is_text():
 
     for name, text in oracle_sql().items():
         assert text.lstrip().upper().startswith(("WITH", "SELECT")), name
+
+
+def test_a_missing_package_takes_no_other_query_with_it():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; print(*e.queries()); print(*e.oracle_sql())"
+    ran = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    names, sql = (set(line.split()) for line in ran.stdout.strip().splitlines()[-2:])
+    assert names >= set(catalog.QUERIES) and sql >= set(catalog.QUERIES), ran.stderr
+    assert "pipeline" not in names
+    assert "ahocorasick" in ran.stderr or not os.path.exists(os.path.join(root, "corpus_pipeline.py"))
