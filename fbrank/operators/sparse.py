@@ -44,6 +44,11 @@ class Index:
     stats: DataFrame      # one row: n_docs, avgdl
     stop: DataFrame       # term
     raw: DataFrame | None = None  # kept term counts
+    by_doc: DataFrame | None = None  # term, docid, tf, w, stored by docid: document vectors
+
+    def vectors(self) -> DataFrame:
+        """(term, docid, tf) to be looked up by document."""
+        return self.postings if self.by_doc is None else self.by_doc.select("term", "docid", "tf")
 
     def release(self) -> None:
         """Lets go of the raw term counts that ``build_index`` keeps."""
@@ -226,7 +231,7 @@ def rocchio_sweep_search(specs: DataFrame, bow: DataFrame, index: Index, weights
               .select("qid", F.floor(F.col("i") / per_block).cast("int").alias("_blk")))
     specs = specs.join(blocks, "qid")
     units = used.filter("docid is not null").join(blocks, "qid").select("_blk", "docid").distinct()
-    terms = index.postings.join(units, "docid").select(F.lit(2).alias("_kind"), "_blk", F.col("docid").alias("f"), "term", F.col("tf").cast("double").alias("weight"))
+    terms = index.vectors().join(units, "docid").select(F.lit(2).alias("_kind"), "_blk", F.col("docid").alias("f"), "term", F.col("tf").cast("double").alias("weight"))
     words = bow.join(blocks, "qid").select(F.lit(1).alias("_kind"), "_blk", "qid", "term", "weight")
     trials = specs.select(F.lit(3).alias("_kind"), "_blk", "trial_id", "qid", "alpha", "beta", "fb")
     side = (words.unionByName(terms, allowMissingColumns=True).unionByName(trials, allowMissingColumns=True)
@@ -318,11 +323,13 @@ def mean_feedback(feedback: DataFrame, index: Index, *, mode: str = "tf", keys:
     """V7: per (keys): sum of the feedback documents' term vectors divided by the number of
     feedback documents (all of them, even ones without terms), weights > 0 kept.
 
-    ``mode='tf'`` uses raw term counts, ``mode='bm25'`` the V6 weights."""
+    ``mode='tf'`` uses raw term counts, ``mode='bm25'`` the V6 weights.  A stored index has its document vectors
+    bucketed by document, so the feedback documents are shuffled to them and not the other way."""
     if mode == "tf":
-        vecs = index.postings.select("term", "docid", F.col("tf").cast("double").alias("w"))
+        vecs = index.vectors().select("term", "docid", F.col("tf").cast("double").alias("w"))
     elif mode == "bm25":
-        vecs = weights if weights is not None else doc_weights(index)
+        stored = index.by_doc.select("term", "docid", "w") if index.by_doc is not None else weights
+        vecs = stored if stored is not None else doc_weights(index)
     else:
         raise ValueError(f"unknown feedback vector mode {mode!r}")
     nfb = feedback.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

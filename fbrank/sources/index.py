@@ -1,7 +1,7 @@
 """A text index that is stored: postings bucketed by term, keyed by the content of the documents.
 
-``stored_index`` writes the postings with their BM25 weights as a table bucketed and sorted by ``term`` and the
-collection's statistics beside it, in a folder named by a hash of all documents and by the parameters.  Documents that change give another
+``stored_index`` writes the postings with their BM25 weights as a table bucketed and sorted by ``term``, the same rows once more
+bucketed by ``docid`` (the document vectors that feedback reads), and the collection's statistics beside them, in a folder named by a hash of all documents and by the parameters.  Documents that change give another
 folder, so no search ever reads an index of other documents; equal documents find the index that is there, also in
 a later session.  A term join then shuffles the query terms to the postings' buckets, or broadcasts them, and leaves the
 postings where they are.
@@ -48,24 +48,31 @@ def stored_index(documents: DataFrame, folder: str | None = None, *, k1: float =
     if not _exists(spark, f"{at}/done/_SUCCESS"):
         index = sp.build_index(documents)
         tf = index.postings.join(sp.doc_weights(index, k1=k1, b=b), ["term", "docid"])
-        _write(tf.repartition(buckets, "term"), f"{at}/postings", _name(key), buckets)
+        _write(tf, at, key, "term", buckets)
+        _write(_read(spark, at, key, "term", buckets), at, key, "docid", buckets)
         for part, frame in (("df", index.df), ("doclen", index.doclen), ("stats", index.stats), ("stop", index.stop)):
             frame.write.mode("overwrite").parquet(f"{at}/{part}")
         index.release()
         spark.range(1).write.mode("overwrite").parquet(f"{at}/done")
-    if not spark.catalog.tableExists(_name(key)):
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(f"{at}/postings").schema.fields)
-        spark.sql(f"CREATE TABLE {_name(key)} ({kinds}) USING parquet CLUSTERED BY (term) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{at}/postings'")
-    postings = spark.table(_name(key))
+    postings = _read(spark, at, key, "term", buckets)
     read = {part: spark.read.parquet(f"{at}/{part}") for part in ("df", "doclen", "stats", "stop")}
-    return StoredIndex(sp.Index(postings.select("term", "docid", "tf"), **read), postings.select("term", "docid", "w"), key)
+    index = sp.Index(postings.select("term", "docid", "tf"), by_doc=_read(spark, at, key, "docid", buckets), **read)
+    return StoredIndex(index, postings.select("term", "docid", "w"), key)
 
 
-def _name(key: str) -> str:
-    return f"text_index_{key}".lower()
+def _name(key: str, by: str) -> str:
+    return f"text_index_{key}_{by}".lower()
 
 
-def _write(postings: DataFrame, path: str, name: str, buckets: int) -> None:
-    spark: SparkSession = postings.sparkSession
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").option("path", path).saveAsTable(name)
+def _write(postings: DataFrame, at: str, key: str, by: str, buckets: int) -> None:
+    postings.sparkSession.sql(f"DROP TABLE IF EXISTS {_name(key, by)}")
+    (postings.repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
+     .option("path", f"{at}/by_{by}").saveAsTable(_name(key, by)))
+
+
+def _read(spark: SparkSession, at: str, key: str, by: str, buckets: int) -> DataFrame:
+    """The table, made known to the session if it isn't."""
+    if not spark.catalog.tableExists(_name(key, by)):
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(f"{at}/by_{by}").schema.fields)
+        spark.sql(f"CREATE TABLE {_name(key, by)} ({kinds}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {buckets} BUCKETS LOCATION '{at}/by_{by}'")
+    return spark.table(_name(key, by))

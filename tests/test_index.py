@@ -34,8 +34,8 @@ def test_index_goes_by_content(spark, tmp_path):
 def test_another_session_finds_the_index_and_lost_jobs_leave_none(spark, tmp_path):
     first = stored_index(_docs(spark, DOCS), str(tmp_path))
     n = first.index.postings.count()
-    name = f"text_index_{first.key}".lower()
-    spark.sql(f"DROP TABLE {name}")  # what a new session knows
+    for by in ("term", "docid"):
+        spark.sql(f"DROP TABLE text_index_{first.key}_{by}")  # what a new session knows
     again = stored_index(_docs(spark, DOCS), str(tmp_path))
     assert again.index.postings.count() == n
     (tmp_path / first.key / "done" / "_SUCCESS").unlink()
@@ -52,3 +52,18 @@ def test_a_term_join_leaves_the_postings_in_their_buckets(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     scan = plan[plan.index("SortMergeJoin"):]
     assert "Bucketed: true" in scan and scan.count("Exchange ") == 1  # the query terms
+
+
+def test_feedback_documents_go_to_the_stored_vectors(spark, tmp_path):
+    docs = _docs(spark, DOCS)
+    found, fresh = stored_index(docs, str(tmp_path)), sp.build_index(docs)
+    fb = spark.createDataFrame([(1, 3), (1, 4), (2, 70), (2, 9999)], "qid long, docid long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for mode in ("tf", "bm25"):
+            mean = sp.mean_feedback(fb, found.index, mode=mode)
+            assert "Bucketed: true" in mean._jdf.queryExecution().executedPlan().toString()
+            rows = lambda df: sorted((r.qid, r.term, round(r.weight, 9)) for r in df.collect())
+            assert rows(mean) == rows(sp.mean_feedback(fb, fresh, mode=mode)) != []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
