@@ -30,9 +30,10 @@ from fbrank.session import cut_lineage
 
 RANK_DIGITS = 9      # fixed value: ranking key is round(score, 9), then docid
 TIE_EPS = 1e-9       # candidates within this of the k-th score are kept (exact ties survive)
-CELL_BUDGET = 1 << 22  # score-matrix cells per NumPy step inside one task
+CELL_BUDGET = 1 << 21  # score-matrix cells per NumPy step inside one task
 QUERY_BYTES = 128 << 20  # of all queries of a search that are broadcast
 BLOCK_BYTES = 64 << 20   # of a block's queries and best hits in one task; of a shuffled shard or block of vectors
+HIT_BYTES = 128          # of a hit while a task sorts its best ones
 
 
 def rank_key(score: Column | str = "score") -> Column:
@@ -97,7 +98,7 @@ class _Best:
     """The best hits per query so far: (query row, docid, score) arrays, cut now and then."""
 
     def __init__(self, n: int, k: int):
-        self.k, self.floor, self.room = k, np.full(n, -np.inf), max(2 * n * k, 1 << 16)
+        self.k, self.floor, self.room = k, np.full(n, -np.inf), max(n * k + n * k // 4, 1 << 16)
         self.parts, self.held = [], 0
 
     def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
@@ -192,7 +193,7 @@ def topk_search(queries: DataFrame, corpus: DataFrame, k: int, *, keys: Sequence
     cores = spark.sparkContext.defaultParallelism
     # a corpus that is computed with a shuffle has as many partitions as that gives it; a scan's are known
     parts = cores if "Exchange" in c._jdf.queryExecution().executedPlan().toString() else max(1, c.rdd.getNumPartitions())
-    need = -(-n * (8 * top + 16 * k) // BLOCK_BYTES)
+    need = -(-n * (8 * top + HIT_BYTES * k) // BLOCK_BYTES)
     blocks = max(1, min(n, blocks or max(need, -(-cores // parts))))
     found = None
     for b in range(blocks):
