@@ -64,10 +64,10 @@ def _run_out(run: DataFrame, keys=("qid",)) -> DataFrame:
     return run.select(*keys, "docid", F.col("rank").cast("int").alias("rank"), _r("score"))
 
 
-def shared_index(spark: SparkSession, sf_dir: str) -> tuple[sp.Index, DataFrame]:
+def shared_index(spark: SparkSession, sf_dir: str, *, vectors: bool = False) -> tuple[sp.Index, DataFrame]:
     """The stored text index of ``sf_dir``'s documents and its BM25 weights: built once, found again by the
     documents' content (like a search index that is built once and queried many times)."""
-    found = stored_index(tb.documents(spark, sf_dir))
+    found = stored_index(tb.documents(spark, sf_dir), vectors=vectors)
     return found.index, found.weights
 
 
@@ -116,6 +116,11 @@ class Ctx:
     def index(self):
         return self._shared[0]
 
+    @cached_property
+    def vectors(self):
+        """The index with its document vectors, for feedback."""
+        return shared_index(self.spark, self.sf, vectors=True)[0]
+
     @property
     def weights(self):
         return self._shared[1]
@@ -144,7 +149,7 @@ class Ctx:
         return dense_feedback_run(self.qv, self.corpus, DENSE, exclude_self="qid")
 
     def sparse_prf_run(self) -> DataFrame:
-        return sparse_feedback_run(self.topics, self.sparse_first, self.index, SPARSE, weights=self.weights)
+        return sparse_feedback_run(self.topics, self.sparse_first, self.vectors, SPARSE, weights=self.weights)
 
 
 # ------------------------------------------------------------------ sources and sinks
@@ -289,7 +294,7 @@ def q_prf_sparse_from_run(spark, sf):
     rf.write_run(c.dense_first(SPARSE.total_prf_docs), path, tag="Faiss")
     run = rf.read_run(spark, path)
     first = run.select(*[F.col(i).cast(t.schema[i].dataType).alias(i) for i, t in (("qid", c.topics), ("docid", c.docs))], "rank", "score")
-    out = sparse_feedback_run(c.topics, first, c.index, SPARSE, weights=c.weights)
+    out = sparse_feedback_run(c.topics, first, c.vectors, SPARSE, weights=c.weights)
     tag = run.agg(F.max("tag")).scalar()
     return _run_out(out).withColumn("tag", F.concat(tag, F.lit("+rocchio")))
 
@@ -457,18 +462,18 @@ def q_doc_bm25_weights(spark, sf):
 
 def q_feedback_mean_tf(spark, sf):
     c = Ctx(spark, sf)
-    return sp.mean_feedback(c.sparse_fb(), c.index, mode="tf").select("qid", "term", _r("weight"))
+    return sp.mean_feedback(c.sparse_fb(), c.vectors, mode="tf").select("qid", "term", _r("weight"))
 
 
 def q_feedback_mean_bm25(spark, sf):
     c = Ctx(spark, sf)
-    return sp.mean_feedback(c.sparse_fb(), c.index, mode="bm25", weights=c.weights).select("qid", "term",
+    return sp.mean_feedback(c.sparse_fb(), c.vectors, mode="bm25", weights=c.weights).select("qid", "term",
                                                                                          _r("weight"))
 
 
 def q_sparse_rocchio_terms(spark, sf):
     c = Ctx(spark, sf)
-    fbv = sp.mean_feedback(c.sparse_fb(), c.index, mode="tf")
+    fbv = sp.mean_feedback(c.sparse_fb(), c.vectors, mode="tf")
     return sp.refine_terms(c.bow, fbv, alpha=SPARSE.alpha, beta=SPARSE.beta).select("qid", "term", _r("weight"))
 
 
@@ -638,7 +643,7 @@ def q_sweep_sparse(spark, sf):
     c = Ctx(spark, sf)
     trials = _sparse_trials(spark)
     qrels = _stored(c.sparse_qrels)
-    runs = sw.sparse_sweep_runs(trials, c.topics, c.index, k=SPARSE.k, first=c.sparse_first, weights=c.weights)
+    runs = sw.sparse_sweep_runs(trials, c.topics, c.vectors, k=SPARSE.k, first=c.sparse_first, weights=c.weights)
     return sw.evaluate_trials(runs, trials, qrels)
 
 
@@ -646,7 +651,7 @@ def q_sweep_sparse_donor(spark, sf):
     c = Ctx(spark, sf)
     trials = _sparse_trials(spark, "donor")
     qrels = _stored(c.sparse_qrels)
-    sweep = sw.sparse_sweep(trials, c.topics, c.index, k=SPARSE.k, first=c.sparse_first, weights=c.weights)
+    sweep = sw.sparse_sweep(trials, c.topics, c.vectors, k=SPARSE.k, first=c.sparse_first, weights=c.weights)
     return sw.evaluate_trials(sweep.runs, trials, qrels, covered=sweep.covered)
 
 

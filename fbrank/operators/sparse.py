@@ -118,10 +118,20 @@ def doc_weights(index: Index, *, k1: float = K1, b: float = B) -> DataFrame:
     AQE can split a skewed join partition (or broadcast a small side), which it cannot do for a
     window partition.  N and avgdl are scalar subqueries.
     """
-    avgdl = index.stats.select("avgdl").scalar()
     p = index.postings.join(index.df.select("term", "idf"), "term").join(index.doclen, "docid")
-    tfpart = F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return p.select("term", "docid", (F.col("idf") * tfpart).alias("w"))
+    return p.select("term", "docid", _weight(index, k1, b).alias("w"))
+
+
+def _weight(index: Index, k1: float, b: float) -> Column:
+    avgdl = index.stats.select("avgdl").scalar()
+    return F.col("idf") * (F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl)))
+
+
+def weighted_by_term(index: Index, buckets: int, *, k1: float = K1, b: float = B) -> DataFrame:
+    """(term, docid, tf, w) dealt by term into ``buckets``: lengths are joined where the term counts lie, by document,
+    and the one shuffle that deals the postings by term also serves the join with the terms' statistics."""
+    dealt = index.postings.join(index.doclen, "docid").repartition(buckets, "term")
+    return dealt.join(index.df.select("term", "idf"), "term").select("term", "docid", "tf", _weight(index, k1, b).alias("w"))
 
 
 def bm25_search(weighted_terms: DataFrame, index: Index, k: int = 1000, *, keys: Sequence[str] = ("qid",),

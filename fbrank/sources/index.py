@@ -1,6 +1,6 @@
 """A text index that is stored: postings bucketed by term, keyed by the content of the documents.
 
-``stored_index`` writes the postings with their BM25 weights as a table bucketed and sorted by ``term``, the same rows once more
+``stored_index`` writes the postings with their BM25 weights as a table bucketed and sorted by ``term``, on demand the same rows once more
 bucketed by ``docid`` (the document vectors that feedback reads), and the collection's statistics beside them, in a folder named by a hash of all documents and by the parameters.  Documents that change give another
 folder, so no search ever reads an index of other documents; equal documents find the index that is there, also in
 a later session.  A term join then shuffles the query terms to the postings' buckets, or broadcasts them, and leaves the
@@ -38,8 +38,9 @@ def content_key(documents: DataFrame, *settings) -> str:
     return "_".join([f"{n:x}", *(f"{(x or 0) & (1 << 64) - 1:x}" for x in sums), *(str(s).replace(".", "p") for s in settings)])
 
 
-def stored_index(documents: DataFrame, folder: str | None = None, *, k1: float = sp.K1, b: float = sp.B) -> StoredIndex:
-    """The index of ``documents`` (docid, text) below ``folder`` (by default in the shared checkpoint folder), written if it isn't there."""
+def stored_index(documents: DataFrame, folder: str | None = None, *, vectors: bool = False, k1: float = sp.K1, b: float = sp.B) -> StoredIndex:
+    """The index of ``documents`` (docid, text) below ``folder`` (by default in the shared checkpoint folder), written if it isn't there;
+    with ``vectors`` its rows by document, too."""
     spark = documents.sparkSession
     documents = documents.select("docid", "text")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -47,16 +48,17 @@ def stored_index(documents: DataFrame, folder: str | None = None, *, k1: float =
     at = f"{folder or ensure_checkpoint_dir(spark) + '/text-index'}/{key}"
     if not _exists(spark, f"{at}/done/_SUCCESS"):
         index = sp.build_index(documents)
-        tf = index.postings.join(sp.doc_weights(index, k1=k1, b=b), ["term", "docid"])
-        _write(tf, at, key, "term", buckets)
-        _write(_read(spark, at, key, "term", buckets), at, key, "docid", buckets)
+        _write(sp.weighted_by_term(index, buckets, k1=k1, b=b), at, key, "term", buckets)
         for part, frame in (("df", index.df), ("doclen", index.doclen), ("stats", index.stats), ("stop", index.stop)):
             frame.write.mode("overwrite").parquet(f"{at}/{part}")
         index.release()
         spark.range(1).write.mode("overwrite").parquet(f"{at}/done")
     postings = _read(spark, at, key, "term", buckets)
+    if vectors and not _exists(spark, f"{at}/done_docid/_SUCCESS"):
+        _write(postings.repartition(buckets, "docid"), at, key, "docid", buckets)
+        spark.range(1).write.mode("overwrite").parquet(f"{at}/done_docid")
     read = {part: spark.read.parquet(f"{at}/{part}") for part in ("df", "doclen", "stats", "stop")}
-    index = sp.Index(postings.select("term", "docid", "tf"), by_doc=_read(spark, at, key, "docid", buckets), **read)
+    index = sp.Index(postings.select("term", "docid", "tf"), by_doc=_read(spark, at, key, "docid", buckets) if vectors else None, **read)
     return StoredIndex(index, postings.select("term", "docid", "w"), key)
 
 
@@ -66,7 +68,7 @@ def _name(key: str, by: str) -> str:
 
 def _write(postings: DataFrame, at: str, key: str, by: str, buckets: int) -> None:
     postings.sparkSession.sql(f"DROP TABLE IF EXISTS {_name(key, by)}")
-    (postings.repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
+    (postings.write.mode("overwrite").bucketBy(buckets, by).sortBy(by)
      .option("path", f"{at}/by_{by}").saveAsTable(_name(key, by)))
 
 

@@ -32,12 +32,12 @@ def test_index_goes_by_content(spark, tmp_path):
 
 
 def test_another_session_finds_the_index_and_lost_jobs_leave_none(spark, tmp_path):
-    first = stored_index(_docs(spark, DOCS), str(tmp_path))
+    first = stored_index(_docs(spark, DOCS), str(tmp_path), vectors=True)
     n = first.index.postings.count()
     for by in ("term", "docid"):
         spark.sql(f"DROP TABLE text_index_{first.key}_{by}")  # what a new session knows
-    again = stored_index(_docs(spark, DOCS), str(tmp_path))
-    assert again.index.postings.count() == n
+    again = stored_index(_docs(spark, DOCS), str(tmp_path), vectors=True)
+    assert again.index.postings.count() == again.index.by_doc.count() == n
     (tmp_path / first.key / "done" / "_SUCCESS").unlink()
     assert stored_index(_docs(spark, DOCS), str(tmp_path)).index.postings.count() == n and (tmp_path / first.key / "done" / "_SUCCESS").exists()
 
@@ -56,7 +56,7 @@ def test_a_term_join_leaves_the_postings_in_their_buckets(spark, tmp_path):
 
 def test_feedback_documents_go_to_the_stored_vectors(spark, tmp_path):
     docs = _docs(spark, DOCS)
-    found, fresh = stored_index(docs, str(tmp_path)), sp.build_index(docs)
+    found, fresh = stored_index(docs, str(tmp_path), vectors=True), sp.build_index(docs)
     fb = spark.createDataFrame([(1, 3), (1, 4), (2, 70), (2, 9999)], "qid long, docid long")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

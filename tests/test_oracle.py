@@ -42,8 +42,8 @@ def test_swapped_grid_is_whole_and_matches_oracle(spark, monkeypatch):
 
     sf = "/root/testdata/sf0.01"
     trials, batched = catalog._swapped_grid(spark, catalog.Ctx(spark, sf))
-    assert {(r.seed, r.nsplit, r.total_prf_docs) for r in trials.collect()} == {(s, n, t) for s in catalog.sw.DEFAULT_SEEDS for n in range(10) for t in (100, 1000)}
-    assert trials.count() == 200 and batched.count() == 40 and {r[0] for r in batched.select("batch_size").distinct().collect()} == {64}
+    assert {(r.seed, r.nsplit, r.total_prf_docs, r.topics) for r in trials.collect()} == {(s, n, t, x) for s in catalog.sw.DEFAULT_SEEDS for n in range(10) for t in (100, 1000) for x in ("even", "odd")}
+    assert trials.count() == 400 and batched.count() == 40 and {r[0] for r in batched.select("batch_size").distinct().collect()} == {64}
     monkeypatch.setitem(catalog.SWAP_GRID, "batch", 5)  # at this scale no batch of 64 has a valid shift
     c = duckdb.connect()
     for t in ["embeddings", "benchmark", "documents", "labels"]:
