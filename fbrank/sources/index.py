@@ -2,8 +2,8 @@
 
 ``stored_index`` writes the postings with their BM25 weights as a table bucketed and sorted by ``term``, on demand the same rows once more
 bucketed by ``docid`` (the document vectors that feedback reads), and the collection's statistics beside them, in a folder named by a hash of all documents and by the parameters.  Documents that change give another
-folder, so no search ever reads an index of other documents; equal documents find the index that is there, also in
-a later session.  A term join then shuffles the query terms to the postings' buckets, or broadcasts them, and leaves the
+folder, so no search ever reads an index of other documents; equal documents find the index that is there, in a
+later session too if the folder is given.  A term join then shuffles the query terms to the postings' buckets, or broadcasts them, and leaves the
 postings where they are.
 
 An index counts as written when its last table is; what a lost job left behind is written anew.
@@ -21,6 +21,9 @@ from fbrank.session import ensure_checkpoint_dir
 from fbrank.sources.runs import _exists
 
 
+FORMAT = "v2"  # of the stored tables; part of the key
+
+
 @dataclass(frozen=True)
 class StoredIndex:
     """Statistics and postings of a collection, and the BM25 weight of every posting."""
@@ -39,13 +42,14 @@ def content_key(documents: DataFrame, *settings) -> str:
 
 
 def stored_index(documents: DataFrame, folder: str | None = None, *, vectors: bool = False, k1: float = sp.K1, b: float = sp.B) -> StoredIndex:
-    """The index of ``documents`` (docid, text) below ``folder`` (by default in the shared checkpoint folder), written if it isn't there;
-    with ``vectors`` its rows by document, too."""
+    """The index of ``documents`` (docid, text) below ``folder``, written if it isn't there; with ``vectors`` its rows by
+    document, too.  By default the folder is the application's own in the shared checkpoint folder; name one to keep
+    indexes for later applications."""
     spark = documents.sparkSession
     documents = documents.select("docid", "text")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = content_key(documents, k1, b, buckets)
-    at = f"{folder or ensure_checkpoint_dir(spark) + '/text-index'}/{key}"
+    key = content_key(documents, FORMAT, k1, b, buckets)
+    at = f"{folder or ensure_checkpoint_dir(spark) + '/text-index-' + spark.sparkContext.applicationId}/{key}"
     if not _exists(spark, f"{at}/done/_SUCCESS"):
         index = sp.build_index(documents)
         _write(sp.weighted_by_term(index, buckets, k1=k1, b=b), at, key, "term", buckets)
