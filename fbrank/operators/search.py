@@ -2,14 +2,14 @@
 
 Exact top-k vector search reads the corpus where it is scanned:
 
-* the queries are measured and, up to ``QUERY_BYTES``, broadcast in blocks, each small enough that a task
-  holds the block and its best hits (``BLOCK_BYTES``);
-* ``mapInArrow`` over the corpus partitions scores a batch of documents against a block with one NumPy product
-  and keeps the k best per query (plus exact ties) while the batches pass;
-* a global ``row_number() <= k`` window (``WindowGroupLimit`` partial + final) merges the partitions.
+* the queries are measured and, up to ``QUERY_BYTES``, broadcast;
+* ``mapInArrow`` over the corpus partitions scores documents against queries with NumPy products, ``BLOCK_BYTES`` of
+  vectors at a time and as many queries after the other as a task can hold with their hits, and keeps the
+  k best per query (plus exact ties);
+* a global ``row_number() <= k`` window (``WindowGroupLimit`` partial + final) merges what tasks kept.
 
-The corpus is never shuffled; at most k rows (and ties) per query and partition are.  Where a scan has fewer
-partitions than the cluster has cores, more blocks than memory asks for keep the cores busy.
+The corpus is never shuffled; at most k rows (and ties) per query and ``BLOCK_BYTES`` of vectors are.  Where a scan
+has fewer partitions than the cluster has cores, it is read for as many blocks of queries as keep the cores busy.
 
 Larger query sets meet the corpus in shuffled groups instead (hash shards of the corpus by query blocks, both
 bounded by bytes).  Both ways share one kernel; the result does not depend on the layout.
@@ -127,15 +127,19 @@ class _Best:
         return self.parts[0]
 
 
-def _searched(qt: pa.Table, batches: Iterable[tuple[pa.Array, pa.Array]], qv: str, k: int, metric: str, exclude: str | None):
-    """Query rows, docids and scores of the best hits over batches of (docid, vector) columns."""
+def _read(docids, vecs) -> tuple[np.ndarray, np.ndarray]:
+    ids = docids.to_numpy(zero_copy_only=False) if isinstance(docids, pa.Array) else docids.to_numpy()
+    return ids, _matrix(vecs)
+
+
+def _searched(qt: pa.Table, batches: Iterable[tuple[np.ndarray, np.ndarray]], qv: str, k: int, metric: str, exclude: str | None):
+    """Query rows, docids and scores of the best hits over batches of docids and their vectors."""
     qm = _matrix(qt.column(qv))
     if metric == "hamming":
         qm = _bits(qm)
     excl = qt.column(exclude).to_numpy() if exclude else None
     best = _Best(len(qm), k)
-    for docids, vecs in batches:
-        cm, ids = _matrix(vecs), docids.to_numpy(zero_copy_only=False) if isinstance(docids, pa.Array) else docids.to_numpy()
+    for ids, cm in batches:
         if not len(ids) or not len(qm):
             continue
         cells = CELL_BUDGET
@@ -173,7 +177,7 @@ def topk_search(queries: DataFrame, corpus: DataFrame, k: int, *, keys: Sequence
     must never be retrieved as a docid (a topic drawn from the corpus).
 
     The queries are computed and measured when the search is planned: up to ``query_bytes`` they are
-    broadcast in ``blocks`` (by default as many as memory and cores ask for) and the corpus is searched
+    broadcast in ``blocks`` (by default as many as keep the cores busy) and the corpus is searched
     where it is scanned; larger sets are searched in shuffled groups.
     """
     spark = queries.sparkSession
@@ -193,29 +197,36 @@ def topk_search(queries: DataFrame, corpus: DataFrame, k: int, *, keys: Sequence
     cores = spark.sparkContext.defaultParallelism
     # a corpus that is computed with a shuffle has as many partitions as that gives it; a scan's are known
     parts = cores if "Exchange" in c._jdf.queryExecution().executedPlan().toString() else max(1, c.rdd.getNumPartitions())
-    need = -(-n * (8 * top + HIT_BYTES * k) // BLOCK_BYTES)
-    blocks = max(1, min(n, blocks or max(need, -(-cores // parts))))
+    blocks = max(1, min(n, blocks or -(-cores // parts)))
+    at_once = max(1, BLOCK_BYTES // (8 * top + HIT_BYTES * k))
     found = None
     for b in range(blocks):
         block = spark.sparkContext.broadcast(table.take(pa.array(np.arange(b, n, blocks), pa.int64())))
-        part = c.mapInArrow(_scan_kernel(block, keys, qv, docid, k, metric, exclude_self, out.names), out)
+        part = c.mapInArrow(_scan_kernel(block, keys, qv, k, at_once, metric, exclude_self, out.names), out)
         found = part if found is None else found.unionAll(part)
     return limit_per_topic(found, k, keys=keys, docid=docid)
 
 
-def _scan_kernel(block, keys, qv, docid, k, metric, exclude, names):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qt, kind = block.value, None
+def _scan_kernel(block, keys, qv, k, at_once, metric, exclude, names):
+    """Searches what a task scans, ``BLOCK_BYTES`` of vectors at a time, for ``at_once`` queries after the other."""
+    def against(qt: pa.Table, held: list, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for r0 in range(0, qt.num_rows, at_once):
+            some = qt.slice(r0, at_once)
+            found = _searched(some, held, qv, k, metric, exclude)
+            if found is not None:
+                yield pa.RecordBatch.from_arrays(_hits(some, keys, found, kind, names), names=names)
 
-        def columns():
-            nonlocal kind
-            for batch in batches:
-                kind = batch.schema.field(0).type
-                yield batch.column(0), batch.column(1)
-
-        found = _searched(qt, columns(), qv, k, metric, exclude)
-        if found is not None:
-            yield pa.RecordBatch.from_arrays(_hits(qt, keys, found, kind, names), names=names)
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, kind = [], 0, None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            held.append(_read(batch.column(0), batch.column(1)))
+            size += held[-1][1].nbytes
+            if size > BLOCK_BYTES:
+                yield from against(block.value, held, kind)
+                held, size = [], 0
+        if held:
+            yield from against(block.value, held, kind)
 
     return search
 
@@ -231,7 +242,7 @@ def _in_groups(q: DataFrame, c: DataFrame, k: int, out: T.StructType, keys, qv,
              .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
 
     def search(qt: pa.Table, ct: pa.Table) -> pa.Table:
-        found = _searched(qt, [(ct.column(docid), ct.column(vec))], qv, k, metric, exclude)
+        found = _searched(qt, [_read(ct.column(docid), ct.column(vec))], qv, k, metric, exclude)
         return pa.Table.from_arrays(_hits(qt, keys, found, ct.schema.field(docid).type, out.names), names=out.names)
 
     return left.groupBy("_blk", "_shard").cogroup(right.groupBy("_blk", "_shard")).applyInArrow(search, out)
