@@ -57,16 +57,10 @@ class Index:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition ``df`` on ``keys`` when its scan yields fewer partitions than the cluster
-    can run at once (e.g. one large row group); a no-op for already well-split inputs.
-
-    Hash partitioning on the text id also satisfies a later ``groupBy(id, term)``, so the
-    term counts are then computed without a second shuffle.
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, *keys)
+    """Texts dealt by their ids into the session's number of shuffle partitions (at least one per core): term counts by (id,
+    term), document lengths and the join of the two then need no shuffle of the much more numerous term rows."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def term_counts(df: DataFrame, id_cols: Sequence[str], text: str = "text") -> DataFrame:
