@@ -16,37 +16,67 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fbrank.functions.text import tokens
 from fbrank.functions.vectors import dot, l2_normalize
 from fbrank.sources.tables import with_prefix
 
 
-def _bucket(tok: Column, dim: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
-
-
-def _sign(tok: Column) -> Column:
-    digit = F.conv(F.substring(F.md5(tok), 9, 1), 16, 10).cast("int")
-    return F.when(digit % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-
-
 def encode_hashed(df: DataFrame, *, id_cols: Sequence[str] = ("qid",), text: str = "title", dim: int = 64,
                   out: str = "qv") -> DataFrame:
-    """Signed feature hashing of the tokens of ``text`` into ``dim`` components, L2-normalised."""
-    toks = df.select(*id_cols, F.explode(tokens(text)).alias("_t"))
-    comp = (toks.groupBy(*id_cols, _bucket(F.col("_t"), dim).alias("_b"))
-            .agg(F.sum(_sign(F.col("_t"))).alias("_x")))
-    sparse = comp.groupBy(*id_cols).agg(F.map_from_entries(F.collect_list(F.struct("_b", "_x"))).alias("_m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("_m")[i], F.lit(0.0)))
+    """Signed feature hashing of the tokens of ``text`` into ``dim`` components, L2-normalised.
+
+    Tokens are counted by component where the texts are read, a token's hash computed once per task, so a row of ``dim``
+    counts per text is shuffled, not its tokens.  Texts of one id are counted together; null ids have none."""
+    kinds = [T.StructField(c, df.schema[c].dataType, True) for c in id_cols]
+    counts = (df.select(*id_cols, tokens(text).alias("_t")).filter(F.size("_t") > 0)
+              .mapInArrow(_hash_counts(dim), T.StructType([*kinds, T.StructField("_x", T.ArrayType(T.IntegerType()), True)])))
+    sums = counts.groupBy(*id_cols).agg(*[F.sum(F.col("_x")[i]).alias(f"_{i}") for i in range(dim)])
+    sparse = sums.select(*id_cols, F.array(*[F.col(f"_{i}").cast("double") for i in range(dim)]).alias("_m"))
     base = df.select(*id_cols).join(sparse, list(id_cols), "left")
-    vec = F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(vec)
+    vec = F.coalesce("_m", F.array_repeat(F.lit(0.0), dim))
     return base.select(*id_cols, l2_normalize(vec).alias(out))
 
 
+HASHES_KEPT = 1 << 20  # hashes of tokens that a task keeps
+TOKENS_AT_ONCE = 1 << 20
+
+
+def _hash_counts(dim: int):
+    """Rows (ids..., tokens) to (ids..., signed counts by component)."""
+    def signed(token: str) -> int:  # component, and its sign
+        digest = hashlib.md5(token.encode()).hexdigest()
+        bucket = int(digest[:8], 16) % dim
+        return bucket if int(digest[8], 16) % 2 == 0 else ~bucket
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOKENS_AT_ONCE, side="right")))
+                some, lo = batch.slice(lo, hi - lo), hi
+                lists = some.column(some.num_columns - 1)
+                coded = lists.flatten().dictionary_encode()
+                if len(known) > HASHES_KEPT:
+                    known.clear()
+                at = np.array([known[t] if t in known else known.setdefault(t, signed(t)) for t in coded.dictionary.to_pylist()], np.int64)
+                at = at[coded.indices.to_numpy()]
+                row = np.repeat(np.arange(some.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+                x = np.bincount(row * dim + np.where(at < 0, ~at, at), weights=np.where(at < 0, -1.0, 1.0), minlength=some.num_rows * dim)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(some.num_rows + 1) * dim, pa.int32()), pa.array(x.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*some.columns[:-1], vectors], names=[*some.schema.names[:-1], "_x"])
+
+    return count
+
+
 Encoder = Callable[[list[str]], np.ndarray]
 
 
