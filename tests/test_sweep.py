@@ -127,3 +127,18 @@ def test_text_sweep_equals_the_single_run(spark):
         assert a == b and len(a) == 20 * c.topics.count()
     with pytest.raises(ValueError):
         sw.dense_sweep(one, qv, dv, method="text")
+
+
+def test_a_sparse_sweep_moves_rows_of_documents_and_sorts_hits_once(spark):
+    """A row per document or feedback document reaches the kernel, not one per posting, and hits are sorted after their shuffle only."""
+    c = cat.Ctx(spark, SF001)
+    trials = sw.trial_grid(spark, seed=(42,), nsplit=(0,), alpha=(1.0,), beta=(0.75,))
+    runs = sw.sparse_sweep_runs(trials, c.topics, c.index, k=50, first=c.sparse_first, weights=c.weights)
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" not in plan and plan.count("collect_list(struct(term") >= 2
+    assert runs.agg({"rank": "max"}).first()[0] == 50 and runs.groupBy("trial_id", "qid").count().agg({"count": "max"}).first()[0] == 50
+    import pyarrow as pa
+
+    from fbrank.operators import sparse as sp
+    rows = pa.table({"qid": [1, 2, 3], "terms": [["a", "b"], [], None], "weights": [[1.0, 2.0], [], None]}, pa.schema([("qid", pa.int64()), ("terms", pa.list_(pa.string())), ("weights", pa.list_(pa.float64()))]))
+    assert sp._each_term(rows, "w").to_pylist() == [dict(qid=1, term="a", w=1.0), dict(qid=1, term="b", w=2.0), dict(qid=3, term=None, w=None)]
