@@ -207,3 +207,23 @@ def test_a_task_keeps_k_hits_and_ties(spark):
         best.add(np.repeat([0, 1], 100), np.tile(ids, 2), np.concatenate([ids % 7 * 1.0, np.zeros(100)]))
     rows, ids, scores = best.cut()
     assert ids[rows == 0].tolist() == [6, 13, 20] and ids[rows == 1].tolist() == [0, 1, 2] and best.held == 6
+
+
+@pytest.mark.parametrize("metric", ["ip", "hamming"])
+def test_tasks_send_little_more_than_k_hits_of_a_query(spark, monkeypatch, metric):
+    """With floors the hits that leave all tasks don't grow with their number, and the result is that without."""
+    rng = np.random.default_rng(11)
+    vecs = rng.integers(-3, 4, (4000, 8)).astype(float)
+    corpus = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(vecs)], "docid long, vec array<double>").repartition(16)
+    queries = spark.createDataFrame([(i, vecs[i].tolist()) for i in range(30)], "qid long, qv array<double>")
+    few = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(vecs[:40])], "docid long, vec array<double>").repartition(16)
+    sent = []
+    for name in ("rank_cut_hits", "limit_per_topic"):
+        monkeypatch.setattr(search, name, lambda hits, *a, f=getattr(search, name), **b: sent.append(hits) or f(hits, *a, **b))
+    args = dict(exclude_self="qid", metric=metric)
+    rows = lambda c, k: [tuple(r) for r in topk_search(queries, c, k, **args).orderBy("qid", "rank").collect()]
+    plain, small = rows(corpus, 100), rows(few, 100)
+    monkeypatch.setattr(search, "FLOOR_HITS", 0)
+    assert rows(corpus, 100) == plain and len(plain) == 3000 and rows(few, 100) == small and len(small) == 30 * 39
+    if metric == "ip":
+        assert sent[2].count() < 30 * 100 * 2.5 < 30 * 100 * 10 < sent[0].count()
