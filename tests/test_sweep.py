@@ -142,3 +142,52 @@ def test_a_sparse_sweep_moves_rows_of_documents_and_sorts_hits_once(spark):
     from fbrank.operators import sparse as sp
     rows = pa.table({"qid": [1, 2, 3], "terms": [["a", "b"], [], None], "weights": [[1.0, 2.0], [], None]}, pa.schema([("qid", pa.int64()), ("terms", pa.list_(pa.string())), ("weights", pa.list_(pa.float64()))]))
     assert sp._each_term(rows, "w").to_pylist() == [dict(qid=1, term="a", w=1.0), dict(qid=1, term="b", w=2.0), dict(qid=3, term=None, w=None)]
+
+
+def test_a_stored_sparse_sweep_shuffles_neither_documents_nor_hits(spark):
+    """Before, documents were dealt to shards and every shard's best hits to their trial and topic."""
+    c = cat.Ctx(spark, SF001)
+    trials = sw.trial_grid(spark, seed=(42, 9), nsplit=(0, 3), alpha=(1.0,), beta=(0.75,))
+    args = dict(k=50, first=c.sparse_first, weights=c.weights)
+    runs = sw.sparse_sweep_runs(trials, c.topics, c.index, **args)
+    after, kernel, _ = runs._jdf.queryExecution().executedPlan().toString().partition("MapInArrow")
+    assert kernel and "Exchange" not in after and "Window" not in after
+    lists = sw.sparse_sweep_runs(trials, c.topics, c.index, listed=True, **args)
+    assert lists.columns == ["trial_id", "qid", "hits"] and lists.count() == runs.select("trial_id", "qid").distinct().count()
+    qrels = c.sparse_qrels.persist()
+    assert _metrics(ev.evaluate(lists, qrels, keys=("trial_id",), key_values=trials)) == _metrics(ev.evaluate(runs, qrels, keys=("trial_id",), key_values=trials))
+    ranked = lambda run: sorted((r.trial_id, r.qid, r.docid, r.erank) for r in ev.eval_order(run, ("trial_id",)).collect())
+    assert ranked(lists) == ranked(runs)
+
+
+def test_a_stored_sweep_equals_the_dealt_one_with_ties_and_repeated_topics(spark):
+    from fbrank.operators import sparse as sp
+    from fbrank.sources.index import stored_index
+
+    docs = spark.createDataFrame([(f"d{i:03d}", f"w{i % 7} w{i % 5} w{i % 5} x{i % 3} common{i % 2}") for i in range(300)] + [("d900", "w1 x2"), ("d900", "w1"), ("d901", None), (None, "w2 w3")], "docid string, text string")
+    topics = spark.createDataFrame([("a", "w1 x2"), ("b", "w3"), ("b", "w3"), ("c", "nothing"), (None, "w1")], "qid string, title string")
+    index = stored_index(docs, vectors=True, by_term=False).index
+    bow = sp.query_bow(topics, index).persist()
+    specs = spark.createDataFrame([(t, q, 1.0 if t else 0.0, 0.5, fb) for t in range(4) for q, fb in (("a", ["d001", "d002"][:t]), ("b", ["d004"]), ("b", ["d004"]), ("c", []), (None, ["d001"]))],
+                                  "trial_id int, qid string, alpha double, beta double, fb array<string>")
+    rows = lambda run: sorted((r.trial_id, r.qid, r["rank"], r.docid, round(r.score, 9)) for r in run.collect())
+    for k in (7, 1000):
+        got, want = rows(sp.rocchio_sweep_search(specs, bow, index, index.weights, k)), rows(sp.rocchio_sweep_search(specs, bow, index, index.weights, k, n_shards=3))
+        assert got == want and max(r[2] for r in got) <= k
+    assert {r[1] for r in got} == {"a", "b"}
+
+
+def test_a_task_of_a_sweep_keeps_k_hits_of_a_trial(spark):
+    import numpy as np
+
+    from fbrank.operators import sparse as sp
+    best, rng = sp._Kept(3, 50), np.random.default_rng(2)
+    seen = np.full((3, 0), 0.0)
+    for lo in range(0, 60_000, 1000):
+        scores = np.stack([rng.random(1000), np.ones(1000), np.full(1000, -np.inf)])
+        scores[2, :1] = 1.0 if lo < 5000 else -np.inf
+        seen = np.hstack([seen, scores])
+        best.add(scores, np.arange(lo, lo + 1000))
+        assert best.held <= best.room
+    rows, ids, scores = best.cut()
+    assert set(np.argsort(-seen[0])[:50]) <= set(ids[rows == 0]) and set(range(50)) <= set(ids[rows == 1]) and sorted(ids[rows == 2]) == [0, 1000, 2000, 3000, 4000]
